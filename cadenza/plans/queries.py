@@ -8,13 +8,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions import scalar, text
 from cadenza.operators import crossval, grid, manifest, metrics, sequence, stats, stencil, synth
 from cadenza.plans import sql as S
-from cadenza.sources import views
+from cadenza.sources import images, netcdf, views
 from cadenza.sources.views import SIDE, table
 from cadenza.streaming import frames as streaming
 
@@ -174,7 +176,7 @@ def str_iso(spark, d):
     return table(spark, d, "events").select("event_id", iso.alias("iso"), text.is_iso_z(iso).alias("ok"), text.parse_time(iso).alias("parsed"), text.parse_iso_local(offset).alias("local"), text.parse_time(offset).alias("shifted"), F.expr("try_cast(event_type as double)").alias("opt"))
 
 
-@query("STR13 TIL02 TIL01 STN-", """SELECT k, z, x, y, printf('tiles/%03d/{z}/{x}/{y}.webp', k) AS template FROM (SELECT vec_id AS k FROM embeddings WHERE vec_id < 20), unnest([0, 1, 2, 3]) a(z), unnest(range(0, 8)) b(x), unnest(range(0, 8)) c(y) WHERE x < pow(2, z) AND y < pow(2, z)""")
+@query("STR13 TIL02 TIL01", """SELECT k, z, x, y, printf('tiles/%03d/{z}/{x}/{y}.webp', k) AS template FROM (SELECT vec_id AS k FROM embeddings WHERE vec_id < 20), unnest([0, 1, 2, 3]) a(z), unnest(range(0, 8)) b(x), unnest(range(0, 8)) c(y) WHERE x < pow(2, z) AND y < pow(2, z)""")
 def til_pyramid(spark, d):
     fr = table(spark, d, "embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("k"))
     t = grid.tile_pyramid(fr, "k", 0, grid.default_max_zoom(2048, 1500))
@@ -624,3 +626,97 @@ def stm_sliding(spark, d):
 def stm_sessions(spark, d):
     out = streaming.sessions(views.series(spark, d), "6 hours", ["user_id"])
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", r("mean").alias("mean"))
+
+
+# --- files, cache, samples, extensions -----------------------------------------------------------------------------------------
+
+_ATTRS = {"source_frames": ["a", "b"], "t": 0.5, "model": "linear", "model_version": "1", "kind": "observed", "created": "2025-06-20T00:00:00Z"}
+
+
+@query("SRC03 SRC05 SRC23 SRC24 SRC32 SNK01 SNK07 SNK08 SNK09 SNK10 SNK11 SNK12 SNK13", f"""WITH {S.MASKED} SELECT k, 8 AS n_rows, count(bt) AS n_valid, round(avg(bt), 3) AS mean FROM px GROUP BY k""")
+def snk_netcdf(spark, d):
+    files = netcdf.encode_frames(views.frames(spark, d, masked=True), SIDE, (68.0, 6.0, 98.0, 38.0), _ATTRS)
+
+    def read(batches):
+        for batch in batches:
+            found = [netcdf.frame_of(netcdf.load(c))[1] for c in batch["content"]]
+            out = batch[["k"]].copy()
+            out["n_rows"] = [f.shape[0] for f in found]
+            out["n_valid"] = [int(np.isfinite(f).sum()) for f in found]
+            out["mean"] = [float(np.nanmean(f)) for f in found]
+            yield out
+    return files.mapInPandas(read, "k long, n_rows int, n_valid long, mean double").withColumn("mean", r("mean", 3))
+
+
+@query("SRC27 SRC28 SRC29 SRC30 SNK05", """SELECT vec_id AS k, unnest(['lat', 'lon', 'bt']) AS variable, unnest([64, 64, 256])::BIGINT AS length FROM embeddings WHERE vec_id < 50""")
+def src_references(spark, d):
+    files = netcdf.encode_frames(views.frames(spark, d).filter("k < 50"), SIDE, (68.0, 6.0, 98.0, 38.0), _ATTRS)
+
+    def refer(batches):
+        for batch in batches:
+            rows = [(k, v, n) for k, c in zip(batch["k"], batch["content"]) for _, v, _, n in netcdf.virtual_reference(c, str(k))]
+            yield pd.DataFrame(rows, columns=["k", "variable", "length"])
+    return files.mapInPandas(refer, "k long, variable string, length long")
+
+
+@query("SRC31 SNK06", """SELECT vec_id // 128 AS shard, printf('shard-%06d.tar', vec_id // 128) AS name, count(*) AS n FROM embeddings GROUP BY 1, 2""")
+def snk_tar_shards(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("n"), F.format_string("%08d", "vec_id").alias("key"), F.to_json(F.struct("label")).cast("binary").alias("body"))
+
+    def back(batches):
+        for batch in batches:
+            out = batch[["shard", "name"]].copy()
+            out["n"] = [len(images.read_tar(c)) for c in batch["content"]]
+            yield out
+    return images.write_shards(rows, 128).mapInPandas(back, "shard long, name string, n long")
+
+
+@query("SNK17 SNK18 SNK21 VIZ03 VIZ04 VIZ06")
+def snk_png(spark, d):
+    colored = views.frames(spark, d, masked=True).filter("k < 100").select("k", F.transform("bt", lambda b: grid.bt_to_rgba(b)).alias("c"))
+    return images.render(colored, SIDE).select("k", F.length("png").cast("long").alias("n_bytes"), F.sha2("png", 256).alias("sha256"))
+
+
+@query("SRV02 JON16 SRC10", """SELECT CASE WHEN vec_id % 4 = 0 THEN 'hit' ELSE 'miss' END AS state, count(*) AS n FROM embeddings GROUP BY 1""")
+def srv_cache(spark, d):
+    want = table(spark, d, "embeddings").select(F.col("vec_id").alias("k"), text.cache_key(F.col("vec_id").cast("string"), F.lit("png")).alias("key"))
+    have = want.filter("k % 4 = 0").select("key")
+    hits = want.join(have, "key", "left_semi").select(F.lit("hit").alias("state"))
+    return hits.unionByName(want.join(have, "key", "left_anti").select(F.lit("miss").alias("state"))).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("TRN04 SCL08 FLT02 FLT08 HLP07", f"""WITH {S.MASKED} SELECT m.k, round(avg(coalesce((a.bt - 180) / 150.0::DOUBLE, 0.0)), 6) AS i0, round(avg(coalesce((m.bt - 180) / 150.0::DOUBLE, 0.0)), 6) AS it, round(avg(coalesce((b.bt - 180) / 150.0::DOUBLE, 0.0)), 6) AS i1,
+ count(CASE WHEN a.bt IS NOT NULL AND m.bt IS NOT NULL AND b.bt IS NOT NULL THEN 1 END) AS n_valid FROM px m JOIN px a ON a.k = m.k - 1 AND a.i = m.i JOIN px b ON b.k = m.k + 1 AND b.i = m.i GROUP BY m.k""")
+def trn_samples(spark, d):
+    t = sequence.triplets(views.frames(spark, d, masked=True), ["bt"])
+    mean = lambda c: r(F.aggregate(F.transform(c, lambda v: scalar.model_input(v)), F.lit(0.0), lambda a, v: a + v) / F.size(c))
+    ok = F.filter(F.arrays_zip("bt_prev", "bt", "bt_next"), lambda s: s["bt_prev"].isNotNull() & s["bt"].isNotNull() & s["bt_next"].isNotNull())
+    return t.select("k", mean("bt_prev").alias("i0"), mean("bt").alias("it"), mean("bt_next").alias("i1"), F.size(ok).cast("long").alias("n_valid"))
+
+
+@query("M27 M28 M29 AGG20", f"""WITH {S.PX}, {S.MIDDLE}, m AS (SELECT k, label, {S.rmse('pred', 'truth')} AS e FROM middle GROUP BY k, label) SELECT coalesce(label, -1) AS label, round(avg(e), 6) AS bt_rmse_k, count(*) AS n FROM m GROUP BY ROLLUP (label)""")
+def m_strata(spark, d):
+    found = crossval.per_triplet(views.frames(spark, d)).rollup("label").agg(r(F.avg("bt_rmse_k")).alias("bt_rmse_k"), F.count("*").alias("n"))
+    return found.select(F.coalesce("label", F.lit(-1)).alias("label"), "bt_rmse_k", "n")
+
+
+@query("EXT-FSS", f"""WITH {S.PX}, {S.MIDDLE}, b AS (SELECT k, y // 2 AS by, x // 2 AS bx, avg(CASE WHEN pred < 240 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p, avg(CASE WHEN truth < 240 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS g FROM middle GROUP BY 1, 2, 3)
+ SELECT k, round(1 - sum(pow(p - g, 2)) / nullif(sum(p * p) + sum(g * g), 0.0), 6) AS fss FROM b GROUP BY k""")
+def ext_fss(spark, d):
+    cold = lambda c: F.transform(c, lambda v: F.when(v < 240, 1.0).otherwise(0.0))
+    mid = crossval.middle(views.frames(spark, d)).select("k", cold("pred").alias("p"), cold("truth").alias("g"))
+    mid = mid.select("k", F.arrays_zip(stencil.box_mean("p", SIDE, 2).alias("p"), stencil.box_mean("g", SIDE, 2).alias("g")).alias("s"))
+    total = lambda of: F.aggregate("s", F.lit(0.0), lambda a, s: a + of(s["p"], s["g"]))
+    return mid.select("k", r(1 - F.try_divide(total(lambda p, g: F.pow(p - g, 2.0)), total(lambda p, g: p * p + g * g))).alias("fss"))
+
+
+@query("EXT-EPE M10", f"""WITH {S.PX} SELECT k, round(avg(sqrt(pow((bt - 250) / 10, 2) + pow((260 - bt) / 20, 2))), 6) AS epe FROM px GROUP BY k""")
+def ext_epe(spark, d):
+    px = views.frames(spark, d).select("k", F.explode("bt").alias("bt"))
+    return px.groupBy("k").agg(r(F.avg(F.hypot((F.col("bt") - 250) / 10, (260 - F.col("bt")) / 20))).alias("epe"))
+
+
+@query("AGG18 M11", f"""WITH {S.SERIES} SELECT event_type, round(regr_slope(bt, user_id::DOUBLE), 8) AS slope, round(regr_intercept(bt, user_id::DOUBLE), 5) AS intercept, round(coalesce(avg(bt), 0), 6) AS fill FROM series GROUP BY event_type""")
+def agg_calibration(spark, d):
+    u = F.col("user_id").cast("double")
+    return views.series(spark, d).groupBy("event_type").agg(r(F.regr_slope("bt", u), 8).alias("slope"), r(F.regr_intercept("bt", u), 5).alias("intercept"), r(F.coalesce(F.avg("bt"), F.lit(0.0))).alias("fill"))
