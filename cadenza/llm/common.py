@@ -47,7 +47,23 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cadenza_path = path
+    free_shuffles(spark)
+    return out
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps, which it does when the driver collects its garbage."""
+    spark._jvm.java.lang.System.gc()
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of materialize() that nothing reads any more; all that was made from them is written elsewhere."""
+    for table_ in tables:
+        jvm = table_.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table_.cadenza_path)
+        path.getFileSystem(table_.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,6 +1,6 @@
 """Removal of repeated passages: FM-indexes over shards of shared content, searched for every window of it.
 
-Windows of 13 words are grouped by their minimizer, the smallest hash of their four-word grams, so that equal windows
+Windows of 13 words are grouped by their minimizer, the smallest hash of their six-word grams, so that equal windows
 meet in one shard whatever documents they are in. A fingerprint exchange first tells which minimizers occur more than
 once; only the stretches around those are indexed. Each shard builds one FM-index over its distinct stretches, searches
 it backwards for each window and reports the smallest document that has it.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from cadenza.llm import common, exchange, kernels
 from cadenza.llm.fm_index import FMIndex
 
-WINDOW, GRAM = 13, 4
+WINDOW, GRAM = 13, 6
 #: Bits of a minimizer's fingerprint in the exchange; a chance hit only means that a stretch is indexed without need.
 FINGERPRINT_BITS = 48
 #: Words of a shard's index.
@@ -73,17 +73,27 @@ def stretches(raw: np.ndarray, offsets: np.ndarray):
     return (row, first - bounds[row], length, best[first]), (starts, ends, bounds)
 
 
-_STATE = f"kind int, {exchange.SENT_FIELDS}, places binary, rows binary, firsts binary, ordinal int, doc_id long, mark long"
+_STATE = f"kind int, {exchange.SENT_FIELDS}, steps binary, rows binary, firsts binary, ordinal int, doc_id long, mark long"
 
 
 def _mark(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big", signed=True)
 
 
+def _narrow(values: np.ndarray) -> bytes:
+    """The width in bytes, then the values in so many bytes each."""
+    out = values.astype(np.uint16 if not len(values) or values.max() < 1 << 16 else np.uint32)
+    return bytes([out.dtype.itemsize]) + out.tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1)
+
+
 def _sender(owners: int):
     kinds = [
         ("kind", pa.int32()), ("sender", pa.int64()), ("owner", pa.int32()), ("n", pa.int32()), ("k", pa.int32()), ("code", pa.binary()),
-        ("repeated", pa.binary()), ("places", pa.binary()), ("rows", pa.binary()), ("firsts", pa.binary()), ("ordinal", pa.int32()),
+        ("repeated", pa.binary()), ("steps", pa.binary()), ("rows", pa.binary()), ("firsts", pa.binary()), ("ordinal", pa.int32()),
         ("doc_id", pa.int64()), ("mark", pa.int64()),
     ]
     schema = pa.schema(kinds)
@@ -113,8 +123,9 @@ def _sender(owners: int):
         at = 0
         for _, owner, n, k, code, repeated in exchange.pack(sender, values, counts, owners, FINGERPRINT_BITS):
             a, b = np.searchsorted(inverse, [at, at + n])
-            places = (inverse[a:b] - at).astype(np.uint32)
-            yield table(1, kind=[1], sender=[sender], owner=[owner], n=[n], k=[k], code=[code], repeated=[repeated], places=[places.tobytes()], rows=[rows[a:b].tobytes()], firsts=[firsts[a:b].tobytes()])
+            # One bit for each stretch: whether it begins the next fingerprint.
+            steps = np.packbits(np.diff(inverse[a:b], prepend=at) > 0).tobytes()
+            yield table(1, kind=[1], sender=[sender], owner=[owner], n=[n], k=[k], code=[code], repeated=[repeated], steps=[steps], rows=[_narrow(rows[a:b])], firsts=[_narrow(firsts[a:b])])
             at += n
 
     return send
@@ -123,54 +134,72 @@ def _sender(owners: int):
 def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(sender, ordinal, first word) of the stretches whose minimizer the owner found more than once."""
     for batch in batches:
-        for sender, bitmap, places, rows, firsts in zip(*(batch[c].to_pylist() for c in ("sender", "bitmap", "places", "rows", "firsts"))):
-            hit = np.unpackbits(np.frombuffer(bitmap, np.uint8))[np.frombuffer(places, np.uint32)] == 1
+        for sender, bitmap, steps, rows, firsts in zip(*(batch[c].to_pylist() for c in ("sender", "bitmap", "steps", "rows", "firsts"))):
+            rows, firsts = _wide(rows), _wide(firsts)
+            places = np.cumsum(np.unpackbits(np.frombuffer(steps, np.uint8))[: len(rows)])
+            hit = np.unpackbits(np.frombuffer(bitmap, np.uint8))[places] == 1
             if hit.any():
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(int(hit.sum()), sender)), pa.array(np.frombuffer(rows, np.uint32)[hit].astype(np.int32)),
-                    pa.array(np.frombuffer(firsts, np.uint32)[hit].astype(np.int32)),
+                    pa.array(np.full(int(hit.sum()), sender)), pa.array(rows[hit].astype(np.int32)),
+                    pa.array(firsts[hit].astype(np.int32)),
                 ], names=["sender", "ordinal", "first"])
 
 
-_PIECES = "doc_id long, mark long, first int, windows int, minimizer long, piece_key binary, piece binary"
+_PIECES = "doc_id long, mark long, first int, windows int, minimizer long, piece_key binary"
+_CONTENT = "piece_key binary, minimizer long, windows int, piece binary, least_doc long"
+
+
+def _wanted_stretches(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, np.ndarray, bytes]]:
+    """(row of the batch, first word, windows, minimizer, joined words) of the stretches that begin at the words in `firsts`."""
+    strings = batch["text"].to_pylist()
+    for a, b, raw, offsets in kernels.slices(batch["text"]):
+        (row, first, length, minimizer), _ = stretches(raw, offsets)
+        cut = np.searchsorted(row, np.arange(b - a + 1)).tolist()
+        for r in range(b - a):
+            x, y = cut[r], cut[r + 1]
+            # Rows that share a doc_id are told apart by their mark.
+            if x == y or _mark(hashlib.sha256(_joined(strings[a + r])[1]).digest()) != batch["mark"][a + r].as_py():
+                continue
+            words = strings[a + r].encode().split()
+            for i in (x + np.flatnonzero(np.isin(first[x:y], np.array(batch["firsts"][a + r].as_py())))).tolist():
+                f, n = int(first[i]), int(length[i])
+                yield a + r, f, n, minimizer[i : i + 1], b" ".join(words[f : f + n + WINDOW - 1])
+
+
+def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of each suspected stretch, joined by one space."""
+    """A key of the words of each suspected stretch."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("first", pa.int32()), ("windows", pa.int32()), ("minimizer", pa.int64()), ("piece_key", pa.binary())])
     for batch in batches:
-        texts, ids, wanted_marks, wanted = (batch[c] for c in ("text", "doc_id", "mark", "firsts"))
-        strings = texts.to_pylist()
-        for a, b, raw, offsets in kernels.slices(texts):
-            (row, first, length, minimizer), (starts, ends, bounds) = stretches(raw, offsets)
-            cut = np.searchsorted(row, np.arange(b - a + 1)).tolist()
-            out: list[list] = [[] for _ in range(7)]
-            for r in range(b - a):
-                x, y = cut[r], cut[r + 1]
-                mark = wanted_marks[a + r].as_py()
-                if x == y or _mark(hashlib.sha256(_joined(strings[a + r])[1]).digest()) != mark:
-                    continue
-                words = (strings[a + r] or "").encode().split()
-                chosen = x + np.flatnonzero(np.isin(first[x:y], np.array(wanted[a + r].as_py())))
-                for i in chosen.tolist():
-                    f, n = int(first[i]), int(length[i])
-                    piece = b" ".join(words[f : f + n + WINDOW - 1])
-                    for column, value in zip(out, (ids[a + r].as_py(), mark, f, n, int(minimizer[i : i + 1].view(np.int64)[0]), xxhash.xxh3_128_digest(piece), piece)):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "mark", "first", "windows", "minimizer", "piece_key", "piece"])
+        ids, marks = batch["doc_id"].to_pylist(), batch["mark"].to_pylist()
+        rows = [(ids[r], marks[r], f, n, int(m.view(np.int64)[0]), xxhash.xxh3_128_digest(piece)) for r, f, n, m, piece in _wanted_stretches(batch)]
+        if rows:
+            yield _batch(schema, rows)
+
+
+def _content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of one occurrence of each distinct stretch; its document is the smallest that has it."""
+    schema = pa.schema([("piece_key", pa.binary()), ("minimizer", pa.int64()), ("windows", pa.int32()), ("piece", pa.binary()), ("least_doc", pa.int64())])
+    for batch in batches:
+        ids = batch["doc_id"].to_pylist()
+        rows = [(xxhash.xxh3_128_digest(piece), int(m.view(np.int64)[0]), n, piece, ids[r]) for r, _, n, m, piece in _wanted_stretches(batch)]
+        if rows:
+            yield _batch(schema, rows)
 
 
 def _single_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Stretches of hot minimizers, window by window, each dealt by its own hash."""
     for batch in batches:
         out = []
-        for doc_id, mark, first, n, piece in zip(batch["doc_id"], batch["mark"], batch["first"], batch["windows"], batch["piece"]):
+        for key, piece, least in zip(batch["piece_key"], batch["piece"], batch["least_doc"]):
             words = piece.split(b" ")
-            for i in range(n):
+            for i in range(len(words) - WINDOW + 1):
                 own = b" ".join(words[i : i + WINDOW])
-                out.append((doc_id, mark, first + i, 1, xxhash.xxh3_64_intdigest(own) - (1 << 63), xxhash.xxh3_128_digest(own), own))
-        yield pd.DataFrame(out, columns=["doc_id", "mark", "first", "windows", "minimizer", "piece_key", "piece"])
+                out.append((key, i, xxhash.xxh3_128_digest(own), xxhash.xxh3_64_intdigest(own) - (1 << 63), 1, own, least))
+        yield pd.DataFrame(out, columns=["of", "place", "piece_key", "minimizer", "windows", "piece", "least_doc"])
 
 
 def _search(group: pd.DataFrame) -> pd.DataFrame:
@@ -237,6 +266,18 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["r_id", "r_mark", "removed", "kept_digest", "kept_text"])
 
 
+def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`wanted` (doc_id, mark, firsts) with the texts of the documents."""
+    texts = common.keep_ids(docs, wanted).select(F.col("doc_id").alias("t_id"), "text")
+    return texts.join(wanted, F.col("t_id") == F.col("doc_id")).select("doc_id", "mark", "text", "firsts")
+
+
+def _searched(content: DataFrame, shards: int) -> DataFrame:
+    """(found_key, least) of each stretch from the index of its shard."""
+    dealt = content.select("piece_key", "windows", "piece", "least_doc", F.pmod(F.xxhash64("minimizer"), F.lit(shards)).alias("shard"))
+    return dealt.groupBy("shard").applyInPandas(_search, "found_key binary, least array<long>")
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """Runs of windows (doc_id, mark, first, windows) of `docs` (doc_id long not null, text) that start in a smaller document too.
 
@@ -246,26 +287,36 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     state = common.materialize(docs.mapInArrow(_sender(owners), _STATE), "substring-state", partition_by="kind")
     sent = state.filter("kind = 1")
     replies = exchange.answers(sent.select("sender", "owner", "n", "k", "code", "repeated"))
-    hits = sent.select("sender", "owner", "places", "rows", "firsts").join(replies, ["sender", "owner"]).mapInArrow(_suspects, "sender long, ordinal int, first int")
+    hits = sent.select("sender", "owner", "steps", "rows", "firsts").join(replies, ["sender", "owner"]).mapInArrow(_suspects, "sender long, ordinal int, first int")
     by_doc = hits.groupBy("sender", "ordinal").agg(F.collect_list("first").alias("firsts"))
     names = state.filter("kind = 0").select("sender", "ordinal", "doc_id", "mark")
     wanted = common.materialize(by_doc.join(names, ["sender", "ordinal"]).select("doc_id", "mark", "firsts"), "substring-wanted")
-    texts = common.keep_ids(docs, wanted).select(F.col("doc_id").alias("t_id"), "text")
-    pieces = texts.join(wanted, F.col("t_id") == F.col("doc_id")).select("doc_id", "mark", "text", "firsts").mapInArrow(_cut, _PIECES)
-    pieces = common.materialize(pieces, "substring-pieces")
-    distinct = pieces.groupBy("piece_key", "minimizer", "windows", "piece").agg(F.min("doc_id").alias("least_doc"))
-    distinct = common.materialize(distinct, "substring-distinct")
+    common.release(state)
+    pieces = common.materialize(_with_texts(docs, wanted).mapInArrow(_cut, _PIECES), "substring-pieces")
+    common.release(wanted)
+    distinct = common.materialize(pieces.groupBy("piece_key", "minimizer", "windows").agg(F.min("doc_id").alias("least_doc")), "substring-distinct")
     hot = distinct.groupBy("minimizer").count().filter(F.col("count") > HOT).select(F.col("minimizer").alias("hot"))
-    if hot.limit(1).count():
-        hot = common.sized(common.materialize(hot, "substring-hot"))
-        same = F.col("minimizer") == F.col("hot")
-        single = pieces.join(hot, same, "left_semi").mapInPandas(_single_windows, _PIECES)
-        pieces = common.materialize(pieces.join(hot, same, "left_anti").unionByName(single), "substring-pieces")
-        distinct = common.materialize(pieces.groupBy("piece_key", "minimizer", "windows", "piece").agg(F.min("doc_id").alias("least_doc")), "substring-distinct")
+    hot = common.materialize(hot, "substring-hot")
     words = distinct.agg(F.sum(F.col("windows") + WINDOW)).first()[0] or 0
     shards = max(owners, -(-words // SHARD_WORDS))
-    dealt = distinct.select("piece_key", "windows", "piece", "least_doc", F.pmod(F.xxhash64("minimizer"), F.lit(shards)).alias("shard"))
-    found = common.materialize(dealt.groupBy("shard").applyInPandas(_search, "found_key binary, least array<long>"), "substring-found")
+    # One occurrence of each distinct stretch, in its smallest document, gives the words.
+    chosen = distinct.select(F.col("piece_key").alias("d_key"), "least_doc")
+    chosen = pieces.join(chosen, (F.col("piece_key") == F.col("d_key")) & (F.col("doc_id") == F.col("least_doc"))).dropDuplicates(["piece_key"])
+    chosen = common.materialize(chosen.groupBy("doc_id", "mark").agg(F.collect_list("first").alias("firsts")), "substring-chosen")
+    common.release(distinct)
+    content = _with_texts(docs, chosen).mapInArrow(_content, _CONTENT)
+    if not hot.limit(1).count():
+        found = common.materialize(_searched(content, shards), "substring-found")
+    else:
+        content = common.materialize(content.dropDuplicates(["piece_key"]), "substring-content")
+        hot, same = common.sized(hot), F.col("minimizer") == F.col("hot")
+        cold = _searched(content.join(hot, same, "left_anti"), shards)
+        single = content.join(hot, same, "left_semi").mapInPandas(_single_windows, "of binary, place int, " + _CONTENT)
+        single = common.materialize(single, "substring-single")
+        once = single.groupBy("piece_key", "minimizer", "windows", "piece").agg(F.min("least_doc").alias("least_doc"))
+        parts = single.select("of", "place", "piece_key").join(_searched(once, shards), F.col("piece_key") == F.col("found_key"))
+        whole = parts.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("place", F.get("least", F.lit(0)).alias("least")))).alias("p"))
+        found = common.materialize(cold.unionByName(whole.select(F.col("of").alias("found_key"), F.col("p.least").alias("least"))), "substring-found")
     placed = pieces.select("doc_id", "mark", "first", "piece_key").join(found, F.col("piece_key") == F.col("found_key"))
     return placed.select("doc_id", "mark", "first", "least").mapInArrow(_covered, "doc_id long, mark long, first int, windows int")
 
