@@ -36,6 +36,11 @@ def _stars(links: DataFrame) -> DataFrame:
     return links.mapInPandas(forest, "a long, b long")
 
 
+def _fingerprint(links: DataFrame) -> tuple:
+    """Number, sum and exclusive or of two hashes of the links, which tell a changed table but for a chance of about 2**-128."""
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))).first())
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of `links` (a long, b long); the component is its smallest node.
 
@@ -43,6 +48,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     the links to the shared folder; the rounds end when no link changes, after about log2 of the longest path.
     """
     links = common.materialize(_stars(links.select("a", "b")).distinct(), name)
+    print_ = _fingerprint(links)
     while True:
         both = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
@@ -54,9 +60,9 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b"))
         )).alias("x")).select("x.a", "x.b").filter("a <> b").distinct()
         nxt = common.materialize(step, name)
-        changed = nxt.exceptAll(links).limit(1).count() or links.exceptAll(nxt).limit(1).count()
-        links = nxt
-        if not changed:
+        common.release(links)
+        before, links, print_ = print_, nxt, _fingerprint(nxt)
+        if print_ == before:
             break
     return links.select(F.col("b").alias("node"), F.col("a").alias("component")).union(
         links.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()

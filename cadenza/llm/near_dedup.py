@@ -19,8 +19,8 @@ BANDS, ROWS = 32, 4
 #: A candidate pair is verified if at least this share of its 128 signature values agree; 0.75 fails this in
 #: one of about 10**7 pairs (the share's standard deviation is 0.038, less for SuperMinHash).
 LEAST_AGREEMENT = 0.55
-#: Members of a bucket that are compared with each other at once; larger buckets are dealt out in pairs of blocks.
-BLOCK = 1024
+#: Shingles of the members of a bucket that are compared with each other at once; larger buckets are dealt out in pairs of blocks.
+BLOCK = 1_000_000
 
 
 def superminhash(sets: list[np.ndarray], m: int = BANDS * ROWS) -> np.ndarray:
@@ -114,13 +114,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out, column in ((left, "text_a"), (right, "text_b")):
             for _, _, raw, offsets in kernels.slices(batch[column]):
                 out += kernels.shingle_sets(raw, offsets, SHINGLE)
-        ok = []
-        for x, y in zip(left, right):
-            common_n = 0
-            if len(x) and len(y) and _similar_size(len(x), len(y)):
-                both = np.sort(np.concatenate([x, y]))
-                common_n = int((both[1:] == both[:-1]).sum())
-            ok.append(common_n > 0 and 100 * common_n >= PERCENT * (len(x) + len(y) - common_n))
+        ok = [_linked(x, y) for x, y in zip(left, right)]
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -140,27 +134,61 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, name: str) ->
     return common.materialize(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"), f"{name}-links")
 
 
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets pass the threshold."""
+    if not len(x) or not len(y) or not _similar_size(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate([x, y]))
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= PERCENT * (len(x) + len(y) - shared)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within each (key, lo, hi) run of sorted rows: pairs in different components that may pass the threshold."""
+    """Within each (key, lo, hi) run of sorted rows: links between different components, verified on full sets.
+
+    Pairs are neither emitted nor kept: each is looked at in the first band that its members share, by size and
+    signature, then on the sets; what a link has joined is not compared again."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        rep, comp, n, block = (group[c].to_numpy() for c in ("rep", "comp", "n_shingles", "block"))
-        if len(rep) < 2:
+        rep, comp, n, block, band = (group[c].to_numpy() for c in ("rep", "comp", "n_shingles", "block", "band"))
+        if len(rep) < 2 or (comp == comp[0]).all():
             return
         sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(rep), -1)
+        bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+        texts, sets, parent = group["text"], {}, {}
         lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
         first = np.flatnonzero(block == lo)
         second = first if lo == hi else np.flatnonzero(block == hi)
         least = LEAST_AGREEMENT * (1 - 1 / 256) + 1 / 256
+
+        def find(c: int) -> int:
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        def set_of(i: int) -> np.ndarray:
+            if i not in sets:
+                (_, _, raw, offsets), = kernels.slices(pa.array([texts[i].as_py()], pa.string()))
+                sets[i] = kernels.shingle_sets(raw, offsets, SHINGLE)[0]
+            return sets[i]
+
+        found_a, found_b = [], []
         for i in first.tolist():
             other = second[second > i] if lo == hi else second
             other = other[(comp[other] != comp[i]) & _similar_size(n[other], n[i])]
             if len(other):
                 other = other[(sketch[other] == sketch[i]).mean(axis=1) >= least]
             if len(other):
-                a, b = np.minimum(rep[other], rep[i]), np.maximum(rep[other], rep[i])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+                other = other[(bands[other] == bands[i]).argmax(axis=1) == band[i]]
+            for j in other.tolist():
+                x, y = find(int(comp[i])), find(int(comp[j]))
+                if x != y and _linked(set_of(i), set_of(j)):
+                    parent[max(x, y)] = min(x, y)
+                    found_a.append(min(rep[i], rep[j]))
+                    found_b.append(max(rep[i], rep[j]))
+        if found_a:
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], schema=schema)
 
     kept: pa.Table | None = None
     for batch in batches:
@@ -204,9 +232,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         some.join(chosen, (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("rep_key"))).select("doc_id", "n_shingles", "bands", "sketch"),
         "near-reps",
     )
-    rows = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
+    rows = reps.select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "key"))
     leaders = rows.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).filter("members > 1").withColumnRenamed("key", "l_key")
-    shared = common.materialize(rows.join(leaders, F.col("key") == F.col("l_key")).select("key", "rep", "leader", "members"), "near-shared")
+    shared = common.materialize(rows.join(leaders, F.col("key") == F.col("l_key")).select("key", "band", "rep", "leader"), "near-shared")
     pairs = shared.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = _verified(pairs, reps, docs, "near-first")
     # Rows that share a doc_id are one document: their classes are linked by it.
@@ -215,20 +243,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     twice = own.join(same.filter("lo <> hi").select(F.col("doc_id").alias("d2"), "lo"), F.col("doc_id") == F.col("d2")).select(F.col("lo").alias("a"), F.col("rep").alias("b"))
     found = components.components(links.union(twice.filter("a <> b")), "near-comp")
 
-    # Buckets that still have several components.
-    placed = shared.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"), "members")
-    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(F.col("key").alias("s_key"))
-    n_blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rest = (
-        placed.join(split, F.col("key") == F.col("s_key"))
-        .join(reps.select(F.col("doc_id").alias("r_id"), "n_shingles", "sketch"), F.col("rep") == F.col("r_id"))
-        .withColumn("block", F.pmod(F.xxhash64("rep"), n_blocks.cast("long")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-        .select("key", "rep", "comp", "n_shingles", "sketch", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    # Buckets that still have several components: their members are compared in blocks, with their texts at hand.
+    sizes = reps.select(F.col("doc_id").alias("r_id"), "n_shingles")
+    placed = shared.join(found, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("comp"))
+    placed = common.materialize(placed.join(sizes, F.col("rep") == F.col("r_id")).select("key", "band", "rep", "comp", "n_shingles"), "near-placed")
+    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n_shingles").alias("size")).filter("lo <> hi")
+    split = split.select(F.col("key").alias("s_key"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    rest = common.materialize(placed.join(split, F.col("key") == F.col("s_key")).select("key", "band", "rep", "comp", "n_shingles", "blocks"), "near-rest")
+    texts = common.keep_ids(docs, rest.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("t_id"), "text")
+    marked = reps.select(F.col("doc_id").alias("m_id"), "bands", "sketch").join(texts, F.col("m_id") == F.col("t_id"))
+    wide = (
+        rest.join(marked, F.col("rep") == F.col("m_id"))
+        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", "band", "rep", "comp", "n_shingles", "sketch", "bands", "text", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     )
-    more = rest.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_blocks, "a long, b long").distinct()
-    more = common.materialize(more.join(pairs, ["a", "b"], "left_anti"), "near-more")
-    extra = _verified(more, reps, docs, "near-second")
+    extra = common.materialize(wide.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_blocks, "a long, b long"), "near-extra")
     stars = found.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
     found = components.components(stars.union(extra), "near-all")
 
