@@ -61,8 +61,10 @@ class Machine:
         total = np.zeros((n, self.vectors.shape[1]))
         square = np.zeros(n)
         linear = np.bincount(row, self.weights[term], n) if len(row) else np.zeros(n)
-        np.add.at(total, row, self.vectors[term])
-        np.add.at(square, row, (self.vectors[term] ** 2).sum(axis=1))
+        for k in range(self.vectors.shape[1] if len(row) else 0):
+            own = self.vectors[term, k]
+            total[:, k] = np.bincount(row, own, n)
+            square += np.bincount(row, own * own, n)
         return self.bias + linear + 0.5 * ((total**2).sum(axis=1) - square), total
 
     def scores(self, sets: list[np.ndarray]) -> np.ndarray:
@@ -79,7 +81,7 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     empty = Machine(float(np.log(prior / (1 - prior))), np.zeros(0, np.int32), np.zeros(0), np.zeros((0, FACTORS)))
     if not 0 < ones < n:
         return empty
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])
     every = np.concatenate(sets)
     buckets, inverse = np.unique(every, return_inverse=True)
     texts = np.bincount(inverse).astype(np.float64)
@@ -91,6 +93,7 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     if not chosen.any():
         return empty
     generator = np.random.default_rng(seed)
+    del inverse, every
     machine = Machine(empty.bias, buckets[chosen], np.zeros(int(chosen.sum())), generator.normal(0, 0.05, (int(chosen.sum()), FACTORS)))
     row, term = machine.rows_of(sets)
     # Full-batch AdaGrad on the log loss with weight decay.
@@ -100,7 +103,9 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
         error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) / n
         d_weight = np.bincount(term, error[row], len(machine.weights)) + DECAY * machine.weights
         d_vector = DECAY * machine.vectors
-        np.add.at(d_vector, term, error[row][:, None] * (total[row] - machine.vectors[term]))
+        each = error[row]
+        for k in range(FACTORS):
+            d_vector[:, k] += np.bincount(term, each * (total[row, k] - machine.vectors[term, k]), len(machine.weights))
         d_bias = float(error.sum())
         for k, gradient in enumerate((d_bias, d_weight, d_vector)):
             power[k] = power[k] + gradient**2
