@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from cadenza.llm import common
 
 #: Words whose encodings a worker remembers; this bounds its memory, not its results.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 250_000
 
 
 def byte_letters() -> dict[str, int]:

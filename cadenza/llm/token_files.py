@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm import common
-from cadenza.llm.bpe import CACHE_WORDS, forget
+from cadenza.llm.bpe import forget
 
 MAGIC = b"CDZTOK01"
+#: Pieces whose ids a worker remembers; this bounds its memory, not its results.
+CACHE_PIECES = 800_000
 #: The id that ends every document.
 END_ID = 0
 
@@ -75,7 +77,7 @@ class ByteEncoder:
         found = {n: list(map(get, pieces)) for n, pieces in split.items()}
         still = [n for n, x in found.items() if None in x]
         missing = {p for n in still for p, x in zip(split[n], found[n]) if x is None}
-        if len(self.cache) + len(missing) > CACHE_WORDS:
+        if len(self.cache) + len(missing) > CACHE_PIECES:
             self.cache = forget(self.cache)
             get = self.cache.get
             missing = {p for n in still for p in split[n] if p not in self.cache}
