@@ -20,7 +20,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: Most copies of a document, and of a source's size.
 MOST = 3
 #: Documents of a chunk in one flight.
-CHUNK = 20_000
+CHUNK = 2_000
 _EPS = 1e-9
 
 
