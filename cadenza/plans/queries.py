@@ -570,7 +570,7 @@ def snk_shards(spark, d):
 
 def _manifests(spark, d) -> DataFrame:
     k = F.col("k")
-    frames = views.frames(spark, d).filter("k < 60").select(
+    frames = views.frames(spark, d).select(
         "label", k.cast("int").alias("index"), F.when(k % 7 == 0, "June").otherwise(text.iso_z("time")).alias("time"), F.when(k % 2 == 0, "observed").otherwise("interpolated").alias("kind"),
         F.when((k % 2 == 1) & (k % 5 > 0), 0.5).alias("t"), F.when(k % 2 == 1, F.array((k - 1).cast("int"), (k + 1).cast("int"))).alias("bracket"), F.lit("i").alias("image"), F.lit("h").alias("thumb"),
         text.tile_template(k).alias("tiles_url_template"), F.when(k % 11 == 0, "").otherwise("p").alias("pmtiles"), F.lit("n").alias("netcdf"))
