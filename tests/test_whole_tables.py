@@ -7,7 +7,7 @@ from cadenza.plans.queries import QUERIES
 from test_queries import rows
 
 #: Conditions that the registered SQL has and the whole job has not.
-PARTS = {"val_manifest": " WHERE vec_id < 60", "val_json_round_trip": " WHERE vec_id < 60"}
+PARTS = {"val_manifest": " WHERE vec_id < 60", "val_json_round_trip": " WHERE vec_id < 60", "src_references": " WHERE vec_id < 50"}
 
 
 @pytest.mark.parametrize("name", PARTS)
@@ -17,3 +17,8 @@ def test_whole_table(name, spark, sf_dir):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     own, whole = QUERIES[name].run(spark, sf_dir).toPandas(), con.execute(QUERIES[name].sql.replace(PARTS[name], "")).fetch_df()
     assert rows(own) == rows(whole)
+
+
+def test_every_frame_has_a_png(spark, sf_dir):
+    own = QUERIES["snk_png"].run(spark, sf_dir).select("k").collect()
+    assert sorted(r["k"] for r in own) == sorted(r[0] for r in duckdb.sql(f"SELECT vec_id FROM '{sf_dir}/embeddings.parquet'").fetchall())
