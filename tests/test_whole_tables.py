@@ -7,7 +7,8 @@ from cadenza.plans.queries import QUERIES
 from test_queries import rows
 
 #: Conditions that the registered SQL has and the whole job has not.
-PARTS = {"val_manifest": " WHERE vec_id < 60", "val_json_round_trip": " WHERE vec_id < 60", "src_references": " WHERE vec_id < 50"}
+PARTS = {"val_manifest": " WHERE vec_id < 60", "val_json_round_trip": " WHERE vec_id < 60", "src_references": " WHERE vec_id < 50", "til_pyramid": " WHERE vec_id < 20",
+         "src_hours": " WHERE o_orderkey % 10 = 0"}
 
 
 @pytest.mark.parametrize("name", PARTS)
