@@ -160,14 +160,28 @@ def _read_table(data: bytes, at: int, head: Header, audio: Audio) -> bool:
 
 
 def parse(data: bytes) -> Audio:
-    """Walks the frames. Where none begins, the next place is taken at which a header is followed by a like one or the end."""
+    """Walks the frames. Where none begins, the next place is taken at which a header is followed by a like one or the end.
+
+    The last 128 bytes are an ID3v1 tag if they begin with 'TAG' and no frame that follows another reaches through them to the end."""
     audio = Audio()
     at, end = _read_id3v2(data, audio), len(data)
-    if end >= at + 128 and data[-128:-125] == b"TAG":
-        end -= 128
-        for name, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93), ("TYER", 93, 97)):
-            if value := data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip():
-                audio.tags.setdefault(name, value)
+    last = end - 128
+    if last < at or data[last : last + 3] != b"TAG":
+        _walk(data, at, end, audio)
+        return audio
+    tagged = Audio(tags=dict(audio.tags))
+    if _walk(data, at, end, audio):
+        return audio
+    _walk(data, at, last, tagged)
+    for name, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93), ("TYER", 93, 97)):
+        if value := data[last + a : last + b].split(b"\0")[0].decode("latin-1").strip():
+            tagged.tags.setdefault(name, value)
+    return tagged
+
+
+def _walk(data: bytes, at: int, end: int, audio: Audio) -> bool:
+    """Reads the frames from `at` to `end`; whether the last 128 bytes are all in frames, of which each begins where another ends."""
+    last, through = end - 128, False
     synced = False
     while at + 4 <= end:
         head = read_header(data[at : at + 4])
@@ -177,12 +191,13 @@ def parse(data: bytes) -> Audio:
             after = read_header(data[then : then + 4])
             ok = then == end or after is not None and (after.version, after.layer, after.rate) == (head.version, head.layer, head.rate)
         if not ok:
-            synced = False
+            synced = through = False
             found = data.find(b"\xff", at + 1, end)
             found = end if found < 0 else found
             audio.skipped += found - at
             at = found
             continue
+        through |= at <= last
         synced = True
         if audio.first is None:
             audio.first = head
@@ -198,7 +213,7 @@ def parse(data: bytes) -> Audio:
         audio.bitrates.add(head.bitrate)
         at += head.size
     audio.skipped += max(0, end - at)
-    return audio
+    return through and at == end
 
 
 def _frame(units: int) -> bytes:
