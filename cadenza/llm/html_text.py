@@ -1,9 +1,10 @@
 """Main text of HTML pages by tag-path ratios.
 
 The text of a page is cut into blocks. For every root-to-leaf tag path (with classes) the length of its text, its
-punctuation, its link text and its number of blocks are summed; their ratio is smoothed over the page's order and
-fused along the ancestors. The container that holds the fused ratio is found from the root downwards, and the paths
-in it whose ratio passes a threshold give the text. Paths through boilerplate elements have the ratio zero.
+punctuation, its link text and its number of blocks are summed; their ratio is smoothed over the page's order. The
+outermost main elements, or else all outermost articles, bound the text if they hold half of the page's ratio; otherwise
+nothing does. The paths in these bounds whose ratio passes a threshold give the text. Paths
+through boilerplate elements have the ratio zero.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark",
     "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "picture",
 }
-_CONTAINERS = {"html", "body", "main", "article", "section", "div", "center", "table", "tbody", "tr", "td"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _BOILER_TAGS = {"nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "head", "svg", "canvas", "object", "audio", "video"}
 _BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
@@ -48,15 +48,16 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 #: Of the largest path ratio; a path below it is no content.
 LEAST_RATIO = 0.01
-#: A container is left for the child that holds so much of its fused ratio; main and article need less.
-SHARE, MAIN_SHARE = 0.95, 0.5
+#: All main elements, or all articles, bound the text if they hold so much of the page's ratio.
+MAIN_SHARE = 0.5
 
 
-def _boilerplate(tag: str, attributes: str) -> tuple[bool, str]:
-    """Whether the element is boilerplate, and its label in a path."""
+def _boilerplate(tag: str, attributes: str, inside: bool = False) -> tuple[bool, str]:
+    """Whether the element is boilerplate, and its label in a path. Words of names do not count for headings, nor for paragraphs and sections inside content."""
     if not attributes.strip():
         return tag in _BOILER_TAGS, tag
     boiler, label = tag in _BOILER_TAGS, tag
+    named = tag not in ("html", "body", "article", "main") and tag not in _HEADINGS and not (inside and tag in ("p", "section"))
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values)
         name = name.lower()
@@ -65,7 +66,7 @@ def _boilerplate(tag: str, attributes: str) -> tuple[bool, str]:
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             boiler = True
         else:
-            boiler |= tag not in ("html", "body", "article", "main") and any(p.lower() in _BOILER_WORDS for p in _PARTS.findall(value))
+            boiler |= named and any(p.lower() in _BOILER_WORDS for p in _PARTS.findall(value))
             label += "." + value if name == "class" else ""
     return boiler, label
 
@@ -153,7 +154,8 @@ def blocks_of(html: str) -> tuple[list[_Block], dict[int, str]]:
                     break
                 if stack[k][0] in stop:
                     break
-        boiler, label = _boilerplate(tag, found[3])
+        # Inside content: in main or article, or in a container of the page's body.
+        boiler, label = _boilerplate(tag, found[3], any(s[0] not in ("", "html", "body") for s in stack))
         node = len(tags)
         tags[node] = tag
         if not found[3].endswith("/"):
@@ -181,23 +183,16 @@ def main_text(html: str) -> str:
     }
     raw = [ratio[b.path] for b in blocks]
     smooth = [0.0 if not r else (raw[max(0, k - 1)] + 2 * r + raw[min(len(raw) - 1, k + 1)]) / 4 for k, r in enumerate(raw)]
-    fused: dict[int, float] = {}
-    children: dict[int, set[int]] = {}
-    for b, r in zip(blocks, smooth):
-        for parent, node in zip(b.nodes, b.nodes[1:]):
-            children.setdefault(parent, set()).add(node)
-        for node in b.nodes:
-            fused[node] = fused.get(node, 0.0) + r
-    if not fused[0]:
+    total = sum(smooth)
+    if not total:
         return ""
-    top = 0
-    while tags[top] not in ("main", "article"):
-        inner = [c for c in children.get(top, ()) if tags[c] in _CONTAINERS]
-        best = max(inner, key=lambda c: (fused[c], -c), default=None)
-        if best is None or fused[best] < fused[top] * (MAIN_SHARE if tags[best] in ("main", "article") else SHARE):
+    bounds: set[int] = {0}
+    for kind in ("main", "article"):
+        inner = [next((n for n in b.nodes if tags[n] == kind), None) for b in blocks]
+        if sum(r for n, r in zip(inner, smooth) if n is not None) >= MAIN_SHARE * total:
+            bounds = set(inner) - {None}
             break
-        top = best
-    held = [(b, r) for b, r in zip(blocks, smooth) if top in b.nodes and not b.boiler]
+    held = [(b, r) for b, r in zip(blocks, smooth) if not bounds.isdisjoint(b.nodes) and not b.boiler]
     least = LEAST_RATIO * max((r for _, r in held), default=0.0)
     content = {b.path for b, r in held if r >= least and r > 0 or b.tag in _HEADINGS and b.linked < b.chars}
     return "\n".join(b.text for b, _ in held if b.path in content)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from cadenza.llm import mpeg_audio
+from cadenza.llm import html_text, mpeg_audio
 
 
 @pytest.mark.parametrize("units", [3, 14, 28, 33])
@@ -28,3 +28,20 @@ def test_tag_bytes_after_lost_sync():
     noisy = stream[:cut] + b"garbage!" + stream[cut:]
     audio = mpeg_audio.parse(noisy)
     assert mpeg_audio.payload_of(noisy, audio) == bytes(body) and audio.skipped == 8
+
+
+@pytest.mark.parametrize("n", [5, 20, 40, 400])
+def test_html_long_articles_keep_headline_and_lead(n):
+    body = "".join(f"<p>{'Some words, and more. ' * 14}{k}</p>" for k in range(n))
+    page = f"<html><body><div><h1>The headline</h1><p class=lead>The lead, in short.</p><div>{body}</div></div></body></html>"
+    assert html_text.main_text(page).split("\n")[:2] == ["The headline", "The lead, in short."] and html_text.main_text(page).count("\n") == n + 1
+
+
+def test_html_sibling_articles_and_named_parts():
+    one, two = ("<article><p>" + "First words, and more. " * 40 + "</p></article>", "<article><p>Second words, a few.</p></article>")
+    got = html_text.main_text(f"<body><nav><p>Not this, here.</p></nav>{one}{two}</body>")
+    assert "Second words" in got and "First words" in got and "Not this" not in got
+    page = """<body><div class="search"><p>Find it, here.</p></div><article><h1>Title</h1><p id="legal">Legal words, first.</p><section id="discussion"><h2 id="related-work">Related work</h2><p>We discuss it, at length.</p></section>
+    <div class="comments"><p>A reader, on it.</p></div></article></body>"""
+    assert html_text.main_text(page) == "Title\nLegal words, first.\nRelated work\nWe discuss it, at length."
+    assert html_text.main_text(page.replace("article>", "div>")) == "Title\nLegal words, first.\nRelated work\nWe discuss it, at length."
