@@ -1,7 +1,9 @@
 """Licence scan with DataFrame functions only: Dice coefficient of word bigrams against licence templates.
 
 A passage (a line, or a whole text) is normalised and compared with a template only if their sizes allow the
-threshold: with a and b distinct bigrams Dice is at most 2 min(a, b) / (a + b). No row is joined or shuffled.
+threshold: with a and b distinct bigrams Dice is at most 2 min(a, b) / (a + b). Then the windows of words are compared,
+across lines: a best window begins with a bigram of the template and its length is bounded by the template's, so only
+such places are tried from which enough of the template's bigrams follow in reach. No row is joined or shuffled.
 """
 
 from __future__ import annotations
@@ -40,16 +42,30 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+# Full permission texts, compared with windows only. The first parts are among TEMPLATES.
+_FIRST = {name: text for name, text in TEMPLATES if len(text) > 100}
+_BSD = [
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+]
+FULL_TEXTS = [
+    ("BSD-2-Clause", " ".join(_BSD[:3] + _BSD[4:])),
+    ("BSD-3-Clause", " ".join(_BSD)),
+    ("ISC", _FIRST["ISC"] + " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("MIT", _FIRST["MIT"] + " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+]
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _bigrams(text: str) -> list[str]:
+    words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+    return [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
 def template_bigrams() -> list[tuple[str, list[str]]]:
     """Distinct word bigrams of each normalised template."""
-    out = []
-    for name, text in TEMPLATES:
-        words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
-        out.append((name, list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))))
-    return out
+    return [(name, list(dict.fromkeys(_bigrams(text)))) for name, text in TEMPLATES]
 
 
 def size_bounds(n: int, least: int) -> tuple[int, int]:
@@ -81,11 +97,77 @@ def _match(passage: Column, number: Column, templates: list[tuple[str, list[str]
     return F.struct(number.alias("passage"), found.alias("best"))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.translate(text, _UPPER, _LOWER), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+
+
+_WINDOW = "array<struct<dice:double,size:int,license:string,begin:int,end:int>>"
+
+
+def _windows(bigrams: Column, least: int) -> Column:
+    """The windows of `bigrams` that reach the threshold against a template and do not overlap a better one, best first.
+
+    Windows have at most as many bigrams as a passage of the template's length can have; begin and end count bigrams from 1.
+    """
+    every = [(name, _bigrams(text)) for name, text in TEMPLATES + FULL_TEXTS]
+    known = sorted({b for _, own in every for b in own})
+    at = F.transform(bigrams, lambda b, i: F.struct((i + 1).alias("at"), b.alias("b")))
+
+    def of_template(hits: Column, name: str, own: list[str]) -> Column:
+        distinct = list(dict.fromkeys(own))
+        n, reach = len(distinct), size_bounds(len(own), least)[1]
+        need = size_bounds(n, least)[0]
+
+        def best(begin: Column) -> Column:
+            def add(acc, b):
+                size, shared = acc["size"] + 1, acc["shared"] + b.isin(distinct).cast("int")
+                dice = F.round(2 * shared / (size + F.lit(n)), 6)
+                better = dice > acc["dice"]
+                return F.struct(
+                    size.alias("size"), shared.alias("shared"), F.when(better, dice).otherwise(acc["dice"]).alias("dice"),
+                    F.when(better, b).otherwise(acc["last"]).alias("last"))
+
+            def found(piece):
+                start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("shared"), F.lit(0.0).alias("dice"), F.lit("").alias("last"))
+                return _let(F.aggregate(F.array_distinct(piece), start, add), lambda acc: F.struct(
+                    acc["dice"].alias("dice"), F.lit(n).alias("size"), F.lit(name).alias("license"), begin.alias("begin"),
+                    (begin + F.array_position(piece, acc["last"]).cast("int") - 1).alias("end")))
+            return _let(F.slice(bigrams, begin, F.lit(reach)), found)
+
+        def starts(places: Column) -> Column:
+            # The place that is `need` hits ahead must be in reach.
+            near = F.filter(places, lambda p, i: F.coalesce(F.get(places, i + F.lit(need - 1)) - p < reach, F.lit(False)))
+            return F.filter(F.transform(near, best), lambda w: w["dice"] * 100 >= least)
+
+        places = F.transform(F.filter(hits, lambda h: h["b"].isin(distinct)), lambda h: h["at"])
+        return F.when(F.size(hits) >= need, _let(places, starts)).otherwise(F.array().cast(_WINDOW))
+
+    def found(hits: Column) -> Column:
+        each = F.flatten(F.array(*[of_template(hits, name, own) for name, own in every]))
+        return _apart(F.reverse(F.array_sort(each)))
+
+    return F.when(F.size(bigrams) > 0, _let(F.filter(at, lambda h: h["b"].isin(known)), found)).otherwise(F.array().cast(_WINDOW))
+
+
+def _apart(windows: Column) -> Column:
+    """Windows that overlap no earlier one that is kept."""
+    def add(kept, w):
+        return F.when(F.exists(kept, lambda o: (o["begin"] <= w["end"]) & (w["begin"] <= o["end"])), kept).otherwise(F.concat(kept, F.array(w)))
+    return F.aggregate(windows, F.array().cast(_WINDOW), add)
+
+
 def scan_licenses(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """One row per row of `docs` (doc_id long, text string): doc_id, n_passages, matches.
 
     matches lists (passage, license, dice) of the passages that reach the threshold, in order: lines from 1 on and 0
-    for a whole text of several lines; of equally similar templates the last name counts. Null and empty texts have
+    for a whole text of several lines; of equally similar templates the last name counts. Then windows of words that
+    reach it, under the line in which they begin, unless they share a line with a listed passage of the same license or
+    of no less similarity; of overlapping windows the most similar counts. Null and empty texts have
     no match and no passage. Rows that repeat a doc_id are separate. An empty table gives an empty result. Other
     columns are not read.
     """
@@ -95,4 +177,19 @@ def scan_licenses(docs: DataFrame, least: int = LEAST) -> DataFrame:
     found = F.filter(F.transform(passages, lambda p, i: _match(p, i, templates, least)), lambda m: m["best"].isNotNull())
     matches = F.transform(found, lambda m: F.struct(m["passage"].cast("int").alias("passage"), m["best"]["license"].alias("license"), m["best"]["dice"].alias("dice")))
     filled = F.size(F.filter(lines, lambda p: p != ""))
+
+    def with_windows(known: Column, windows: Column) -> Column:
+        # The last word of each line, counted from 1; a window of bigrams a to b has the words a to b + 1.
+        ends = F.aggregate(lines, F.array().cast("array<int>"), lambda acc, p: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + F.size(_words(p)))))
+
+        def added(ends: Column) -> Column:
+            line = lambda word: (F.size(F.filter(ends, lambda e: e < word)) + 1).cast("int")
+            placed = F.transform(windows, lambda w: F.struct(line(w["begin"]).alias("a"), line(w["end"] + 1).alias("b"), w["license"].alias("license"), w["dice"].alias("dice")))
+            new = F.filter(placed, lambda w: ~F.exists(known, lambda m: ((m["passage"] == 0) | m["passage"].between(w["a"], w["b"])) & ((m["license"] == w["license"]) | (m["dice"] >= w["dice"]))))
+            return F.array_sort(F.concat(known, F.transform(new, lambda w: F.struct(w["a"].alias("passage"), w["license"].alias("license"), w["dice"].alias("dice")))))
+        return F.when(F.size(windows) == 0, known).otherwise(_let(ends, added))
+
+    pairs = _let(_words(F.coalesce("text", F.lit(""))), lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat(F.element_at(w, i), F.lit(" "), F.element_at(w, i + 1)))).otherwise(F.array().cast("array<string>")))
+    windows = _let(pairs, lambda b: _windows(b, least))
+    matches = _let(F.struct(matches.alias("known"), windows.alias("windows")), lambda s: with_windows(s["known"], s["windows"]))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled.cast("long").alias("n_passages"), matches.alias("matches"))

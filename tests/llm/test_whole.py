@@ -2,7 +2,7 @@
 
 import pytest
 
-from cadenza.llm import html_text, mpeg_audio
+from cadenza.llm import html_text, licenses, mpeg_audio
 
 
 @pytest.mark.parametrize("units", [3, 14, 28, 33])
@@ -45,3 +45,22 @@ def test_html_sibling_articles_and_named_parts():
     <div class="comments"><p>A reader, on it.</p></div></article></body>"""
     assert html_text.main_text(page) == "Title\nLegal words, first.\nRelated work\nWe discuss it, at length."
     assert html_text.main_text(page.replace("article>", "div>")) == "Title\nLegal words, first.\nRelated work\nWe discuss it, at length."
+
+
+def test_licenses_in_windows(spark):
+    mit = dict(licenses.FULL_TEXTS)["MIT"].split(" ")
+    wrapped = "\n".join(" ".join(mit[k : k + 12]) for k in range(0, len(mit), 12))
+    filler = "\n".join(f"Line {k} says a thing or two about nothing much at all." for k in range(30))
+    rows = [
+        (1, "See the docs. Licensed under the Apache License, Version 2.0. All contributions welcome here."),
+        (2, "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + wrapped),
+        (3, filler + "\n" + wrapped + "\n" + filler),
+        (4, "Intro words here.\nThis work is licensed under\nthe GNU General Public License,\nversion 3.\nThe end of the words, and more words yet to come in it."),
+        (5, "One. Released under the MIT License. Two words. Licensed under the BSD 2-Clause License. Three."),
+        (6, filler + "\n" + dict(licenses.FULL_TEXTS)["BSD-3-Clause"] + "\n" + filler),
+        (7, filler + " " + dict(licenses.FULL_TEXTS)["BSD-2-Clause"] + "\n" + dict(licenses.FULL_TEXTS)["ISC"] + " More."),
+        (8, filler),
+    ]
+    got = {r["doc_id"]: [(m["passage"], m["license"]) for m in r["matches"]] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == [(1, "Apache-2.0")] and got[2] == [(5, "MIT")] and got[3] == [(31, "MIT")] and got[4] == [(2, "GPL-3.0-only")]
+    assert got[5] == [(1, "BSD-2-Clause"), (1, "MIT")] and got[6] == [(31, "BSD-3-Clause")] and got[7] == [(30, "BSD-2-Clause"), (31, "ISC")] and got[8] == []
