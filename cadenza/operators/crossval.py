@@ -172,7 +172,7 @@ def m33(frames: DataFrame, side: int) -> DataFrame:
     return _means(metrics.windowed_metrics(middle(frames), ["k"], side, ["psd_ratio"]).withColumn("psd_ratio", F.nanvl("psd_ratio", F.lit(None))), "M33", {"psd_ratio": "psd_ratio"})
 
 
-def m35(frames: DataFrame, n_boot: int = 200) -> DataFrame:
+def m35(frames: DataFrame, n_boot: int = 2000) -> DataFrame:
     """Mean, interval and signed-rank test of the gain over persistence."""
     model, base = per_triplet(frames), per_triplet(frames, copy_model).select("k", F.col("psnr").alias("base_psnr"))
     long = metrics.long_metrics(model.select("k", "psnr", "bt_rmse_k"), ["k"], ["psnr", "bt_rmse_k"])
