@@ -447,7 +447,7 @@ def ext_contingency(spark, d):
     return _rounded(metrics.contingency(mid, ["label"], 240.0))
 
 
-@query("LOS01 LOS04 LOS06", f"""WITH {S.PX}, {S.MIDDLE} SELECT k, round(avg(sqrt(pow({S.unit('pred')} - {S.unit('truth')}, 2) + 1e-6::DOUBLE)), 6) AS charbonnier FROM middle GROUP BY k""")
+@query("LOS01", f"""WITH {S.PX}, {S.MIDDLE} SELECT k, round(avg(sqrt(pow({S.unit('pred')} - {S.unit('truth')}, 2) + 1e-6::DOUBLE)), 6) AS charbonnier FROM middle GROUP BY k""")
 def los_charbonnier(spark, d):
     px = crossval.middle(views.frames(spark, d)).select("k", F.explode(F.arrays_zip("pred", "truth")).alias("p")).select("k", "p.*")
     diff = scalar.to_unit_interval(F.col("pred")) - scalar.to_unit_interval(F.col("truth"))
@@ -463,14 +463,14 @@ def _cell(dy: int, dx: int) -> str:
 _AROUND = " ".join(f"JOIN px p{dy + 1}{dx + 1} ON p{dy + 1}{dx + 1}.k = px.k AND p{dy + 1}{dx + 1}.y = greatest(0, least(7, px.y + {dy})) AND p{dy + 1}{dx + 1}.x = greatest(0, least(7, px.x + {dx}))" for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx)
 
 
-@query("STN01 LOS04", f"""WITH {S.PX} SELECT px.k, px.i::INT AS i, round({_cell(-1, 1)} + 2 * {_cell(0, 1)} + {_cell(1, 1)} - {_cell(-1, -1)} - 2 * {_cell(0, -1)} - {_cell(1, -1)}, 5) AS gx,
+@query("STN01", f"""WITH {S.PX} SELECT px.k, px.i::INT AS i, round({_cell(-1, 1)} + 2 * {_cell(0, 1)} + {_cell(1, 1)} - {_cell(-1, -1)} - 2 * {_cell(0, -1)} - {_cell(1, -1)}, 5) AS gx,
  round({_cell(1, -1)} + 2 * {_cell(1, 0)} + {_cell(1, 1)} - {_cell(-1, -1)} - 2 * {_cell(-1, 0)} - {_cell(-1, 1)}, 5) AS gy FROM px {_AROUND}""")
 def stn_sobel(spark, d):
     gx, gy = stencil.sobel("bt", SIDE)
     return views.frames(spark, d).select("k", gx.alias("gx"), gy.alias("gy")).select("k", F.posexplode(F.arrays_zip("gx", "gy")).alias("i", "g")).select("k", "i", r("g.gx", 5).alias("gx"), r("g.gy", 5).alias("gy"))
 
 
-@query("STN02 LOS02", f"""WITH {S.PX} SELECT a.k, a.i::INT AS i, round(sum((b.bt - a.bt) / sqrt(0.81::DOUBLE + pow(b.bt - a.bt, 2))), 5) AS census FROM px a JOIN px b ON b.k = a.k AND abs(b.y - a.y) <= 3 AND abs(b.x - a.x) <= 3 WHERE a.y BETWEEN 3 AND 4 AND a.x BETWEEN 3 AND 4 GROUP BY a.k, a.i""")
+@query("STN02", f"""WITH {S.PX} SELECT a.k, a.i::INT AS i, round(sum((b.bt - a.bt) / sqrt(0.81::DOUBLE + pow(b.bt - a.bt, 2))), 5) AS census FROM px a JOIN px b ON b.k = a.k AND abs(b.y - a.y) <= 3 AND abs(b.x - a.x) <= 3 WHERE a.y BETWEEN 3 AND 4 AND a.x BETWEEN 3 AND 4 GROUP BY a.k, a.i""")
 def stn_census(spark, d):
     c = views.frames(spark, d).select("k", F.posexplode(stencil.census("bt", SIDE)).alias("i", "c"))
     y, x = F.floor(F.col("i") / SIDE), F.col("i") % SIDE
