@@ -12,7 +12,6 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +20,12 @@ from pyspark.sql import functions as F
 
 from cadenza.llm import common
 
-#: Words whose encodings a worker remembers; this bounds its memory, not its results.
-CACHE_WORDS = 250_000
+#: Words of a generation of a worker's memory, which has two; this bounds its memory, not its results.
+CACHE_WORDS = 100_000
+#: Bytes of text encoded at once; a longer text is encoded alone, whole.
+CHUNK_BYTES = 1 << 20
+#: Pre-tokens handed to the library at once.
+PIECES = 4_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -32,9 +35,24 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def forget(cache: dict) -> dict:
-    """The half of `cache` that was learnt last."""
-    return dict(islice(cache.items(), len(cache) // 2, None))
+def chunks(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
+    """The texts in runs of about `most` bytes."""
+    run, size = [], 0
+    for text in texts:
+        if run and size + len(text) > most:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text)
+    if run:
+        yield run
+
+
+def batched(tokenizer, pieces: list[str]) -> Iterator[list[int]]:
+    """Ids of each of many pieces, few of the library's results being held at a time."""
+    for a in range(0, len(pieces), PIECES):
+        for found in tokenizer.encode_batch_fast(pieces[a : a + PIECES], add_special_tokens=False):
+            yield found.ids
 
 
 class ForcedBoundaryBPE:
@@ -72,7 +90,8 @@ class ForcedBoundaryBPE:
         # The short cut below holds for the pattern of vocabularies with word ends, lower-cased.
         self.plain_words = _PATTERN in json.dumps(spec["pre_tokenizer"]) and "Lowercase" in json.dumps(spec["normalizer"])
         self.has_decoder = spec["decoder"] is not None
-        self.cache: dict[bytes, str] = {}
+        self.young: dict[bytes, str] = {}
+        self.old: dict[bytes, str] = {}
 
     def pieces(self, part: str) -> list[str]:
         """Pre-tokens of a text without white space around it, in the byte-level alphabet."""
@@ -107,9 +126,9 @@ class ForcedBoundaryBPE:
             parts = [piece[a:b] for a, b in zip([0, *at], [*at, len(piece)])]
             fragments[k], ends[k] = parts[:-1], parts[-1]
             front.update(dict.fromkeys(parts[:-1]))
-        for text, found in zip(front, self.middle.encode_batch_fast(list(front), add_special_tokens=False)):
-            front[text] = found.ids
-        out = [x.ids for x in self.last.encode_batch_fast(ends, add_special_tokens=False)]
+        for text, ids in zip(front, batched(self.middle, list(front))):
+            front[text] = ids
+        out = list(batched(self.last, ends))
         for k, parts in fragments.items():
             out[k] = [i for p in parts for i in front[p]] + out[k]
         return out
@@ -129,30 +148,33 @@ class ForcedBoundaryBPE:
         for word, parts in plan.items():
             ids = [i for p in parts for i in (ids_of[p] if isinstance(p, str) else [p])]
             text = self.full.decode(ids, skip_special_tokens=False) if self.has_decoder else " ".join([self.names[i] for i in ids])
-            self.cache[word] = " ".join(map(str, ids)) + "\n" + text if ids else ""
+            self.young[word] = " ".join(map(str, ids)) + "\n" + text if ids else ""
 
     def words(self, texts: list[bytes]) -> list[list[str]]:
-        """What is remembered of every word of each text in UTF-8, in order."""
+        """What is remembered of every word of each text in UTF-8, in order.
+
+        A word met again moves to the young generation; when that is full it becomes the old one, which forgets the rest."""
         split = [t.split() for t in texts]  # of bytes: at ASCII white space alone
-        get = self.cache.get
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        get = self.young.get
         found = [list(map(get, words)) for words in split]
         open_texts = [n for n, x in enumerate(found) if None in x]
         missing = {w for n in open_texts for w, x in zip(split[n], found[n]) if x is None}
-        if len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache = forget(self.cache)
-            get = self.cache.get
-            missing = {w for n in open_texts for w in split[n] if w not in self.cache}
-        self.learn(missing)
+        for w in missing & self.old.keys():
+            self.young[w] = self.old[w]
+        self.learn(missing - self.young.keys())
         for n in open_texts:
             found[n] = list(map(get, split[n]))
         return found
 
     def parts(self, texts: list[str]) -> Iterator[list[str]]:
         """Of each text the ids of a word as text and its decoded text by turns, without the words that have no ids."""
-        for found in self.words([t.encode() for t in texts]):
-            if "" in found:
-                found = [x for x in found if x]
-            yield "\n".join(found).split("\n") if found else []
+        for run in chunks([t.encode() for t in texts], CHUNK_BYTES):
+            for found in self.words(run):
+                if "" in found:
+                    found = [x for x in found if x]
+                yield "\n".join(found).split("\n") if found else []
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text."""
