@@ -47,23 +47,25 @@ def rice_decode(n: int, k: int, code: bytes) -> np.ndarray:
     return np.cumsum((high.astype(np.uint64) << np.uint64(k)) | low, dtype=np.uint64)
 
 
-def pack(sender: int, values: np.ndarray, counts: np.ndarray, owners: int, bits: int) -> Iterator[tuple]:
-    """Rows of SENT_FIELDS for ascending distinct fingerprints below 2**bits; counts over 1 are repeats within the sender.
+def edges(owners: int, bits: int) -> list[int]:
+    """Where the owners' ranges begin: owner o has the fingerprints from o * 2**bits / owners on, so that each part is a run."""
+    return [(o << bits) // owners for o in range(owners)]
+
 
-    Owner o has the fingerprints from o * 2**bits / owners on, so that each owner's part is a run."""
-    edges = [(o << bits) // owners for o in range(owners)] + [1 << bits]
-    cuts = np.searchsorted(values, np.array(edges[:-1], np.uint64)).tolist() + [len(values)]
+def pack(sender: int, values: np.ndarray, counts: np.ndarray, owners: int, bits: int) -> Iterator[tuple]:
+    """Rows of SENT_FIELDS for ascending distinct fingerprints below 2**bits; counts over 1 are repeats within the sender."""
+    begins = [*edges(owners, bits), 1 << bits]
+    cuts = np.searchsorted(values, np.array(begins[:-1], np.uint64)).tolist() + [len(values)]
     for o in range(owners):
         a, b = cuts[o], cuts[o + 1]
         if b > a:
-            base = edges[o]
-            k, code = rice_encode(values[a:b] - np.uint64(base), edges[o + 1] - base)
+            base = begins[o]
+            k, code = rice_encode(values[a:b] - np.uint64(base), begins[o + 1] - base)
             yield sender, o, b - a, k, code, np.packbits(counts[a:b] > 1).tobytes()
 
 
 def owner_of(values: np.ndarray, owners: int, bits: int) -> np.ndarray:
-    edges = np.array([(o << bits) // owners for o in range(owners)], np.uint64)
-    return np.searchsorted(edges, values, "right") - 1
+    return np.searchsorted(np.array(edges(owners, bits), np.uint64), values, "right") - 1
 
 
 def _answer(group: pd.DataFrame) -> pd.DataFrame:

@@ -30,7 +30,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(base: int, n: int) -> np.ndarray:
+def power(base: int, n: int) -> np.ndarray:
+    """1, base, base**2, ... modulo 2**64; those of a slice are remembered."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         size = max(n, SLICE_BYTES + 1)
@@ -88,8 +89,8 @@ def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: boo
     """64-bit hash of each word's bytes, lower-cased A-Z on demand."""
     own = (_LOWER[raw] if lower else raw).astype(np.uint64) + np.uint64(1)
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(own * _power(_BASE, len(raw)), out=total[1:])
-    value = (total[ends] - total[starts]) * _power(_INVERSE, len(raw))[starts]
+    np.cumsum(own * power(_BASE, len(raw)), out=total[1:])
+    value = (total[ends] - total[starts]) * power(_INVERSE, len(raw))[starts]
     return mix(value ^ (ends - starts).astype(np.uint64))
 
 

@@ -166,6 +166,9 @@ def brute_repeats(plain):
 @pytest.mark.parametrize("hot", [5000, 0])
 def test_repeats(docs, plain, empty, hot, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
+    if hot == 0:  # several chunks and shards, too
+        monkeypatch.setattr(substring_dedup, "CHUNK_WORDS", 300)
+        monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 2_000)
     out = [(str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(docs).collect()]
     assert sorted(out) == brute_repeats(plain)
     if hot == 0:
@@ -175,12 +178,17 @@ def test_repeats(docs, plain, empty, hot, monkeypatch):
 def test_fm_index():
     draw = np.random.default_rng(0)
     text = np.append(draw.integers(1, 4, 300), 0)
-    index = fm_index.FMIndex(text, 4, 5)
-    patterns = draw.integers(1, 4, (50, 5))
-    low, high = index.search(patterns)
-    for p, a, b in zip(patterns, low, high):
-        n = sum((text[k : k + 5] == p).all() for k in range(len(text) - 4))
-        assert b - a == (n if n > 1 else 0) and all((text[s : s + 5] == p).all() for s in index.suffixes[a:b])
+    suffixes = fm_index.sorted_suffixes(text, 5)
+    index = fm_index.FMIndex(text, suffixes, 4, 5)
+    assert (index.wavelet.access(np.arange(len(text))) == text[suffixes - 1]).all()
+    stream = draw.integers(1, 4, 80)
+    ends = np.arange(4, 80)
+    length, low, high = index.matches(stream, ends)
+    at = lambda p: [k for k in range(len(text) - len(p) + 1) if (text[k : k + len(p)] == p).all()]
+    for e, n, a, b in zip(ends, length, low, high):
+        # The longest match with two suffixes, and all suffixes that have it.
+        assert n == max(m for m in range(6) if m == 0 or len(at(stream[e - m + 1 : e + 1])) > 1)
+        assert sorted(suffixes[a:b].tolist()) == at(stream[e - n + 1 : e + 1])
 
 
 def test_token_files(spark, docs, plain, empty):
