@@ -1,10 +1,12 @@
 """Main text of HTML pages by tag-path ratios.
 
-The text of a page is cut into blocks. For every root-to-leaf tag path (with classes) the length of its text, its
-punctuation, its link text and its number of blocks are summed; their ratio is smoothed over the page's order. The
-outermost main elements, or else all outermost articles, bound the text if they hold half of the page's ratio; otherwise
-nothing does. The paths in these bounds whose ratio passes a threshold give the text. Paths
-through boilerplate elements have the ratio zero.
+A page is cut into blocks of text, each at the end of a root-to-leaf tag path (with classes, and the ids of containers).
+For every path the length of its text, its punctuation, its link text and its number of blocks are summed; the fusion of
+their logarithms is the path's ratio, which is smoothed over the page's order. The paths whose ratio is large beside the
+page's mean are its core; a container without any core block is dropped, and what stands between core blocks or directly
+beside their containers stays unless its ratio is nearly nothing. Names that are usual for boilerplate (classes, ids) lower
+a ratio and elements for articles raise it; only elements and attributes that say themselves that they are no content
+(menus, forms, footers, hidden ones) are left out whatever their ratio.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
-from math import log1p
+from math import log1p, sqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,174 +30,270 @@ _INLINE = {
     "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "picture",
 }
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-_BOILER_TAGS = {"nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "head", "svg", "canvas", "object", "audio", "video"}
-_BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
-_BOILER_WORDS = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies",
-    "disclaimer", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pagination", "pager",
-    "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored",
-    "subscribe", "subscription", "toolbar", "topbar", "widget", "discussion", "disqus", "feedback", "legal", "copyright",
+_TEXT = _HEADINGS | {"p", "li", "dt", "dd", "blockquote", "pre", "td", "th", "tr", "tbody", "thead", "table", "caption", "figcaption", "figure", "address", "summary", "hgroup", "center"}
+_GONE = {"nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "head", "svg", "canvas", "object", "audio", "video"}
+_GONE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
+#: Words of classes and ids that nearly always name boilerplate, those that sometimes do (outside of articles, on containers),
+#: and those of adverts, which count in a line of text, too.
+_ADVERTS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion"}
+_STRONG = _ADVERTS | {
+    "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disclaimer", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "modal",
+    "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pagination", "pager", "popup", "replies", "respond", "sidebar", "signup", "subscribe", "subscription", "toolbar", "topbar",
 }
+_WEAK = {"copyright", "discussion", "feedback", "legal", "recommended", "related", "reply", "search", "share", "sharing", "skip", "social", "widget"}
+#: Headings of reader comments in the languages of the corpus.
+_COMMENTS = re.compile(
+    r"(?:\d+\s+)?(?:(?:reader\s+|user\s+)?comments?|kommentare?|leserkommentare|commentaires?|comentarios?)(?:\s*\(?\d+\)?)?\s*:?"
+    r"|(?:leave|post|write|add) an? (?:comment|reply).*|join the (?:conversation|discussion).*|what (?:our )?readers (?:say|think).*", re.I,
+).fullmatch
 #: Which open elements an opening tag ends, up to the nearest element of the second set.
 _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}), "option": ({"option"}, {"select"}),
+    "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"}),
 }
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(\s*=\s*)?")
+_BARE = re.compile(r"[^\s>]*")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-#: Of the largest path ratio; a path below it is no content.
-LEAST_RATIO = 0.01
-#: All main elements, or all articles, bound the text if they hold so much of the page's ratio.
-MAIN_SHARE = 0.5
-
-
-def _boilerplate(tag: str, attributes: str, inside: bool = False) -> tuple[bool, str]:
-    """Whether the element is boilerplate, and its label in a path. Words of names do not count for headings, nor for paragraphs and sections inside content."""
-    if not attributes.strip():
-        return tag in _BOILER_TAGS, tag
-    boiler, label = tag in _BOILER_TAGS, tag
-    named = tag not in ("html", "body", "article", "main") and tag not in _HEADINGS and not (inside and tag in ("p", "section"))
-    for name, *values in _ATTRIBUTE.findall(attributes):
-        value = "".join(values)
-        name = name.lower()
-        if name == "role":
-            boiler |= value.lower() in _BOILER_ROLES
-        elif name == "hidden" or name == "aria-hidden" and value == "true":
-            boiler = True
-        else:
-            boiler |= named and any(p.lower() in _BOILER_WORDS for p in _PARTS.findall(value))
-            label += "." + value if name == "class" else ""
-    return boiler, label
+#: Of the page's mean ratio (by length of text): from CORE on a path is core, below LEAST it is no content.
+CORE, LEAST = 0.25, 0.03
+#: Factors of a ratio below a name that nearly always or sometimes names boilerplate, and in an article or main element.
+STRONG, WEAK, ARTICLE = 0.005, 0.25, 2.0
+#: Share of a ratio that link text keeps.
+LINKED = 0.2
+
+
+def read_tag(html: str, at: int) -> tuple[int, dict[str, str]]:
+    """Where the tag whose name ends at `at` ends, and its attributes, in one pass; a tag that never ends goes to the end of the page."""
+    found: dict[str, str] = {}
+    end = len(html)
+    while True:
+        match = _ATTRIBUTE.match(html, at)
+        if not match:
+            at = html.find(">", at)
+            return (at + 1 if at >= 0 else end), found
+        at, value = match.end(), ""
+        if match[2]:
+            quote = html[at : at + 1]
+            if quote in ("'", '"') and quote:
+                close = html.find(quote, at + 1)
+                if close < 0:
+                    return end, found
+                value, at = html[at + 1 : close], close + 1
+            else:
+                bare = _BARE.match(html, at)
+                value, at = bare[0], bare.end()
+        found.setdefault(match[1].lower(), value)
+
+
+def _named(attributes: dict[str, str]) -> set[str]:
+    names = attributes.get("class", "") + " " + attributes.get("id", "")
+    return {p.lower() for p in _PARTS.findall(names)} if names != " " else set()
 
 
-class _Block:
-    __slots__ = ("path", "nodes", "boiler", "tag", "text", "chars", "linked")
+def _hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in _GONE_ROLES
 
-    def __init__(self, path, nodes, boiler, tag, text, linked):
-        self.path, self.nodes, self.boiler, self.tag = path, nodes, boiler, tag
-        self.text, self.chars, self.linked = text, len(text), linked
 
+class Page:
+    """The nodes of a page in document order, and its blocks of text.
 
-def blocks_of(html: str) -> tuple[list[_Block], dict[int, str]]:
-    """The page's text blocks in order, each with its path and the numbers of its nodes, and the tag of each node."""
-    stack: list[tuple[str, int, str, bool]] = [("", 0, "", False)]
-    tags = {0: "html"}
-    out: list[_Block] = []
-    parts: list[str] = []
-    linked, links = 0, 0
-    at, end = 0, len(html)
+    Of each node: parent, tag, path (a number for each distinct tag path), factor of its ratio, and whether it is left
+    out. Of each block: node, text, length of its link text."""
 
-    def flush() -> None:
-        nonlocal linked
-        text = " ".join("".join(parts).split())
-        parts.clear()
+    def __init__(self, html: str):
+        self.parent, self.tag, self.path, self.factor, self.gone = [-1], ["html"], [0], [1.0], [False]
+        self.paths: dict[tuple[int, str], int] = {}
+        self.blocks: list[tuple[int, str, int]] = []
+        self.stack = [0]
+        self.open: dict[str, list[int]] = {}
+        self.parts: list[str] = []
+        self.linked, self.links = 0, 0
+        self.read(html)
+
+    def flush(self) -> None:
+        text = " ".join("".join(self.parts).split())
+        self.parts.clear()
         if text:
-            out.append(_Block(stack[-1][2], tuple(s[1] for s in stack), stack[-1][3], stack[-1][0], text, min(linked, len(text))))
-        linked = 0
+            node = self.stack[-1]
+            while self.tag[node] in _INLINE:
+                node = self.parent[node]
+            self.blocks.append((node, text, min(self.linked, len(text))))
+        self.linked = 0
+
+    def push(self, tag: str, attributes: dict[str, str]) -> None:
+        above = self.stack[-1]
+        node, label, factor = len(self.tag), tag, self.factor[above]
+        inline = tag in _INLINE
+        gone = self.gone[above] or tag in _GONE or _hidden(attributes) or tag == "header" and not (self.open.get("article") or self.open.get("main") or self.open.get("section"))
+        if attributes and not inline:
+            label += "." + attributes.get("class", "")
+            if tag not in _TEXT:
+                label += "#" + attributes.get("id", "").rstrip("0123456789")
+            if tag not in ("html", "body", "article", "main") and tag not in _HEADINGS:
+                names = _named(attributes)
+                if names & _STRONG and not (names & {"article", "content", "body", "main"}):
+                    factor *= STRONG
+                elif names & _WEAK and tag not in _TEXT and tag != "section" and not (self.open.get("article") or self.open.get("main")):
+                    factor *= WEAK
+        if tag in ("article", "main") and not (self.open.get("article") or self.open.get("main")):
+            factor *= ARTICLE
+        self.parent.append(above)
+        self.tag.append(tag)
+        self.path.append(self.path[above] if inline else self.paths.setdefault((self.path[above], label), len(self.paths) + 1))
+        self.factor.append(factor)
+        self.gone.append(gone)
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def pop(self, height: int) -> None:
+        """Closes the elements from `height` on the stack on."""
+        while len(self.stack) > height:
+            self.open[self.tag[self.stack.pop()]].pop()
 
-    def add(raw: str) -> None:
-        nonlocal linked
-        if raw:
+    def add(self, raw: str) -> None:
+        if raw and not self.gone[self.stack[-1]]:
             text = unescape(raw) if "&" in raw else raw
-            parts.append(text)
-            if links:
-                linked += len(text.strip())
+            self.parts.append(text)
+            if self.links:
+                self.linked += len(text.strip())
 
-    while True:
-        found = _TOKEN.search(html, at)
-        if not found:
-            add(html[at:])
-            break
-        add(html[at : found.start()])
-        at = found.end()
-        tag = found[2]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if found[1]:
-            if tag in _INLINE:
-                links -= tag == "a" and links > 0
-            elif any(s[0] == tag for s in stack):
-                flush()
-                while stack.pop()[0] != tag:
-                    pass
-                links = 0
-            elif tag not in _VOID:
-                flush()
-            continue
-        if tag in _RAW:
-            close = re.compile(f"</{tag}[\\s/>]", re.I).search(html, at)
-            at = html.find(">", close.start()) + 1 or end if close else end
-            continue
-        if tag == "br":
-            parts.append("\n")
-            continue
+    def close(self, tag: str) -> None:
+        if tag == "a":
+            self.links = 0
+        places = self.open.get(tag)
         if tag in _INLINE:
+            # Only inline elements that are left out stand on the stack; others within them may have the same name.
+            if places and places[-1] == len(self.stack) - 1:
+                self.pop(places[-1])
+        elif places:
+            self.flush()
+            self.links = 0
+            self.pop(places[-1])
+        elif tag not in _VOID:
+            self.flush()
+
+    def begin(self, tag: str, attributes: dict[str, str], empty: bool) -> None:
+        if tag == "br":
+            self.parts.append("\n")
+        elif tag in _INLINE:
             if tag == "a":
-                links = 1
-            boiler, label = _boilerplate(tag, found[3]) if found[3] else (False, tag)
-            continue
-        if tag in _VOID:
+                self.links = 1
+            top = self.stack[-1]
+            inside = self.tag[top] in _INLINE and self.gone[top]
+            if not empty and (inside and tag == self.tag[top] or attributes and (_hidden(attributes) or _named(attributes) & _ADVERTS)):
+                self.push(tag, attributes)
+                self.gone[-1] = True
+        elif tag in _VOID:
             if tag == "hr":
-                flush()
-            continue
-        flush()
-        links = 0
-        if stack[-1][0] == "p":
-            stack.pop()
-        if tag in _ENDS:
-            ends, stop = _ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ends:
-                    del stack[k:]
-                    break
-                if stack[k][0] in stop:
-                    break
-        # Inside content: in main or article, or in a container of the page's body.
-        boiler, label = _boilerplate(tag, found[3], any(s[0] not in ("", "html", "body") for s in stack))
-        node = len(tags)
-        tags[node] = tag
-        if not found[3].endswith("/"):
-            stack.append((tag, node, f"{stack[-1][2]}/{label}", stack[-1][3] or boiler))
-    flush()
-    return out, tags
+                self.flush()
+        else:
+            self.flush()
+            self.links = 0
+            while self.tag[self.stack[-1]] == "p" or self.tag[self.stack[-1]] in _INLINE and self.open.get("p"):
+                self.pop(len(self.stack) - 1)
+            if tag in _ENDS:
+                ends, stop = _ENDS[tag]
+                bar = max((self.open[t][-1] for t in stop if self.open.get(t)), default=0)
+                inner = [h for t in ends for h in self.open.get(t, [])[-2:] if h > bar]
+                if inner:
+                    self.pop(min(inner))
+            self.push(tag, attributes)
+            if empty:
+                self.pop(len(self.stack) - 1)
 
+    def read(self, html: str) -> None:
+        at, end = 0, len(html)
+        while at < end:
+            less = html.find("<", at)
+            if less < 0:
+                break
+            self.add(html[at:less])
+            after = html[less + 1 : less + 2]
+            if after == "!" or after == "?":
+                mark = "-->" if html.startswith("<!--", less) else ">"
+                close = html.find(mark, less + 2)
+                at = close + len(mark) if close >= 0 else end
+                continue
+            closing = after == "/"
+            name = _NAME.match(html, less + 1 + closing)
+            if not name:
+                self.add("<")
+                at = less + 1
+                continue
+            tag = name[0].lower()
+            at, attributes = read_tag(html, name.end())
+            if closing:
+                self.close(tag)
+            elif tag in _RAW:
+                close = re.compile(f"</{tag}[\\s/>]", re.I).search(html, at)
+                at = html.find(">", close.start()) + 1 or end if close else end
+            else:
+                self.begin(tag, attributes, html[at - 2 : at - 1] == "/")
+        if at < end:
+            self.add(html[at:])
+        self.flush()
 
-def main_text(html: str) -> str:
-    """The blocks of the content paths, each with single spaces, joined by line feeds; empty if there are none."""
-    blocks, tags = blocks_of(html)
-    if not blocks:
-        return ""
-    sums: dict[str, list[float]] = {}
-    for b in blocks:
-        s = sums.setdefault(b.path, [0, 0, 0, 0])
-        s[0] += b.chars
-        s[1] += len(_PUNCTUATION.findall(b.text))
-        s[2] += b.linked
+
+def path_ratios(page: Page) -> list[float]:
+    """The fused ratio of every block's path: length and punctuation by block, without links, smoothed over the page's order."""
+    sums: dict[int, list[float]] = {}
+    for node, text, linked in page.blocks:
+        s = sums.setdefault(page.path[node], [0.0, 0.0, 0.0, 0.0, 0.0])
+        s[0] += len(text)
+        s[1] += len(_PUNCTUATION.findall(text))
+        s[2] += linked
         s[3] += 1
-    boiler = {b.path for b in blocks if b.boiler}
-    ratio = {
-        path: 0.0 if path in boiler else log1p(chars / n) * log1p(chars + 10 * marks) * max(0.0, 1 - linked / max(1, chars))
-        for path, (chars, marks, linked, n) in sums.items()
+    own = {
+        path: log1p(chars / n) * (1 + log1p(marks)) * (1 - (1 - LINKED) * linked / chars) for path, (chars, marks, linked, n, _) in sums.items()
     }
-    raw = [ratio[b.path] for b in blocks]
-    smooth = [0.0 if not r else (raw[max(0, k - 1)] + 2 * r + raw[min(len(raw) - 1, k + 1)]) / 4 for k, r in enumerate(raw)]
-    total = sum(smooth)
-    if not total:
+    raw = [own[page.path[node]] * page.factor[node] for node, _, _ in page.blocks]
+    last = len(raw) - 1
+    for k, (node, _, _) in enumerate(page.blocks):
+        sums[page.path[node]][4] += (raw[max(0, k - 1)] + 2 * raw[k] + raw[min(last, k + 1)]) / 4
+    mean = {path: s[4] / s[3] for path, s in sums.items()}
+    return [sqrt(r * mean[page.path[node]]) if page.factor[node] >= 1 else r for r, (node, _, _) in zip(raw, page.blocks)]
+
+
+def content(page: Page, ratio: list[float]) -> list[int]:
+    """Numbers of the blocks of the main text, given the ratio of each."""
+    blocks, parent, n = page.blocks, page.parent, len(page.tag)
+    chars = sum(len(text) for _, text, _ in blocks)
+    mean = sum(r * len(text) for r, (_, text, _) in zip(ratio, blocks)) / max(1, chars)
+    core, flow = [0] * n, [False] * n
+    for r, (node, text, _) in zip(ratio, blocks):
+        if r >= CORE * mean and r > 0:
+            core[node] += len(text)
+            flow[node] = True
+            if page.tag[node] in _TEXT:
+                flow[parent[node]] = True
+    for node in range(n - 1, 0, -1):
+        core[parent[node]] += core[node]
+    # Reader comments: what follows their heading in its container, behind most of the core.
+    cut = [False] * n
+    ends: dict[int, int] = {}
+    before = 0
+    for node, text, _ in blocks:
+        if 2 * before >= core[0] and len(text) < 60 and _COMMENTS(text):
+            ends.setdefault(parent[node] if parent[node] >= 0 else 0, node)
+        before += len(text)
+    # A container without core blocks stays in the flow of core blocks; outside of it only elements of text do.
+    kept = [True] * n
+    for node in range(1, n):
+        up = parent[node]
+        cut[node] = cut[up] or node >= ends.get(up, n)
+        kept[node] = not cut[node] and kept[up] and (core[node] > 0 or core[up] == 0 or flow[up] or page.tag[node] in _TEXT)
+    return [k for k, (r, (node, _, _)) in enumerate(zip(ratio, blocks)) if kept[node] and r >= LEAST * mean]
+
+
+def main_text(html: str) -> str:
+    """The blocks of the content paths, each with single spaces, joined by line feeds; empty if there are none."""
+    page = Page(html)
+    if not page.blocks:
         return ""
-    bounds: set[int] = {0}
-    for kind in ("main", "article"):
-        inner = [next((n for n in b.nodes if tags[n] == kind), None) for b in blocks]
-        if sum(r for n, r in zip(inner, smooth) if n is not None) >= MAIN_SHARE * total:
-            bounds = set(inner) - {None}
-            break
-    held = [(b, r) for b, r in zip(blocks, smooth) if not bounds.isdisjoint(b.nodes) and not b.boiler]
-    least = LEAST_RATIO * max((r for _, r in held), default=0.0)
-    content = {b.path for b, r in held if r >= least and r > 0 or b.tag in _HEADINGS and b.linked < b.chars}
-    return "\n".join(b.text for b, _ in held if b.path in content)
+    return "\n".join(page.blocks[k][1] for k in content(page, path_ratios(page)))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -203,7 +301,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     Character references are decoded, white space in a block becomes one space. A null or empty page, and one
     without content, has the empty text. Rows that repeat a page_id are separate. An empty table gives an empty
-    result. Other columns are not read.
+    result. Other columns are not read. Time and memory are linear in the length of a page, of any length and depth.
     """
     common.tune(pages.sparkSession)
 
