@@ -85,7 +85,7 @@ class ForcedBoundaryBPE:
         self.to_letters = {b: c for c, b in self.letters.items()}
         # Of a word's fragments only the last has the end of the word.
         self.middle = Tokenizer(BPE(vocab=vocab, merges=merges))
-        self.last = Tokenizer(BPE(vocab=vocab, merges=merges, end_of_word_suffix=self.suffix)) if self.suffix else self.middle
+        self.last = Tokenizer(self.full.model) if self.suffix else self.middle
         self.names = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         # The short cut below holds for the pattern of vocabularies with word ends, lower-cased.
         self.plain_words = _PATTERN in json.dumps(spec["pre_tokenizer"]) and "Lowercase" in json.dumps(spec["normalizer"])

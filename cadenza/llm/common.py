@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; long texts stay a few MB a batch.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch at most; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+#: Bytes of a row group of tables between steps, which a writing task holds in memory.
+ROW_GROUP_BYTES = 32 << 20
 #: Ids (8 bytes each) that may be broadcast; larger sides are shuffled.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +26,16 @@ def tune(spark: SparkSession) -> None:
     """Bounds the Arrow batches of this session unless the user has set a bound."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where it is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a folder of a local session is made; a cluster has no default."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='cadenza-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -39,27 +46,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` to the shared folder and reads it back; this cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cadenza_path = path
-    free_shuffles(spark)
     return out
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps, which it does when the driver collects its garbage."""
-    spark._jvm.java.lang.System.gc()
-
-
 def release(*tables: DataFrame) -> None:
-    """Deletes tables of materialize() that nothing reads any more; all that was made from them is written elsewhere."""
+    """Deletes tables of materialize() that nothing reads any more; all that was made from them is written elsewhere.
+
+    There is no public call to delete a path of any file system from Python, hence the one through the JVM."""
     for table_ in tables:
         jvm = table_.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(table_.cadenza_path)
@@ -76,9 +76,16 @@ def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_IDS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
+def wrapped(docs: DataFrame, **columns: Column) -> DataFrame:
+    """All columns of `docs` as the struct `row`, beside `columns`, so that no name of theirs clashes; select("row.*") has them back."""
+    own = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    return docs.select(own, *[c.alias(name) for name, c in columns.items()])
+
+
 def keep_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows of `docs` whose doc_id is (or with left_anti is not) in `ids`; null ids match null ids.
 
     A small id table goes to the rows; a large one meets them in a shuffled join."""
-    own = ids.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(sized(own), docs["doc_id"].eqNullSafe(F.col("__id")), how)
+    own = ids.select(F.col("doc_id").alias("id")).distinct()
+    rows = wrapped(docs, own_id=docs["doc_id"])
+    return rows.join(sized(own), F.col("own_id").eqNullSafe(F.col("id")), how).select("row.*")

@@ -16,7 +16,11 @@ from cadenza.llm import common, exchange
 FINGERPRINT_BITS = 40
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_SENT = f"kind int, {exchange.SENT_FIELDS}, pos int, seq long, doc_id long, digest binary"
+#: Rows of a sender at most; a partition with more is several senders.
+SENDER_ROWS = 1_000_000
+#: Fingerprints of an owner, about.
+OWNER_PRINTS = 5_000_000
+_STATE = f"{exchange.SENT_FIELDS}, ids binary, nulls binary, digests binary, places binary"
 
 
 def normalised(text: Column) -> Column:
@@ -26,56 +30,56 @@ def normalised(text: Column) -> Column:
 
 def _sender(owners: int, bits: int):
     schema = pa.schema([
-        ("kind", pa.int32()), ("sender", pa.int64()), ("owner", pa.int32()), ("n", pa.int32()), ("k", pa.int32()),
-        ("code", pa.binary()), ("repeated", pa.binary()), ("pos", pa.int32()), ("seq", pa.int64()),
-        ("doc_id", pa.int64()), ("digest", pa.binary()),
+        ("sender", pa.int64()), ("owner", pa.int32()), ("n", pa.int32()), ("k", pa.int32()), ("code", pa.binary()), ("repeated", pa.binary()),
+        ("ids", pa.binary()), ("nulls", pa.binary()), ("digests", pa.binary()), ("places", pa.binary()),
     ])
 
-    def rows(columns: dict, n: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema
+    def row(**values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in schema], schema=schema)
+
+    def pack(sender: int, ids: list[pa.Array], digests: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """A row for each owner with fingerprints of its range, and one (owner -1) with the sender's rows."""
+        raw = np.frombuffer(b"".join(digests), ">u8").reshape(-1, 4)
+        values, places, counts = np.unique(raw[:, 0].astype(np.uint64) >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
+        own = pa.chunked_array(ids)
+        yield row(
+            sender=sender, owner=-1, n=len(raw), ids=own.fill_null(0).to_numpy().tobytes(), nulls=np.packbits(own.is_null().to_numpy()).tobytes(),
+            digests=raw.tobytes(), places=places.astype("<u4").tobytes(),
         )
+        for sent in exchange.pack(sender, values, counts, owners, bits):
+            yield row(**dict(zip(("sender", "owner", "n", "k", "code", "repeated"), sent)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = TaskContext.get().partitionId()
-        ids, digests = [], []
+        sender = TaskContext.get().partitionId() << 24
+        ids, digests, n = [], [], 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             ids.append(batch.column(0))
             digests.append(b"".join(batch.column(1).to_pylist()))
-        if not ids:
-            return
-        raw = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 32)
-        marks = raw[:, :8].copy().view(">u8").ravel().astype(np.uint64) >> np.uint64(64 - bits)
-        values, inverse, counts = np.unique(marks, return_inverse=True, return_counts=True)
-        owner = exchange.owner_of(values, owners, bits)
-        place = np.arange(len(values)) - np.searchsorted(owner, owner)
-        doc_ids = pa.chunked_array(ids).combine_chunks() if len(ids) > 1 else ids[0]
-        step = common.BATCH_ROWS
-        for a in range(0, len(raw), step):
-            part = inverse[a : a + step]
-            n = len(part)
-            yield rows({
-                "kind": np.zeros(n, np.int32), "sender": np.full(n, sender), "owner": owner[part].astype(np.int32),
-                "pos": place[part].astype(np.int32), "seq": np.arange(a, a + n), "doc_id": doc_ids.slice(a, n),
-                "digest": [x.tobytes() for x in raw[a : a + n]],
-            }, n)
-        sent = list(exchange.pack(sender, values, counts, owners, bits))
-        for a in range(0, len(sent), step):
-            columns = dict(zip(("sender", "owner", "n", "k", "code", "repeated"), zip(*sent[a : a + step])))
-            n = len(columns["n"])
-            yield rows({"kind": [1] * n, **{k: list(v) for k, v in columns.items()}}, n)
+            n += batch.num_rows
+            if n >= SENDER_ROWS:
+                yield from pack(sender, ids, digests)
+                sender, ids, digests, n = sender + 1, [], [], 0
+        if ids:
+            yield from pack(sender, ids, digests)
 
     return send
 
 
-def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for s, o, bitmap in zip(*(c.to_pylist() for c in batch.columns)):
-            at = np.flatnonzero(np.unpackbits(np.frombuffer(bitmap, np.uint8))).astype(np.int32)
-            if len(at):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), s)), pa.array(np.full(len(at), o, np.int32)), pa.array(at)], names=["r_sender", "r_owner", "r_pos"]
-                )
+def _flag(state: pa.Table, replies: pa.Table) -> pa.Table:
+    """A sender's rows: seq, doc_id, digest and whether the owners have seen its fingerprint more than once."""
+    own = state.to_pylist()[0]
+    n = own["n"]
+    answers = sorted(zip(replies["owner"].to_pylist(), replies["n"].to_pylist(), replies["bitmap"].to_pylist()))
+    # Owners have runs of the sorted fingerprints, so their bitmaps stand in the order of the places.
+    flags = np.concatenate([np.unpackbits(np.frombuffer(bitmap, np.uint8), count=k) for _, k, bitmap in answers])
+    ids = pa.array(np.frombuffer(own["ids"], np.int64), mask=np.unpackbits(np.frombuffer(own["nulls"], np.uint8), count=n).astype(bool))
+    digests = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), n, [None, pa.py_buffer(own["digests"])]).cast(pa.binary())
+    suspect = flags[np.frombuffer(own["places"], "<u4")] == 1
+    return pa.Table.from_arrays(
+        [pa.array(np.full(n, own["sender"])), pa.array(np.arange(n)), ids, digests, pa.array(suspect)], names=["sender", "seq", "doc_id", "digest", "suspect"]
+    )
 
 
 def exact_duplicates(docs: DataFrame, bits: int = FINGERPRINT_BITS) -> DataFrame:
@@ -89,17 +93,15 @@ def exact_duplicates(docs: DataFrame, bits: int = FINGERPRINT_BITS) -> DataFrame
     spark = docs.sparkSession
     common.tune(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("norm"))
-    owners = common.partitions(spark)
+    owners = max(common.partitions(spark), -(-docs.count() // OWNER_PRINTS))
     hashed = own.select("doc_id", F.unhex(F.sha2("norm", 256)).alias("digest"))
-    state = common.materialize(hashed.mapInArrow(_sender(owners, bits), _SENT), "exact-state", partition_by="kind")
-    replies = exchange.answers(state.filter("kind = 1").select("sender", "owner", "n", "k", "code", "repeated"))
-    marked = replies.mapInArrow(_positions, "r_sender long, r_owner int, r_pos int")
-    members = state.filter("kind = 0").select("sender", "owner", "pos", "seq", "doc_id", "digest")
-    same = (F.col("sender") == F.col("r_sender")) & (F.col("owner") == F.col("r_owner")) & (F.col("pos") == F.col("r_pos"))
+    state = common.materialize(hashed.mapInArrow(_sender(owners, bits), _STATE), "exact-state")
+    replies = exchange.answers(state.filter("owner >= 0").select("sender", "owner", "n", "k", "code", "repeated"))
+    rows = state.filter("owner < 0").select("sender", "n", "ids", "nulls", "digests", "places")
     flagged = common.materialize(
-        members.join(marked, same, "left").select("sender", "seq", "doc_id", "digest", F.col("r_pos").isNotNull().alias("suspect")),
-        "exact-flagged",
+        rows.groupBy("sender").cogroup(replies.groupBy("sender")).applyInArrow(_flag, "sender long, seq long, doc_id long, digest binary, suspect boolean"), "exact-flagged"
     )
+    common.release(state)
     suspects = flagged.filter("suspect")
     # Whole texts of the suspects are compared by grouping on them; copies meet in the map-side aggregation first.
     texts = (
@@ -126,16 +128,17 @@ def exact_duplicates(docs: DataFrame, bits: int = FINGERPRINT_BITS) -> DataFrame
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all their columns, that exact_duplicates() keeps; of rows alike in doc_id and text one."""
-    found = exact_duplicates(docs.select("doc_id", "text"))
-    found = common.materialize(found.select("doc_id", "kept", "text_sha256"), "exact-kept")
-    left = common.keep_ids(docs, found.filter(~F.col("kept")), "left_anti") 
+    """The rows of `docs`, with all their columns, that exact_duplicates() keeps; of rows alike in doc_id and text one.
+
+    Nulls, empty tables and columns of any name are handled as there."""
+    found = common.materialize(exact_duplicates(docs.select("doc_id", "text")).select("doc_id", "kept", "text_sha256"), "exact-kept")
+    left = common.keep_ids(docs, found.filter(~F.col("kept")), "left_anti")
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(~F.col("kept")).alias("gone")).filter("n > 1 and gone > 0")
     if not repeated.limit(1).count():
         return left
     # Some doc_id has several rows: those are told apart by their text too.
     again = common.keep_ids(docs, repeated)
-    sha = F.sha2(normalised(F.col("text")), 256)
+    rows = common.wrapped(again, own_id=again["doc_id"], own_sha=F.sha2(normalised(again["text"]), 256))
     stay = found.filter("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"))
-    again = again.join(stay, F.col("k_id").eqNullSafe(again["doc_id"]) & (F.col("k_sha") == sha)).dropDuplicates(["k_id", "k_sha"])
-    return left.unionByName(again.select(docs.columns))
+    rows = rows.join(stay, F.col("k_id").eqNullSafe(F.col("own_id")) & (F.col("k_sha") == F.col("own_sha"))).dropDuplicates(["k_id", "k_sha"])
+    return left.unionByName(rows.select("row.*"))

@@ -86,12 +86,13 @@ def _answer(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({
         "sender": group["sender"].to_numpy(),
         "owner": group["owner"].to_numpy(),
+        "n": group["n"].to_numpy(),
         "bitmap": [np.packbits(flags[e - len(x) : e]).tobytes() for e, x in zip(ends.tolist(), lists)],
     })
 
 
 def answers(sent: DataFrame) -> DataFrame:
-    """(sender, owner, bitmap) for the rows of SENT_FIELDS that have any repeated fingerprint or none.
+    """(sender, owner, n, bitmap) for the rows of SENT_FIELDS, with a bit for each of their n fingerprints: whether it is repeated anywhere.
 
     An owner holds the codes of its range only: with R rows and O owners about R / O fingerprints."""
-    return sent.groupBy("owner").applyInPandas(_answer, "sender long, owner int, bitmap binary")
+    return sent.groupBy("owner").applyInPandas(_answer, "sender long, owner int, n int, bitmap binary")

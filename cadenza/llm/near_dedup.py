@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm import common, components, kernels
@@ -19,8 +19,9 @@ BANDS, ROWS = 32, 4
 #: A candidate pair is verified if at least this share of its 128 signature values agree; 0.75 fails this in
 #: one of about 10**7 pairs (the share's standard deviation is 0.038, less for SuperMinHash).
 LEAST_AGREEMENT = 0.55
-#: Shingles of the members of a bucket that are compared with each other at once; larger buckets are dealt out in pairs of blocks.
-BLOCK = 1_000_000
+#: Members of a bucket whose sketches are compared with each other at once, and shingles of those whose sets are; larger
+#: buckets are dealt out in pairs of blocks.
+BLOCK_ROWS, BLOCK = 1_000, 500_000
 
 
 def superminhash(sets: list[np.ndarray], m: int = BANDS * ROWS) -> np.ndarray:
@@ -143,67 +144,93 @@ def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * shared >= PERCENT * (len(x) + len(y) - shared)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within each (key, lo, hi) run of sorted rows: links between different components, verified on full sets.
-
-    Pairs are neither emitted nor kept: each is looked at in the first band that its members share, by size and
-    signature, then on the sets; what a link has joined is not compared again."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        rep, comp, n, block, band = (group[c].to_numpy() for c in ("rep", "comp", "n_shingles", "block", "band"))
-        if len(rep) < 2 or (comp == comp[0]).all():
-            return
-        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(rep), -1)
-        bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
-        texts, sets, parent = group["text"], {}, {}
-        lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
-        first = np.flatnonzero(block == lo)
-        second = first if lo == hi else np.flatnonzero(block == hi)
-        least = LEAST_AGREEMENT * (1 - 1 / 256) + 1 / 256
-
-        def find(c: int) -> int:
-            while parent.get(c, c) != c:
-                c = parent[c]
-            return c
-
-        def set_of(i: int) -> np.ndarray:
-            if i not in sets:
-                (_, _, raw, offsets), = kernels.slices(pa.array([texts[i].as_py()], pa.string()))
-                sets[i] = kernels.shingle_sets(raw, offsets, SHINGLE)[0]
-            return sets[i]
-
-        found_a, found_b = [], []
-        for i in first.tolist():
-            other = second[second > i] if lo == hi else second
-            other = other[(comp[other] != comp[i]) & _similar_size(n[other], n[i])]
-            if len(other):
-                other = other[(sketch[other] == sketch[i]).mean(axis=1) >= least]
-            if len(other):
-                other = other[(bands[other] == bands[i]).argmax(axis=1) == band[i]]
-            for j in other.tolist():
-                x, y = find(int(comp[i])), find(int(comp[j]))
-                if x != y and _linked(set_of(i), set_of(j)):
-                    parent[max(x, y)] = min(x, y)
-                    found_a.append(min(rep[i], rep[j]))
-                    found_b.append(max(rep[i], rep[j]))
-        if found_a:
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], schema=schema)
-
-    kept: pa.Table | None = None
-    for batch in batches:
-        now = pa.Table.from_batches([batch])
-        now = now if kept is None else pa.concat_tables([kept, now]).combine_chunks()
-        if not now.num_rows:
-            continue
-        marks = np.stack([now[c].to_numpy() for c in ("key", "lo", "hi")])
-        cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
-        cuts = [0, *cuts.tolist()]
-        for a, b in zip(cuts, cuts[1:]):
-            yield from compare(now.slice(a, b - a))
-        kept = now.slice(cuts[-1])
-    if kept is not None:
-        yield from compare(kept)
+def _likely_pairs(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Members of a pair of blocks, each with those of other components that it may be linked with, by size and sketch.
+
+    A pair is met in the first band that its members share only."""
+    comp, n, block, band = (group[c].to_numpy() for c in ("comp", "n_shingles", "block", "band"))
+    if len(comp) < 2 or (comp == comp[0]).all():
+        return
+    sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(comp), -1)
+    bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(comp), -1)
+    lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
+    first = np.flatnonzero(block == lo)
+    second = first if lo == hi else np.flatnonzero(block == hi)
+    least = LEAST_AGREEMENT * (1 - 1 / 256) + 1 / 256
+    for i in first.tolist():
+        other = second[second > i] if lo == hi else second
+        other = other[(comp[other] != comp[i]) & _similar_size(n[other], n[i])]
+        if len(other):
+            other = other[(sketch[other] == sketch[i]).mean(axis=1) >= least]
+        if len(other):
+            other = other[(bands[other] == bands[i]).argmax(axis=1) == band[i]]
+        if len(other):
+            yield i, other
+
+
+def _grouped(compare):
+    """Runs compare on each (key, lo, hi) of sorted rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            now = now if kept is None else pa.concat_tables([kept, now]).combine_chunks()
+            if not now.num_rows:
+                continue
+            marks = np.stack([now[c].to_numpy() for c in ("key", "lo", "hi")])
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist()]
+            for a, b in zip(cuts, cuts[1:]):
+                yield from compare(now.slice(a, b - a))
+            kept = now.slice(cuts[-1])
+        if kept is not None:
+            yield from compare(kept)
+
+    return run
+
+
+def _sketched(group: pa.Table) -> Iterator[pa.RecordBatch]:
+    """(key, rep) of the members that may be linked with one of another component here; their texts are worth a look."""
+    hit = np.zeros(group.num_rows, bool)
+    for i, other in _likely_pairs(group):
+        hit[i] = hit[other] = True
+    if hit.any():
+        yield pa.RecordBatch.from_arrays([pa.array(group[c].to_numpy()[hit], pa.int64()) for c in ("key", "rep")], names=["key", "rep"])
+
+
+def _compared(group: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Links between different components, verified on full sets; what a link has joined here is not compared again."""
+    rep, comp, texts, sets, parent = group["rep"].to_numpy(), group["comp"].to_numpy(), group["text"], {}, {}
+
+    def find(c: int) -> int:
+        while parent.get(c, c) != c:
+            c = parent[c]
+        return c
+
+    def set_of(i: int) -> np.ndarray:
+        if i not in sets:
+            (_, _, raw, offsets), = kernels.slices(pa.array([texts[i].as_py()], pa.string()))
+            sets[i] = kernels.shingle_sets(raw, offsets, SHINGLE)[0]
+        return sets[i]
+
+    found: list[tuple[int, int]] = []
+    for i, other in _likely_pairs(group):
+        for j in other.tolist():
+            x, y = find(int(comp[i])), find(int(comp[j]))
+            if x != y and _linked(set_of(i), set_of(j)):
+                parent[max(x, y)] = min(x, y)
+                found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+
+def _in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
+    """`members` (key, rep, ..., of a bucket in so many blocks) once for each pair of blocks that theirs is in, sorted by pair."""
+    dealt = (
+        members.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other")
+    )
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -243,28 +270,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     twice = own.join(same.filter("lo <> hi").select(F.col("doc_id").alias("d2"), "lo"), F.col("doc_id") == F.col("d2")).select(F.col("lo").alias("a"), F.col("rep").alias("b"))
     found = components.components(links.union(twice.filter("a <> b")), "near-comp")
 
-    # Buckets that still have several components: their members are compared in blocks, with their texts at hand.
+    # Buckets that still have several components: members are compared in blocks by sketch, then those that may be linked on
+    # their sets, with their texts at hand.
     sizes = reps.select(F.col("doc_id").alias("r_id"), "n_shingles")
     placed = shared.join(found, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("comp"))
-    placed = common.materialize(placed.join(sizes, F.col("rep") == F.col("r_id")).select("key", "band", "rep", "comp", "n_shingles"), "near-placed")
-    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n_shingles").alias("size")).filter("lo <> hi")
-    split = split.select(F.col("key").alias("s_key"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rest = common.materialize(placed.join(split, F.col("key") == F.col("s_key")).select("key", "band", "rep", "comp", "n_shingles", "blocks"), "near-rest")
-    texts = common.keep_ids(docs, rest.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("t_id"), "text")
-    marked = reps.select(F.col("doc_id").alias("m_id"), "bands", "sketch").join(texts, F.col("m_id") == F.col("t_id"))
-    wide = (
-        rest.join(marked, F.col("rep") == F.col("m_id"))
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "band", "rep", "comp", "n_shingles", "sketch", "bands", "text", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    )
-    extra = common.materialize(wide.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_blocks, "a long, b long"), "near-extra")
+    placed_ = placed = common.materialize(placed.join(sizes, F.col("rep") == F.col("r_id")).select("key", "band", "rep", "comp", "n_shingles"), "near-placed")
+    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo <> hi")
+    split = split.select(F.col("key").alias("s_key"), "members")
+    rest = common.materialize(placed.join(split, F.col("key") == F.col("s_key")).drop("s_key"), "near-rest")
+    marked = reps.select(F.col("doc_id").alias("m_id"), "bands", "sketch")
+    sketched = rest.join(marked, F.col("rep") == F.col("m_id")).drop("m_id")
+    flags = _in_blocks(sketched, F.ceil(F.col("members") / BLOCK_ROWS)).mapInArrow(_grouped(_sketched), "key long, rep long")
+    flags = common.materialize(flags.distinct().select(F.col("key").alias("f_key"), F.col("rep").alias("f_rep")), "near-flags")
+    wanted = rest.join(flags, (F.col("key") == F.col("f_key")) & (F.col("rep") == F.col("f_rep"))).drop("f_key", "f_rep")
+    sizes = wanted.groupBy(F.col("key").alias("s_key")).agg(F.sum("n_shingles").alias("size"))
+    wanted = common.materialize(wanted.join(sizes, F.col("key") == F.col("s_key")).drop("s_key", "members"), "near-wanted")
+    texts = common.keep_ids(docs, wanted.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("t_id"), "text")
+    full = wanted.join(marked, F.col("rep") == F.col("m_id")).join(texts, F.col("rep") == F.col("t_id")).drop("m_id", "t_id")
+    extra = common.materialize(_in_blocks(full, F.ceil(F.col("size") / BLOCK)).mapInArrow(_grouped(_compared), "a long, b long"), "near-extra")
     stars = found.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
     found = components.components(stars.union(extra), "near-all")
 
     placed = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("set_key").alias("c_key"), F.coalesce("component", "rep").alias("component"))
     out = marks.select("doc_id", "n_shingles", "set_key").join(placed, F.col("set_key") == F.col("c_key"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    common.release(reps, shared, placed_, rest, flags, wanted, extra)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 

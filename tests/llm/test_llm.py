@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,7 @@ def brute_components(plain):
 @pytest.mark.parametrize("block", [1_000_000, 200])
 def test_near_duplicates(docs, plain, empty, block, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", max(2, block // 1000))
     want = brute_components(plain)
     out = near_dedup.near_duplicates(docs).collect()
     assert len(out) == len(plain)
@@ -121,6 +123,26 @@ def test_chain_in_one_bucket(spark):
     assert got == want
 
 
+def test_recall_near_the_threshold(spark):
+    """Pairs with a similarity of 0.75 to 0.80, all of which must be found, and of 0.70 to 0.75, none of which may be."""
+    draw, rows, linked = random.Random(5), [], 0
+    for n in range(400):
+        words = [f"a{draw.randrange(10**6)}" for _ in range(draw.randint(60, 300))]
+        other = list(words)
+        at, size = draw.randrange(len(words) - 50), 0
+        sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words, other)]
+        goal = draw.choice([0.71, 0.735, 0.752, 0.76, 0.78])
+        while len(sets[0] & sets[1]) / len(sets[0] | sets[1]) > goal + 0.015 or not size:
+            other[(at + 3 * size) % len(other)] = f"b{draw.randrange(10**6)}"
+            size += 1
+            sets[1] = {tuple(other[k : k + 5]) for k in range(len(other) - 4)}
+        link = 100 * len(sets[0] & sets[1]) >= 75 * len(sets[0] | sets[1])
+        linked += link
+        rows += [(2 * n, " ".join(words), 2 * n), (2 * n + 1, " ".join(other), 2 * n + (not link))]
+    out = near_dedup.near_duplicates(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    assert linked > 100 and {r["doc_id"]: r["component_id"] for r in out} == {i: c for i, _, c in rows}
+
+
 def test_superminhash_estimates_similarity():
     a = np.unique(kernels.mix(np.arange(1000, dtype=np.uint64)))
     b = np.unique(kernels.mix(np.arange(250, 1250, dtype=np.uint64)))
@@ -334,9 +356,46 @@ def test_toxicity(spark, sf_dir, docs, empty):
     machine = toxicity.learn(table, labels)
     scored = {r["doc_id"]: r for r in docs.select("doc_id", toxicity.score(F.col("text"), machine).alias("s")).collect()}
     assert scored[110]["s"] > 0.3 > scored[105]["s"] and all(0 <= r["s"] <= 1 for r in scored.values())
+    # Against the same fit without factors: no worse, and far above what "never toxic" or chance would give.
+    table, labels = (spark.read.parquet(f"{sf_dir}/../sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    machine, plain_ = toxicity.learn(table, labels), toxicity.learn(table, labels, factors=0)
+    rows = table.join(labels, "doc_id").filter(toxicity.held_out(F.col("doc_id"))).select("text", "toxic").toPandas()
+    sets = [toxicity.term_buckets(*_buffers(t))[0] for t in rows["text"]]
+    with_, without = (m.scores(sets) for m in (machine, plain_))
+    y = rows["toxic"].to_numpy()
+    assert ((with_ >= 0.3)[y == 1]).mean() >= max(0.7, ((without >= 0.3)[y == 1]).mean()) and auc(y, with_) >= max(0.95, auc(y, without) - 0.005)
+    twice = labels.withColumn("toxic", F.lit(0)).union(labels)  # of several labels 1 counts
+    assert (toxicity.learn(table, twice).scores(sets) == with_).all()
     assert toxicity.toxicity(empty, labels).count() == 0 and toxicity.toxicity(docs, labels.limit(0)).select("score").distinct().count() == 1
 
 
+def _buffers(text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return raw, np.array([0, len(raw)])
+
+
+def auc(y, score):
+    ranks = pd.Series(score).rank().to_numpy()
+    return (ranks[y == 1].mean() - (y.sum() + 1) / 2) / (y == 0).sum()
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_factors_learn_what_weights_cannot(seed):
+    """The label is the exclusive or of two terms, neither of which says anything alone."""
+    draw = np.random.default_rng(seed)
+    def make(n):
+        sets, y = [], []
+        for _ in range(n):
+            a, b = draw.random(2) < 0.5
+            sets.append(np.unique(np.array([10] * bool(a) + [20] * bool(b) + [30] + draw.integers(100, 500, 8).tolist(), np.int32)))
+            y.append(int(a != b))
+        return sets, np.array(y)
+    (sets, y), (other, want) = make(1200), make(400)
+    with_, without = toxicity.fit(sets, y), toxicity.fit(sets, y, factors=0)
+    assert auc(want, with_.scores(other)) > 0.99 and auc(want, without.scores(other)) < 0.7
+    assert {10, 20} <= set(with_.buckets.tolist())
+
+
 def test_machine_learns_pairs():
     """Two terms that say nothing alone and 1 together."""
     draw = np.random.default_rng(0)
