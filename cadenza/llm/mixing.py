@@ -1,9 +1,9 @@
 """Mixing sources to target weights by the cube method of balanced sampling.
 
 Every document gets floor(rate) copies and a fractional inclusion probability, the rest of its source's rate. The
-flight phase moves these probabilities along the null space of the constraints (documents and words taken), three
-documents at a time, until at most two in a chunk are fractional; those meet again in larger chunks, so that at last
-a source has at most two documents left to land.
+flight phase moves these probabilities along the null space of the constraints (documents and words taken), so that the largest
+document lands next and all others make up for it, until at most two in a chunk are fractional; those meet again in larger
+chunks, so that at last a source has at most two small documents left to land. No step changes a document's probability.
 """
 
 from __future__ import annotations
@@ -53,41 +53,49 @@ def targets(sizes: DataFrame) -> DataFrame:
     ).select("source", "source_size", "documents", "target")
 
 
-def _fly(pi: np.ndarray, size: np.ndarray, draws: np.ndarray) -> list[float]:
-    """The flight phase: probabilities of which at most two stay fractional, with sum(x) and sum(x * size) kept."""
-    x = pi.tolist()
-    scale = max(1.0, float(size.max())) if len(size) else 1.0
-    own = (size / scale).tolist()
-    active: list[int] = []
-    draw = draws.tolist()
-    for i in range(len(x)):
-        if not _EPS < x[i] < 1 - _EPS:
-            x[i] = float(round(x[i]))
-            continue
-        active.append(i)
-        while len(active) == 3:
-            a, b, c = active
-            # Orthogonal to (1, 1, 1) and to the sizes; equal sizes leave any direction with sum zero.
-            u = (own[b] - own[c], own[c] - own[a], own[a] - own[b])
-            if max(map(abs, u)) < 1e-12:
-                u = (1.0, -1.0, 0.0)
-            up = min((1 - x[k]) / v if v > 0 else x[k] / -v for k, v in zip(active, u) if abs(v) > 1e-12)
-            down = min(x[k] / v if v > 0 else (1 - x[k]) / -v for k, v in zip(active, u) if abs(v) > 1e-12)
-            step = up if draw[i] * (up + down) < down else -down
-            for k, v in zip(active, u):
-                x[k] = min(1.0, max(0.0, x[k] + step * v))
-            done = [k for k in active if not _EPS < x[k] < 1 - _EPS]
-            if not done:  # rounding alone; the nearest to a bound takes it
-                done = [min(active, key=lambda k: min(x[k], 1 - x[k]))]
-            for k in done:
-                x[k] = float(round(x[k]))
-            active = [k for k in active if k not in done]
-    return x
+def _direction(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A direction in which the first document moves by one, and the others together against it by one document and its words.
+
+    The others share it by their room to move, min(x, 1 - x), with an affine function of their sizes."""
+    room, own = np.minimum(x[1:], 1 - x[1:]), size[1:]
+    a, b, c = room.sum(), (room * own).sum(), (room * own * own).sum()
+    det = a * c - b * b
+    if det > 1e-9 * a * c:
+        rest = room * ((b * size[0] - c) + (b - a * size[0]) * own) / det
+    elif b > 0:  # all others have one size: words are kept
+        rest = -room * size[0] / b
+    else:
+        rest = -room / a
+    return np.concatenate([[1.0], rest])
 
 
-def _land(x: list[float], size: np.ndarray, draws: np.ndarray) -> list[float]:
-    """The landing phase for at most two documents: first the words are kept alone, then each is drawn."""
-    open_ = [k for k, v in enumerate(x) if 0 < v < 1]
+def _fly(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The flight phase: probabilities of which at most two stay fractional, with sum(x * size) kept, and sum(x) as long as
+    the documents left have several sizes. Documents land in the order given, so that those left are among the last."""
+    x = pi.copy()
+    live = np.arange(len(x))
+    while True:
+        near = np.minimum(x[live], 1 - x[live]) <= _EPS
+        x[live[near]] = np.round(x[live[near]])
+        live = live[~near]
+        if len(live) <= 2:
+            return x
+        own = x[live]
+        u = _direction(own, size[live])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = np.where(u > 0, (1 - own) / u, np.where(u < 0, own / -u, np.inf))
+            down = np.where(u > 0, own / u, np.where(u < 0, (1 - own) / -u, np.inf))
+        if rng.random() * (up.min() + down.min()) < down.min():
+            step, lands = up.min(), int(up.argmin())
+        else:
+            step, lands = -down.min(), int(down.argmin())
+        x[live] = np.clip(own + step * u, 0, 1)
+        x[live[lands]] = np.round(x[live[lands]])
+
+
+def _land(x: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The landing phase for at most two documents: first the words are kept alone, then each is drawn. Probabilities hold throughout."""
+    open_ = np.flatnonzero((x > 0) & (x < 1)).tolist()
     if len(open_) == 2:
         a, b = open_
         u = (float(size[b]), -float(size[a]))
@@ -95,51 +103,27 @@ def _land(x: list[float], size: np.ndarray, draws: np.ndarray) -> list[float]:
             u = (1.0, -1.0)
         up = min((1 - x[k]) / v if v > 0 else x[k] / -v for k, v in zip(open_, u) if v)
         down = min(x[k] / v if v > 0 else (1 - x[k]) / -v for k, v in zip(open_, u) if v)
-        step = up if draws[a] * (up + down) < down else -down
+        step = up if rng.random() * (up + down) < down else -down
         for k, v in zip(open_, u):
             x[k] = min(1.0, max(0.0, x[k] + step * v))
     for k in open_:
         if _EPS < x[k] < 1 - _EPS:
-            x[k] = float(draws[k] < x[k])
-        x[k] = float(round(x[k]))
+            x[k] = float(rng.random() < x[k])
+        x[k] = round(x[k])
     return x
 
 
-def _settle(x: list[float], size: np.ndarray, words: float, rounds: int = 100) -> np.ndarray:
-    """Brings the words taken nearest to `words`: again and again the best exchange of a document taken for one left out, or of one alone."""
-    taken = np.array(x) > 0.5
-    for _ in range(rounds):
-        miss = words - float(size[taken].sum())
-        # An absent document of size zero stands for no exchange.
-        out, out_size = np.append(np.flatnonzero(taken), -1), np.append(size[taken], 0.0)
-        into, into_size = np.append(np.flatnonzero(~taken), -1), np.append(size[~taken], 0.0)
-        order = np.argsort(out_size, kind="stable")
-        want = into_size - miss
-        at = np.searchsorted(out_size[order], want)
-        best = (abs(miss), -1, -1)
-        for near in (np.clip(at - 1, 0, len(order) - 1), np.clip(at, 0, len(order) - 1)):
-            left = np.abs(want - out_size[order][near])
-            k = int(np.argmin(left))
-            if left[k] < best[0]:
-                best = (float(left[k]), int(into[k]), int(out[order[near[k]]]))
-        if best[1:] == (-1, -1):
-            break
-        for k, value in ((best[1], True), (best[2], False)):
-            if k >= 0:
-                taken[k] = value
-    return taken.astype(np.float64)
-
-
 _UNITS = "doc_id long, size long, source string, seed long, chunk long, last boolean, pi double"
 
 
 def _flight(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["seed", "doc_id", "size"], kind="stable", ignore_index=True)
+    # Large documents first, so that a small one is left to land.
+    group = group.sort_values(["size", "seed", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
     size = group["size"].to_numpy(np.float64)
-    draws = (group["seed"].to_numpy(np.int64).view(np.uint64) >> np.uint64(11)).astype(np.float64) / (1 << 53)
-    x = _fly(group["pi"].to_numpy(np.float64), size, draws)
+    rng = np.random.default_rng(group["seed"].to_numpy(np.int64).view(np.uint64))
+    x = _fly(group["pi"].to_numpy(np.float64), size, rng)
     if group["last"].iloc[0]:
-        x = _settle(_land(x, size, draws), size, float((group["pi"].to_numpy(np.float64) * size).sum()))
+        x = _land(x, size, rng)
     return group.assign(pi=x)
 
 
@@ -189,11 +173,26 @@ def mix_sources(docs: DataFrame) -> DataFrame:
 def apply_mix(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, with all their columns, each as often as mix_sources() takes it.
 
-    Rows alike in doc_id, size and source share what they are given together: each is repeated equally often and a
-    remainder is not handed out.
-    """
+    Rows alike in doc_id, size and source share what they are given together, as evenly as it goes: the words taken are
+    the same. Nulls, empty tables and columns of any name are handled as there."""
     mixed = common.materialize(mix_sources(docs.select("doc_id", "text", "source")), "mix-taken")
-    share = mixed.groupBy("doc_id", "size", "source").agg(F.floor(F.sum("copies") / F.count("*")).cast("int").alias("copies"))
-    share = share.filter("copies > 0").select(F.col("doc_id").alias("m_id"), F.col("size").alias("m_size"), F.col("source").alias("m_source"), F.col("copies").alias("m_copies"))
-    same = docs["doc_id"].eqNullSafe(F.col("m_id")) & docs["source"].eqNullSafe(F.col("m_source")) & (words_in(docs["text"]) == F.col("m_size"))
-    return docs.join(common.sized(share), same).withColumn("m_turn", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select(*[docs[c] for c in docs.columns])
+    share = mixed.groupBy("doc_id", "size", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("alike"))
+    share = common.materialize(share.filter("copies > 0").withColumnsRenamed({"doc_id": "m_id", "size": "m_size", "source": "m_source"}), "mix-share")
+    rows = common.wrapped(docs, own_id=docs["doc_id"].cast("long"), own_size=words_in(docs["text"]), own_source=docs["source"])
+    same = F.col("own_id").eqNullSafe(F.col("m_id")) & F.col("own_source").eqNullSafe(F.col("m_source")) & (F.col("own_size") == F.col("m_size"))
+    rows = rows.join(common.sized(share), same)
+    single = rows.filter("alike = 1").select("row", "copies")
+    several = rows.filter("alike > 1").select("row", "copies", "alike", "m_id", "m_size", "m_source")
+    if share.filter("alike > 1").limit(1).count():
+        # Which of the alike rows a row is: its number in its partition, behind those of earlier partitions.
+        several = common.materialize(several.withColumn("part", F.spark_partition_id()), "mix-alike")
+        key = ["m_id", "m_size", "m_source"]
+        before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        counts = several.groupBy(*key, "part").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+        counts = counts.select(*[F.col(k).alias("c_" + k) for k in key], F.col("part").alias("c_part"), "before")
+        here = F.row_number().over(Window.partitionBy(*key, "part").orderBy(F.lit(1)))
+        placed = several.withColumn("here", here).join(counts, (F.col("part") == F.col("c_part")) & F.col("m_id").eqNullSafe(F.col("c_m_id"))
+            & F.col("m_size").eqNullSafe(F.col("c_m_size")) & F.col("m_source").eqNullSafe(F.col("c_m_source")))
+        extra = (F.col("before") + F.col("here") <= F.col("copies") % F.col("alike")).cast("long")
+        single = single.unionByName(placed.select("row", (F.floor(F.col("copies") / F.col("alike")) + extra).alias("copies")).filter("copies > 0"))
+    return single.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).select("row.*")

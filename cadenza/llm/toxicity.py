@@ -247,6 +247,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all their columns, that toxicity() does not predict to be toxic."""
-    machine = learn(docs, labels)
+    """The rows of `docs`, with all their columns, that toxicity() does not predict to be toxic.
+
+    Nulls, empty tables and columns of any name are handled as there."""
+    machine = learn(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
     return docs.filter(score(docs["text"], machine) < THRESHOLD)

@@ -285,9 +285,45 @@ def test_mixing(docs, plain, empty):
 
 def test_flight_keeps_totals():
     draw = np.random.default_rng(5)
-    pi, size = np.full(500, 0.37), draw.integers(1, 900, 500).astype(float)
-    x = np.array(mixing._fly(pi, size, draw.random(500)))
-    assert ((x > 0) & (x < 1)).sum() <= 2 and x.sum() == pytest.approx(pi.sum()) and (x * size).sum() == pytest.approx((pi * size).sum())
+    pi, size = np.full(500, 0.37), np.sort(draw.integers(1, 900, 500))[::-1].astype(float)
+    x = mixing._fly(pi, size, draw)
+    assert ((x > 0) & (x < 1)).sum() <= 2 and abs(x.sum() - pi.sum()) < 3 and (x * size).sum() == pytest.approx((pi * size).sum())
+    for size in (np.full(9, 7.0), np.zeros(9), np.array([50.0] + [1.0] * 8)):
+        x = mixing._land(mixing._fly(np.full(9, 0.37), size, draw), size, draw)
+        assert set(x) <= {0.0, 1.0}
+
+
+def test_every_document_keeps_its_probability():
+    size = np.array([900, 700, 300, 200, 150, 100, 90, 50, 20, 10], float)
+    pi = np.array([0.37] * 5 + [0.6] * 5)
+    taken = np.array([mixing._land(mixing._fly(pi, size, rng), size, rng) for rng in map(np.random.default_rng, range(3000))])
+    assert np.abs(taken.mean(axis=0) - pi).max() < 0.035  # four standard deviations
+    # With more documents the words taken are far nearer to their total than by draws of each alone.
+    size = np.sort(np.random.default_rng(1).integers(5, 2000, 60))[::-1].astype(float)
+    pi = np.full(60, 0.37)
+    taken = np.array([mixing._land(mixing._fly(pi, size, rng), size, rng) for rng in map(np.random.default_rng, range(300))])
+    alone = np.random.default_rng(0).random((300, 60)) < pi
+    miss = lambda t: np.abs((t * size).sum(axis=1) - (pi * size).sum()).mean()
+    assert miss(taken) < 0.1 * miss(alone)
+
+
+def test_mix_of_alike_rows(spark):
+    rows = [(1, "a b c", "s")] * 7 + [(k, "w " * (k % 5 + 1), "s" if k % 2 else None) for k in range(2, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("m_id", "m_copies", "m_turn", "row", "copies", "turn", "alike")}).repartition(3)
+    mixed = mixing.mix_sources(df)
+    out = mixing.apply_mix(df)
+    assert out.columns == df.columns
+    count = lambda d, c: {tuple(r)[:2]: r["n"] for r in d.groupBy("doc_id", "source").agg(c.alias("n")).collect() if r["n"]}
+    assert count(out, F.count("*")) == count(mixed, F.sum("copies"))
+
+
+@pytest.mark.parametrize("stage", ["exact", "near", "toxic"])
+def test_columns_that_clash(spark, docs, stage):
+    clash = docs.withColumns({c: F.lit("x") for c in ("__id", "k_id", "k_sha", "id", "own_id", "own_sha", "row", "t_id", "a.b", "score", "norm", "l_id", "label")})
+    labels = spark.createDataFrame([(1, 1), (2, 0), (1, 0)], "doc_id long, toxic int").withColumn("text", F.lit("y"))
+    drop = {"exact": exact_dedup.drop_exact_duplicates, "near": near_dedup.drop_near_duplicates, "toxic": lambda d: toxicity.drop_toxic(d, labels)}[stage]
+    out = drop(clash)
+    assert out.columns == clash.columns and out.count() == drop(docs).count()
 
 
 def test_mixing_in_several_chunks(spark, monkeypatch):
