@@ -145,21 +145,17 @@ def _linked(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _likely_pairs(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-    """Members of a pair of blocks, each with those of other components that it may be linked with, by size and sketch.
-
-    A pair is met in the first band that its members share only."""
-    comp, n, block, band = (group[c].to_numpy() for c in ("comp", "n_shingles", "block", "band"))
-    if len(comp) < 2 or (comp == comp[0]).all():
+    """Members outside of a bucket's largest component, each with the members of other components that it may be linked
+    with, by size and sketch. A pair is met in the first band that its members share only, and once."""
+    rep, comp, n, band, minor, side = (group[c].to_numpy(zero_copy_only=False) for c in ("rep", "comp", "n_shingles", "band", "minor", "side"))
+    first, second = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+    if not len(first) or not len(second):
         return
     sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(comp), -1)
     bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(comp), -1)
-    lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
-    first = np.flatnonzero(block == lo)
-    second = first if lo == hi else np.flatnonzero(block == hi)
     least = LEAST_AGREEMENT * (1 - 1 / 256) + 1 / 256
     for i in first.tolist():
-        other = second[second > i] if lo == hi else second
-        other = other[(comp[other] != comp[i]) & _similar_size(n[other], n[i])]
+        other = second[(comp[second] != comp[i]) & _similar_size(n[second], n[i]) & ~(minor[second] & (rep[second] > rep[i]))]
         if len(other):
             other = other[(sketch[other] == sketch[i]).mean(axis=1) >= least]
         if len(other):
@@ -223,14 +219,15 @@ def _compared(group: pa.Table) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
 
-def _in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
-    """`members` (key, rep, ..., of a bucket in so many blocks) once for each pair of blocks that theirs is in, sorted by pair."""
-    dealt = (
-        members.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other")
-    )
-    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+def _in_blocks(members: DataFrame, every: Column, minors: Column) -> DataFrame:
+    """Rows (key, rep, minor, ...) of buckets in blocks: each member once for each block of its bucket's minors (side 0),
+    each minor once for each block of its bucket's members (side 1); sorted by pair of blocks."""
+    members = members.withColumn("n_lo", every.cast("int")).withColumn("n_hi", minors.cast("int"))
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n).cast("long")).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = members.withColumn("side", F.lit(0)).withColumn("lo", block("n_lo")).withColumn("hi", each("n_hi"))
+    dealt = dealt.unionByName(members.filter("minor").withColumn("side", F.lit(1)).withColumn("lo", each("n_lo")).withColumn("hi", block("n_hi")))
+    return dealt.drop("n_lo", "n_hi").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -275,19 +272,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sizes = reps.select(F.col("doc_id").alias("r_id"), "n_shingles")
     placed = shared.join(found, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("comp"))
     placed_ = placed = common.materialize(placed.join(sizes, F.col("rep") == F.col("r_id")).select("key", "band", "rep", "comp", "n_shingles"), "near-placed")
-    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo <> hi")
-    split = split.select(F.col("key").alias("s_key"), "members")
-    rest = common.materialize(placed.join(split, F.col("key") == F.col("s_key")).drop("s_key"), "near-rest")
+    # Of two members in different components one at least is a minor: not in the bucket's largest component.
+    counts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    split = counts.groupBy(F.col("key").alias("s_key")).agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("minors"))
+    split = split.filter("minors > 0")
+    rest = placed.join(split, F.col("key") == F.col("s_key")).withColumn("minor", F.col("comp") != F.col("major")).drop("s_key", "major")
+    rest = common.materialize(rest, "near-rest")
     marked = reps.select(F.col("doc_id").alias("m_id"), "bands", "sketch")
     sketched = rest.join(marked, F.col("rep") == F.col("m_id")).drop("m_id")
-    flags = _in_blocks(sketched, F.ceil(F.col("members") / BLOCK_ROWS)).mapInArrow(_grouped(_sketched), "key long, rep long")
+    flags = _in_blocks(sketched, F.ceil(F.col("members") / BLOCK_ROWS), F.ceil(F.col("minors") / BLOCK_ROWS)).mapInArrow(_grouped(_sketched), "key long, rep long")
     flags = common.materialize(flags.distinct().select(F.col("key").alias("f_key"), F.col("rep").alias("f_rep")), "near-flags")
-    wanted = rest.join(flags, (F.col("key") == F.col("f_key")) & (F.col("rep") == F.col("f_rep"))).drop("f_key", "f_rep")
-    sizes = wanted.groupBy(F.col("key").alias("s_key")).agg(F.sum("n_shingles").alias("size"))
-    wanted = common.materialize(wanted.join(sizes, F.col("key") == F.col("s_key")).drop("s_key", "members"), "near-wanted")
+    wanted = rest.join(flags, (F.col("key") == F.col("f_key")) & (F.col("rep") == F.col("f_rep"))).drop("f_key", "f_rep", "members", "minors")
+    sizes = wanted.groupBy(F.col("key").alias("s_key")).agg(F.sum("n_shingles").alias("size"), F.sum(F.when(F.col("minor"), F.col("n_shingles"))).alias("minor_size"))
+    wanted = common.materialize(wanted.join(sizes, F.col("key") == F.col("s_key")).drop("s_key"), "near-wanted")
     texts = common.keep_ids(docs, wanted.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("t_id"), "text")
     full = wanted.join(marked, F.col("rep") == F.col("m_id")).join(texts, F.col("rep") == F.col("t_id")).drop("m_id", "t_id")
-    extra = common.materialize(_in_blocks(full, F.ceil(F.col("size") / BLOCK)).mapInArrow(_grouped(_compared), "a long, b long"), "near-extra")
+    extra = common.materialize(_in_blocks(full, F.ceil(F.col("size") / BLOCK), F.ceil(F.col("minor_size") / BLOCK)).mapInArrow(_grouped(_compared), "a long, b long"), "near-extra")
     stars = found.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
     found = components.components(stars.union(extra), "near-all")
 

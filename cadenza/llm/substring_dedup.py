@@ -476,12 +476,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     first = common.materialize(docs.mapInArrow(_digests, "doc_id long, mark long, n_words long, digest binary"), "substring-digests")
     # Of texts with the same words the smallest doc_id covers all others whole; only one of each goes on.
     least = first.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= WINDOW)).groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    least = least.filter("n > 1").select(F.col("digest").alias("l_digest"), "least")
+    least = common.materialize(least.filter("n > 1").select(F.col("digest").alias("l_digest"), "least"), "substring-least")
     base = common.materialize(
-        first.join(least, F.col("digest") == F.col("l_digest"), "left").select("doc_id", "mark", "n_words", "digest", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy")),
+        first.join(common.sized(least), F.col("digest") == F.col("l_digest"), "left").select("doc_id", "mark", "n_words", "digest", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy")),
         "substring-base",
     )
-    common.release(first)
+    common.release(first, least)
     own = base.filter("doc_id is not null").select("doc_id", "mark", "n_words", (F.col("copy") | (F.col("n_words") < WINDOW)).alias("idle"))
     idle = own.filter("idle").select(F.col("doc_id").alias("i_id"), F.col("mark").alias("i_mark")).distinct()
     facts = own.agg(F.sum(F.when(~F.col("idle"), F.col("n_words"))), F.count("*"), F.count_if("idle")).first()
