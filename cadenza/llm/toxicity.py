@@ -21,14 +21,14 @@ from cadenza.llm import common, kernels
 #: Terms are hashed into so many buckets.
 BUCKETS = 1 << 20
 #: Length of a term's vector in each of the fits, which differ in their first vectors and are averaged.
-FACTORS, FITS = 4, 3
+FACTORS, FITS = 4, 2
 #: Most labelled rows that a fit takes: those with the smallest hash of doc_id.
 MOST_ROWS = 20_000
 #: A term is learnt if it is in so many labelled texts and the chi-square of its presence and the label is so large.
 LEAST_TEXTS, LEAST_CHI = 4, 10.8
 #: Pairs are searched among so many terms, the most frequent ones that are in at most half of the texts; of a pair each of
 #: the four cases needs so many texts, and their contrast so many standard deviations; so many pairs count at most.
-PAIRED_TERMS, LEAST_CASES, LEAST_CONTRAST, MOST_PAIRS = 2_000, 8, 6.0, 500
+PAIRED_TERMS, LEAST_CASES, LEAST_CONTRAST, MOST_PAIRS = 1_000, 8, 6.0, 500
 #: Most terms that say something alone: those with the largest chi-square.
 MOST_TERMS = 30_000
 THRESHOLD = 0.3
@@ -113,20 +113,24 @@ def telling_pairs(row: np.ndarray, term: np.ndarray, m: int, y: np.ndarray) -> n
         both += some.T @ some
         hits += (some * y[k * 2048 : k * 2048 + len(some), None].astype(np.float32)).T @ some
     alone, alone_hits, ones = np.diag(both).copy(), np.diag(hits).copy(), y.sum()
-    contrast, variance, least = 0.0, 0.0, np.full((m, m), np.inf, np.float32)
-    for sign, count, hit in (
-        (1, both, hits), (-1, alone[:, None] - both, alone_hits[:, None] - hits), (-1, alone[None] - both, alone_hits[None] - hits),
-        (1, n - alone[:, None] - alone[None] + both, ones - alone_hits[:, None] - alone_hits[None] + hits),
-    ):
-        share = (hit + 0.5) / (count + 1)
-        contrast = contrast + sign * share
-        variance = variance + share * (1 - share) / (count + 1)
-        least = np.minimum(least, count)
-    score = np.where(least >= LEAST_CASES, np.abs(contrast) / np.sqrt(variance), 0)
-    a, b = np.nonzero(np.triu(score >= LEAST_CONTRAST, 1))
-    best = np.argsort(-score[a, b], kind="stable")[:MOST_PAIRS]
+    found: list[tuple[float, int, int]] = []
+    for k in range(0, m, 250):
+        some, some_hits, own, own_hits = both[k : k + 250], hits[k : k + 250], alone[k : k + 250, None], alone_hits[k : k + 250, None]
+        contrast, variance, least = 0.0, 0.0, np.inf
+        for sign, count, hit in (
+            (1, some, some_hits), (-1, own - some, own_hits - some_hits), (-1, alone - some, alone_hits - some_hits),
+            (1, n - own - alone + some, ones - own_hits - alone_hits + some_hits),
+        ):
+            share = (hit + 0.5) / (count + 1)
+            contrast = contrast + sign * share
+            variance = variance + share * (1 - share) / (count + 1)
+            least = np.minimum(least, count)
+        score = np.where(least >= LEAST_CASES, np.abs(contrast) / np.sqrt(variance), 0)
+        a, b = np.nonzero(score >= LEAST_CONTRAST)
+        found += [(-float(score[i, j]), i + k, j) for i, j in zip(a.tolist(), b.tolist()) if i + k < j]
+        found = sorted(found)[:MOST_PAIRS]
     out = np.zeros(m, bool)
-    out[a[best]] = out[b[best]] = True
+    out[[x for _, i, j in found for x in (i, j)]] = True
     return out
 
 
