@@ -258,7 +258,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     rows = reps.select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "key"))
     leaders = rows.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).filter("members > 1").withColumnRenamed("key", "l_key")
-    shared = common.materialize(rows.join(leaders, F.col("key") == F.col("l_key")).select("key", "band", "rep", "leader"), "near-shared")
+    leaders = common.materialize(leaders, "near-leaders")
+    shared = common.materialize(rows.join(common.sized(leaders), F.col("key") == F.col("l_key")).select("key", "band", "rep", "leader"), "near-shared")
     pairs = shared.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = _verified(pairs, reps, docs, "near-first")
     # Rows that share a doc_id are one document: their classes are linked by it.
@@ -275,8 +276,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Of two members in different components one at least is a minor: not in the bucket's largest component.
     counts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
     split = counts.groupBy(F.col("key").alias("s_key")).agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("minors"))
-    split = split.filter("minors > 0")
-    rest = placed.join(split, F.col("key") == F.col("s_key")).withColumn("minor", F.col("comp") != F.col("major")).drop("s_key", "major")
+    split = common.materialize(split.filter("minors > 0"), "near-split")
+    rest = placed.join(common.sized(split), F.col("key") == F.col("s_key")).withColumn("minor", F.col("comp") != F.col("major")).drop("s_key", "major")
     rest = common.materialize(rest, "near-rest")
     marked = reps.select(F.col("doc_id").alias("m_id"), "bands", "sketch")
     sketched = rest.join(marked, F.col("rep") == F.col("m_id")).drop("m_id")
@@ -294,7 +295,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("set_key").alias("c_key"), F.coalesce("component", "rep").alias("component"))
     out = marks.select("doc_id", "n_shingles", "set_key").join(placed, F.col("set_key") == F.col("c_key"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    common.release(reps, shared, placed_, rest, flags, wanted, extra)
+    common.release(reps, leaders, shared, placed_, split, rest, flags, wanted, extra)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
