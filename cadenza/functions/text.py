@@ -120,3 +120,46 @@ def nine_digits(x: Column) -> Column:
 
 def cache_key(*parts: Column, prefix: str = "interp") -> Column:
     return F.concat(F.lit(prefix + ":"), F.sha2(F.concat_ws("|", *parts), 256))
+
+
+def grid_key(coordinates: Column, grid: Column) -> Column:
+    """Sixteen digits that tell coordinates and grid apart."""
+    return F.left(F.sha1(F.concat_ws("|", coordinates, grid)), F.lit(16))
+
+
+def first_time(times: Column) -> Column:
+    """The first time of an array that is there."""
+    return F.get(F.filter(times, lambda t: t.isNotNull()), F.lit(0))
+
+
+def display_utc(iso: Column) -> Column:
+    """Day, month and minute; text that is no time stays as it is."""
+    return F.coalesce(F.date_format(parse_time(iso), "dd MMM '\u00b7' HH:mm'Z'"), iso)
+
+
+def display_clock(iso: Column) -> Column:
+    return F.coalesce(F.date_format(parse_time(iso), "HH:mm:ss'Z'"), iso)
+
+
+def minutes_between(a: Column, b: Column) -> Column:
+    millis = lambda c: F.unix_millis(parse_time(c).cast("timestamp"))
+    return (millis(b) - millis(a)) / 60000.0
+
+
+def round_half_up(x: Column, digits: int) -> Column:
+    """Halves go up, also below zero."""
+    f = float(10**digits)
+    return F.floor(x * f + 0.5) / f
+
+
+def shown(x: Column, digits: int) -> Column:
+    """A number with fixed decimals; a dash where there is none."""
+    return F.when(x.isNull() | F.isnan(x), "\u2014").otherwise(F.format_string(f"%.{digits}f", x))
+
+
+def override(given: Column, key: str, default: Column, kind: str) -> Column:
+    """The last `key=value` of an array of overrides as `kind`; the default without one, or where it does not fit."""
+    mine = F.filter(given, lambda g: F.trim(F.substring_index(g, "=", 1)) == F.lit(key))
+    value = F.trim(F.substring_index(F.get(mine, F.size(mine) - 1), "=", -1))
+    typed = F.lower(value).isin("1", "true", "yes", "on") if kind == "boolean" else value.try_cast(kind)
+    return F.coalesce(typed, default)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.scalar import linear_blend
+from cadenza.functions.scalar import linear_blend, to_unit_interval
 from cadenza.operators import metrics, sequence, stats, stencil
 
 BASIC = ["psnr", "mse", "rmse", "mae", "bt_rmse_k", "bt_bias_k"]
@@ -44,6 +44,12 @@ def copy_model(a: Column, b: Column, t: Column) -> Column:
 MODELS: dict[str, Model] = {"linear": blend_model, "copy": copy_model}
 
 
+def get_model(name: str) -> Model:
+    if name not in MODELS:
+        raise ValueError(f"unknown model {name}; there are {sorted(MODELS)}")
+    return MODELS[name]
+
+
 def registry(spark, run: list[int] | None = None) -> DataFrame:
     """The 40 rows; those that need more than one dense sequence are skipped, the others registered or, if given, run."""
     rows = [(f"M{n}", name, group, dense, "skipped" if not dense else "run" if n in (run or []) else "registered") for n, group, dense, name in REGISTRY]
@@ -202,13 +208,43 @@ def m39(frames: DataFrame) -> DataFrame:
     return step.select(F.lit("M39").alias("method_id"), F.lit("seam").alias("metric"), "value").unionByName(half.select(F.lit("M39").alias("method_id"), F.lit("half_step").alias("metric"), "value"))
 
 
+def _ssim_columns(side: int) -> Column:
+    """SSIM of the unit frames pred and truth as one column expression: the Gaussian window at every place where it fits."""
+    taps = metrics.gaussian_taps(metrics.kernel_size(side)).tolist()
+    n, room = len(taps), side - len(taps) + 1
+    weights = F.array(*[F.lit(a * b) for a in taps for b in taps])
+    c1, c2 = metrics.SSIM_K1**2, metrics.SSIM_K2**2
+
+    def of(place: Column) -> Column:
+        cell = lambda f, j: F.get(f, ((F.floor(place / room) + F.floor(j / n)) * side + place % room + j % n).cast("int"))
+        total = lambda f, g: F.aggregate(F.sequence(F.lit(0), F.lit(n * n - 1)), F.lit(0.0), lambda acc, j: acc + F.get(weights, j) * (cell(f, j) if g is None else cell(f, j) * cell(g, j)))
+        a, b = total("pred", None), total("truth", None)
+        va, vb, ab = total("pred", "pred") - a * a, total("truth", "truth") - b * b, total("pred", "truth") - a * b
+        return (2 * a * b + c1) / (a * a + b * b + c1) * (2 * ab + c2) / (va + vb + c2)
+
+    places = F.transform(F.sequence(F.lit(0), F.lit(room * room - 1)), of)
+    return F.aggregate(places, F.lit(0.0), lambda acc, v: acc + v) / float(room * room)
+
+
 def m40(frames: DataFrame, side: int) -> DataFrame:
-    """Two implementations of PSNR on the first triplet: on arrays and on exploded pixels."""
-    mid = middle(frames)
-    a = metrics.array_metrics(mid, ["k"]).agg(F.min_by("psnr", "k").alias("x")).withColumn("one", F.lit(1))
-    long = mid.select("k", F.explode(F.arrays_zip("pred", "truth")).alias("p")).select("k", "p.*")
-    b = metrics.pixel_metrics(long, ["k"]).agg(F.min_by("psnr", "k").alias("y")).withColumn("one", F.lit(1))
-    return a.join(b, "one").select(F.lit("M40").alias("method_id"), F.lit("difference").alias("metric"), F.abs(F.col("x") - F.col("y")).alias("value"))
+    """Two implementations of SSIM on the first triplet: one column expression, and arrays in numpy."""
+    first = frames.agg(F.min("k").alias("first")).select((F.col("first") + 1).alias("k"))
+    mid = middle(frames).join(F.broadcast(first), "k")  # one row
+    unit = lambda c: F.transform(c, lambda v: to_unit_interval(v)).alias(c)
+    a = mid.select("k", unit("pred"), unit("truth")).select("k", _ssim_columns(side).alias("columns"))
+    both = a.join(metrics.windowed_metrics(mid, ["k"], side, ["ssim"]).withColumnRenamed("ssim", "arrays"), "k")
+    both = both.withColumn("difference", F.abs(F.col("columns") - F.col("arrays")))
+    return both.unpivot(["k"], ["columns", "arrays", "difference"], "metric", "value").select(F.lit("M40").alias("method_id"), "metric", "value")
+
+
+def compare(frames: DataFrame, models: dict[str, Model]) -> DataFrame:
+    """model, mean psnr and bt_rmse_k over all triplets, and its place by psnr; there is one row for each model."""
+    out = None
+    for name, model in models.items():
+        row = per_triplet(frames, model).agg(F.avg("psnr").alias("psnr"), F.avg("bt_rmse_k").alias("bt_rmse_k")).select(F.lit(name).alias("model"), "*")
+        out = row if out is None else out.unionByName(row)
+    best = F.array_sort(F.collect_list(F.struct((-F.col("psnr")).alias("order"), "model", "psnr", "bt_rmse_k")))
+    return out.agg(best.alias("b")).select(F.posexplode("b").alias("place", "b")).select("b.model", "b.psnr", "b.bt_rmse_k", (F.col("place") + 1).alias("place"))
 
 
 def runners(side: int) -> dict[str, Callable[[DataFrame], DataFrame]]:

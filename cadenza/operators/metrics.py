@@ -72,7 +72,7 @@ def contingency(pixels: DataFrame, keys: list[str], threshold_k: float, pred: st
     return n.withColumn("pod", F.try_divide(h, h + m)).withColumn("far", F.try_divide(f, h + f)).withColumn("csi", F.try_divide(h, h + m + f)).withColumn("freq_bias", F.try_divide(h + f, h + m))
 
 
-# Windowed metrics: numpy on whole frames, batched through Arrow.
+# Windowed metrics: numpy on stacks of frames (..., rows, columns), batched through Arrow; one value for each frame.
 
 def gaussian_taps(n: int = SSIM_TAPS, sigma: float = SSIM_SIGMA) -> np.ndarray:
     x = np.arange(n) - (n - 1) / 2
@@ -80,10 +80,9 @@ def gaussian_taps(n: int = SSIM_TAPS, sigma: float = SSIM_SIGMA) -> np.ndarray:
     return w / w.sum()
 
 
-def _valid_filter(image: np.ndarray, taps: np.ndarray) -> np.ndarray:
-    view = np.lib.stride_tricks.sliding_window_view(image, len(taps), axis=0)
-    image = view @ taps
-    return np.lib.stride_tricks.sliding_window_view(image, len(taps), axis=1) @ taps
+def _valid_filter(images: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    images = np.lib.stride_tricks.sliding_window_view(images, len(taps), axis=-2) @ taps
+    return np.lib.stride_tricks.sliding_window_view(images, len(taps), axis=-1) @ taps
 
 
 def _ssim_maps(a: np.ndarray, b: np.ndarray, span: float, taps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,58 +94,65 @@ def _ssim_maps(a: np.ndarray, b: np.ndarray, span: float, taps: np.ndarray) -> t
     return (2 * ma * mb + c1) / (ma**2 + mb**2 + c1) * contrast, contrast
 
 
-def kernel_size(side: int) -> int:
-    """Largest odd size up to 11 that fits, 3 at least."""
-    n = min(SSIM_TAPS, side)
+def kernel_size(side: int, most: int = SSIM_TAPS) -> int:
+    """Largest odd size up to `most` that fits, 3 at least."""
+    n = min(most, side)
     return max(3, n if n % 2 else n - 1)
 
 
-def ssim(a: np.ndarray, b: np.ndarray, span: float = 1.0) -> float:
-    side = min(a.shape)
-    return float("nan") if side < 3 else float(_ssim_maps(a, b, span, gaussian_taps(kernel_size(side)))[0].mean())
+def _nan(images: np.ndarray) -> np.ndarray:
+    return np.full(images.shape[:-2], np.nan)
 
 
-def ms_ssim(a: np.ndarray, b: np.ndarray, span: float = 1.0) -> float:
+def ssim(a: np.ndarray, b: np.ndarray, span: float = 1.0) -> np.ndarray:
+    side = min(a.shape[-2:])
+    return _nan(a) if side < 3 else _ssim_maps(a, b, span, gaussian_taps(kernel_size(side)))[0].mean(axis=(-2, -1))
+
+
+def ms_ssim(a: np.ndarray, b: np.ndarray, span: float = 1.0, most: int = SSIM_TAPS) -> np.ndarray:
     """Over as many scales as leave four pixels a side, weights renormalised; NaN below four pixels."""
-    side = min(a.shape)
+    side = min(a.shape[-2:])
     if side < 4:
-        return float("nan")
+        return _nan(a)
     scales = [w for k, w in enumerate(MS_WEIGHTS) if side >> k >= 4]
-    weights = np.array(scales) / sum(scales)
-    out = 1.0
-    for k, w in enumerate(weights):
-        full, contrast = _ssim_maps(a, b, span, gaussian_taps(kernel_size(min(a.shape))))
-        value = full.mean() if k == len(weights) - 1 else contrast.mean()
-        out *= max(float(value), 0.0) ** w
-        h, v = a.shape[0] // 2 * 2, a.shape[1] // 2 * 2
-        a, b = (x[:h, :v].reshape(h // 2, 2, v // 2, 2).mean(axis=(1, 3)) for x in (a, b))
-    return float(out)
-
-
-def gmsd(a: np.ndarray, b: np.ndarray, c: float = 0.0026) -> float:
+    out = np.ones(a.shape[:-2])
+    for k, w in enumerate(np.array(scales) / sum(scales)):
+        full, contrast = _ssim_maps(a, b, span, gaussian_taps(kernel_size(min(a.shape[-2:]), most)))
+        value = (full if k == len(scales) - 1 else contrast).mean(axis=(-2, -1))
+        out = out * np.maximum(value, 0.0) ** w
+        h, v = a.shape[-2] // 2 * 2, a.shape[-1] // 2 * 2
+        a, b = (x[..., :h, :v].reshape(*x.shape[:-2], h // 2, 2, v // 2, 2).mean(axis=(-3, -1)) for x in (a, b))
+    return out
+
+
+def _edged(images: np.ndarray) -> np.ndarray:
+    return np.pad(images, [(0, 0)] * (images.ndim - 2) + [(1, 1), (1, 1)], mode="edge")
+
+
+def gmsd(a: np.ndarray, b: np.ndarray, c: float = 0.0026) -> np.ndarray:
     """Deviation of the similarity of Prewitt gradients."""
     def gradient(x: np.ndarray) -> np.ndarray:
-        p = np.pad(x, 1, mode="edge")
-        rows = (p[:-2] + p[1:-1] + p[2:]) / 3
-        cols = (p[:, :-2] + p[:, 1:-1] + p[:, 2:]) / 3
-        return np.hypot(rows[:, 2:] - rows[:, :-2], cols[2:] - cols[:-2])
+        p = _edged(x)
+        rows = (p[..., :-2, :] + p[..., 1:-1, :] + p[..., 2:, :]) / 3
+        cols = (p[..., :-2] + p[..., 1:-1] + p[..., 2:]) / 3
+        return np.hypot(rows[..., 2:] - rows[..., :-2], cols[..., 2:, :] - cols[..., :-2, :])
     ga, gb = gradient(a), gradient(b)
-    return float(((2 * ga * gb + c) / (ga**2 + gb**2 + c)).std())
+    return ((2 * ga * gb + c) / (ga**2 + gb**2 + c)).std(axis=(-2, -1))
 
 
-def phase_congruency(image: np.ndarray, scales: int = 4, turns: int = 4) -> np.ndarray:
+def phase_congruency(images: np.ndarray, scales: int = 4, turns: int = 4) -> np.ndarray:
     """Log-Gabor phase congruency with a fixed noise floor."""
-    h, w = image.shape
+    h, w = images.shape[-2:]
     fy, fx = np.meshgrid(np.fft.fftfreq(h), np.fft.fftfreq(w), indexing="ij")
     radius = np.hypot(fy, fx)
     radius[0, 0] = 1.0
     angle = np.arctan2(-fy, fx)
-    spectrum = np.fft.fft2(image)
-    energy, amplitude = np.zeros((h, w)), np.zeros((h, w))
+    spectrum = np.fft.fft2(images)
+    energy, amplitude = np.zeros(images.shape), np.zeros(images.shape)
     for o in range(turns):
         away = np.abs(np.arctan2(np.sin(angle - o * np.pi / turns), np.cos(angle - o * np.pi / turns)))
         spread = np.exp(-(away**2) / (2 * (np.pi / turns / 1.2) ** 2))
-        total = np.zeros((h, w), complex)
+        total = np.zeros(images.shape, complex)
         for s in range(scales):
             gabor = np.exp(-(np.log(radius * 6 * 2.0**s) ** 2) / (2 * np.log(0.55) ** 2))
             gabor[0, 0] = 0.0
@@ -157,33 +163,43 @@ def phase_congruency(image: np.ndarray, scales: int = 4, turns: int = 4) -> np.n
     return np.maximum(energy - 1e-4, 0) / (amplitude + 1e-4)
 
 
-def fsim(a: np.ndarray, b: np.ndarray, t1: float = 0.85, t2: float = 160 / 255**2) -> float:
+def fsim(a: np.ndarray, b: np.ndarray, t1: float = 0.85, t2: float = 160 / 255**2) -> np.ndarray:
     """Feature similarity: phase congruency and Scharr gradients, weighted by the larger congruency."""
     def scharr(x: np.ndarray) -> np.ndarray:
-        p = np.pad(x, 1, mode="edge")
-        dx = (3 * p[:-2, 2:] + 10 * p[1:-1, 2:] + 3 * p[2:, 2:] - 3 * p[:-2, :-2] - 10 * p[1:-1, :-2] - 3 * p[2:, :-2]) / 16
-        dy = (3 * p[2:, :-2] + 10 * p[2:, 1:-1] + 3 * p[2:, 2:] - 3 * p[:-2, :-2] - 10 * p[:-2, 1:-1] - 3 * p[:-2, 2:]) / 16
+        p = _edged(x)
+        cell = lambda y, z: p[..., y : y + x.shape[-2], z : z + x.shape[-1]]
+        dx = (3 * cell(0, 2) + 10 * cell(1, 2) + 3 * cell(2, 2) - 3 * cell(0, 0) - 10 * cell(1, 0) - 3 * cell(2, 0)) / 16
+        dy = (3 * cell(2, 0) + 10 * cell(2, 1) + 3 * cell(2, 2) - 3 * cell(0, 0) - 10 * cell(0, 1) - 3 * cell(0, 2)) / 16
         return np.hypot(dx, dy)
     pa, pb, ga, gb = phase_congruency(a), phase_congruency(b), scharr(a), scharr(b)
     like = (2 * pa * pb + t1) / (pa**2 + pb**2 + t1) * (2 * ga * gb + t2) / (ga**2 + gb**2 + t2)
     weight = np.maximum(pa, pb)
-    return float((like * weight).sum() / weight.sum()) if weight.sum() > 0 else 1.0
+    total = weight.sum(axis=(-2, -1))
+    return np.where(total > 0, (like * weight).sum(axis=(-2, -1)) / np.where(total > 0, total, 1.0), 1.0)
 
 
-def radial_psd(image: np.ndarray) -> np.ndarray:
-    """Mean power by whole radius around the centre of the shifted spectrum of the demeaned image."""
-    power = np.abs(np.fft.fftshift(np.fft.fft2(image - image.mean()))) ** 2
-    y, x = np.indices(image.shape)
-    r = np.hypot(y - image.shape[0] // 2, x - image.shape[1] // 2).astype(int)
-    return np.bincount(r.ravel(), power.ravel()) / np.maximum(np.bincount(r.ravel()), 1)
+def radial_psd(images: np.ndarray) -> np.ndarray:
+    """Mean power by whole radius around the centre of the shifted spectrum of the demeaned images."""
+    power = np.abs(np.fft.fftshift(np.fft.fft2(images - images.mean(axis=(-2, -1), keepdims=True)), axes=(-2, -1))) ** 2
+    h, w = images.shape[-2:]
+    y, x = np.indices((h, w))
+    r = np.hypot(y - h // 2, x - w // 2).astype(int).ravel()
+    member = np.zeros((h * w, r.max() + 1))
+    member[np.arange(h * w), r] = 1
+    return power.reshape(*images.shape[:-2], h * w) @ (member / np.maximum(member.sum(axis=0), 1))
 
 
-def psd_ratio(a: np.ndarray, b: np.ndarray) -> float:
+def psd_ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Mean ratio of powers over the upper half of the radii where the second has any."""
     pa, pb = radial_psd(a), radial_psd(b)
-    high = np.arange(len(pb)) >= len(pb) // 2
-    ok = high & (pb > 1e-12)
-    return float((pa[ok] / pb[ok]).mean()) if ok.any() else float("nan")
+    ok = (np.arange(pb.shape[-1]) >= pb.shape[-1] // 2) & (pb > 1e-12)
+    n = ok.sum(axis=-1)
+    return np.where(n > 0, np.where(ok, pa / np.where(ok, pb, 1.0), 0.0).sum(axis=-1) / np.maximum(n, 1), np.nan)
+
+
+def stack(frames, side: int) -> np.ndarray:
+    """Frames held as lists, row by row and of one length, as (n, rows, columns); missing pixels are NaN."""
+    return np.array([[np.nan if v is None else v for v in f] for f in frames], float).reshape(len(frames), -1, side)
 
 
 WINDOWED = {"ssim": ssim, "ms_ssim": ms_ssim, "fsim": fsim, "gmsd": gmsd, "psd_ratio": psd_ratio}
@@ -195,15 +211,12 @@ def windowed_metrics(framed: DataFrame, keys: list[str], side: int, names: list[
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for p, g in zip(batch[pred], batch[truth]):
-                p, g = (np.array([np.nan if v is None else v for v in x], float) for x in (p, g))
-                gone = np.isnan(p) | np.isnan(g)
-                a, b = (np.where(gone, 0.5, np.clip((x - VMIN_K) / SPAN_K, 0, 1)).reshape(-1, side) for x in (p, g))
-                rows.append([WINDOWED[m](a, b) for m in names])
             out = batch[keys].copy()
-            for m, column in zip(names, zip(*rows) if rows else [[] for _ in names]):
-                out[m] = column
+            p, g = (stack(batch[c], side) for c in (pred, truth))
+            gone = np.isnan(p) | np.isnan(g)
+            a, b = (np.where(gone, 0.5, np.clip((x - VMIN_K) / SPAN_K, 0, 1)) for x in (p, g))
+            for m in names:
+                out[m] = WINDOWED[m](a, b) if len(batch) else []
             yield out
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in framed.select(*keys).schema] + [f"{m} double" for m in names]

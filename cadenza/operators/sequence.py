@@ -42,18 +42,38 @@ def lag_lead(df: DataFrame, partition: list[str], order: list[str], column: str)
     return df.withColumn(f"prev_{column}", F.lag(column).over(w)).withColumn(f"next_{column}", F.lead(column).over(w))
 
 
+def _ranged(df: DataFrame, order: list[Column | str], **columns: Column) -> DataFrame:
+    """The rows as the struct `row` and their partition `part`, range-partitioned and sorted by the order; no name can clash."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    return ranged.select(own, F.monotonically_increasing_id().alias("id"), *[c.alias(k) for k, c in columns.items()]).withColumn("part", F.shiftright("id", 33))
+
+
+def _before(parts: DataFrame) -> DataFrame:
+    """(before_part, before): the sums of `n` over the partitions before each; one row for each partition is windowed."""
+    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select(F.col("part").alias("before_part"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+
+
 def ordinals(df: DataFrame, order: list[Column | str], name: str = "ordinal") -> DataFrame:
     """A column with each row's place, from 0, in the whole order, without one task sorting all rows.
 
     Rows are range-partitioned and sorted; a window over one row per partition gives the places before each. Rows
     that the order does not tell apart get their places in any order."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-    part = F.shiftright("__id", 33)
-    before = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
-    before = before.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    placed = ranged.withColumn("__part", part).join(F.broadcast(before), "__part")  # one row for each partition
-    return placed.withColumn(name, F.col("__before") + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__part", "__before", "__id")
+    ranged = _ranged(df, order)
+    before = _before(ranged.groupBy("part").agg(F.count("*").alias("n")))
+    placed = ranged.join(F.broadcast(before), F.col("part") == F.col("before_part"))  # one row for each partition
+    return placed.select("row.*", (F.col("before") + F.col("id").bitwiseAND((1 << 33) - 1)).alias(name))
+
+
+def prefix_sums(df: DataFrame, order: list[Column | str], value: Column, name: str) -> DataFrame:
+    """A column with the sum of `value` over all rows before each in the whole order, which must tell all rows apart."""
+    ranged = _ranged(df, order, value=value)
+    before = _before(ranged.groupBy("part").agg(F.sum("value").alias("n")))
+    inside = F.coalesce(F.sum("value").over(Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.withColumn("inside", inside).join(F.broadcast(before), F.col("part") == F.col("before_part"))
+    return placed.select("row.*", (F.col("before") + F.col("inside")).alias(name))
 
 
 def _half_even(x: float) -> int:

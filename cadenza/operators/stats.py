@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators import sequence
+
 
 def guarded_corr(x: Column, y: Column, least: int = 3) -> Column:
     """Pearson correlation; NULL for fewer than three pairs or a constant side."""
@@ -17,11 +21,16 @@ def guarded_corr(x: Column, y: Column, least: int = 3) -> Column:
 
 
 def average_rank(df: DataFrame, column: str, name: str, keys: list[str] | None = None) -> DataFrame:
-    """Ranks with ties averaged, from one row per distinct value and its prefix count: rows are aggregated before they are ordered."""
+    """Ranks with ties averaged, from one row per distinct value and its prefix count: rows are aggregated before they are
+    ordered, and distinct values are range-partitioned, so that no task sorts them all."""
     keys = keys or []
     counts = df.groupBy(*keys, column).agg(F.count("*").alias("__c"))
-    before = Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn(name, F.coalesce(F.sum("__c").over(before), F.lit(0)) + (F.col("__c") + 1) / 2.0).drop("__c")
+    if keys:
+        before = F.coalesce(F.sum("__c").over(Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranked = counts.withColumn("__before", before)
+    else:
+        ranked = sequence.prefix_sums(counts, [column], F.col("__c"), "__before")
+    ranked = ranked.withColumn(name, F.col("__before") + (F.col("__c") + 1) / 2.0).drop("__c", "__before")
     return df.join(ranked, [*keys, column])
 
 
@@ -30,32 +39,34 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return ranked.agg(guarded_corr(F.col("__rx"), F.col("__ry")).alias("spearman"), F.count("*").alias("n"))
 
 
-def bootstrap_interval(values: np.ndarray, n_boot: int = 2000, alpha: float = 0.05, seed: int = 0) -> tuple[float, float, float]:
-    """Mean and percentile interval of resampled means; NaN for none, the value itself for one."""
-    v = np.asarray(values, float)
-    v = v[np.isfinite(v)]
-    if not len(v):
-        return (float("nan"),) * 3
-    if len(v) == 1:
-        return (float(v[0]),) * 3
-    draw = np.random.default_rng(seed)
-    means = np.array([v[draw.integers(0, len(v), len(v))].mean() for _ in range(n_boot)])
-    low, high = np.quantile(means, [alpha / 2, 1 - alpha / 2])
-    return float(v.mean()), float(low), float(high)
-
-
 def bootstrap(long: DataFrame, by: str, n_boot: int = 2000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """Poisson bootstrap of the mean of `value` within `by`: each row's weights come from its hash, so no group is gathered.
 
-    Weights of resample b are Poisson(1), drawn by inverting its distribution on a hash of the row and b."""
+    Weights of resample b are Poisson(1), drawn by inverting its distribution on a hash of the row and b. A task sums all
+    resamples of its rows, so that a row for each resample, group and batch is shuffled and none for each row."""
     rows = long.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
-    key = F.xxhash64(*[F.col(c) for c in long.columns])
+    keyed = rows.select(F.col(by), F.xxhash64(*[F.col(c) for c in long.columns], F.lit(seed)).alias("key"), "value")
     # The cumulative Poisson(1) distribution.
-    cumulative = np.cumsum([np.exp(-1) / float(np.prod(np.arange(1, k + 1))) for k in range(8)]).tolist()
-    drawn = rows.withColumn("__k", key).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    u = F.pmod(F.xxhash64("__k", "b", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cumulative[1:]), F.when(u >= cumulative[0], 1).otherwise(0))
-    means = drawn.groupBy(by, "b").agg(F.try_divide(F.sum(F.col("value") * weight), F.sum(weight).cast("double")).alias("m"))
+    cumulative = np.cumsum([np.exp(-1) / float(np.prod(np.arange(1, k + 1))) for k in range(8)])
+    steps = np.arange(n_boot, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for group, part in batch.groupby(by):
+                sums, weights = np.zeros(n_boot), np.zeros(n_boot)
+                keys, values = part["key"].to_numpy(np.int64).view(np.uint64), part["value"].to_numpy(float)
+                for a in range(0, len(part), 500):
+                    x = keys[a : a + 500, None] + steps
+                    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                    w = np.searchsorted(cumulative, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53))
+                    sums += values[a : a + 500] @ w
+                    weights += w.sum(axis=0)
+                yield pd.DataFrame({by: group, "b": np.arange(n_boot), "s": sums, "w": weights})
+
+    kind = rows.schema[by].dataType.simpleString()
+    drawn = keyed.mapInPandas(draw, f"`{by}` {kind}, b long, s double, w double")
+    means = drawn.groupBy(by, "b").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))
     interval = means.groupBy(by).agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
     return rows.groupBy(by).agg(F.avg("value").alias("mean"), F.count("*").alias("n")).join(interval, by)
 
@@ -68,9 +79,3 @@ def wilcoxon(df: DataFrame, x: str, y: str) -> DataFrame:
     total = ranked.agg(F.sum(half).alias("w_plus"), F.sum("r").alias("all"), F.sum(F.col("r") * F.col("r")).alias("squares"), F.count("*").alias("n"), F.count_if(F.col("d") != 0).alias("moved"))
     z = F.try_divide(F.col("w_plus") - F.col("all") / 2, F.sqrt(F.col("squares") / 4))
     return total.select("w_plus", F.when((F.col("n") >= 3) & (F.col("moved") > 0), z).alias("z"), "n")
-
-
-def bootstrap_frame(values: pd.Series, **kw) -> pd.DataFrame:
-    """One-row frame of bootstrap_interval(), for a group that is known to be small."""
-    mean, low, high = bootstrap_interval(values.to_numpy(), **kw)
-    return pd.DataFrame({"mean": [mean], "low": [low], "high": [high], "n": [int(np.isfinite(values).sum())]})

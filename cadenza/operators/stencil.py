@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.operators.metrics import stack
+
 
 def at(frame: Column | str, y: Column, x: Column, side: int) -> Column:
     """The pixel at (y, x), coordinates clamped to the frame."""
@@ -14,30 +16,51 @@ def at(frame: Column | str, y: Column, x: Column, side: int) -> Column:
     return F.get(frame, y * side + x)
 
 
+def mirrored(frame: Column | str, y: Column, x: Column, side: int) -> Column:
+    """The pixel at (y, x), mirrored at the border, which is not repeated."""
+    fold = lambda v: F.lit(side - 1) - F.abs(F.lit(side - 1) - F.abs(v))
+    return F.get(frame, (fold(y) * side + fold(x)).cast("int"))
+
+
 def stencil(frame: str, side: int, of) -> Column:
     """A frame of of(y, x) for every pixel."""
     return F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: of(F.floor(i / side).cast("int"), (i % side).cast("int")))
 
 
 def sobel(frame: str, side: int) -> tuple[Column, Column]:
-    """Horizontal and vertical Sobel gradients with clamped borders."""
-    p = lambda y, x: at(frame, y, x, side)
+    """Horizontal and vertical Sobel gradients with mirrored borders."""
+    p = lambda y, x: mirrored(frame, y, x, side)
     gx = stencil(frame, side, lambda y, x: p(y - 1, x + 1) + 2 * p(y, x + 1) + p(y + 1, x + 1) - p(y - 1, x - 1) - 2 * p(y, x - 1) - p(y + 1, x - 1))
     gy = stencil(frame, side, lambda y, x: p(y + 1, x - 1) + 2 * p(y + 1, x) + p(y + 1, x + 1) - p(y - 1, x - 1) - 2 * p(y - 1, x) - p(y - 1, x + 1))
     return gx, gy
 
 
-def census(frame: str, side: int, reach: int = 3) -> Column:
-    """Soft census: for each pixel the 49 values d / sqrt(0.81 + d * d) of differences to its surroundings."""
-    def of(y, x):
-        here = at(frame, y, x, side)
-        out = []
-        for dy in range(-reach, reach + 1):
-            for dx in range(-reach, reach + 1):
-                d = at(frame, y + dy, x + dx, side) - here
-                out.append(d / F.sqrt(0.81 + d * d))
-        return F.array(*out)
-    return stencil(frame, side, of)
+def census(frames: np.ndarray, reach: int = 3) -> np.ndarray:
+    """Soft census of a stack (n, rows, columns): for each pixel the 49 values d / sqrt(0.81 + d * d) of differences to its
+    surroundings, borders mirrored; (n, 49, rows, columns)."""
+    n, h, w = frames.shape
+    wide = np.pad(frames, ((0, 0), (reach, reach), (reach, reach)), mode="reflect")
+    d = np.stack([wide[:, y : y + h, x : x + w] for y in range(2 * reach + 1) for x in range(2 * reach + 1)], axis=1) - frames[:, None]
+    return d / np.sqrt(0.81 + d * d)
+
+
+def sobel_numpy(frames: np.ndarray) -> np.ndarray:
+    """sobel() of a stack: (2, n, rows, columns)."""
+    p = np.pad(frames, ((0, 0), (1, 1), (1, 1)), mode="reflect")
+    across = p[:, :-2] + 2 * p[:, 1:-1] + p[:, 2:]
+    down = p[:, :, :-2] + 2 * p[:, :, 1:-1] + p[:, :, 2:]
+    return np.stack([across[:, :, 2:] - across[:, :, :-2], down[:, 2:] - down[:, :-2]])
+
+
+def census_sums(framed: DataFrame, keys: list[str], column: str, side: int) -> DataFrame:
+    """keys and `census`, for each pixel the sum of its soft census values."""
+    def run(batches):
+        for batch in batches:
+            out = batch[keys].copy()
+            out["census"] = census(stack(batch[column], side)).sum(axis=1).reshape(len(batch), -1).tolist() if len(batch) else []
+            yield out
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in framed.select(*keys).schema]
+    return framed.select(*keys, column).mapInPandas(run, ", ".join([*fields, "census array<double>"]))
 
 
 def box_mean(frame: str, side: int, factor: int) -> Column:
@@ -62,73 +85,89 @@ def warp(frame: str, u: str, v: str, side: int, scale: float = 1.0) -> Column:
     return stencil(frame, side, of)
 
 
+# Flow: numpy on stacks of frames (n, rows, columns).
+
+def _means_around(f: np.ndarray) -> np.ndarray:
+    """Mean of the four neighbours, zero outside."""
+    out = np.zeros_like(f)
+    out[:, 1:] += f[:, :-1]
+    out[:, :-1] += f[:, 1:]
+    out[:, :, 1:] += f[:, :, :-1]
+    out[:, :, :-1] += f[:, :, 1:]
+    return out / 4
+
+
 def horn_schunck(a: np.ndarray, b: np.ndarray, n_iter: int = 60, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Dense flow from a to b by Jacobi steps with zero-padded neighbour means."""
-    def forward(f: np.ndarray, axis: int) -> np.ndarray:
-        out = np.zeros_like(f)
-        cut = [slice(None)] * 2
-        cut[axis] = slice(0, -1)
-        out[tuple(cut)] = np.diff(f, axis=axis)
-        return out
-    ix, iy, it = forward(a, 1), forward(a, 0), b - a
-    u, v = np.zeros_like(a), np.zeros_like(a)
-    below = alpha**2 + ix**2 + iy**2
+    """Dense flow from a to b: Jacobi steps for the optical flow constraint with a smoothness weight alpha (Horn and Schunck, 1981)."""
+    gradient_y, gradient_x = np.zeros_like(a), np.zeros_like(a)
+    gradient_y[:, :-1] = a[:, 1:] - a[:, :-1]
+    gradient_x[:, :, :-1] = a[:, :, 1:] - a[:, :, :-1]
+    weight = 1 / (alpha**2 + gradient_x**2 + gradient_y**2)
+    flow = np.zeros((2, *a.shape))
     for _ in range(n_iter):
-        mu, mv = ((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:]) / 4 for p in (np.pad(u, 1), np.pad(v, 1)))
-        share = (ix * mu + iy * mv + it) / below
-        u, v = mu - ix * share, mv - iy * share
-    return u, v
+        mean = np.stack([_means_around(f) for f in flow])
+        residual = (gradient_x * mean[0] + gradient_y * mean[1] + b - a) * weight
+        flow = mean - np.stack([gradient_x, gradient_y]) * residual
+    return flow[0], flow[1]
 
 
 def block_flow(a: np.ndarray, b: np.ndarray, levels: int = 3, radius: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Pyramidal least-squares flow (Lucas-Kanade over a window), coarse to fine; stands in for polynomial-expansion solvers."""
     def half(x):
-        h, w = x.shape[0] // 2 * 2, x.shape[1] // 2 * 2
-        return x[:h, :w].reshape(h // 2, 2, w // 2, 2).mean(axis=(1, 3))
+        h, w = x.shape[1] // 2 * 2, x.shape[2] // 2 * 2
+        return x[:, :h, :w].reshape(-1, h // 2, 2, w // 2, 2).mean(axis=(2, 4))
+
+    def double(x, shape):
+        x = 2 * x.repeat(2, axis=1).repeat(2, axis=2)[:, : shape[0], : shape[1]]
+        return np.pad(x, ((0, 0), (0, shape[0] - x.shape[1]), (0, shape[1] - x.shape[2])), mode="edge")
+
+    def summed(x):
+        x = np.pad(x, ((0, 0), (radius, radius), (radius, radius)), mode="edge")
+        return np.lib.stride_tricks.sliding_window_view(x, (2 * radius + 1,) * 2, axis=(1, 2)).sum(axis=(3, 4))
+
     pyramid = [(a, b)]
-    for _ in range(levels - 1):
-        if min(pyramid[-1][0].shape) < 8:
-            break
+    while len(pyramid) < levels and min(pyramid[-1][0].shape[1:]) >= 8:
         pyramid.append(tuple(half(x) for x in pyramid[-1]))
     u = v = np.zeros_like(pyramid[-1][0])
     for n, (p, q) in enumerate(reversed(pyramid)):
         if n:
-            u, v = (2 * np.kron(x, np.ones((2, 2)))[: p.shape[0], : p.shape[1]] for x in (u, v))
-            u, v = (np.pad(x, ((0, p.shape[0] - x.shape[0]), (0, p.shape[1] - x.shape[1])), mode="edge") for x in (u, v))
-        moved = warp_numpy(q, u, v)
-        gy, gx = np.gradient(p)
-        dt = moved - p
-        s = lambda x: np.lib.stride_tricks.sliding_window_view(np.pad(x, radius, mode="edge"), (2 * radius + 1,) * 2).sum(axis=(2, 3))
-        xx, yy, xy, xt, yt = s(gx * gx) + 1e-3, s(gy * gy) + 1e-3, s(gx * gy), s(gx * dt), s(gy * dt)
+            u, v = (double(x, p.shape[1:]) for x in (u, v))
+        gy, gx = np.gradient(p, axis=(1, 2))
+        dt = warp_numpy(q, u, v) - p
+        xx, yy, xy, xt, yt = summed(gx * gx) + 1e-3, summed(gy * gy) + 1e-3, summed(gx * gy), summed(gx * dt), summed(gy * dt)
         det = xx * yy - xy * xy
         u, v = u - (yy * xt - xy * yt) / det, v - (xx * yt - xy * xt) / det
     return u, v
 
 
-def warp_numpy(frame: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    h, w = frame.shape
-    y, x = np.indices(frame.shape)
+def warp_numpy(frames: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    n, h, w = frames.shape
+    k, y, x = np.indices(frames.shape)
     sx, sy = np.clip(x + u, 0, w - 1), np.clip(y + v, 0, h - 1)
     x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
     x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
     fx, fy = sx - x0, sy - y0
-    return (1 - fy) * ((1 - fx) * frame[y0, x0] + fx * frame[y0, x1]) + fy * ((1 - fx) * frame[y1, x0] + fx * frame[y1, x1])
+    return (1 - fy) * ((1 - fx) * frames[k, y0, x0] + fx * frames[k, y0, x1]) + fy * ((1 - fx) * frames[k, y1, x0] + fx * frames[k, y1, x1])
 
 
 SOLVERS = {"horn_schunck": horn_schunck, "block": block_flow}
 
 
-def flow_blend(a: np.ndarray, b: np.ndarray, t: float, solver: str = "horn_schunck") -> np.ndarray:
-    """Both frames moved to t along the flows between them (minus sign), blended; missing pixels filled by the mean and masked again."""
+def _filled(frames: np.ndarray) -> np.ndarray:
+    """Missing pixels by the mean of their frame, zero in a frame without any."""
+    known = ~np.isnan(frames)
+    mean = np.where(known, frames, 0).sum(axis=(1, 2)) / np.maximum(known.sum(axis=(1, 2)), 1)
+    return np.where(known, frames, mean[:, None, None])
+
+
+def flow_blend(a: np.ndarray, b: np.ndarray, t: float, solver: str = "horn_schunck") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The flow (u, v) from a to b, and both frames moved to t along the flows between them (minus sign), blended; missing
+    pixels are filled by the mean and masked again."""
     gone = np.isnan(a) | np.isnan(b)
-    if gone.all():
-        return np.full_like(a, np.nan)
-    fill = np.nanmean(a) if not np.isnan(a).all() else 0.0
-    a, b = np.where(np.isnan(a), fill, a), np.where(np.isnan(b), fill, b)
-    flow = SOLVERS[solver]
-    (u, v), (p, q) = flow(a, b), flow(b, a)
+    a, b = _filled(a), _filled(b)
+    (u, v), (p, q) = SOLVERS[solver](a, b), SOLVERS[solver](b, a)
     out = (1 - t) * warp_numpy(a, -t * u, -t * v) + t * warp_numpy(b, -(1 - t) * p, -(1 - t) * q)
-    return np.where(gone, np.nan, out)
+    return u, v, np.where(gone, np.nan, out)
 
 
 def flow_frames(pairs: DataFrame, keys: list[str], side: int, t: float = 0.5, solver: str = "horn_schunck") -> DataFrame:
@@ -136,15 +175,14 @@ def flow_frames(pairs: DataFrame, keys: list[str], side: int, t: float = 0.5, so
     def run(batches):
         for batch in batches:
             out = batch[keys].copy()
-            rows = []
-            for a, b in zip(batch["bt"], batch["bt_next"]):
-                a, b = (np.array([np.nan if v is None else v for v in x], float).reshape(-1, side) for x in (a, b))
-                fa, fb = (np.where(np.isnan(x), np.nanmean(x) if not np.isnan(x).all() else 0.0, x) for x in (a, b))
-                u, v = SOLVERS[solver](fa, fb)
-                blend = flow_blend(a, b, t, solver).ravel()
-                rows.append((u.ravel().tolist(), v.ravel().tolist(), float(np.hypot(u, v).mean()), [None if np.isnan(x) else float(x) for x in blend]))
-            for name, column in zip(("u", "v", "speed", "pred"), zip(*rows) if rows else [[], [], [], []]):
-                out[name] = column
+            if len(batch):
+                u, v, blend = flow_blend(*(stack(batch[c], side) for c in ("bt", "bt_next")), t, solver)
+                flat = lambda x: x.reshape(len(x), -1).tolist()
+                out["u"], out["v"], out["speed"] = flat(u), flat(v), np.hypot(u, v).mean(axis=(1, 2))
+                out["pred"] = [[None if x != x else x for x in row] for row in flat(blend)]
+            else:
+                for name in ("u", "v", "speed", "pred"):
+                    out[name] = []
             yield out
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keys).schema]
     return pairs.select(*keys, "bt", "bt_next").mapInPandas(run, ", ".join([*fields, "u array<double>", "v array<double>", "speed double", "pred array<double>"]))
@@ -169,3 +207,17 @@ def flow_color(u: Column, v: Column, largest: float) -> tuple[Column, Column]:
     """Hue in degrees by direction and saturation by magnitude; NULL flow has none."""
     hue = F.pmod(F.degrees(F.atan2(-v, -u)) + 360.0, F.lit(360.0))
     return hue, F.least(F.lit(1.0), F.hypot(u, v) / largest)
+
+
+#: Fixed value: entries of the colour wheel for flow.
+WHEEL = 55
+
+
+def wheel_place(u: Column, v: Column) -> Column:
+    """Place of a flow vector's direction on the colour wheel, from 0 to the last entry."""
+    return (F.atan2(-v, -u) / F.pi() + 1) / 2 * (WHEEL - 1)
+
+
+def transposed(rows: Column) -> Column:
+    """An array of arrays of one length with rows and columns exchanged."""
+    return F.transform(F.sequence(F.lit(0), F.size(F.get(rows, F.lit(0))) - 1), lambda j: F.transform(rows, lambda row: F.get(row, j)))

@@ -1,51 +1,22 @@
-"""Queries over the driver's tables, each with the SQL that a second engine runs on them where SQL can express it.
-
-`ids` names the operators of the blueprint that a query exercises.
-"""
+"""Queries over the driver's tables, each with the SQL that a second engine runs on them where SQL can express it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions import scalar, text
 from cadenza.operators import crossval, grid, manifest, metrics, sequence, stats, stencil, synth
 from cadenza.plans import sql as S
+from cadenza.plans.registry import QUERIES, query, r
+from cadenza.plans.registry import rounded as _rounded
 from cadenza.sources import images, netcdf, views
 from cadenza.sources.views import SIDE, table
 from cadenza.streaming import frames as streaming
 
 
-@dataclass(frozen=True)
-class Query:
-    ids: str
-    run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None
-
-
-QUERIES: dict[str, Query] = {}
-
-
-def query(ids: str, sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = Query(ids, f, sql)
-        return f
-    return add
-
-
-def r(column, digits: int = 6):
-    return F.round(column, digits)
-
-
-def _rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
-    return df.select(*[F.round(c, special.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
 def _values(rows: DataFrame) -> DataFrame:
     """method_id, metric and rounded value."""
     return rows.select("method_id", "metric", r("value").alias("value"))
@@ -90,7 +61,7 @@ def scl_lut(spark, d):
         F.count("*").alias("n"), F.count("v").alias("n_valid"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("low"), F.max("v").alias("high")))
 
 
-@query("SCL15 SCL16 SCL17 FLT03 JON02", f"""WITH {S.MASKED}, p AS (SELECT a.k, a.i, CASE WHEN a.k % 3 = 0 AND a.i % 5 = 0 THEN NULL ELSE a.bt END AS a, b.bt AS b FROM px a JOIN px b ON b.k = a.k + 1 AND b.i = a.i)
+@query("SCL15 SCL16 SCL17 FLT03 JON02", f"""WITH {S.MASKED_FRAMES}, p AS (SELECT a.k, i, CASE WHEN a.k % 3 = 0 AND i % 5 = 0 THEN NULL ELSE a.bt[i + 1] END AS a, b.bt[i + 1] AS b FROM masked a JOIN masked b ON b.k = a.k + 1, {S.CELLS})
  SELECT k, i::INT AS i, round(0.75::DOUBLE * a + 0.25::DOUBLE * b, 6) AS blend, round(coalesce(0.75::DOUBLE * a + 0.25::DOUBLE * b, a, b), 6) AS one_sided, round(b, 6) AS copied,
  round(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN coalesce(a, 0) END, 6) AS restored FROM p""")
 def scl_blend(spark, d):
@@ -100,7 +71,7 @@ def scl_blend(spark, d):
     return _rounded(p.select("k", "i", scalar.linear_blend(a, b, 0.25).alias("blend"), scalar.linear_blend(a, b, 0.25, "one_sided").alias("one_sided"), scalar.frame_copy(a, b, 0.5).alias("copied"), scalar.restore_mask(F.coalesce(a, F.lit(0.0)), a, b).alias("restored")))
 
 
-@query("SCL18 SCL19 SCL20 SCL21 SCL24 ARR01 HLP01 HLP02", """SELECT y::INT AS y, x::INT AS x, round(38.0::DOUBLE - (y + 0.5::DOUBLE) * 0.04::DOUBLE, 6) AS lat, round(68.0::DOUBLE + (x + 0.5::DOUBLE) * 0.04::DOUBLE, 6) AS lon
+@query("SCL18 SCL19 ARR01 HLP01 HLP02", """SELECT y::INT AS y, x::INT AS x, round(38.0::DOUBLE - (y + 0.5::DOUBLE) * 0.04::DOUBLE, 6) AS lat, round(68.0::DOUBLE + (x + 0.5::DOUBLE) * 0.04::DOUBLE, 6) AS lon
  FROM unnest(range(0, 800)) a(y), unnest(range(0, 750)) b(x)""")
 def scl_grid(spark, d):
     g = scalar.OPERATIONAL_GRID
@@ -157,13 +128,13 @@ def src_list(spark, d):
     return _names(spark, d).filter(own.between(F.least(start, end), F.greatest(start, end))).select(F.col("a").alias("name"), "t")
 
 
-@query("SRC10 SRC14 JON16", f"""WITH {_NAMES_SQL} SELECT o_orderkey || '/' || a AS name FROM names WHERE o_orderkey % 3 <> 0""")
+@query("JON16", f"""WITH {_NAMES_SQL} SELECT o_orderkey || '/' || a AS name FROM names WHERE o_orderkey % 3 <> 0""")
 def src_missing(spark, d):
     names = _names(spark, d).select(F.concat_ws("/", "o_orderkey", "a").alias("name"), "o_orderkey")
     return names.join(names.filter("o_orderkey % 3 = 0").select("name"), "name", "left_anti").select("name")
 
 
-@query("SRC12 STR12 SRC09", """SELECT o_orderkey, strftime(h, '%Y/%j/%H') AS prefix FROM (SELECT o_orderkey, unnest(generate_series(date_trunc('hour', o_orderdate), date_trunc('hour', o_orderdate + INTERVAL 3 HOUR), INTERVAL 1 HOUR)) AS h FROM orders WHERE o_orderkey % 10 = 0)""")
+@query("SRC12 STR12 SRC09", """SELECT o_orderkey, strftime(h, '%Y/%j/%H') AS prefix FROM (SELECT o_orderkey, unnest(generate_series(date_trunc('hour', o_orderdate), date_trunc('hour', o_orderdate + INTERVAL 3 HOUR), INTERVAL 1 HOUR)) AS h FROM orders)""")
 def src_hours(spark, d):
     t = F.col("o_orderdate")
     return table(spark, d, "orders").select("o_orderkey", F.explode(text.hour_prefixes(t + F.expr("interval 3 hours"), t)).alias("prefix"))
@@ -176,14 +147,14 @@ def str_iso(spark, d):
     return table(spark, d, "events").select("event_id", iso.alias("iso"), text.is_iso_z(iso).alias("ok"), text.parse_time(iso).alias("parsed"), text.parse_iso_local(offset).alias("local"), text.parse_time(offset).alias("shifted"), F.expr("try_cast(event_type as double)").alias("opt"))
 
 
-@query("STR13 TIL02 TIL01", """SELECT k, z, x, y, printf('tiles/%03d/{z}/{x}/{y}.webp', k) AS template FROM (SELECT vec_id AS k FROM embeddings WHERE vec_id < 20), unnest([0, 1, 2, 3]) a(z), unnest(range(0, 8)) b(x), unnest(range(0, 8)) c(y) WHERE x < pow(2, z) AND y < pow(2, z)""")
+@query("STR13 TIL02 TIL01", """SELECT k, z, x, y, printf('tiles/%03d/{z}/{x}/{y}.webp', k) AS template FROM (SELECT vec_id AS k FROM embeddings), unnest([0, 1, 2, 3]) a(z), unnest(range(0, 8)) b(x), unnest(range(0, 8)) c(y) WHERE x < pow(2, z) AND y < pow(2, z)""")
 def til_pyramid(spark, d):
     fr = table(spark, d, "embeddings").select(F.col("vec_id").alias("k"))
     t = grid.tile_pyramid(fr, "k", 0, grid.default_max_zoom(2048, 1500))
     return t.select("k", "z", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), text.tile_template(F.col("k")).alias("template"))
 
 
-@query("STR18 STR19 SRV02", """SELECT vec_id AS k, 'interp:' || sha256(vec_id || '|' || label || '|t=0.5|linear') AS key FROM embeddings""")
+@query("STR18", """SELECT vec_id AS k, 'interp:' || sha256(vec_id || '|' || label || '|t=0.5|linear') AS key FROM embeddings""")
 def str_cache_key(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("k"), text.cache_key(F.col("vec_id").cast("string"), F.col("label").cast("string"), F.concat(F.lit("t="), F.regexp_replace(text.nine_digits(F.lit(0.5)), "0+$", "")), F.lit("linear")).alias("key"))
 
@@ -375,11 +346,6 @@ def m39_seams(spark, d):
     return _values(crossval.m39(views.frames(spark, d)))
 
 
-@query("M40", """SELECT 'M40' AS method_id, 'difference' AS metric, 0.0::DOUBLE AS value""")
-def m40_two_ways(spark, d):
-    return _values(crossval.m40(views.frames(spark, d), SIDE))
-
-
 @query("M20 FLW01 FLW04 FLW05 FLW06 FLW08 FLW09")
 def m20_flow(spark, d):
     return _values(crossval.m20(views.frames(spark, d), SIDE))
@@ -410,13 +376,13 @@ def m36_agreement(spark, d):
     return _values(crossval.m36(views.frames(spark, d), SIDE))
 
 
-@query("IMG02 IMG03 IMG04 IMG05 IMG07 IMG08 AGG22 LOS03")
+@query("IMG02 IMG03 IMG04 IMG05 IMG07 IMG08 AGG22")
 def img_windowed(spark, d):
     mid = crossval.middle(views.frames(spark, d, masked=True))
     return _rounded(metrics.windowed_metrics(mid, ["k"], SIDE))
 
 
-@query("JON17 AGG16 SRT03 ORC03 M2 M7-M17 M21-M25 M27-M29 M34 M37", "SELECT status, n FROM (VALUES ('run', 18::BIGINT), ('skipped', 22::BIGINT)) AS t(status, n)")
+@query("JON17 AGG16 SRT03 ORC03", "SELECT status, n FROM (VALUES ('run', 18::BIGINT), ('skipped', 22::BIGINT)) AS t(status, n)")
 def m_registry(spark, d):
     run = [n for n, _, dense, _ in crossval.REGISTRY if dense]
     return crossval.registry(spark, run).groupBy("status").agg(F.count("*").alias("n"))
@@ -457,36 +423,33 @@ def los_charbonnier(spark, d):
 # --- stencils, grids, rendering ----------------------------------------------------------------------------------------
 
 def _cell(dy: int, dx: int) -> str:
-    return f"p{dy + 1}{dx + 1}.bt"
+    """The pixel at an offset of pixel i of the list bt, mirrored at the border."""
+    return f"bt[(7 - abs(7 - abs(i // 8 + {dy}))) * 8 + 7 - abs(7 - abs(i % 8 + {dx})) + 1]"
 
 
-_AROUND = " ".join(f"JOIN px p{dy + 1}{dx + 1} ON p{dy + 1}{dx + 1}.k = px.k AND p{dy + 1}{dx + 1}.y = greatest(0, least(7, px.y + {dy})) AND p{dy + 1}{dx + 1}.x = greatest(0, least(7, px.x + {dx}))" for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx)
-
-
-@query("STN01", f"""WITH {S.PX} SELECT px.k, px.i::INT AS i, round({_cell(-1, 1)} + 2 * {_cell(0, 1)} + {_cell(1, 1)} - {_cell(-1, -1)} - 2 * {_cell(0, -1)} - {_cell(1, -1)}, 5) AS gx,
- round({_cell(1, -1)} + 2 * {_cell(1, 0)} + {_cell(1, 1)} - {_cell(-1, -1)} - 2 * {_cell(-1, 0)} - {_cell(-1, 1)}, 5) AS gy FROM px {_AROUND}""")
+@query("STN01", f"""WITH {S.FRAMES} SELECT k, i::INT AS i, round({_cell(-1, 1)} + 2 * {_cell(0, 1)} + {_cell(1, 1)} - {_cell(-1, -1)} - 2 * {_cell(0, -1)} - {_cell(1, -1)}, 5) AS gx,
+ round({_cell(1, -1)} + 2 * {_cell(1, 0)} + {_cell(1, 1)} - {_cell(-1, -1)} - 2 * {_cell(-1, 0)} - {_cell(-1, 1)}, 5) AS gy FROM frames, {S.CELLS}""")
 def stn_sobel(spark, d):
     gx, gy = stencil.sobel("bt", SIDE)
     return views.frames(spark, d).select("k", gx.alias("gx"), gy.alias("gy")).select("k", F.posexplode(F.arrays_zip("gx", "gy")).alias("i", "g")).select("k", "i", r("g.gx", 5).alias("gx"), r("g.gy", 5).alias("gy"))
 
 
-@query("STN02", f"""WITH {S.PX} SELECT a.k, a.i::INT AS i, round(sum((b.bt - a.bt) / sqrt(0.81::DOUBLE + pow(b.bt - a.bt, 2))), 5) AS census FROM px a JOIN px b ON b.k = a.k AND abs(b.y - a.y) <= 3 AND abs(b.x - a.x) <= 3 WHERE a.y BETWEEN 3 AND 4 AND a.x BETWEEN 3 AND 4 GROUP BY a.k, a.i""")
+@query("STN02", f"""WITH {S.FRAMES}, around AS (SELECT k, i, bt[i + 1] AS c, [bt[(7 - abs(7 - abs(i // 8 + n // 7 - 3))) * 8 + 7 - abs(7 - abs(i % 8 + n % 7 - 3)) + 1] FOR n IN range(0, 49)] AS v FROM frames, {S.CELLS})
+ SELECT k, i::INT AS i, round(list_sum([(x - c) / sqrt(0.81::DOUBLE + pow(x - c, 2)) FOR x IN v]), 5) AS census FROM around""")
 def stn_census(spark, d):
-    c = views.frames(spark, d).select("k", F.posexplode(stencil.census("bt", SIDE)).alias("i", "c"))
-    y, x = F.floor(F.col("i") / SIDE), F.col("i") % SIDE
-    return c.filter(y.between(3, 4) & x.between(3, 4)).select("k", "i", r(F.aggregate("c", F.lit(0.0), lambda a, v: a + v), 5).alias("census"))
+    c = stencil.census_sums(views.frames(spark, d), ["k"], "bt", SIDE)
+    return c.select("k", F.posexplode("census").alias("i", "census")).select("k", "i", r("census", 5).alias("census"))
 
 
-@query("FLW04 FLW08 FLW11", f"""WITH {S.PX}, w AS (SELECT k, y, x, i, greatest(0.0::DOUBLE, least(7.0::DOUBLE, x + 0.5::DOUBLE * 1.5::DOUBLE)) AS sx, greatest(0.0::DOUBLE, least(7.0::DOUBLE, y + 0.5::DOUBLE * -0.5::DOUBLE)) AS sy FROM px),
- c AS (SELECT *, floor(sx)::INT AS x0, floor(sy)::INT AS y0, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM w)
- SELECT c.k, c.i::INT AS i, round((1 - fy) * ((1 - fx) * a.bt + fx * b.bt) + fy * ((1 - fx) * e.bt + fx * f.bt), 6) AS bt FROM c JOIN px a ON a.k = c.k AND a.y = y0 AND a.x = x0 JOIN px b ON b.k = c.k AND b.y = y0 AND b.x = least(7, x0 + 1)
- JOIN px e ON e.k = c.k AND e.y = least(7, y0 + 1) AND e.x = x0 JOIN px f ON f.k = c.k AND f.y = least(7, y0 + 1) AND f.x = least(7, x0 + 1)""")
+@query("FLW04 FLW08 FLW11", f"""WITH {S.FRAMES}, c AS (SELECT k, i, bt, greatest(0.0::DOUBLE, least(7.0::DOUBLE, i % 8 + 0.5::DOUBLE * 1.5::DOUBLE)) AS sx, greatest(0.0::DOUBLE, least(7.0::DOUBLE, i // 8 + 0.5::DOUBLE * -0.5::DOUBLE)) AS sy FROM frames, {S.CELLS}),
+ w AS (SELECT k, i, bt, floor(sx)::INT AS x0, floor(sy)::INT AS y0, least(7, floor(sx)::INT + 1) AS x1, least(7, floor(sy)::INT + 1) AS y1, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM c)
+ SELECT k, i::INT AS i, round((1 - fy) * ((1 - fx) * bt[y0 * 8 + x0 + 1] + fx * bt[y0 * 8 + x1 + 1]) + fy * ((1 - fx) * bt[y1 * 8 + x0 + 1] + fx * bt[y1 * 8 + x1 + 1]), 6) AS bt FROM w""")
 def flw_warp(spark, d):
     fr = views.frames(spark, d).withColumn("u", F.array_repeat(F.lit(1.5), 64)).withColumn("v", F.array_repeat(F.lit(-0.5), 64))
     return fr.select("k", F.posexplode(stencil.warp("bt", "u", "v", SIDE, 0.5)).alias("i", "bt")).select("k", "i", r("bt").alias("bt"))
 
 
-@query("FLW14 FLW15 SMP05 FLT14 FLW16 MDL09", f"""WITH {S.PX}, f AS (SELECT k, y, x, (bt - 250) / 10 AS u, (250 - bt) / 20 AS v FROM px) SELECT k, y, x, round(68.0::DOUBLE + (x + 0.5::DOUBLE) * 3.75::DOUBLE, 6) AS lon0, round(38.0::DOUBLE - (y + 0.5::DOUBLE) * 4.0::DOUBLE, 6) AS lat0,
+@query("FLW14 FLW15 SMP05 FLT14 FLW16", f"""WITH {S.PX}, f AS (SELECT k, y, x, (bt - 250) / 10 AS u, (250 - bt) / 20 AS v FROM px) SELECT k, y, x, round(68.0::DOUBLE + (x + 0.5::DOUBLE) * 3.75::DOUBLE, 6) AS lon0, round(38.0::DOUBLE - (y + 0.5::DOUBLE) * 4.0::DOUBLE, 6) AS lat0,
  round(68.0::DOUBLE + (x + 0.5::DOUBLE) * 3.75::DOUBLE + u * 3.75::DOUBLE, 6) AS lon1, round(38.0::DOUBLE - (y + 0.5::DOUBLE) * 4.0::DOUBLE - v * 4.0::DOUBLE, 6) AS lat1 FROM f WHERE y % 4 = 2 AND x % 4 = 2""")
 def flw_overlay(spark, d):
     fr = views.frames(spark, d).select("k", F.transform("bt", lambda b: (b - 250) / 10).alias("u"), F.transform("bt", lambda b: (250 - b) / 20).alias("v"))
@@ -512,8 +475,7 @@ def jon_regrid(spark, d):
     return found.select("t_id", F.coalesce("s_id", F.lit(-1)).alias("s_id"), r("km", 5).alias("km"))
 
 
-@query("JON08", f"""WITH {S.PX} SELECT a.k, a.y + 0.25::DOUBLE AS fy, a.x + 0.5::DOUBLE AS fx, round(CASE WHEN a.y < 7 AND a.x < 7 THEN 0.75::DOUBLE * (0.5::DOUBLE * a.bt + 0.5::DOUBLE * b.bt) + 0.25::DOUBLE * (0.5::DOUBLE * c.bt + 0.5::DOUBLE * e.bt) END, 6) AS bt
- FROM px a LEFT JOIN px b ON b.k = a.k AND b.y = a.y AND b.x = a.x + 1 LEFT JOIN px c ON c.k = a.k AND c.y = a.y + 1 AND c.x = a.x LEFT JOIN px e ON e.k = a.k AND e.y = a.y + 1 AND e.x = a.x + 1""")
+@query("JON08", f"""WITH {S.FRAMES} SELECT k, i // 8 + 0.25::DOUBLE AS fy, i % 8 + 0.5::DOUBLE AS fx, round(CASE WHEN i // 8 < 7 AND i % 8 < 7 THEN 0.75::DOUBLE * (0.5::DOUBLE * bt[i + 1] + 0.5::DOUBLE * bt[i + 2]) + 0.25::DOUBLE * (0.5::DOUBLE * bt[i + 9] + 0.5::DOUBLE * bt[i + 10]) END, 6) AS bt FROM frames, {S.CELLS}""")
 def jon_bilinear(spark, d):
     px = views.pixels(views.frames(spark, d).select("k", "bt"), "bt")
     wanted = px.select("k", (F.col("y") + 0.25).alias("fy"), (F.col("x") + 0.5).alias("fx"))
@@ -586,7 +548,7 @@ def _manifests(spark, d) -> DataFrame:
         F.create_map(F.lit("name"), F.lit("linear"), F.lit("version"), F.lit("1"), F.lit("params_m"), F.lit("0")).alias("model"), F.lit("2025-06-20T00:00:00Z").alias("generated_at"))
 
 
-@query("VAL01 VAL02 VAL03 VAL04 VAL05 VAL06 VAL07 VAL08 VAL09 VAL10 VAL11 VAL12 VAL13 VAL14 SNK14 SET06", """WITH f AS (SELECT label, vec_id AS k FROM embeddings WHERE vec_id < 60),
+@query("VAL01 VAL02 VAL03 VAL04 VAL05 VAL06 VAL07 VAL08 VAL09 VAL10 VAL11 VAL12 VAL13 VAL14 SNK14 SET06", """WITH f AS (SELECT label, vec_id AS k FROM embeddings),
  p AS (SELECT label, k, 'frame ' || k || ': empty pmtiles' AS problem FROM f WHERE k % 11 = 0 UNION ALL SELECT label, k, 'frame ' || k || ': interpolated without t or bracket' FROM f WHERE k % 2 = 1 AND k % 5 = 0 UNION ALL SELECT label, k, 'frame ' || k || ': time is not ISO-8601 Z' FROM f WHERE k % 7 = 0
  UNION ALL SELECT DISTINCT label, -3, 'missing colormap' FROM f WHERE label % 4 = 3 UNION ALL SELECT DISTINCT label, -2, 'bbox west is not below east' FROM f WHERE label % 3 = 1 UNION ALL SELECT DISTINCT label, -1, 'data_range_k is not the span' FROM f WHERE label % 3 = 2)
  SELECT label, problem FROM p""")
@@ -594,7 +556,7 @@ def val_manifest(spark, d):
     return _manifests(spark, d).select("label", F.explode(manifest.problems()).alias("problem"))
 
 
-@query("STR15 STR16 HLP03 SNK14", """SELECT label, count(*) AS n_frames, count(DISTINCT vec_id % 2) AS n_kinds FROM embeddings WHERE vec_id < 60 GROUP BY label""")
+@query("STR15 STR16 HLP03 SNK14", """SELECT label, count(*) AS n_frames, count(DISTINCT vec_id % 2) AS n_kinds FROM embeddings GROUP BY label""")
 def val_json_round_trip(spark, d):
     back = manifest.from_json(manifest.to_json(_manifests(spark, d)).withColumn("json", F.col("json")))
     labels = F.array_distinct(F.transform("frames", lambda f: f["kind"]))
@@ -633,7 +595,7 @@ def stm_sessions(spark, d):
 _ATTRS = {"source_frames": ["a", "b"], "t": 0.5, "model": "linear", "model_version": "1", "kind": "observed", "created": "2025-06-20T00:00:00Z"}
 
 
-@query("SRC03 SRC05 SRC23 SRC24 SRC32 SNK01 SNK07 SNK08 SNK09 SNK10 SNK11 SNK12 SNK13", f"""WITH {S.MASKED} SELECT k, 8 AS n_rows, count(bt) AS n_valid, round(avg(bt), 3) AS mean FROM px GROUP BY k""")
+@query("SRC03 SRC05 SRC23 SRC24 SRC32 SNK01 SNK07 SNK08 SNK09 SNK10 SNK11 SNK12 SNK13", f"""WITH {S.MASKED} SELECT k, 8 AS n_rows, count(bt) AS n_valid, round(avg(bt::FLOAT::DOUBLE), 3) AS mean FROM px GROUP BY k""")
 def snk_netcdf(spark, d):
     files = netcdf.encode_frames(views.frames(spark, d, masked=True), SIDE, (68.0, 6.0, 98.0, 38.0), _ATTRS)
 
@@ -643,12 +605,12 @@ def snk_netcdf(spark, d):
             out = batch[["k"]].copy()
             out["n_rows"] = [f.shape[0] for f in found]
             out["n_valid"] = [int(np.isfinite(f).sum()) for f in found]
-            out["mean"] = [float(np.nanmean(f)) for f in found]
+            out["mean"] = [float(np.nanmean(f.astype(np.float64))) for f in found]
             yield out
     return files.mapInPandas(read, "k long, n_rows int, n_valid long, mean double").withColumn("mean", r("mean", 3))
 
 
-@query("SRC27 SRC28 SRC29 SRC30 SNK05", """SELECT vec_id AS k, unnest(['lat', 'lon', 'bt']) AS variable, unnest([64, 64, 256])::BIGINT AS length FROM embeddings WHERE vec_id < 50""")
+@query("SRC27 SRC28 SRC29 SRC30 SNK05", """SELECT vec_id AS k, unnest(['lat', 'lon', 'bt']) AS variable, unnest([64, 64, 256])::BIGINT AS length FROM embeddings""")
 def src_references(spark, d):
     files = netcdf.encode_frames(views.frames(spark, d), SIDE, (68.0, 6.0, 98.0, 38.0), _ATTRS)
 
@@ -671,13 +633,13 @@ def snk_tar_shards(spark, d):
     return images.write_shards(rows, 128).mapInPandas(back, "shard long, name string, n long")
 
 
-@query("SNK17 SNK18 SNK21 VIZ03 VIZ04 VIZ06")
+@query("SNK17 VIZ03 VIZ04")
 def snk_png(spark, d):
     colored = views.frames(spark, d, masked=True).select("k", F.transform("bt", lambda b: grid.bt_to_rgba(b)).alias("c"))
     return images.render(colored, SIDE).select("k", F.length("png").cast("long").alias("n_bytes"), F.sha2("png", 256).alias("sha256"))
 
 
-@query("SRV02 JON16 SRC10", """SELECT CASE WHEN vec_id % 4 = 0 THEN 'hit' ELSE 'miss' END AS state, count(*) AS n FROM embeddings GROUP BY 1""")
+@query("JON16", """SELECT CASE WHEN vec_id % 4 = 0 THEN 'hit' ELSE 'miss' END AS state, count(*) AS n FROM embeddings GROUP BY 1""")
 def srv_cache(spark, d):
     want = table(spark, d, "embeddings").select(F.col("vec_id").alias("k"), text.cache_key(F.col("vec_id").cast("string"), F.lit("png")).alias("key"))
     have = want.filter("k % 4 = 0").select("key")
@@ -694,7 +656,7 @@ def trn_samples(spark, d):
     return t.select("k", mean("bt_prev").alias("i0"), mean("bt").alias("it"), mean("bt_next").alias("i1"), F.size(ok).cast("long").alias("n_valid"))
 
 
-@query("M27 M28 M29 AGG20", f"""WITH {S.PX}, {S.MIDDLE}, m AS (SELECT k, label, {S.rmse('pred', 'truth')} AS e FROM middle GROUP BY k, label) SELECT coalesce(label, -1) AS label, round(avg(e), 6) AS bt_rmse_k, count(*) AS n FROM m GROUP BY ROLLUP (label)""")
+@query("AGG20", f"""WITH {S.PX}, {S.MIDDLE}, m AS (SELECT k, label, {S.rmse('pred', 'truth')} AS e FROM middle GROUP BY k, label) SELECT coalesce(label, -1) AS label, round(avg(e), 6) AS bt_rmse_k, count(*) AS n FROM m GROUP BY ROLLUP (label)""")
 def m_strata(spark, d):
     found = crossval.per_triplet(views.frames(spark, d)).rollup("label").agg(r(F.avg("bt_rmse_k")).alias("bt_rmse_k"), F.count("*").alias("n"))
     return found.select(F.coalesce("label", F.lit(-1)).alias("label"), "bt_rmse_k", "n")
@@ -710,13 +672,16 @@ def ext_fss(spark, d):
     return mid.select("k", r(1 - F.try_divide(total(lambda p, g: F.pow(p - g, 2.0)), total(lambda p, g: p * p + g * g))).alias("fss"))
 
 
-@query("EXT-EPE M10", f"""WITH {S.PX} SELECT k, round(avg(sqrt(pow((bt - 250) / 10, 2) + pow((260 - bt) / 20, 2))), 6) AS epe FROM px GROUP BY k""")
+@query("EXT-EPE", f"""WITH {S.PX} SELECT k, round(avg(sqrt(pow((bt - 250) / 10, 2) + pow((260 - bt) / 20, 2))), 6) AS epe FROM px GROUP BY k""")
 def ext_epe(spark, d):
     px = views.frames(spark, d).select("k", F.explode("bt").alias("bt"))
     return px.groupBy("k").agg(r(F.avg(F.hypot((F.col("bt") - 250) / 10, (260 - F.col("bt")) / 20))).alias("epe"))
 
 
-@query("AGG18 M11", f"""WITH {S.SERIES} SELECT event_type, round(regr_slope(bt, user_id::DOUBLE), 8) AS slope, round(regr_intercept(bt, user_id::DOUBLE), 5) AS intercept, round(coalesce(avg(bt), 0), 6) AS fill FROM series GROUP BY event_type""")
+@query("AGG18", f"""WITH {S.SERIES} SELECT event_type, round(regr_slope(bt, user_id::DOUBLE), 8) AS slope, round(regr_intercept(bt, user_id::DOUBLE), 5) AS intercept, round(coalesce(avg(bt), 0), 6) AS fill FROM series GROUP BY event_type""")
 def agg_calibration(spark, d):
     u = F.col("user_id").cast("double")
     return views.series(spark, d).groupBy("event_type").agg(r(F.regr_slope("bt", u), 8).alias("slope"), r(F.regr_intercept("bt", u), 5).alias("intercept"), r(F.coalesce(F.avg("bt"), F.lit(0.0))).alias("fill"))
+
+
+from cadenza.plans import file_queries, sensor_queries  # noqa: E402,F401 - they add theirs

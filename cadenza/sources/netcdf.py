@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.sources.folders import put, store
+
 # Fixed values of the classic format: tags and external types.
 _DIMENSION, _VARIABLE, _ATTRIBUTE = 10, 11, 12
 _TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
@@ -28,6 +30,8 @@ class Variable:
     dims: tuple[str, ...]
     data: np.ndarray
     attrs: dict = field(default_factory=dict)
+    #: Where the bytes of a variable without a record dimension begin in the file that it was read from.
+    begin: int | None = None
 
 
 @dataclass
@@ -161,7 +165,8 @@ def load(raw: bytes) -> Dataset:
             data = np.concatenate([np.frombuffer(raw, dtype, per, begin + k * stride) for k in range(records)]) if records else np.zeros(0, dtype)
         else:
             data = np.frombuffer(raw, dtype, math.prod(shape), begin)
-        out[name] = Variable(tuple(dims[i][0] for i in ids), data.reshape(shape), own)
+        fixed = not (ids and dims[ids[0]][1] == 0)
+        out[name] = Variable(tuple(dims[i][0] for i in ids), data.reshape(shape), own, begin if fixed else None)
     return Dataset(lengths, out, whole)
 
 
@@ -212,52 +217,36 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
 
 
 def encode_frames(framed: DataFrame, side: int, bbox: tuple[float, float, float, float], attrs: dict) -> DataFrame:
-    """k and the bytes of a file for each frame (k, time, bt as array)."""
+    """k and the bytes of a file for each frame (k, time, bt as array, and on demand attrs, the frame's own as JSON)."""
     west, south, east, north = bbox
+    own = F.col("attrs") if "attrs" in framed.columns else F.lit("{}")
 
     def run(batches):
+        lat = north - (np.arange(side) + 0.5) * (north - south) / side
+        lon = west + (np.arange(side) + 0.5) * (east - west) / side
         for batch in batches:
-            lat = north - (np.arange(side) + 0.5) * (north - south) / side
-            lon = west + (np.arange(side) + 0.5) * (east - west) / side
             out = batch[["k"]].copy()
-            out["content"] = [dump(frame_dataset(np.array([np.nan if v is None else v for v in bt], np.float32).reshape(side, side), lat, lon, str(t), attrs)) for bt, t in zip(batch["bt"], batch["time"])]
+            out["content"] = [
+                dump(frame_dataset(np.array([np.nan if v is None else v for v in bt], np.float32).reshape(side, side), lat, lon, str(t), {**attrs, **json.loads(more)}))
+                for bt, t, more in zip(batch["bt"], batch["time"], batch["attrs"])]
             yield out
-    return framed.select("k", "time", "bt").mapInPandas(run, "k long, content binary")
+    return framed.select("k", "time", "bt", own.alias("attrs")).mapInPandas(run, "k long, content binary")
 
 
 def write_frames(encoded: DataFrame, folder: str) -> DataFrame:
     """Writes the files of encode_frames() as <folder>/<k>.nc on any file system; one row a file: k, path, n_bytes.
 
     A file is written under another name and moved, so a task that runs twice leaves one whole file."""
-    import uuid
-
     def run(batches):
-        from pyarrow import fs
-
-        store, base = (fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")) if folder.startswith(("file:", "/")) else fs.FileSystem.from_uri(folder)
+        files, base = store(folder)
         for batch in batches:
-            store.create_dir(base, recursive=True)
-            out = batch[["k"]].copy()
-            paths = []
-            for k, content in zip(batch["k"], batch["content"]):
-                path, part = f"{base}/{k:06d}.nc", f"{base}/_{uuid.uuid4().hex}"
-                with store.open_output_stream(part) as f:
-                    f.write(content)
-                store.move(part, path)
-                paths.append(path)
-            out["path"], out["n_bytes"] = paths, [len(c) for c in batch["content"]]
-            yield out
+            paths = [f"{base}/{k:06d}.nc" for k in batch["k"]]
+            for path, content in zip(paths, batch["content"]):
+                put(files, path, content)
+            yield batch[["k"]].assign(path=paths, n_bytes=[len(c) for c in batch["content"]])
     return encoded.mapInPandas(run, "k long, path string, n_bytes long")
 
 
 def virtual_reference(raw: bytes, path: str) -> list[tuple[str, str, int, int]]:
     """(path, variable, offset, length) of each fixed variable's bytes: enough to read it without the rest of the file."""
-    ds = load(raw)
-    out, at = [], None
-    for name, v in ds.variables.items():
-        body = v.data.astype(v.data.dtype).tobytes()
-        found = raw.find(body, at or 0) if body else -1
-        if found >= 0:
-            out.append((path, name, found, len(body)))
-            at = found + len(body)
-    return out
+    return [(path, name, v.begin, v.data.nbytes) for name, v in load(raw).variables.items() if v.begin is not None]

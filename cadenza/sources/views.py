@@ -42,3 +42,15 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_id, event_id, ts and bt between 180 and 320 from the events."""
     bt = 180.0 + 140.0 * F.least(F.col("value"), F.lit(350.0)) / 350.0
     return table(spark, sf_dir, "events").select("user_id", "event_id", "ts", bt.alias("bt"), "event_type")
+
+
+#: Gain, offset and noise of further sensors that see the same frames, and how many minutes later.
+SENSORS = {"b": (1.01, -2.0, 31, 17, 21, 4), "c": (0.99, 1.0, 13, 29, 15, 2)}
+
+
+def sensor(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The frames as another sensor sees them: an affine function of bt with noise from the frame's and the pixel's number."""
+    gain, offset, p, q, m, late = SENSORS[name]
+    noise = lambda i: (((F.col("k") * p + i * q) % m) - m // 2) / 10.0
+    seen = F.transform("bt", lambda v, i: F.lit(gain) * v + offset + noise(i))
+    return frames(spark, sf_dir).select("k", "label", (F.col("time") + F.make_dt_interval(mins=F.lit(late))).alias("time"), seen.alias("bt"))

@@ -32,6 +32,11 @@ def skip_present(df: DataFrame, keys: list[str], late: str = "2 hours") -> DataF
     return df.dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
 
 
+def clock_steps(elapsed_ms, interval_ms: int):
+    """Whole steps that a playback clock has made after a time."""
+    return F.floor(elapsed_ms / interval_ms).cast("long")
+
+
 _OUT = "scene string, ts timestamp, kind string, t double, bt double"
 _STATE = "ts timestamp, bt double"
 
@@ -53,7 +58,7 @@ def pair_frames(df: DataFrame, factor: int = 2) -> DataFrame:
                     continue
                 for step in range(1, factor):
                     t = step / factor
-                    out.append((key[0], before + (ts - before) * t, "interpolated", t, (1 - t) * last[1] + t * bt))
+                    out.append((key[0], (before + (ts - before) * t).floor("us"), "interpolated", t, (1 - t) * last[1] + t * bt))
             out.append((key[0], ts, "observed", None, bt))
             last = (ts.to_pydatetime(), float(bt))
         if last is not None:

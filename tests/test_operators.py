@@ -41,27 +41,48 @@ def test_splits():
 def test_ordinals(spark):
     df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("v"))
     assert all(r["v"] == r["ordinal"] for r in sequence.ordinals(df, ["v"]).collect())
+    clash = df.withColumns({c: F.lit(1) for c in ("id", "part", "row", "before", "n", "__id", "a.b")})
+    out = sequence.ordinals(clash, ["v"], "place")
+    assert out.columns == [*clash.columns, "place"] and all(r["v"] == r["place"] for r in out.collect())
+    sums = sequence.prefix_sums(df, ["v"], F.col("v"), "sum").collect()
+    assert all(r["sum"] == r["v"] * (r["v"] - 1) // 2 for r in sums)
+
+
+def test_nearest_across_the_date_line(spark):
+    source = spark.createDataFrame([(1, 0.0, 179.9), (2, 0.0, -179.7), (3, 60.0, -179.95), (4, -89.9, 10.0)], "s_id long, lat double, lon double")
+    target = spark.createDataFrame([(10, 0.05, -179.95), (11, 0.0, 179.6), (12, 60.0, 179.9), (13, -89.9, -170.0), (14, 0.0, 0.0)], "t_id long, lat double, lon double")
+    got = {r["t_id"]: r["s_id"] for r in grid.nearest_mapping(target, source).collect()}
+    assert got == {10: 1, 11: 1, 12: 3, 13: 4}
+
+
+def test_references_come_from_the_header():
+    # Two variables with equal bytes, and a header that holds the same run of bytes.
+    zero = netcdf.Variable(("x",), np.zeros(4, np.float64))
+    raw = netcdf.dump(netcdf.Dataset({"x": 4}, {"a": zero, "b": netcdf.Variable(("x",), np.zeros(4, np.float64)), "c": netcdf.Variable(("x",), np.arange(4.0))}))
+    refs = netcdf.virtual_reference(raw, "f")
+    assert [r[1] for r in refs] == ["a", "b", "c"] and refs[1][2] == refs[0][2] + 32 and refs[2][2] == refs[1][2] + 32
+    assert np.frombuffer(raw, ">f8", 4, refs[2][2]).tolist() == [0, 1, 2, 3]
 
 
 def test_flow_finds_a_shift():
     y, x = np.indices((32, 32))
     a = np.exp(-((x - 14) ** 2 + (y - 16) ** 2) / 40) * 50
     b = np.exp(-((x - 15) ** 2 + (y - 16) ** 2) / 40) * 50
-    u, v = stencil.block_flow(a, b)
+    u, v, half = (f[1] for f in stencil.flow_blend(np.stack([b, a]), np.stack([a, b]), 0.5, "block"))
     assert u[14:18, 11:18].mean() == pytest.approx(1, abs=0.3) and abs(v[14:18, 11:18].mean()) < 0.2
-    half = stencil.flow_blend(a, b, 0.5, "block")
     truth = np.exp(-((x - 14.5) ** 2 + (y - 16) ** 2) / 40) * 50
     assert np.abs(half - truth).mean() < np.abs(a - truth).mean()
 
 
 def test_statistics(spark):
-    assert stats.bootstrap_interval(np.array([]))[0] != stats.bootstrap_interval(np.array([]))[0]
-    assert stats.bootstrap_interval(np.array([2.0])) == (2.0, 2.0, 2.0)
     df = spark.createDataFrame([(float(i), float(i * i)) for i in range(10)], "x double, y double")
     assert stats.spearman(df, "x", "y").first()["spearman"] == pytest.approx(1)
     long = df.select(F.lit("m").alias("metric"), F.col("x").alias("value"))
     r = stats.bootstrap(long, "metric", 100).first()
     assert r["low"] < r["mean"] < r["high"]
+    # The spread of the resampled means is that of the mean: four standard errors hold the interval.
+    wide = stats.bootstrap(spark.range(4000).select(F.lit("m").alias("metric"), (F.col("id") % 100).cast("double").alias("value"), "id").repartition(3), "metric", 500).first()
+    assert wide["high"] - wide["low"] == pytest.approx(4 * 28.87 / 4000**0.5, rel=0.2)
 
 
 def test_patches_and_zoom():

@@ -1,4 +1,4 @@
-"""Queries over the whole tables, where the registered SQL of the query covers a part of them only."""
+"""Queries without SQL over the whole tables."""
 
 import duckdb
 import pytest
@@ -6,21 +6,6 @@ import pytest
 from cadenza.operators import crossval, metrics, stats
 from cadenza.plans.queries import QUERIES
 from cadenza.sources import views
-from test_queries import rows
-
-#: Conditions that the registered SQL has and the whole job has not.
-PARTS = {"val_manifest": " WHERE vec_id < 60", "val_json_round_trip": " WHERE vec_id < 60", "src_references": " WHERE vec_id < 50", "til_pyramid": " WHERE vec_id < 20",
-         "src_hours": " WHERE o_orderkey % 10 = 0"}
-
-
-@pytest.mark.parametrize("name", PARTS)
-def test_whole_table(name, spark, sf_dir):
-    con = duckdb.connect()
-    for t in ("embeddings", "orders"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    own, whole = QUERIES[name].run(spark, sf_dir).toPandas(), con.execute(QUERIES[name].sql.replace(PARTS[name], "")).fetch_df()
-    assert rows(own) == rows(whole)
-
 
 def test_every_frame_has_a_png(spark, sf_dir):
     own = QUERIES["snk_png"].run(spark, sf_dir).select("k").collect()
