@@ -85,13 +85,32 @@ def find_words(raw: np.ndarray, offsets: np.ndarray, alnum: bool = False) -> tup
     return starts, ends, rows
 
 
-def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """64-bit hash of each word's bytes, lower-cased A-Z on demand."""
-    own = (_LOWER[raw] if lower else raw).astype(np.uint64) + np.uint64(1)
+def _sums(raw: np.ndarray, lower: bool) -> np.ndarray:
+    """Prefix sums of the bytes, from 1 on, times the powers of the base."""
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(own * power(_BASE, len(raw)), out=total[1:])
-    value = (total[ends] - total[starts]) * power(_INVERSE, len(raw))[starts]
-    return mix(value ^ (ends - starts).astype(np.uint64))
+    np.cumsum(((_LOWER[raw] if lower else raw).astype(np.uint64) + np.uint64(1)) * power(_BASE, len(raw)), out=total[1:])
+    return total
+
+
+def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    """64-bit hash of each word's bytes, lower-cased A-Z on demand; about SLICE_BYTES of text are in hand at once, whatever their length."""
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        first = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, first + SLICE_BYTES, "right")))
+        if ends[j - 1] - first <= SLICE_BYTES:
+            total = _sums(raw[first : int(ends[j - 1])], lower)
+            out[i:j] = (total[ends[i:j] - first] - total[starts[i:j] - first]) * power(_INVERSE, SLICE_BYTES)[starts[i:j] - first]
+        else:  # one word that is longer
+            value, factor = 0, 1
+            for k in range(first, int(ends[i]), SLICE_BYTES):
+                part = raw[k : min(k + SLICE_BYTES, int(ends[i]))]
+                value = (value + factor * int(_sums(part, lower)[-1])) % (1 << 64)
+                factor = factor * pow(_BASE, len(part), 1 << 64) % (1 << 64)
+            out[i] = value
+        i = j
+    return mix(out ^ (ends - starts).astype(np.uint64))
 
 
 def row_bounds(rows: np.ndarray, n: int) -> np.ndarray:

@@ -143,6 +143,17 @@ def test_recall_near_the_threshold(spark):
     assert linked > 100 and {r["doc_id"]: r["component_id"] for r in out} == {i: c for i, _, c in rows}
 
 
+def test_word_hashes_do_not_depend_on_the_slice(monkeypatch):
+    text = ("one two  three " + "x" * 700 + " four five " + "yz" * 400).encode()
+    raw, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    starts, ends, _ = kernels.find_words(raw, offsets)
+    want = kernels.hash_words(raw, starts, ends, lower=True)
+    assert len(set(want.tolist())) == 7
+    for size in (1000, 200, 16):
+        monkeypatch.setattr(kernels, "SLICE_BYTES", size)
+        assert (kernels.hash_words(raw, starts, ends, lower=True) == want).all()
+
+
 def test_superminhash_estimates_similarity():
     a = np.unique(kernels.mix(np.arange(1000, dtype=np.uint64)))
     b = np.unique(kernels.mix(np.arange(250, 1250, dtype=np.uint64)))
@@ -445,6 +456,20 @@ def test_machine_learns_pairs():
     assert both > 0.6 > 0.4 > one
 
 
+def test_pipeline_of_odd_documents(spark, sf_dir, docs, plain, empty):
+    """Nulls in any column, empty and long texts, repeated rows: every stage answers, with all columns, and so does an empty table."""
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, left, sf_dir)
+        assert out.columns == docs.columns, name
+        left = out.cache()
+        assert left.count() > 0
+        assert stage(spark, empty, sf_dir).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, left, sf_dir).count() == left.count()
+    texts = [r["text"] for r in left.collect()]
+    assert sum(t is not None and t.startswith("word word") for t in texts) <= 3 and sum(not t for t in texts) <= 3
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
