@@ -130,15 +130,15 @@ def baseline(frames: DataFrame, method: str, base: Model, model: Model = blend_m
     return both.unpivot([], [c for c in both.columns if c != "one"], "metric", "value").select(F.lit(method).alias("method_id"), "metric", "value")
 
 
-def with_flow(frames: DataFrame, side: int) -> DataFrame:
+def with_flow(frames: DataFrame, side: int, solver: str = "horn_schunck") -> DataFrame:
     """Interior frames with the flow between their neighbours, its speed and the flow blend."""
     mid = middle(frames)
     pairs = mid.select("k", F.col("bt_prev").alias("bt"), "bt_next")
-    return stencil.flow_frames(pairs, ["k"], side).join(mid.select("k", "truth", F.col("pred").alias("linear")), "k")
+    return stencil.flow_frames(pairs, ["k"], side, solver=solver).join(mid.select("k", "truth", F.col("pred").alias("linear")), "k")
 
 
-def m20(frames: DataFrame, side: int) -> DataFrame:
-    flow = metrics.array_metrics(with_flow(frames, side), ["k"])
+def m20(frames: DataFrame, side: int, solver: str = "horn_schunck") -> DataFrame:
+    flow = metrics.array_metrics(with_flow(frames, side, solver), ["k"])
     return _means(flow, "M20", {"base_psnr": "psnr", "base_rmse": "bt_rmse_k"})
 
 

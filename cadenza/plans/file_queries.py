@@ -125,6 +125,44 @@ def src_coordinates(spark, d):
     return rounded(found.select("time", F.array_min("lat").alias("south"), F.array_max("lat").alias("north"), F.array_min("lon").alias("west"), F.array_max("lon").alias("east")), 5)
 
 
+@query("SRC29 SRC30 SNK05 SRC27", f"""WITH {S.MASKED} SELECT k, count(bt) AS n_valid, round(avg(bt::FLOAT::DOUBLE), 4) AS mean FROM px GROUP BY k""")
+def src_open_references(spark, d):
+    """Files indexed once; the table of byte ranges, written and read again, then opens one variable of all of them."""
+    folder, index = folders.shared(spark, "indexed"), folders.shared(spark, "references")
+    attrs = {"source_frames": "[]", "t": 0.0, "model": "none", "model_version": "0", "kind": "observed", "created": "2025-06-20T00:00:00Z"}
+    written = netcdf.write_frames(netcdf.encode_frames(views.frames(spark, d, masked=True), SIDE, BBOX, attrs), folder)
+    netcdf.reference_table(written).write.parquet(index)
+    opened = netcdf.open_references(spark.read.schema("k long, path string, variable string, offset long, length long").parquet(index), "bt")
+    return opened.select("k", _n_known("values").alias("n_valid"), r(_mean_of_known("values"), 4).alias("mean"))
+
+
+@query("SRC06 SRC10 SRC14 SRC17 SRC19 SRC20 SRT01", """SELECT step, n FROM (SELECT 'first' AS step, count(*) AS n FROM embeddings WHERE vec_id % 4 = 2 UNION ALL SELECT 'again', 0 UNION ALL SELECT 'others', count(*) FROM embeddings WHERE vec_id % 4 <> 2)""")
+def src_download(spark, d):
+    """Files of one sensor fetched, then again, when nothing is left to fetch, then those of all sensors."""
+    source, target = folders.shared(spark, "store"), folders.shared(spark, "local")
+    _write_sensor_files(spark, d, source)
+    steps = [(step, satellite.list_and_download(spark, source, target, **options).count()) for step, options in (("first", {"source": "GK-2A"}), ("again", {"source": "GK-2A"}), ("others", {}))]
+    return spark.createDataFrame(steps, "step string, n long")
+
+
+@query("SNK06 SRC31 TRN04", f"""WITH {S.PX} SELECT k, 64 AS n, round(avg(bt::FLOAT::DOUBLE), 4) AS mean FROM px GROUP BY k""")
+def snk_npz_shards(spark, d):
+    """Samples as arrays in tar shards, read back."""
+    from cadenza.sources import images
+
+    def encode(batches):
+        for batch in batches:
+            yield batch[["n", "key"]].assign(body=[images.npz(bt=np.array(bt, np.float32)) for bt in batch["bt"]])
+
+    rows = views.frames(spark, d).select(F.col("k").alias("n"), F.format_string("%08d", "k").alias("key"), "bt").mapInPandas(encode, "n long, key string, body binary")
+
+    def back(batches):
+        for batch in batches:
+            found = [(int(key), images.read_npz(parts["npz"])["bt"]) for content in batch["content"] for key, parts in images.read_tar(content)]
+            yield pd.DataFrame({"k": [k for k, _ in found], "n": [len(a) for _, a in found], "mean": [float(a.astype(float).mean()) for _, a in found]})
+    return images.write_shards(rows, 64, "npz").mapInPandas(back, "k long, n int, mean double").withColumn("mean", r("mean", 4))
+
+
 # --- jobs from files to files -------------------------------------------------------------------------------------------
 
 @query("WIN14 MDL05 MDL06 SNK08 SNK10", f"""WITH {S.PX}, p AS (SELECT a.k, s, a.bt AS a, b.bt AS b FROM px a LEFT JOIN px b ON b.k = a.k + 1 AND b.i = a.i, unnest([0, 1]) r(s) WHERE s = 0 OR b.k IS NOT NULL)
@@ -218,6 +256,23 @@ def snk_pmtiles(spark, d):
     return made.mapInPandas(read, "k long, " + ", ".join(f"{n} int" for n in names) + ", n_opaque long")
 
 
+@query("SNK20 SNK21 VIZ06", """SELECT label, count(*) AS n_images, 8 AS n_rows, 16 AS n_cols, count(*) * 8 * 8 * 2 - 24 * count(*) AS n_opaque FROM embeddings WHERE vec_id > (SELECT min(vec_id) FROM embeddings) AND vec_id < (SELECT max(vec_id) FROM embeddings) GROUP BY label""")
+def snk_animation(spark, d):
+    """For each label an animation of its triplets: the predicted beside the true frame. An animation has the frames of one scene."""
+    from cadenza.sources import images
+
+    color = lambda c: F.transform(c, lambda b: grid.bt_to_rgba(b)).alias(c)
+    mid = crossval.middle(views.frames(spark, d, masked=True)).select("label", "k", color("pred"), color("truth"))
+
+    def animate(group: pd.DataFrame) -> pd.DataFrame:
+        image = lambda c: np.array([[p["r"], p["g"], p["b"], p["a"]] for p in c], np.uint8).reshape(SIDE, SIDE, 4)
+        group = group.sort_values("k")
+        raw = images.animation([images.side_by_side(image(p), image(t)) for p, t in zip(group["pred"], group["truth"])], 200)
+        found = images.read_animation(raw)
+        return pd.DataFrame({"label": [group["label"].iloc[0]], "n_images": [len(found)], "n_rows": [found[0].shape[0]], "n_cols": [found[0].shape[1]], "n_opaque": [int(sum((f[:, :, 3] == 255).sum() for f in found))]})
+    return mid.groupBy("label").applyInPandas(animate, "label int, n_images long, n_rows int, n_cols int, n_opaque long")
+
+
 # --- cache, streams -----------------------------------------------------------------------------------------------------
 
 @query("SRV02 JON16", """SELECT step, state, count(*) AS n FROM (SELECT 'first' AS step, CASE WHEN vec_id % 4 = 0 THEN 'hit' ELSE 'miss' END AS state FROM embeddings UNION ALL SELECT 'second', 'hit' FROM embeddings UNION ALL SELECT 'cleared', 'miss' FROM embeddings

@@ -351,6 +351,12 @@ def m20_flow(spark, d):
     return _values(crossval.m20(views.frames(spark, d), SIDE))
 
 
+@query("M20 FLW02 FLW06 FLW09")
+def m20_block_flow(spark, d):
+    """The same with the windowed least-squares flow."""
+    return _values(crossval.m20(views.frames(spark, d), SIDE, "block"))
+
+
 @query("M26 FLW10 FLT07")
 def m26_extreme_motion(spark, d):
     return _values(crossval.m26(views.frames(spark, d), SIDE))

@@ -13,13 +13,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _chunk(kind: bytes, body: bytes) -> bytes:
+    return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+
+def _rows(rgba: np.ndarray) -> bytes:
+    h, w, _ = rgba.shape
+    return zlib.compress(np.concatenate([np.zeros((h, 1), np.uint8), rgba.astype(np.uint8).reshape(h, w * 4)], axis=1).tobytes(), 6)
+
+
+def _head(rgba: np.ndarray) -> bytes:
+    return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", rgba.shape[1], rgba.shape[0], 8, 6, 0, 0, 0))
+
+
 def png(rgba: np.ndarray) -> bytes:
     """An RGBA image (rows, columns, 4) of bytes as PNG."""
-    h, w, _ = rgba.shape
-    def chunk(kind: bytes, body: bytes) -> bytes:
-        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    rows = np.concatenate([np.zeros((h, 1), np.uint8), rgba.astype(np.uint8).reshape(h, w * 4)], axis=1)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
+    return _head(rgba) + _chunk(b"IDAT", _rows(rgba)) + _chunk(b"IEND", b"")
+
+
+def even(rgba: np.ndarray) -> np.ndarray:
+    """The image with even sides, its last row and column repeated."""
+    return np.pad(rgba, ((0, rgba.shape[0] % 2), (0, rgba.shape[1] % 2), (0, 0)), mode="edge")
+
+
+def side_by_side(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return even(np.concatenate([left, right], axis=1))
+
+
+def animation(images: list[np.ndarray], millis: int) -> bytes:
+    """Images of one size as an animated PNG that loops; a viewer without animation shows the first."""
+    images = [even(i) for i in images]
+    h, w = images[0].shape[:2]
+    out = _head(images[0]) + _chunk(b"acTL", struct.pack(">II", len(images), 0))
+    serial = 0
+    for n, image in enumerate(images):
+        out += _chunk(b"fcTL", struct.pack(">IIIIIHHBB", serial, w, h, 0, 0, millis, 1000, 0, 0))
+        serial += 1
+        if n:
+            out += _chunk(b"fdAT", struct.pack(">I", serial) + _rows(image))
+            serial += 1
+        else:
+            out += _chunk(b"IDAT", _rows(image))
+    return out + _chunk(b"IEND", b"")
+
+
+def read_animation(raw: bytes) -> list[np.ndarray]:
+    """The images of animation()."""
+    at, shape, bodies = 8, None, []
+    while at < len(raw):
+        size, kind = struct.unpack_from(">I4s", raw, at)
+        part = raw[at + 8 : at + 8 + size]
+        if kind == b"IHDR":
+            shape = struct.unpack_from(">II", part)[::-1]
+        elif kind in (b"IDAT", b"fdAT"):
+            bodies.append(part[4 * (kind == b"fdAT") :])
+        at += 12 + size
+    return [np.frombuffer(zlib.decompress(b), np.uint8).reshape(shape[0], -1)[:, 1:].reshape(*shape, 4) for b in bodies]
 
 
 def render(colored: DataFrame, side: int) -> DataFrame:
@@ -55,11 +104,23 @@ def read_tar(raw: bytes) -> list[tuple[str, dict[str, bytes]]]:
     return sorted(found.items())
 
 
-def write_shards(samples: DataFrame, most: int) -> DataFrame:
+def npz(**arrays: np.ndarray) -> bytes:
+    """Named arrays as one file of numpy's format."""
+    out = io.BytesIO()
+    np.savez_compressed(out, **arrays)
+    return out.getvalue()
+
+
+def read_npz(raw: bytes) -> dict[str, np.ndarray]:
+    with np.load(io.BytesIO(raw)) as f:
+        return dict(f)
+
+
+def write_shards(samples: DataFrame, most: int, extension: str = "bin") -> DataFrame:
     """shard, name, n and the tar of at most `most` samples (n ordinal, key, body binary) each; a group is bounded by `most`."""
     def run(group):
         rows = sorted(zip(group["key"], group["body"]))
         shard = int(group["shard"].iloc[0])
-        return pd.DataFrame({"shard": [shard], "name": [f"shard-{shard:06d}.tar"], "n": [len(rows)], "content": [tar_shard([(k, {"bin": b}) for k, b in rows])]})
+        return pd.DataFrame({"shard": [shard], "name": [f"shard-{shard:06d}.tar"], "n": [len(rows)], "content": [tar_shard([(k, {extension: b}) for k, b in rows])]})
     placed = samples.withColumn("shard", F.floor(F.col("n") / most).cast("long"))
     return placed.groupBy("shard").applyInPandas(run, "shard long, name string, n long, content binary")

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -250,3 +251,35 @@ def write_frames(encoded: DataFrame, folder: str) -> DataFrame:
 def virtual_reference(raw: bytes, path: str) -> list[tuple[str, str, int, int]]:
     """(path, variable, offset, length) of each fixed variable's bytes: enough to read it without the rest of the file."""
     return [(path, name, v.begin, v.data.nbytes) for name, v in load(raw).variables.items() if v.begin is not None]
+
+
+def open_references(references: DataFrame, variable: str, dtype: str = ">f4") -> DataFrame:
+    """k, path and the values (array of double, missing as NULL) of a variable, read from its bytes alone.
+
+    references are rows (k, path, variable, offset, length); their order along k is that of the combined sequence."""
+    def read(batches):
+        for batch in batches:
+            out = batch[["k", "path"]].copy()
+            values = []
+            for path, offset, length in zip(batch["path"], batch["offset"], batch["length"]):
+                files, name = store(path)
+                with files.open_input_file(name) as f:
+                    values.append([None if x != x else x for x in np.frombuffer(f.read_at(length, offset), dtype).astype(float).tolist()])
+            out["values"] = values
+            yield out
+
+    return references.filter(F.col("variable") == variable).select("k", "path", "offset", "length").mapInPandas(read, "k long, path string, values array<double>")
+
+
+def reference_table(files: DataFrame) -> DataFrame:
+    """(k, path, variable, offset, length) of written files (k, path), from their headers."""
+    def refer(batches):
+        for batch in batches:
+            rows = []
+            for k, path in zip(batch["k"], batch["path"]):
+                store_, name = store(path)
+                with store_.open_input_stream(name) as f:
+                    rows += [(k, *r) for r in virtual_reference(f.read(), path)]
+            yield pd.DataFrame(rows, columns=["k", "path", "variable", "offset", "length"])
+
+    return files.select("k", "path").mapInPandas(refer, "k long, path string, variable string, offset long, length long")

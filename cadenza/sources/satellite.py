@@ -13,12 +13,12 @@ from datetime import datetime, timedelta
 
 import numpy as np
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from cadenza.functions.text import SOURCE_MARKS
 from cadenza.sources import netcdf
-from cadenza.sources.folders import get, store
+from cadenza.sources.folders import get, put, store
 
 #: Files of a partition.
 FILES = 32
@@ -220,6 +220,30 @@ class FrameSource(DataSource):
         return FrameReader(self.options)
 
 
+def list_and_download(spark: SparkSession, folder: str, target: str, **options: str) -> DataFrame:
+    """Copies the files that the source's options select into `target`, those excepted that are there with their whole size:
+    path, target, n_bytes of each that was copied. Tasks copy; the driver lists."""
+    here, base = store(target)
+    here.create_dir(base, recursive=True)
+    have = {i.base_name: i.size for i in here.get_file_info(fs.FileSelector(base))}
+    away, _ = store(folder)
+    wanted = [p for p, _, _ in FrameReader({"path": folder, **options}).listed() if have.get(p.rsplit("/", 1)[-1]) != away.get_file_info(p).size]
+
+    def copy(batches):
+        away, (here, base) = store(folder)[0], store(target)
+        for batch in batches:
+            out = batch.copy()
+            out["target"] = [f"{base}/{p.rsplit('/', 1)[-1]}" for p in batch["path"]]
+            bodies = [get(away, p) for p in batch["path"]]
+            for path, body in zip(out["target"], bodies):
+                put(here, path, body)
+            out["n_bytes"] = [len(b) for b in bodies]
+            yield out
+
+    rows = spark.createDataFrame([(p,) for p in wanted], "path string").repartition(max(1, min(1000, -(-len(wanted) // FILES))))
+    return rows.mapInPandas(copy, "path string, target string, n_bytes long")
+
+
 def register(spark: SparkSession) -> None:
     """Makes the source known to a session, which then hands its filters to it."""
     spark.dataSource.register(FrameSource)

@@ -77,6 +77,8 @@ def test_flow_queries(spark, sf_dir, frames, middles):
     linear = np.array([rmse(*middles[k]) for k in keys])
     own = values(spark, sf_dir, "m20_flow")
     assert own["base_rmse"] == pytest.approx(np.mean([rmse(p, t) for p, t in zip(pred, truth)]), abs=1e-5)
+    block = stencil.flow_blend(before, after, 0.5, "block")[2]
+    assert values(spark, sf_dir, "m20_block_flow")["base_rmse"] == pytest.approx(np.mean([rmse(p, t) for p, t in zip(block, truth)]), abs=1e-5)
     own, cut = values(spark, sf_dir, "m26_extreme_motion"), np.median(speed)
     assert own["fast"] == pytest.approx(linear[speed >= cut].mean(), abs=1e-5) and own["slow"] == pytest.approx(linear[speed < cut].mean(), abs=1e-5)
     assert values(spark, sf_dir, "m31_speed")["pearson"] == pytest.approx(np.corrcoef(speed, linear)[0, 1], abs=1e-5)
@@ -219,3 +221,13 @@ def test_entry_without_a_module():
     code = "import sys; sys.modules['xxhash'] = None; import warnings; warnings.simplefilter('ignore'); import __spark_entry__ as e; q = e.queries(); print(len(q), 'op5_near_dedup' in q)"
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=str(__import__("pathlib").Path(__file__).parent.parent)).stdout.split()
     assert int(out[0]) == len(QUERIES) and out[1] == "False"
+
+
+def test_command_line(spark, tmp_path):
+    from cadenza.__main__ import main
+
+    main(["demo", str(tmp_path / "demo"), "--frames", "5", "--side", "16", "--methods", "M1", "M38", "nope"], spark)
+    report = spark.read.json(str(tmp_path / "demo" / "report")).collect()
+    assert {r["method_id"] for r in report} == {"M1", "M38"} and len(list((tmp_path / "demo" / "scene" / "nc").glob("0*.nc"))) == 9
+    with pytest.raises(SystemExit):
+        main(["ingest", str(tmp_path)], spark)
