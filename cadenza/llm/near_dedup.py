@@ -240,8 +240,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     has a null component and is kept. An empty table gives an empty result. Other columns are not read.
 
     Equal sets form a class first. In each band's bucket of classes all members are compared with its smallest,
-    which a group of any size passes in one row each. What then is still in different components is compared
-    within its bucket in blocks, without a cap, so that no candidate pair between components is left out.
+    which a group of any size passes in one row each. What then is outside of its bucket's largest component is compared
+    with all of the bucket in blocks, without a cap, so that no candidate pair between components is left out.
     """
     spark = docs.sparkSession
     common.tune(spark)
@@ -272,12 +272,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # their sets, with their texts at hand.
     sizes = reps.select(F.col("doc_id").alias("r_id"), "n_shingles")
     placed = shared.join(found, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("comp"))
-    placed_ = placed = common.materialize(placed.join(sizes, F.col("rep") == F.col("r_id")).select("key", "band", "rep", "comp", "n_shingles"), "near-placed")
+    met = common.materialize(placed.join(sizes, F.col("rep") == F.col("r_id")).select("key", "band", "rep", "comp", "n_shingles"), "near-placed")
     # Of two members in different components one at least is a minor: not in the bucket's largest component.
-    counts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    counts = met.groupBy("key", "comp").agg(F.count("*").alias("n"))
     split = counts.groupBy(F.col("key").alias("s_key")).agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("minors"))
     split = common.materialize(split.filter("minors > 0"), "near-split")
-    rest = placed.join(common.sized(split), F.col("key") == F.col("s_key")).withColumn("minor", F.col("comp") != F.col("major")).drop("s_key", "major")
+    rest = met.join(common.sized(split), F.col("key") == F.col("s_key")).withColumn("minor", F.col("comp") != F.col("major")).drop("s_key", "major")
     rest = common.materialize(rest, "near-rest")
     marked = reps.select(F.col("doc_id").alias("m_id"), "bands", "sketch")
     sketched = rest.join(marked, F.col("rep") == F.col("m_id")).drop("m_id")
@@ -295,7 +295,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("set_key").alias("c_key"), F.coalesce("component", "rep").alias("component"))
     out = marks.select("doc_id", "n_shingles", "set_key").join(placed, F.col("set_key") == F.col("c_key"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    common.release(reps, leaders, shared, placed_, split, rest, flags, wanted, extra)
+    common.release(reps, leaders, shared, met, split, rest, flags, wanted, extra)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
