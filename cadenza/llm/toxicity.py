@@ -217,8 +217,12 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, factor
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.array(x, np.int32) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s[np.isin(s, wanted)].tobytes() for s in sets], pa.binary())], names=["label", "buckets"])
+            flat, offsets = batch.column(1).flatten().to_numpy(), np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())])
+            keep = np.zeros(len(flat), bool)
+            if len(wanted):
+                keep = wanted[np.minimum(np.searchsorted(wanted, flat), len(wanted) - 1)] == flat
+            sets = [flat[a:b][keep[a:b]].tobytes() for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["label", "buckets"])
 
     narrowed = found.mapInArrow(narrow, "label int, buckets binary").toPandas()
     common.release(found)
