@@ -285,7 +285,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     flags = common.materialize(flags.distinct().select(F.col("key").alias("f_key"), F.col("rep").alias("f_rep")), "near-flags")
     wanted = rest.join(flags, (F.col("key") == F.col("f_key")) & (F.col("rep") == F.col("f_rep"))).drop("f_key", "f_rep", "members", "minors")
     sizes = wanted.groupBy(F.col("key").alias("s_key")).agg(F.sum("n_shingles").alias("size"), F.sum(F.when(F.col("minor"), F.col("n_shingles"))).alias("minor_size"))
-    wanted = common.materialize(wanted.join(sizes, F.col("key") == F.col("s_key")).drop("s_key"), "near-wanted")
+    sizes = common.materialize(sizes, "near-sizes")
+    wanted = common.materialize(wanted.join(common.sized(sizes), F.col("key") == F.col("s_key")).drop("s_key"), "near-wanted")
     texts = common.keep_ids(docs, wanted.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("t_id"), "text")
     full = wanted.join(marked, F.col("rep") == F.col("m_id")).join(texts, F.col("rep") == F.col("t_id")).drop("m_id", "t_id")
     extra = common.materialize(_in_blocks(full, F.ceil(F.col("size") / BLOCK), F.ceil(F.col("minor_size") / BLOCK)).mapInArrow(_grouped(_compared), "a long, b long"), "near-extra")
