@@ -209,8 +209,38 @@ def flow_color(u: Column, v: Column, largest: float) -> tuple[Column, Column]:
     return hue, F.least(F.lit(1.0), F.hypot(u, v) / largest)
 
 
-#: Fixed value: entries of the colour wheel for flow.
-WHEEL = 55
+# Corners of the colour wheel for flow (Baker et al., 2011), and entries from each to the next.
+_CORNERS, _ENTRIES = [(255, 0, 0), (255, 255, 0), (0, 255, 0), (0, 255, 255), (0, 0, 255), (255, 0, 255)], [15, 6, 4, 11, 13, 6]
+WHEEL = sum(_ENTRIES)
+
+
+def color_wheel() -> list[tuple[int, ...]]:
+    """The wheel's entries: a channel that differs between two corners rises or falls in whole steps, the others stay."""
+    out = []
+    for a, b, n in zip(_CORNERS, _CORNERS[1:] + _CORNERS[:1], _ENTRIES):
+        for step in (255 * i // n for i in range(n)):
+            out.append(tuple(p if p == q else step if q > p else 255 - step for p, q in zip(a, b)))
+    return out
+
+
+def flow_rgb(u: Column, v: Column, largest: Column) -> Column:
+    """r, g, b of a flow vector: hue by direction, from the wheel, towards white by the magnitude's share of the largest and
+    darker beyond it; a missing vector is black."""
+    eps = float(np.finfo(np.float32).eps)
+    most = F.when(largest > 0, largest).otherwise(1.0) + eps
+    x, y = u / most, v / most
+    share, place = F.sqrt(x * x + y * y), wheel_place(x, y)
+    first = F.floor(place).cast("int")
+    part, wheel = place - F.floor(place), color_wheel()
+
+    def channel(c: int) -> Column:
+        entries = F.array(*[F.lit(e[c]) for e in wheel])
+        at = lambda k: F.get(entries, k % WHEEL) / 255.0
+        color = (1.0 - part) * at(first) + part * at(first + 1)
+        color = F.when(share <= 1, 1.0 - share * (1.0 - color)).otherwise(color * 0.75)
+        return F.when(color.isNull(), 0).otherwise(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), color * 255.0))).cast("int"))
+
+    return F.struct(*[channel(c).alias(n) for c, n in enumerate("rgb")])
 
 
 def wheel_place(u: Column, v: Column) -> Column:

@@ -391,6 +391,28 @@ def flw_wheel(spark, d):
     return px.select("k", "i", F.floor(place).cast("int").alias("wheel"), r(place - F.floor(place), 4).alias("part"), (F.hypot(u, v) <= 1).alias("inside"))
 
 
+def _wheel_sql(channel: int) -> str:
+    entries = "[" + ", ".join(str(e[channel]) for e in stencil.color_wheel()) + "]"
+    at = lambda k: f"{entries}[({k}) % 55 + 1] / 255.0::DOUBLE"
+    return f"((1.0::DOUBLE - part) * ({at('first')}) + part * ({at('first + 1')}))"
+
+
+def _rgb_sql(channel: int) -> str:
+    c = _wheel_sql(channel)
+    return f"CASE WHEN u IS NULL THEN 0 ELSE floor(greatest(0.0::DOUBLE, least(255.0::DOUBLE, CASE WHEN share <= 1 THEN 1.0::DOUBLE - share * (1.0::DOUBLE - {c}) ELSE {c} * 0.75::DOUBLE END * 255.0::DOUBLE)))::INT END"
+
+
+@query("FLW13 SCL23", f"""WITH {S.MASKED}, f AS (SELECT k, i, (bt - 250) / 30 AS u, (260 - bt) / 60 AS v FROM px), m AS (SELECT k, max(sqrt(u * u + v * v)) * 0.8::DOUBLE + 1.1920928955078125e-07::DOUBLE AS most FROM f GROUP BY k),
+ n AS (SELECT k, i, u / most AS u, v / most AS v FROM f JOIN m USING (k)), p AS (SELECT *, sqrt(u * u + v * v) AS share, (atan2(-v, -u) / pi() + 1) / 2 * 54 AS place FROM n), w AS (SELECT *, floor(place)::INT AS first, place - floor(place) AS part FROM p)
+ SELECT k, i::INT AS i, {_rgb_sql(0)} AS r, {_rgb_sql(1)} AS g, {_rgb_sql(2)} AS b FROM w""")
+def flw_image(spark, d):
+    """Flow as colours, normalised by four fifths of each frame's largest magnitude; missing pixels are black."""
+    fr = views.frames(spark, d, masked=True).select("k", F.transform("bt", lambda b: (b - 250) / 30).alias("u"), F.transform("bt", lambda b: (260 - b) / 60).alias("v"))
+    fr = fr.withColumn("largest", F.array_max(F.zip_with("u", "v", lambda u, v: F.sqrt(u * u + v * v))) * 0.8)
+    px = fr.select("k", "largest", F.posexplode(F.arrays_zip("u", "v")).alias("i", "f"))
+    return px.select("k", "i", stencil.flow_rgb(F.col("f.u"), F.col("f.v"), F.col("largest")).alias("c")).select("k", "i", "c.*")
+
+
 @query("MDL01 MDL02 MDL03", f"""WITH {S.PX}, {S.MIDDLE} SELECT k, round(avg(0.75::DOUBLE * a + 0.25::DOUBLE * b), 6) AS linear, round(avg(a), 6) AS copy, true AS unknown FROM middle GROUP BY k""")
 def mdl_registry(spark, d):
     """Models by name, at a time of each frame's own; an unknown name is an error."""
