@@ -1,5 +1,7 @@
 """Main text of pages by tag-path ratios: what the ratio decides, and pages made to be hard."""
 
+import random
+import re
 import time
 
 import pytest
@@ -77,3 +79,75 @@ def test_long_pages_take_linear_time(unit):
     began = time.process_time()
     main_text(page)
     assert time.process_time() - began < 15  # a second or two when nothing else runs
+
+
+TITLE = f"<h1>T</h1><p>{LONG}</p><p>{LONG}</p>"
+WANT = f"T\n{LONG.strip()}\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("page", [
+    f'<form id="aspnetForm"><div>{TITLE}</div></form>',
+    f"<form><p>Sign in, please.</p><label>Name, please <input></label></form><div>{TITLE}</div>",
+    f"<section><header><p>Site header, welcome.</p></header></section><article>{TITLE}</article>",
+    f"<header><h1>Site</h1><p>Welcome, reader.</p></header><div>{TITLE}</div>",
+    f"<div id=page><div id=header><a href=/>Site name</a><p>Since 1999, in print.</p></div><div>{TITLE}</div></div>",
+    f"<div><p>We use cookies to improve your experience, see our policy.</p><button>OK</button></div><div>{TITLE}</div>",
+    f"<div>{TITLE}</div><div><p>Buy our magazine, today.</p></div>",
+    f"<div>{TITLE}</div><div><b>Bob</b><p>Great article, thanks a lot!</p></div><div><b>Ann</b><p>I agree.</p></div>",
+    f"<article>{TITLE}</article><div><b>Bob</b><p>Great article, thanks a lot!</p></div>",
+    f"<article>{TITLE}<h2>Comments</h2><div><p>Bob: nice, that.</p></div></article>",
+    f"<article>{TITLE}<h3>3 comments</h3><p>Bob: nice, that.</p></article>",
+    f"<article>{TITLE}<label>Name, please <input></label></article>",
+    f"<div class=search><p>Find it, here, in our large archive.</p></div><div>{TITLE}</div>",
+])
+def test_what_stands_around_a_text_goes(page):
+    assert main_text(f"<body>{page}</body>") == WANT
+
+
+@pytest.mark.parametrize("page,want", [
+    (f'<article><div class="entry-header"><h1>Headline</h1></div><p>{LONG}</p></article>', ["Headline", LONG]),
+    (f'<div class="article"><header><h1>Headline</h1></header><div><p>{LONG}</p></div></div>', ["Headline", LONG]),
+    (f'<div><div class="entry-header"><h1>Headline</h1></div><p>{LONG}</p></div>', ["Headline", LONG]),
+    (f"<article><h1>T</h1><p>{LONG}</p><h2>Comments</h2><p>The commission published its comments, in full, on Monday.</p></article>", ["T", LONG, "Comments", "The commission published its comments, in full, on Monday."]),
+    (f"<div><h1>T</h1><div><p>The lead, short.</p></div><div><p>{LONG}</p><p>{LONG}</p></div></div>", ["T", "The lead, short.", LONG, LONG]),
+    (f"<div><h1>T</h1><div class=s><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div class=s><h2>End</h2><p>Short.</p></div></div>", ["T", LONG, LONG, LONG, "End", "Short."]),
+    (f"<div><h1>T</h1><p>{LONG}</p><div><pre>x = 1</pre><button>Copy</button></div><p>{LONG}</p></div>", ["T", LONG, "x = 1", LONG]),
+])
+def test_what_belongs_to_a_text_stays(page, want):
+    assert main_text(f"<body>{page}</body>").split("\n") == [w.strip() for w in want]
+
+
+def made_page(draw, n, named):
+    """A page of a made-up site and its text, which is known; with or without the names and elements that say what is what."""
+    sentence = lambda k: " ".join(f"word{draw.randrange(500)}" for _ in range(k)) + ", and so on."
+    body = [f"Title {n}", *[" ".join(sentence(draw.randint(8, 20)) for _ in range(draw.randint(2, 4))) for _ in range(draw.randint(2, 9))]]
+    text = f"<h1>{body[0]}</h1>" + "".join(f"<p>{b}</p>" for b in body[1:])
+    tag = lambda name, plain, attributes="": (f"<{name}{attributes}>", f"</{name}>") if named else (f"<{plain}>", f"</{plain}>")
+    links = "".join(f"<li><a href=/{k}>Item {k}</a></li>" for k in range(draw.randint(3, 8)))
+    wrap = lambda pair, inner: pair[0] + inner + pair[1]
+    parts = [
+        wrap(tag("nav", "div"), f"<ul>{links}</ul>"), wrap(tag("div", "div", ' class="notice"'), f"<p>{sentence(6)}</p><button>OK</button>"), wrap(tag("article", "div"), text),
+        wrap(tag("div", "div", ' class="comments"'), f"<h3>2 Comments</h3><div><b>Bob</b><p>{sentence(5)}</p></div><div><b>Ann</b><p>{sentence(4)}</p></div>"),
+        wrap(tag("aside", "div"), f"<p>{sentence(5)}</p>"), wrap(tag("footer", "div"), "Imprint of the site"),
+    ]
+    return "<html><body>" + "".join(parts) + "</body></html>", "\n".join(body)
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_all_pages_of_a_made_up_site(named):
+    draw = random.Random(8)
+    pages = [made_page(draw, n, named) for n in range(200)]
+    assert [main_text(p) for p, _ in pages] == [w for _, w in pages]
+    if not named:  # without names the ratio decides: a constant one is wrong on every page
+        parsed = [html_text.Page(p) for p, _ in pages]
+        assert not any("\n".join(p.blocks[k][1] for k in html_text.content(p, [1.0] * len(p.blocks))) == w for p, (_, w) in zip(parsed, pages))
+
+
+def test_given_pages_without_classes(sf_dir, spark):
+    """Stripped of classes and ids the given pages have the same text, which a constant ratio does not find."""
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/../sf0.01/pages.parquet").collect() if r["html"]]
+    bare = [re.sub(r'\s(class|id)="[^"]*"', "", p) for p in pages]
+    same = sum(main_text(a) == main_text(b) for a, b in zip(pages, bare))
+    parsed = [html_text.Page(p) for p in bare]
+    constant = sum("\n".join(p.blocks[k][1] for k in html_text.content(p, [1.0] * len(p.blocks))) == main_text(a) for p, a in zip(parsed, pages))
+    assert same >= 0.98 * len(pages) and constant <= 0.02 * len(pages)
