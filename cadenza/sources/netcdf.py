@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -109,8 +109,21 @@ def dump(ds: Dataset) -> bytes:
     return head + table + b"".join(bodies)
 
 
-def load(raw: bytes) -> Dataset:
-    """Reads a classic file (32 or 64-bit offsets, with or without a record dimension)."""
+@dataclass
+class _Spec:
+    """A variable as the header has it; a record variable has a slice in each record."""
+
+    name: str
+    dims: tuple[str, ...]
+    shape: tuple[int, ...]
+    attrs: dict
+    dtype: np.dtype
+    begin: int
+    record: bool
+
+
+def _header(raw: bytes) -> tuple[dict[str, int], dict, list[_Spec], int]:
+    """Dimensions, attributes, variables and bytes of a record of a classic file (32 or 64-bit offsets)."""
     if raw[:3] != b"CDF" or raw[3] not in (1, 2):
         raise ValueError("no classic NetCDF file")
     wide, at = raw[3] == 2, 4
@@ -136,8 +149,9 @@ def load(raw: bytes) -> Dataset:
             name = text()
             code, m = take(">ii")
             dtype = np.dtype(_TYPES[code])
-            body = raw[at : at + m * dtype.itemsize]
-            at += len(body) + -len(body) % 4
+            size = m * dtype.itemsize
+            body = raw[at : at + size]
+            at += size + -size % 4
             value = body.decode("utf-8", "replace") if code == 2 else np.frombuffer(body, dtype)
             out[name] = value if code == 2 else value[0].item() if m == 1 else value.tolist()
         return out
@@ -148,29 +162,86 @@ def load(raw: bytes) -> Dataset:
     lengths = {name: records if size == 0 else size for name, size in dims}
     whole = attrs()
     _, n = take(">ii")
-    specs = []
+    specs, stride = [], 0
     for _ in range(n):
         name = text()
         ids = [take(">i") for _ in range(take(">i"))]
         own = attrs()
         code, size = take(">ii")
-        specs.append((name, ids, own, code, size, take(">q" if wide else ">i")))
-    record_vars = [s for s in specs if s[1] and dims[s[1][0]][1] == 0]
-    stride = sum(s[4] for s in record_vars)
+        record = bool(ids) and dims[ids[0]][1] == 0
+        stride += size * record
+        names = tuple(dims[i][0] for i in ids)
+        specs.append(_Spec(name, names, tuple(lengths[d] for d in names), own, np.dtype(_TYPES[code]), take(">q" if wide else ">i"), record))
+    return lengths, whole, specs, stride
+
+
+def load(raw: bytes) -> Dataset:
+    """Reads a classic file (32 or 64-bit offsets, with or without a record dimension)."""
+    lengths, whole, specs, stride = _header(raw)
     out = {}
-    for name, ids, own, code, size, begin in specs:
-        shape = tuple(lengths[dims[i][0]] for i in ids)
-        dtype = np.dtype(_TYPES[code])
-        if ids and dims[ids[0]][1] == 0:
-            per = math.prod(shape[1:])
-            data = np.concatenate([np.frombuffer(raw, dtype, per, begin + k * stride) for k in range(records)]) if records else np.zeros(0, dtype)
+    for s in specs:
+        if s.record:
+            per = math.prod(s.shape[1:])
+            data = np.concatenate([np.frombuffer(raw, s.dtype, per, s.begin + k * stride) for k in range(s.shape[0])]) if s.shape[0] else np.zeros(0, s.dtype)
         else:
-            data = np.frombuffer(raw, dtype, math.prod(shape), begin)
-        fixed = not (ids and dims[ids[0]][1] == 0)
-        out[name] = Variable(tuple(dims[i][0] for i in ids), data.reshape(shape), own, begin if fixed else None)
+            data = np.frombuffer(raw, s.dtype, math.prod(s.shape), s.begin)
+        out[s.name] = Variable(s.dims, data.reshape(s.shape), s.attrs, None if s.record else s.begin)
     return Dataset(lengths, out, whole)
 
 
+@dataclass
+class RangedVariable:
+    """A variable that is read when it is asked for: `data` reads the rows of `window`, by default all."""
+
+    spec: _Spec
+    read: Callable[[int, int], bytes]
+    stride: int
+    window: tuple[int, int] | None = None
+
+    @property
+    def shape(self) -> tuple[int, ...]:
+        return self.spec.shape
+
+    @property
+    def attrs(self) -> dict:
+        return self.spec.attrs
+
+    @property
+    def data(self) -> np.ndarray:
+        s, size = self.spec, self.spec.dtype.itemsize
+        axis = max(0, len(s.shape) - 2)
+        first, last = self.window or (0, s.shape[axis] if s.shape else 1)
+        below, rows = math.prod(s.shape[axis + 1 :]), s.shape[axis] if s.shape else 1
+        out = []
+        for k in range(math.prod(s.shape[:axis])):  # the rows of each outer index lie together
+            if s.record and axis:
+                inner = math.prod(s.shape[1:axis])
+                begin = s.begin + (k // inner) * self.stride + (k % inner) * rows * below * size
+            else:
+                begin = s.begin + k * rows * below * size
+            if s.record and not axis:
+                out += [np.frombuffer(self.read(begin + r * self.stride, below * size), s.dtype) for r in range(first, last)]
+            else:
+                out.append(np.frombuffer(self.read(begin + first * below * size, (last - first) * below * size), s.dtype))
+        flat = np.concatenate(out) if out else np.zeros(0, s.dtype)
+        return flat.reshape(*s.shape[:axis], last - first, *s.shape[axis + 1 :]) if s.shape else flat.reshape(())
+
+
+def open_ranges(read: Callable[[int, int], bytes]) -> Dataset:
+    """A classic file through read(offset, length): the header at once, each variable when it is asked for."""
+    size = 1 << 14
+    while True:
+        raw = read(0, size)
+        try:
+            lengths, whole, specs, stride = _header(raw)
+            break
+        except (struct.error, ValueError, KeyError, IndexError):
+            if len(raw) < size:
+                raise
+            size *= 4
+    return Dataset(lengths, {s.name: RangedVariable(s, read, stride) for s in specs}, whole)
+
+
 def frame_dataset(bt: np.ndarray, lat: np.ndarray, lon: np.ndarray, time: str, attrs: dict) -> Dataset:
     """One frame with coordinates; attributes in REQUIRED_ATTRS must be there."""
     if missing := [k for k in REQUIRED_ATTRS if k not in attrs]:

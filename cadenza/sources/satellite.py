@@ -1,30 +1,34 @@
-"""Frames of geostationary sensors in NetCDF files: a Spark data source that prunes files by sensor and time before it opens them.
+"""Frames of geostationary sensors in NetCDF and HDF5 files: a Spark data source that prunes files by sensor and time before it
+opens them and reads the byte ranges of what it needs.
 
     register(spark)
     spark.read.format("cadenza_frames").option("path", folder).option("start", "2025-06-20T00:00:00").load()
+
+With the option `block` a row is a block of a frame (by, bx), read a band of rows at a time, so that no task holds a whole frame.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from cadenza.functions.text import SOURCE_MARKS
-from cadenza.sources import netcdf
+from cadenza.sources import hdf5, netcdf
 from cadenza.sources.folders import get, put, store
 
 #: Files of a partition.
 FILES = 32
 # Patterns of the start time in file names, variables by sensor.
 _TIMES = [
-    (re.compile(r"_s(\d{4})(\d{3})(\d{2})(\d{2})(\d{2})"), None), (re.compile(r"HS_H\d\d_(\d{8}_\d{4})_B"), "%Y%m%d_%H%M"), (re.compile(r"_(\d{12})\.nc$"), "%Y%m%d%H%M"),
+    (re.compile(r"_s(\d{4})(\d{3})(\d{2})(\d{2})(\d{2})"), None), (re.compile(r"HS_H\d\d_(\d{8}_\d{4})_B"), "%Y%m%d_%H%M"), (re.compile(r"_(\d{12})\.(?:nc|h5)$"), "%Y%m%d%H%M"),
     (re.compile(r"_(\d{2}[A-Z]{3}\d{4}_\d{4})_"), "%d%b%Y_%H%M"),
 ]
 _HIMAWARI = ["tbb_13", "tbb", "bt", "brightness_temperature", "CMI"]
@@ -143,27 +147,70 @@ def temperature(ds: netcdf.Dataset, source: str) -> np.ndarray:
     return netcdf.frame_of(ds)[1]
 
 
+def open_file(read: Callable[[int, int], bytes]) -> netcdf.Dataset:
+    """A sensor file of either format through read(offset, length); its variables are read when they are asked for."""
+    if hdf5.is_hdf5(read(0, 8)):
+        file = hdf5.File(read)
+        return netcdf.Dataset({}, {name.rsplit("/", 1)[-1]: d for name, d in file.datasets.items()}, file.attrs)
+    return netcdf.open_ranges(read)
+
+
 def read_frame(raw: bytes, source: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Temperature, latitude and longitude of one file."""
-    ds = netcdf.load(raw)
-    bt = np.atleast_2d(np.squeeze(temperature(ds, source or "")))
+    return _band(open_file(lambda offset, length: raw[offset : offset + length]), source)
+
+
+def _band(ds: netcdf.Dataset, source: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    bt = np.squeeze(temperature(ds, source or ""))
+    bt = bt.reshape(1, -1) if bt.ndim < 2 else bt
     return (bt, *coordinates(ds, bt.shape))
 
 
+def frame_shape(ds: netcdf.Dataset) -> tuple[int, int]:
+    """Rows and columns of the variable that holds the frame."""
+    for name in ["CMI", "Rad", *_HIMAWARI, *_GK2A_BT, "image_pixel_values", "IMG_TIR1", *netcdf.BT_NAMES]:
+        found = first_present(ds.variables, [name])
+        if found and len(ds.variables[found].shape) > 1:
+            return tuple(ds.variables[found].shape[-2:])
+    raise ValueError("no frame")
+
+
+def bands(ds: netcdf.Dataset, source: str | None, height: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First row, temperature, latitude and longitude of each band of `height` rows; only a band's bytes are read at a time."""
+    rows, cols = frame_shape(ds)
+    down = [v for name, v in ds.variables.items() if len(v.shape) == 1 and v.shape[0] == rows and name.lower() in ("y", *[x.lower() for x in _LAT])]
+    down += [v for v in ds.variables.values() if len(v.shape) > 1 and tuple(v.shape[-2:]) == (rows, cols)]
+    for first in range(0, rows, height):
+        for v in down:
+            v.window = (first, min(rows, first + height))
+        bt, lat, lon = _band(ds, source)
+        yield first, bt.reshape(-1, cols), lat.reshape(-1, cols), lon.reshape(-1, cols)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    """Arrays as lists with NaN as NULL, from their buffers."""
+    flat = np.concatenate([a.ravel() for a in arrays]).astype(np.float64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[a.size for a in arrays]]), pa.int32()), pa.array(flat, pa.float64(), mask=np.isnan(flat)))
+
+
 @dataclass
 class Files(InputPartition):
     paths: list[tuple[str, str | None, datetime | None]]
 
 
-SCHEMA = "path string, source string, time timestamp_ntz, n_rows int, n_cols int, bt array<double>, lat array<double>, lon array<double>"
+_FILE, _ARRAYS = "path string, source string, time timestamp_ntz, n_rows int, n_cols int", "bt array<double>, lat array<double>, lon array<double>"
+SCHEMA, BLOCK_SCHEMA = f"{_FILE}, {_ARRAYS}", f"{_FILE}, by int, bx int, {_ARRAYS}"
 
 
 class FrameReader(DataSourceReader):
+    #: Names of the files that it reads end so.
+    ENDS: tuple[str, ...] = (".nc", ".h5")
+
     def __init__(self, options):
         self.folder = options["path"]
         read = lambda name: datetime.fromisoformat(options[name]) if name in options else None
         self.low, self.high = sorted([read("start"), read("end")]) if "start" in options and "end" in options else (read("start"), read("end"))
-        self.source = options.get("source")
+        self.source, self.block = options.get("source"), int(options.get("block", 0))
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Bounds of `time` prune files; every filter is applied again by Spark."""
@@ -186,7 +233,7 @@ class FrameReader(DataSourceReader):
             raise OfflineError(f"{self.folder} cannot be listed; download the files first and give their folder as path") from e
         out = []
         for info in found:
-            if info.type != fs.FileType.File or not info.path.endswith(".nc"):
+            if info.type != fs.FileType.File or not info.path.endswith(self.ENDS):
                 continue
             source, time = source_of(info.base_name), time_of(info.base_name)
             if self.source and source != self.source or time and (self.low and time < self.low or self.high and time > self.high):
@@ -198,23 +245,35 @@ class FrameReader(DataSourceReader):
         found = self.listed()
         return [Files(found[a : a + FILES]) for a in range(0, len(found), FILES)] or [Files([])]
 
-    def read(self, partition: Files) -> Iterator[tuple]:
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        """A batch for each frame, or for each band of blocks; arrays go as buffers."""
         files, _ = store(self.folder)
-        flat = lambda x: [None if v != v else v for v in x.ravel().tolist()]
         for path, source, time in partition.paths:
-            bt, lat, lon = read_frame(get(files, path), source)
-            yield path, source, time, bt.shape[0], bt.shape[1], flat(bt), flat(lat), flat(lon)
+            with files.open_input_file(path) as f:
+                ds = open_file(lambda offset, length: f.read_at(length, offset))
+                for first, *arrays in bands(ds, source, self.block) if self.block else [(0, *_band(ds, source))]:
+                    shape = frame_shape(ds) if self.block else arrays[0].shape
+                    cuts = range(0, shape[1], self.block) if self.block else [0]
+                    width = self.block or shape[1]
+                    n = len(cuts)
+                    columns = [pa.array([path] * n), pa.array([source] * n, pa.string()), pa.array([time] * n, pa.timestamp("us")), *[pa.array([k] * n, pa.int32()) for k in shape]]
+                    names = ["path", "source", "time", "n_rows", "n_cols"]
+                    if self.block:
+                        columns += [pa.array([first // self.block] * n, pa.int32()), pa.array(range(n), pa.int32())]
+                        names += ["by", "bx"]
+                    columns += [_lists([a[:, x : x + width] for x in cuts]) for a in arrays]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*names, "bt", "lat", "lon"])
 
 
 class FrameSource(DataSource):
-    """Frames of all files under `path`; options start, end (ISO, in any order) and source."""
+    """Frames of all files under `path`; options start, end (ISO, in any order), source and block (the side of blocks)."""
 
     @classmethod
     def name(cls) -> str:
         return "cadenza_frames"
 
     def schema(self) -> str:
-        return SCHEMA
+        return BLOCK_SCHEMA if int(self.options.get("block", 0)) else SCHEMA
 
     def reader(self, schema) -> FrameReader:
         return FrameReader(self.options)
@@ -246,5 +305,8 @@ def list_and_download(spark: SparkSession, folder: str, target: str, **options:
 
 def register(spark: SparkSession) -> None:
     """Makes the source known to a session, which then hands its filters to it."""
+    from cadenza.sources.himawari import SegmentSource
+
     spark.dataSource.register(FrameSource)
+    spark.dataSource.register(SegmentSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
