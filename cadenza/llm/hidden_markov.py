@@ -13,8 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 
 SEGMENT = 2_048
+#: While so many sequences run side by side, steps cost less than matrices, so segments are as long as the sequence of that rank.
+WIDE = 32
 #: Symbols in hand at once.
-GROUP = 500_000
+GROUP = 1_000_000
 
 
 @dataclass
@@ -65,12 +67,12 @@ def _forward(model: Model, layout: _Layout, into: np.ndarray) -> tuple[np.ndarra
     alpha = model.emits[layout.symbols]
     scale = np.empty(len(alpha), alpha.dtype)
     before = into[layout.order]
-    moves = model.moves
+    moves, ones = model.moves, np.ones(alpha.shape[1], alpha.dtype)
     for n, (a, width) in enumerate(layout.steps()):
         now = alpha[a : a + width]
         now *= before[:width] if n == 0 else before[:width] @ moves
         total = scale[a : a + width]
-        np.sum(now, axis=1, out=total)
+        np.dot(now, ones, out=total)
         now /= total[:, None]
         before = now
     return alpha, scale
@@ -92,22 +94,41 @@ def _backward(model: Model, layout: _Layout, scale: np.ndarray, end: np.ndarray)
     return beta, met
 
 
-def _transfer(model: Model, segments: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The matrix from the state before each segment's first symbol to that behind its last, up to a factor whose log is the second."""
+def _values(model: Model, segments: list[np.ndarray]) -> np.ndarray:
+    """How likely each segment is from each state before its first symbol, up to a factor."""
+    layout = _Layout(segments)
+    out = np.ones((len(segments), len(model.start)), model.emits.dtype)
+    back = np.ascontiguousarray(model.moves.T)
+    steps = list(layout.steps())
+    for n in range(len(steps) - 1, -1, -1):
+        a, width = steps[n]
+        now = out[:width]
+        now *= model.emits[layout.symbols[a : a + width]]
+        now /= now.max(axis=1, keepdims=True)
+        if n:
+            now[:] = now @ back
+    found = np.empty_like(out)
+    found[layout.order] = out
+    return found
+
+
+def _transfer(model: Model, segments: list[np.ndarray]) -> np.ndarray:
+    """The matrix from the state before each segment's first symbol to that behind its last, up to a factor."""
     layout = _Layout(segments)
     k = len(model.start)
     now = np.broadcast_to(np.eye(k, dtype=model.emits.dtype), (len(segments), k, k)).copy()
-    log = np.zeros(len(segments))
-    for a, width in layout.steps():
+    room, ones = np.empty((len(segments) * k, k), now.dtype), np.ones(k, now.dtype)
+    for n, (a, width) in enumerate(layout.steps()):
         met = model.emits[layout.symbols[a : a + width]]
-        step = (now[:width] * met[:, None, :]).reshape(-1, k) @ model.moves
-        step = step.reshape(width, k, k)
-        total = step.sum(axis=(1, 2))
-        now[:width] = step / total[:, None, None]
-        log[:width] += np.log(total)
-    out, out_log = np.empty_like(now), np.empty_like(log)
-    out[layout.order], out_log[layout.order] = now, log
-    return out, out_log
+        met /= (met @ ones)[:, None]
+        now[:width] *= met[:, None, :]
+        np.matmul(now[:width].reshape(-1, k), model.moves, out=room[: width * k])
+        now[:width] = room[: width * k].reshape(width, k, k)
+        if n % 8 == 7:  # far from the least number
+            now[:width] /= now[:width].sum(axis=(1, 2), keepdims=True)
+    out = np.empty_like(now)
+    out[layout.order] = now
+    return out
 
 
 def _groups(segments: list[np.ndarray]) -> Iterator[slice]:
@@ -129,9 +150,11 @@ class Batch:
         self.model = model
         self.segments: list[np.ndarray] = []
         owner, first = [], []
+        lengths = sorted((len(s) for s in sequences), reverse=True)
+        segment = max(SEGMENT, lengths[WIDE - 1] if len(lengths) >= WIDE else 0)
         for n, s in enumerate(sequences):
-            for a in range(0, len(s), SEGMENT):
-                self.segments.append(s[a : a + SEGMENT])
+            for a in range(0, len(s), segment):
+                self.segments.append(s[a : a + segment])
                 owner.append(n)
                 first.append(a == 0)
         self.owner, self.first = np.array(owner, np.int64), np.array(first, bool)
@@ -140,28 +163,38 @@ class Batch:
         self.end = np.ones((len(owner), k), kind)
         bounds = np.flatnonzero(self.first)
         self.counts = np.diff(np.append(bounds, len(owner)))
-        long_ = [int(n) for b, c in zip(bounds, self.counts) if c > 1 for n in range(b, b + c)]
-        if not long_:
+        many = [(int(b), int(c)) for b, c in zip(bounds, self.counts) if c > 1]
+        if not many:
             return
-        matrix = np.empty((len(long_), k, k), kind)
-        pieces = [self.segments[n] for n in long_]
+        # Only segments between the first and the last need matrices.
+        middle = [n for b, c in many for n in range(b + 1, b + c - 1)]
+        matrix, pieces = np.empty((len(middle), k, k), kind), [self.segments[n] for n in middle]
         for part in _groups(pieces):
-            matrix[part], _ = _transfer(model, pieces[part])
-        place = {n: i for i, n in enumerate(long_)}
-        many = [(int(b), int(c)) for b, c in zip(bounds, self.counts) if c > 1]
-        for n in range(1, max(c for _, c in many)):
+            matrix[part] = _transfer(model, pieces[part])
+        place = np.zeros(len(owner), np.int64)
+        place[middle] = np.arange(len(middle))
+        heads, tails = np.array([b for b, _ in many]), np.array([b + c - 1 for b, c in many])
+        pieces = [self.segments[n] for n in heads.tolist()]
+        for part in _groups(pieces):
+            layout = _Layout(pieces[part])
+            alpha, _ = _forward(model, layout, self.into[heads[part]])
+            self.into[heads[part][layout.order] + 1] = alpha[layout.last] @ model.moves
+        for n in range(2, max(c for _, c in many)):
             at = np.array([b + n for b, c in many if c > n])
-            vector = np.einsum("si,sij->sj", self.into[at - 1], matrix[[place[i - 1] for i in at.tolist()]])
+            vector = np.einsum("si,sij->sj", self.into[at - 1], matrix[place[at - 1]])
             self.into[at] = vector / vector.sum(axis=1, keepdims=True)
         if not backward:
             return
         behind = np.ones((len(owner), k), kind)
-        for n in range(max(c for _, c in many) - 1, 0, -1):
-            at = np.array([b + n for b, c in many if c > n])
-            last = np.array([n == c - 1 for _, c in many if c > n])
-            vector = np.einsum("sij,sj->si", matrix[[place[i] for i in at.tolist()]], np.where(last[:, None], 1.0, behind[at]).astype(kind))
+        pieces = [self.segments[n] for n in tails.tolist()]
+        for part in _groups(pieces):
+            behind[tails[part] - 1] = _values(model, pieces[part])
+        for n in range(max(c for _, c in many) - 2, 0, -1):
+            at = np.array([b + n for b, c in many if c > n + 1])
+            vector = np.einsum("sij,sj->si", matrix[place[at]], behind[at])
             behind[at - 1] = vector / vector.sum(axis=1, keepdims=True)
-            self.end[at - 1] = behind[at - 1] @ model.moves.T
+        inner = np.concatenate([np.arange(b, b + c - 1) for b, c in many])
+        self.end[inner] = behind[inner] @ model.moves.T
 
     def logs(self) -> np.ndarray:
         """The natural log of each sequence's likelihood."""
@@ -193,8 +226,8 @@ class Batch:
             counts.moves += moves * (alpha[before].T @ met[later:])
             alpha *= beta
             counts.start += alpha[: len(layout.lengths)][self.first[part][layout.order]].sum(axis=0)
-            for j in range(k):
-                counts.emits[:, j] += np.bincount(layout.symbols, alpha[:, j], len(counts.emits))
+            for j, share in enumerate(alpha.T):
+                counts.emits[:, j] += np.bincount(layout.symbols, share, len(counts.emits))
             counts.log += float(np.log(scale, dtype=np.float64).sum())
         inner = np.flatnonzero(~self.first)
         if len(inner):

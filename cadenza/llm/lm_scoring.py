@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -99,21 +100,24 @@ def encode(docs: DataFrame, words: list[bytes]) -> DataFrame:
     """(row, doc_id, held_out, ids, others): the number of each token among `words`, len(words) for any other; those with their counts."""
     other = len(words)
     known = docs.sparkSession.sparkContext.broadcast(words)
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("others", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {w: i for i, w in enumerate(known.value)}
         for batch in batches:
-            every, rest = [], []
+            every, rest, times, sizes = [], [], [], [0]
             for text in batch.column(2).to_pylist():
                 parts, unlike = [], Counter()
                 for tokens in _parts(text):
-                    ids = np.array([number.get(w, other) for w in tokens], np.int32)
+                    ids = np.fromiter(map(number.get, tokens, repeat(other)), np.int32, len(tokens))
                     unlike.update([tokens[i] for i in np.flatnonzero(ids == other).tolist()])
                     parts.append(ids)
                 every.append(np.concatenate(parts).tobytes())
-                rest.append([{"word": w.decode(), "n": n} for w, n in unlike.items()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(every, pa.binary()), pa.array(rest, schema.field("others").type)], schema=schema)
+                rest += unlike
+                times += unlike.values()
+                sizes.append(len(rest))
+            items = pa.StructArray.from_arrays([pa.array(rest, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], ["word", "n"])
+            others = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), items)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(every, pa.binary()), others], names=["doc_id", "held_out", "ids", "others"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     out = own.mapInArrow(run, "doc_id long, held_out boolean, ids binary, others array<struct<word: string, n: long>>")
