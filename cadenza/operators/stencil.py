@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.operators import flow
 from cadenza.operators.metrics import stack
 
 
@@ -88,13 +89,9 @@ def warp(frame: str, u: str, v: str, side: int, scale: float = 1.0) -> Column:
 # Flow: numpy on stacks of frames (n, rows, columns).
 
 def _means_around(f: np.ndarray) -> np.ndarray:
-    """Mean of the four neighbours, zero outside."""
-    out = np.zeros_like(f)
-    out[:, 1:] += f[:, :-1]
-    out[:, :-1] += f[:, 1:]
-    out[:, :, 1:] += f[:, :, :-1]
-    out[:, :, :-1] += f[:, :, 1:]
-    return out / 4
+    """Mean of the four neighbours, zero outside: the cross of a stack with a border of zeros."""
+    p = np.pad(f, ((0, 0), (1, 1), (1, 1)))
+    return (p[:, :-2, 1:-1] + p[:, 2:, 1:-1] + p[:, 1:-1, :-2] + p[:, 1:-1, 2:]) / 4
 
 
 def horn_schunck(a: np.ndarray, b: np.ndarray, n_iter: int = 60, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +109,7 @@ def horn_schunck(a: np.ndarray, b: np.ndarray, n_iter: int = 60, alpha: float =
 
 
 def block_flow(a: np.ndarray, b: np.ndarray, levels: int = 3, radius: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Pyramidal least-squares flow (Lucas-Kanade over a window), coarse to fine; stands in for polynomial-expansion solvers."""
+    """Pyramidal least-squares flow (Lucas-Kanade over a window), coarse to fine."""
     def half(x):
         h, w = x.shape[1] // 2 * 2, x.shape[2] // 2 * 2
         return x[:, :h, :w].reshape(-1, h // 2, 2, w // 2, 2).mean(axis=(2, 4))
@@ -150,7 +147,7 @@ def warp_numpy(frames: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (1 - fy) * ((1 - fx) * frames[k, y0, x0] + fx * frames[k, y0, x1]) + fy * ((1 - fx) * frames[k, y1, x0] + fx * frames[k, y1, x1])
 
 
-SOLVERS = {"horn_schunck": horn_schunck, "block": block_flow}
+SOLVERS = {"horn_schunck": horn_schunck, "block": block_flow, "total_variation": flow.total_variation, "polynomial": flow.polynomial}
 
 
 def _filled(frames: np.ndarray) -> np.ndarray:

@@ -351,12 +351,24 @@ def m20_flow(spark, d):
     return _values(crossval.m20(views.frames(spark, d), SIDE))
 
 
-@query("M20 FLW02 FLW06 FLW09")
+@query("M20 FLW09")
 def m20_block_flow(spark, d):
     """The same with the windowed least-squares flow."""
     return _values(crossval.m20(views.frames(spark, d), SIDE, "block"))
 
 
+@query("M20 FLW02 FLW05 FLW06 FLW09")
+def m20_polynomial(spark, d):
+    """The same with the flow of polynomial expansions."""
+    return _values(crossval.m20(views.frames(spark, d), SIDE, "polynomial"))
+
+
+@query("M20 FLW03 FLW05 FLW07 FLW09")
+def m20_total_variation(spark, d):
+    """The same with the flow of least total variation."""
+    return _values(crossval.m20(views.frames(spark, d), SIDE, "total_variation"))
+
+
 @query("M26 FLW10 FLT07")
 def m26_extreme_motion(spark, d):
     return _values(crossval.m26(views.frames(spark, d), SIDE))

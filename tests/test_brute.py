@@ -68,6 +68,14 @@ def test_flow_of_a_stack_is_that_of_each_frame(frames):
         assert np.allclose(u[n], p) and np.allclose(v[n], q)
 
 
+def test_blocks_give_the_flow_of_whole_frames(spark, sf_dir, frames):
+    keys = [k for k in sorted(frames) if k + 1 in frames]
+    u, v = stencil.horn_schunck(np.stack([frames[k] for k in keys]), np.stack([frames[k + 1] for k in keys]), 20)
+    own = {(r["k"], r["i"]): (r["u"], r["v"]) for r in QUERIES["blk_flow"].run(spark, sf_dir).collect()}
+    assert len(own) == 64 * len(keys)
+    assert all(own[k, i] == pytest.approx((u[n].flat[i], v[n].flat[i]), abs=2e-6) for n, k in enumerate(keys) for i in range(64))
+
+
 def test_flow_queries(spark, sf_dir, frames, middles):
     keys = sorted(middles)
     before, after = (np.stack([frames[k + d] for k in keys]) for d in (-1, 1))
@@ -77,8 +85,9 @@ def test_flow_queries(spark, sf_dir, frames, middles):
     linear = np.array([rmse(*middles[k]) for k in keys])
     own = values(spark, sf_dir, "m20_flow")
     assert own["base_rmse"] == pytest.approx(np.mean([rmse(p, t) for p, t in zip(pred, truth)]), abs=1e-5)
-    block = stencil.flow_blend(before, after, 0.5, "block")[2]
-    assert values(spark, sf_dir, "m20_block_flow")["base_rmse"] == pytest.approx(np.mean([rmse(p, t) for p, t in zip(block, truth)]), abs=1e-5)
+    for name, solver in (("m20_block_flow", "block"), ("m20_polynomial", "polynomial"), ("m20_total_variation", "total_variation")):
+        blend = stencil.flow_blend(before, after, 0.5, solver)[2]
+        assert values(spark, sf_dir, name)["base_rmse"] == pytest.approx(np.mean([rmse(p, t) for p, t in zip(blend, truth)]), abs=1e-5)
     own, cut = values(spark, sf_dir, "m26_extreme_motion"), np.median(speed)
     assert own["fast"] == pytest.approx(linear[speed >= cut].mean(), abs=1e-5) and own["slow"] == pytest.approx(linear[speed < cut].mean(), abs=1e-5)
     assert values(spark, sf_dir, "m31_speed")["pearson"] == pytest.approx(np.corrcoef(speed, linear)[0, 1], abs=1e-5)
