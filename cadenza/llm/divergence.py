@@ -21,7 +21,7 @@ from cadenza.llm import common
 LEAST_DOCUMENTS, MOST_RANK, ADDED = 30, 50, 5
 SCALE = 1_000_000_000
 #: Different terms that a task counts before it sends their counts on.
-HELD_TERMS = 200_000
+HELD_TERMS = 400_000
 #: Numbers (rows times sources) of a block.
 BLOCK_CELLS = 1 << 20
 #: Bytes of a text taken at once.
