@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cadenza.functions.scalar import to_unit_interval
 from cadenza.operators import blocks, sequence
 from cadenza.plans import sql as S
 from cadenza.plans.registry import QUERIES, query, r
 from cadenza.plans.sensor_queries import _W, _moment
-from cadenza.functions.scalar import to_unit_interval
-from cadenza.sources import views
+from cadenza.sources import cube, folders, views
 from cadenza.sources.views import SIDE
 
 GRID = blocks.Grid(SIDE, SIDE, 4)
@@ -83,3 +83,15 @@ def blk_flow(spark, d):
     """The flow from each frame to the next."""
     pairs = sequence.brackets(views.frames(spark, d).select("k", "bt"), ["bt"])
     return _cells(blocks.horn_schunck(_cut(pairs, "bt", "bt_next"), ["k"], "bt", "bt_next", GRID, 20), "u", "v")
+
+
+@query("SNK01 SNK02 SRC25 SRC26 HLP06", f"""WITH {S.MASKED} SELECT k, TIMESTAMP '2025-06-20 00:00:00' + to_minutes(30 * k::INT) AS time, (y // 4)::INT AS by, (x // 4)::INT AS bx, count(bt)::INT AS n_valid, round(avg(bt::FLOAT::DOUBLE), 4) AS mean FROM px GROUP BY ALL""")
+def blk_cube(spark, d):
+    """Blocks written by the sink that shows all or nothing, and read again chunk by chunk."""
+    folder = folders.shared(spark, "cube")
+    cut = blocks.from_frames(views.frames(spark, d, masked=True), ["k", "time"], ["bt"], GRID)
+    cube.write_cube(cut, folder, GRID, (68.0, 6.0, 98.0, 38.0), {"source": "synthetic"})
+    found, _ = cube.read_blocks(spark, folder)
+    known = F.filter("bt", lambda v: v.isNotNull())
+    mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, v: a + v), F.size(known).cast("double"))
+    return found.select("k", "time", "by", "bx", F.size(known).alias("n_valid"), r(mean, 4).alias("mean"))

@@ -1,4 +1,4 @@
-"""Cubes of frames as Zarr (version 2): one chunk file for each run of frames, written and read by tasks."""
+"""Cubes of frames as Zarr (version 2), in chunks of some frames by a block of pixels, written as a whole or not at all."""
 
 from __future__ import annotations
 
@@ -8,57 +8,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.sources.folders import get, put, store
+from cadenza.operators.blocks import Grid, from_frames
+from cadenza.sources import sinks
+from cadenza.sources.folders import get, store
 
 CHUNK_FRAMES = 16
+#: Side of a chunk at most: with CHUNK_FRAMES frames 16 MB of 32-bit values.
+CHUNK_SIDE = 512
 
 
-def _array(shape: list[int], chunks: list[int], dtype: str, fill) -> bytes:
-    return json.dumps({
-        "zarr_format": 2, "shape": shape, "chunks": chunks, "dtype": dtype, "compressor": {"id": "zlib", "level": 5}, "fill_value": fill, "order": "C", "filters": None,
-    }).encode()
+def write_cube(blocks: DataFrame, folder: str, grid: Grid, bbox: tuple[float, float, float, float], attrs: dict | None = None, chunk_frames: int = CHUNK_FRAMES, overwrite: bool = False) -> None:
+    """Writes blocks (k from 0, time, by, bx, bt) as the cube `folder` with bt (time, lat, lon), 32-bit, and its coordinates.
 
+    A chunk's rows meet in one task. A frame or block that is missing is NaN; no frames are an error. A job that fails leaves nothing."""
+    sinks.register(blocks.sparkSession)
+    micros = F.unix_micros(F.col("time").cast("timestamp")).alias("micros")
+    rows = blocks.select(F.col("k").cast("long").alias("k"), micros, "by", "bx", "bt", F.floor(F.col("k") / chunk_frames).alias("chunk"))
+    dealt = rows.repartition(F.col("chunk"), F.col("by"), F.col("bx")).sortWithinPartitions("chunk", "by", "bx", "k").drop("chunk")
+    options = {"path": folder, "rows": grid.rows, "cols": grid.cols, "size": grid.size, "frames": chunk_frames, "bbox": json.dumps(list(bbox)), "attrs": json.dumps(attrs or {})}
+    dealt.write.format("cadenza_cube").options(**options).mode("overwrite" if overwrite else "append").save()
 
-def build_cube(frames: DataFrame, folder: str, rows: int, cols: int, bbox: tuple[float, float, float, float], attrs: dict | None = None, chunk_frames: int = CHUNK_FRAMES) -> DataFrame:
-    """Writes frames (k from 0, time, bt as array) as the cube `folder` with bt (time, lat, lon), 32-bit, and its coordinates.
 
-    Returns a row for each chunk: chunk, n_frames, n_bytes. A frame that is missing in the order is NaN; no frames are an error."""
-    n = frames.agg(F.max("k")).first()[0]
-    if n is None:
+def build_cube(frames: DataFrame, folder: str, rows: int, cols: int, bbox: tuple[float, float, float, float], attrs: dict | None = None, chunk_frames: int = CHUNK_FRAMES) -> DataFrame:
+    """write_cube() of whole frames (k from 0, time, bt as array), replacing what is there; returns a row for each chunk: chunk, n_bytes."""
+    if frames.isEmpty():
         raise ValueError("a cube needs at least one frame")
-    n += 1
-    west, south, east, north = bbox
-    files, base = store(folder)
-    lat = north - (np.arange(rows) + 0.5) * (north - south) / rows
-    lon = west + (np.arange(cols) + 0.5) * (east - west) / cols
-    put(files, f"{base}/.zgroup", b'{"zarr_format": 2}')
-    put(files, f"{base}/.zattrs", json.dumps({"Conventions": "CF-1.8", "bbox": list(bbox), **(attrs or {})}).encode())
-    for name, shape, chunks, dtype, fill, dims in (
-        ("bt", [n, rows, cols], [chunk_frames, rows, cols], "<f4", "NaN", ["time", "lat", "lon"]), ("time", [n], [chunk_frames], "<i8", None, ["time"]),
-        ("lat", [rows], [rows], "<f8", "NaN", ["lat"]), ("lon", [cols], [cols], "<f8", "NaN", ["lon"]),
-    ):
-        put(files, f"{base}/{name}/.zarray", _array(shape, chunks, dtype, fill))
-        put(files, f"{base}/{name}/.zattrs", json.dumps({"_ARRAY_DIMENSIONS": dims, **({"units": "nanoseconds since 1970-01-01"} if name == "time" else {})}).encode())
-    put(files, f"{base}/lat/0", zlib.compress(lat.astype("<f8").tobytes()))
-    put(files, f"{base}/lon/0", zlib.compress(lon.astype("<f8").tobytes()))
-
-    def write(group: pd.DataFrame) -> pd.DataFrame:
-        files, base = store(folder)
-        chunk = int(group["chunk"].iloc[0])
-        bt, time = np.full((chunk_frames, rows * cols), np.nan, "<f4"), np.zeros(chunk_frames, "<i8")
-        for k, at, values in zip(group["k"], group["nanos"], group["bt"]):
-            bt[k - chunk * chunk_frames] = [np.nan if v is None else v for v in values]
-            time[k - chunk * chunk_frames] = at
-        body = zlib.compress(bt.tobytes(), 5)
-        put(files, f"{base}/bt/{chunk}.0.0", body)
-        put(files, f"{base}/time/{chunk}", zlib.compress(time.tobytes(), 5))
-        return pd.DataFrame({"chunk": [chunk], "n_frames": [len(group)], "n_bytes": [len(body)]})
-
-    dealt = frames.select("k", (F.unix_micros(F.col("time").cast("timestamp")) * 1000).alias("nanos"), "bt", F.floor(F.col("k") / chunk_frames).cast("long").alias("chunk"))
-    return dealt.groupBy("chunk").applyInPandas(write, "chunk long, n_frames long, n_bytes long")
+    grid = Grid(rows, cols, min(CHUNK_SIDE, max(rows, cols)))
+    write_cube(from_frames(frames, ["k", "time"], ["bt"], grid), folder, grid, bbox, attrs, chunk_frames, overwrite=True)
+    return frames.sparkSession.read.format("binaryFile").load(f"{folder}/bt/[0-9]*").select(F.element_at(F.split("path", "/"), -1).alias("chunk"), F.col("length").alias("n_bytes"))
 
 
 def cube_info(folder: str) -> dict:
@@ -75,23 +56,49 @@ def edges_of(lat: np.ndarray, lon: np.ndarray) -> list[float]:
     return [float(lon.min() - half(lon)), float(lat.min() - half(lat)), float(lon.max() + half(lon)), float(lat.max() + half(lat))]
 
 
-def read_cube(spark: SparkSession, folder: str) -> DataFrame:
-    """k, time and bt (array, missing as NULL) of every frame of a cube; a task reads whole chunks, and a chunk without a file has no frames."""
+def read_blocks(spark: SparkSession, folder: str, first: int = 0, last: int | None = None) -> tuple[DataFrame, Grid]:
+    """Blocks (k, time, by, bx, bt with missing as NULL) of the frames from `first` to before `last`, and their grid.
+
+    A task reads a chunk at a time, of which other frames' chunks are not opened; a chunk without a file has no blocks. The times
+    of a chunk stand beside its first block; where that is missing they are NULL."""
     info = cube_info(folder)
-    (n, rows, cols), step = info["shape"], info["chunks"][0]
+    (n, rows, cols), (step, size, _) = info["shape"], info["chunks"]
+    grid, last = Grid(rows, cols, size), n if last is None else min(last, n)
+    schema = "k long, micros long, by int, bx int, bt array<double>"
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
         files, base = store(folder)
         for batch in batches:
-            for chunk in batch["chunk"].tolist():
-                try:
-                    body, times = get(files, f"{base}/bt/{chunk}.0.0"), get(files, f"{base}/time/{chunk}")
-                except FileNotFoundError:
+            for chunk, by, bx in zip(*[batch.column(c).to_pylist() for c in ("chunk", "by", "bx")]):
+                names = [f"{base}/bt/{chunk}.{by}.{bx}", f"{base}/time/{chunk}"]
+                body, times = (get(files, i.path) if i.is_file else None for i in files.get_file_info(names))
+                if body is None:
                     continue
-                bt = np.frombuffer(zlib.decompress(body), "<f4").reshape(step, rows * cols).astype(float)[: n - chunk * step]
-                time = np.frombuffer(zlib.decompress(times), "<i8")[: len(bt)]
-                yield pd.DataFrame({"k": chunk * step + np.arange(len(bt)), "micros": time // 1000, "bt": [[None if x != x else x for x in row] for row in bt.tolist()]})
+                low, high = max(first, chunk * step), min(last, (chunk + 1) * step)
+                h, w = min(size, rows - by * size), min(size, cols - bx * size)
+                bt = np.frombuffer(zlib.decompress(body), "<f4").reshape(step, size, size)[low - chunk * step : high - chunk * step, :h, :w].astype(np.float64)
+                micros = np.frombuffer(zlib.decompress(times), "<i8")[low - chunk * step : high - chunk * step] // 1000 if times else None
+                flat = bt.reshape(-1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bt) + 1) * (h * w), pa.int32()), pa.array(flat, mask=np.isnan(flat)))
+                place = [pa.array([x] * len(bt), pa.int32()) for x in (by, bx)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, high)), pa.array([None] * len(bt), pa.int64()) if micros is None else pa.array(micros), *place, lists], names=["k", "micros", "by", "bx", "bt"])
+
+    total = max(0, -(-last // step) - first // step) * grid.down * grid.across
+    number, each = F.col("id"), grid.down * grid.across
+    chunks = spark.range(total).select((F.floor(number / each) + first // step).cast("long").alias("chunk"), F.floor(number % each / grid.across).cast("int").alias("by"), (number % grid.across).cast("int").alias("bx"))
+    out = chunks.repartition(max(1, min(total, 1000))).mapInArrow(read, schema)
+    return out.select("k", F.timestamp_micros("micros").cast("timestamp_ntz").alias("time"), "by", "bx", "bt"), grid
 
-    chunks = spark.range(-(-n // step)).select(F.col("id").alias("chunk")).repartition(max(1, min(-(-n // step), 1000)))
-    out = chunks.mapInPandas(read, "k long, micros long, bt array<double>")
-    return out.select("k", F.timestamp_micros("micros").cast("timestamp_ntz").alias("time"), "bt")
+
+def read_cube(spark: SparkSession, folder: str) -> DataFrame:
+    """k, time and bt (array, missing as NULL) of every frame of a cube whose frames fit a row: its blocks put together."""
+    found, grid = read_blocks(spark, folder)
+    if grid.down * grid.across == 1:
+        return found.select("k", "time", "bt")
+    # Rows of a frame: from each block row its lines, from each of these the blocks side by side.
+    width = lambda b: F.least(F.lit(grid.size), grid.cols - b["bx"] * grid.size)
+    strips = found.groupBy("k", "time", "by").agg(F.array_sort(F.collect_list(F.struct("bx", "bt"))).alias("parts"))
+    height = F.least(F.lit(grid.size), grid.rows - F.col("by") * grid.size)
+    lines = F.flatten(F.transform(F.sequence(F.lit(0), height - 1), lambda y: F.flatten(F.transform("parts", lambda b: F.slice(b["bt"], (y * width(b) + 1).cast("int"), width(b).cast("int"))))))
+    strips = strips.select("k", "time", F.struct("by", lines.alias("bt")).alias("strip"))
+    return strips.groupBy("k", "time").agg(F.array_sort(F.collect_list("strip")).alias("strips")).select("k", "time", F.flatten("strips.bt").alias("bt"))
