@@ -13,12 +13,13 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from time import time_ns
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from cadenza.functions.text import SOURCE_MARKS
 from cadenza.sources import hdf5, netcdf
@@ -265,6 +266,40 @@ class FrameReader(DataSourceReader):
                     yield pa.RecordBatch.from_arrays(columns, names=[*names, "bt", "lat", "lon"])
 
 
+class FrameStreamReader(FrameReader, DataSourceStreamReader):
+    """Frames in the order in which their files come: an offset is the time of the last file's last change, and its name.
+
+    A file counts when it has not changed for `settle` seconds (2), so that none of the same time comes behind an offset; a frame
+    that is older than others but comes later is read, too. What lies between two offsets is listed anew, so a batch that is
+    repeated after a restart has the same files. A batch takes all that has come."""
+
+    def __init__(self, options):
+        super().__init__(options)
+        self.settle = float(options.get("settle", 2))
+        self.reached: tuple[int, str] = (-1, "")
+
+    def arrived(self) -> list[tuple[int, str]]:
+        files, _ = store(self.folder)
+        paths = [p for p, _, _ in self.listed()]
+        infos = files.get_file_info(paths) if paths else []
+        newest = time_ns() - int(self.settle * 1e9)
+        return sorted((i.mtime_ns, i.path) for i in infos if i.mtime_ns <= newest)
+
+    def initialOffset(self) -> dict:
+        return {"changed": -1, "name": ""}
+
+    def latestOffset(self) -> dict:
+        self.reached = max([self.reached, *self.arrived()])
+        return {"changed": self.reached[0], "name": self.reached[1]}
+
+    def partitions(self, start: dict, end: dict) -> list[Files]:
+        low, high = ((o["changed"], o["name"]) for o in (start, end))
+        self.reached = max(self.reached, high)
+        wanted = {path for _, path in (x for x in self.arrived() if low < x <= high)}
+        found = [x for x in self.listed() if x[0] in wanted]
+        return [Files(found[a : a + FILES]) for a in range(0, len(found), FILES)] or [Files([])]
+
+
 class FrameSource(DataSource):
     """Frames of all files under `path`; options start, end (ISO, in any order), source and block (the side of blocks)."""
 
@@ -278,6 +313,9 @@ class FrameSource(DataSource):
     def reader(self, schema) -> FrameReader:
         return FrameReader(self.options)
 
+    def streamReader(self, schema) -> FrameStreamReader:
+        return FrameStreamReader(self.options)
+
 
 def list_and_download(spark: SparkSession, folder: str, target: str, **options: str) -> DataFrame:
     """Copies the files that the source's options select into `target`, those excepted that are there with their whole size:
