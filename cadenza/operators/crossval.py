@@ -146,7 +146,7 @@ def m26(frames: DataFrame, side: int) -> DataFrame:
     """Errors of the blend at slow and fast motion, split at the median speed."""
     f = with_flow(frames, side)
     errors = metrics.array_metrics(f.select("k", "speed", F.col("linear").alias("pred"), "truth"), ["k", "speed"])
-    cut = errors.agg(F.median("speed").alias("cut")).withColumn("one", F.lit(1))
+    cut = stats.quantiles(errors, "speed", {"cut": 0.5}).withColumn("one", F.lit(1))
     return errors.withColumn("one", F.lit(1)).join(cut, "one").groupBy(F.when(F.col("speed") >= F.col("cut"), "fast").otherwise("slow").alias("metric")).agg(F.avg("bt_rmse_k").alias("value")).select(F.lit("M26").alias("method_id"), "metric", "value")
 
 

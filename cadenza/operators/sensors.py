@@ -11,17 +11,25 @@ from cadenza.operators import metrics
 
 def nearest_in_time(a: DataFrame, b: DataFrame, tolerance_s: int, keys: list[str] | None = None) -> DataFrame:
     """Each row of `a` (time, ...) with the row of `b` nearest in time within the tolerance, ties to the earlier; b's columns
-    get the suffix _b.
+    get the suffix _b. Rows of `a` that are alike stay as many; of b's rows at one time (and keys) the least is met.
 
-    Times fall into buckets of the tolerance; a row meets b's rows of its own bucket and of those beside it, by an equi-join."""
+    Only times meet: they fall into buckets of the tolerance, a time meets those of its own bucket and of those beside it by an
+    equi-join. Then each side is fetched once by its time."""
     keys = keys or []
     second = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    right = b.select(*[F.col(c).alias(f"{c}_b") for c in b.columns]).withColumn("bucket", F.floor(second("time_b") / tolerance_s))
-    left = a.withColumn("own", F.struct(*a.columns)).withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(second("time") / tolerance_s) + d)))
-    met = left.join(right, [F.col(k) == F.col(f"{k}_b") for k in keys] + [left["bucket"] == right["bucket"]]) if keys else left.join(right, left["bucket"] == right["bucket"])
-    gap = F.abs(second("time") - second("time_b"))
-    best = met.filter(gap <= tolerance_s).groupBy("own").agg(F.min(F.struct(gap.alias("gap"), F.col("time_b").alias("at"), F.struct(*right.columns[:-1]).alias("b"))).alias("m"))
-    return best.select("own.*", "m.b.*", F.col("m.gap").alias("gap_s"))
+    own = a.select(*keys, "time").distinct()
+    other = b.select(*[F.col(k).alias(f"{k}_o") for k in keys], F.col("time").alias("time_o")).distinct()
+    left = own.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(second("time") / tolerance_s) + d)))
+    right = other.withColumn("bucket_o", F.floor(second("time_o") / tolerance_s))
+    gap = F.abs(second("time") - second("time_o"))
+    met = left.join(right, [F.col("bucket") == F.col("bucket_o"), *[F.col(k) == F.col(f"{k}_o") for k in keys]]).filter(gap <= tolerance_s)
+    best = met.groupBy(*keys, "time").agg(F.min(F.struct(gap.alias("gap"), F.col("time_o").alias("at"))).alias("m"))
+    best = best.select(*[F.col(k).alias(f"{k}_m") for k in keys], F.col("time").alias("time_m"), F.col("m.at").alias("at_m"), F.col("m.gap").alias("gap_s"))
+    named = b.select(*[F.col(c).alias(f"{c}_b") for c in b.columns])
+    one = named.groupBy(*[f"{k}_b" for k in keys], "time_b").agg(F.min(F.struct(*named.columns)).alias("row")).select("row.*")
+    out = a.join(best, [F.col("time") == F.col("time_m"), *[F.col(k) == F.col(f"{k}_m") for k in keys]])
+    out = out.join(one, [F.col("at_m") == F.col("time_b"), *[F.col(k) == F.col(f"{k}_b") for k in keys]])
+    return out.select(*[a[c] for c in a.columns], *named.columns, "gap_s")
 
 
 def pixel_pairs(framed: DataFrame, keys: list[str], *columns: str) -> DataFrame:

@@ -34,6 +34,24 @@ def average_rank(df: DataFrame, column: str, name: str, keys: list[str] | None =
     return df.join(ranked, [*keys, column])
 
 
+def quantiles(df: DataFrame, column: str, shares: dict[str, float], keys: list[str] | None = None) -> DataFrame:
+    """Exact quantiles of the values that are there, linear between two, within the keys: a column for each name in `shares`.
+
+    Values are counted before they are ordered; distinct values are range-partitioned and numbered by prefix counts, so that no
+    task and no buffer holds all values of a key. A key without values has no row."""
+    wanted, keys = keys or [], keys or ["__one"]
+    counts = df.withColumn("__one", F.lit(1)).filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("__v")).agg(F.count("*").alias("__c"))
+    placed = sequence.prefix_sums(counts, [*keys, "__v"], F.col("__c"), "__before")
+    # Of each key its first place and its number of values.
+    total = placed.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min("__before").alias("__first"), F.sum("__c").alias("__n"))
+    both = placed.join(total, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    low = F.col("__before") - F.col("__first")
+    at = {name: (F.col("__n") - 1) * share for name, share in shares.items()}
+    value = lambda place: F.max(F.when((place >= low) & (place < low + F.col("__c")), F.col("__v")))
+    found = both.groupBy(*keys).agg(*[x for name, p in at.items() for x in (value(F.floor(p)).alias(f"__a_{name}"), value(F.ceil(p)).alias(f"__b_{name}"), F.max(p - F.floor(p)).alias(f"__f_{name}"))])
+    return found.select(*wanted, *[(F.col(f"__a_{n}") + (F.col(f"__b_{n}") - F.col(f"__a_{n}")) * F.col(f"__f_{n}")).alias(n) for n in shares])
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     ranked = average_rank(average_rank(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), x, "__rx"), y, "__ry")
     return ranked.agg(guarded_corr(F.col("__rx"), F.col("__ry")).alias("spearman"), F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from cadenza.plans import sensor_files
 from cadenza.plans import sql as S
 from cadenza.plans.file_queries import _mean_of_known, _n_known, _sensor_name
 from cadenza.plans.registry import query, r
-from cadenza.sources import folders, himawari, satellite, views
+from cadenza.sources import folders, himawari, netcdf, references, satellite, views
 from cadenza.sources.views import SIDE
 
 GRID = blocks.Grid(SIDE, SIDE, 4)
@@ -93,3 +93,13 @@ def src_segments(spark, d):
     satellite.register(spark)
     found = himawari.complete(spark.read.format("cadenza_segments").option("path", folder).load())
     return found.select("time", "segment", "first_line", F.coalesce(_n_known("bt"), F.lit(0)).cast("int").alias("n_valid"), r(_mean_of_known("bt"), 4).alias("mean"))
+
+
+@query("SRC27 SRC28 SRC29 SRC30", f"""WITH {S.MASKED} SELECT k, TIMESTAMP '2025-06-20 00:00:00' + to_minutes(30 * k::INT) AS time, count(bt) AS n_valid, round(avg(bt::FLOAT::DOUBLE), 4) AS mean FROM px GROUP BY k""")
+def src_combined(spark, d):
+    """Files combined along time into one virtual cube, which is then read by ranges."""
+    files, manifest = folders.shared(spark, "indexed"), folders.shared(spark, "combined")
+    attrs = {"source_frames": "[]", "t": 0.0, "model": "none", "model_version": "0", "kind": "observed", "created": "2025-06-20T00:00:00Z"}
+    netcdf.write_frames(netcdf.encode_frames(views.frames(spark, d, masked=True), SIDE, (68.0, 6.0, 98.0, 38.0), attrs), files).write.parquet(f"{manifest}-files")
+    references.combine(spark, spark.read.parquet(f"{manifest}-files").select("path"), manifest)
+    return references.open_combined(spark, manifest).select("k", "time", _n_known("bt").alias("n_valid"), r(_mean_of_known("bt"), 4).alias("mean"))

@@ -56,10 +56,10 @@ def build_scene(spark: SparkSession, frames: DataFrame, folder: str, side: int,
         for batch in batches:
             for k, c in zip(batch["k"], batch["c"]):
                 image = np.array([[p["r"], p["g"], p["b"], p["a"]] for p in c], np.uint8).reshape(side, side, 4)
-                put(files, f"{base}/frames/{k:03d}.png", images.png(image))
-                put(files, f"{base}/thumbs/{k:03d}.png", images.png(tiles.thumbnail(image, max(1, side // 2))))
+                put(files, f"{base}/frames/{k:06d}.png", images.png(image))
+                put(files, f"{base}/thumbs/{k:06d}.png", images.png(tiles.thumbnail(image, max(1, side // 2))))
                 for z, x, y, part in tiles.pyramid(image, tile, 0, grid.default_max_zoom(side, side, tile)):
-                    put(files, f"{base}/tiles/{k:03d}/{z}/{x}/{y}.png", images.png(part))
+                    put(files, f"{base}/tiles/{k:06d}/{z}/{x}/{y}.png", images.png(part))
             yield batch[["k"]]
 
     color.mapInPandas(write, "k long").write.format("noop").mode("overwrite").save()
@@ -69,8 +69,8 @@ def build_scene(spark: SparkSession, frames: DataFrame, folder: str, side: int,
         "schema_version": "1.0", "scene_id": scene_id, "title": scene_id, "description": "", "satellite": "synthetic", "channel": "IR", "wavelength_um": 10.8, "native_cadence_min": 30, "interp_cadence_min": 30 // sequence.subdivisions(factor),
         "bbox": list(bbox), "crs": "EPSG:4326", "value_range_k": [metrics.VMIN_K, metrics.VMAX_K], "colormap": "ir_clouds", "min_zoom": 0, "max_zoom": grid.default_max_zoom(side, side, tile), "tile_size": tile,
         "frames": [
-            {"index": r["frame"], "time": r["time"], "kind": r["kind"], "t": r["t"], "bracket": r["bracket_frame"], "image": f"frames/{r['frame']:03d}.png", "thumb": f"thumbs/{r['frame']:03d}.png",
-             "tiles_url_template": f"tiles/{r['frame']:03d}/{{z}}/{{x}}/{{y}}.png", "pmtiles": None, "netcdf": f"nc/{r['frame']:06d}.nc"} for r in rows],
+            {"index": r["frame"], "time": r["time"], "kind": r["kind"], "t": r["t"], "bracket": r["bracket_frame"], "image": f"frames/{r['frame']:06d}.png", "thumb": f"thumbs/{r['frame']:06d}.png",
+             "tiles_url_template": f"tiles/{r['frame']:06d}/{{z}}/{{x}}/{{y}}.png", "pmtiles": None, "netcdf": f"nc/{r['frame']:06d}.nc"} for r in rows],
         "videos": {"observed": None, "interpolated": None, "side_by_side": None},
         "metrics": {"data_range_k": metrics.SPAN_K, "value_range_k": [metrics.VMIN_K, metrics.VMAX_K], "per_frame": [], "summary": {r["metric"]: r["mean"] for r in quality}},
         "crossval": {"methods_run": []}, "model": {"name": "linear", "version": "1", "params_m": "0"}, "generated_at": now_iso_z(),
@@ -134,7 +134,7 @@ def flow_files(framed: DataFrame, folder: str, side: int, step: int, bbox: tuple
     def write(batches):
         files, base = store(folder)
         for batch in batches:
-            paths = [f"{base}/flow/{k:03d}.json" for k in batch["k"]]
+            paths = [f"{base}/flow/{k:06d}.json" for k in batch["k"]]
             for path, body in zip(paths, batch["body"]):
                 put(files, path, body.encode())
             yield batch[["k", "n"]].assign(path=paths)

@@ -420,8 +420,10 @@ def sta_wilcoxon(spark, d):
 
 @query("STA02 STA05", f"""WITH {S.SERIES} SELECT event_type, round(median(bt), 6) AS mid, round(quantile_cont(bt, 0.05), 6) AS low, round(quantile_cont(bt, 0.95), 6) AS high, round(corr(bt, user_id::DOUBLE), 8) AS r FROM series GROUP BY event_type""")
 def sta_percentiles(spark, d):
-    return views.series(spark, d).groupBy("event_type").agg(
-        r(F.median("bt")).alias("mid"), r(F.percentile("bt", F.lit(0.05))).alias("low"), r(F.percentile("bt", F.lit(0.95))).alias("high"), r(stats.guarded_corr(F.col("bt"), F.col("user_id").cast("double")), 8).alias("r"))
+    series = views.series(spark, d)
+    q = stats.quantiles(series, "bt", {"mid": 0.5, "low": 0.05, "high": 0.95}, ["event_type"])
+    corr = series.groupBy(F.col("event_type").alias("c_type")).agg(r(stats.guarded_corr(F.col("bt"), F.col("user_id").cast("double")), 8).alias("r"))
+    return q.join(corr, F.col("event_type").eqNullSafe(F.col("c_type"))).select("event_type", r("mid").alias("mid"), r("low").alias("low"), r("high").alias("high"), "r")
 
 
 @query("EXT-CSI", f"""WITH {S.PX}, {S.MIDDLE}, c AS (SELECT label, count_if(pred < 240 AND truth < 240)::BIGINT AS hits, count_if(pred >= 240 AND truth < 240)::BIGINT AS misses, count_if(pred < 240 AND truth >= 240)::BIGINT AS false_alarms FROM middle GROUP BY label)
@@ -576,10 +578,10 @@ def val_manifest(spark, d):
 
 @query("STR15 STR16 HLP03 SNK14", """SELECT label, count(*) AS n_frames, count(DISTINCT vec_id % 2) AS n_kinds FROM embeddings GROUP BY label""")
 def val_json_round_trip(spark, d):
-    back = manifest.from_json(manifest.to_json(_manifests(spark, d)).withColumn("json", F.col("json")))
-    labels = F.array_distinct(F.transform("frames", lambda f: f["kind"]))
-    own = _manifests(spark, d).select("label", F.get("frames", F.lit(0))["index"].alias("first"))
-    return back.select(F.get("frames", F.lit(0))["index"].alias("first"), F.size("frames").cast("long").alias("n_frames"), F.size(labels).cast("long").alias("n_kinds")).join(own, "first").select("label", "n_frames", "n_kinds")
+    own = _manifests(spark, d)
+    back = own.select("label", F.to_json(F.struct(*own.columns)).alias("json")).select("label", F.from_json("json", manifest.MANIFEST_TYPE)["frames"].alias("frames"))
+    kinds = F.array_distinct(F.transform("frames", lambda f: f["kind"]))
+    return back.select("label", F.size("frames").cast("long").alias("n_frames"), F.size(kinds).cast("long").alias("n_kinds"))
 
 
 # --- generators, streaming ------------------------------------------------------------------------------------------------------

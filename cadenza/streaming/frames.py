@@ -44,7 +44,7 @@ _STATE = "ts timestamp, bt double"
 def pair_frames(df: DataFrame, factor: int = 2) -> DataFrame:
     """Streaming densification: each frame of a scene (scene, ts, bt) with the blends between it and the one before.
 
-    The state is the last frame of each scene; a frame older than that is late and dropped."""
+    The state is the last frame of each scene; a frame that is not newer than that is dropped. insert_frames() places late frames."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
