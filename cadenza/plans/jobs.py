@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import text
 from cadenza.operators import crossval, grid, manifest, metrics, sequence, stencil
-from cadenza.sources import images, netcdf, tiles
+from cadenza.sources import images, netcdf, plots, tiles
 from cadenza.sources.folders import get, put, store
 
 
@@ -125,6 +125,53 @@ def make_report(frames: DataFrame, folder: str, methods: list[str], side: int) -
     return frames.sparkSession.read.schema("method_id string, metric string, value double").json(folder)
 
 
+def full_report(frames: DataFrame, folder: str, methods: list[str], side: int) -> dict:
+    """A report with its document: per-frame metrics as a table, a summary of the blend and of persistence, the methods' values, a
+    histogram and a course of each metric as SVG, and RESULTS.md. Returns the summary, which is report.json, too.
+
+    The driver gets sums, bins and the methods' values; per-frame rows stay in <folder>/per_frame."""
+    names = ["psnr", "bt_rmse_k", "bt_bias_k", "mae"]
+    files, base = store(folder)
+    each = crossval.per_triplet(frames)
+    each.select("k", *names).write.mode("overwrite").parquet(f"{folder}/per_frame")
+    rows = frames.sparkSession.read.parquet(f"{folder}/per_frame")
+    long = metrics.long_metrics(rows, ["k"], names)
+    summary = {r["metric"]: {"mean": r["mean"], "n": r["n_finite"]} for r in metrics.summarize(long, ["metric"]).collect()}
+    before = metrics.array_metrics(crossval.middle(frames).select("k", F.col("bt_prev").alias("pred"), "truth"), ["k"])
+    persistence = {r["metric"]: {"mean": r["mean"], "n": r["n_finite"]} for r in metrics.summarize(metrics.long_metrics(before, [], names), ["metric"]).collect()}
+    values: dict[str, dict[str, float]] = {}
+    for r in make_report(frames, f"{folder}/methods", methods, side).collect():
+        values.setdefault(r["method_id"], {})[r["metric"]] = r["value"]
+    n_frames = rows.agg(F.max("k")).first()[0]
+    figures = {}
+    for kind, found, draw in (("histogram", plots.histogram(long), plots.draw_histogram), ("course", plots.course(long, (n_frames or 0) + 1), plots.draw_course)):
+        by: dict[str, list[dict]] = {}
+        for r in found.collect():  # BINS or STEPS rows a metric at most
+            by.setdefault(r["metric"], []).append(r.asDict())
+        for metric, own in by.items():
+            figures[f"{kind}_{metric}"] = f"{kind}_{metric}.svg"
+            put(files, f"{base}/{kind}_{metric}.svg", draw(metric, own).encode())
+    document = {
+        "metrics": {"data_range_k": metrics.SPAN_K, "value_range_k": [metrics.VMIN_K, metrics.VMAX_K], "per_frame": "per_frame", "summary": summary, "baselines": {"persistence": persistence}},
+        "crossval": {"methods_run": [{"method_id": m, "values": v} for m, v in sorted(values.items())]}, "figures": figures,
+    }
+    put(files, f"{base}/report.json", json.dumps(document).encode())
+    put(files, f"{base}/RESULTS.md", _results(document).encode())
+    return document
+
+
+def _results(document: dict) -> str:
+    """The report as a document of tables and figures."""
+    shown = lambda v: "" if v is None else f"{v:.4f}"
+    own, base = document["metrics"]["summary"], document["metrics"]["baselines"]["persistence"]
+    lines = ["# Results", "", "| metric | blend | persistence | frames |", "| --- | --- | --- | --- |"]
+    lines += [f"| {m} | {shown(v['mean'])} | {shown(base.get(m, {}).get('mean'))} | {v['n']} |" for m, v in sorted(own.items())]
+    lines += ["", "| method | metric | value |", "| --- | --- | --- |"]
+    lines += [f"| {x['method_id']} | {m} | {shown(v)} |" for x in document["crossval"]["methods_run"] for m, v in sorted(x["values"].items())]
+    lines += ["", *[f"![{name}]({path})" for name, path in sorted(document["figures"].items())], ""]
+    return "\n".join(lines)
+
+
 def flow_files(framed: DataFrame, folder: str, side: int, step: int, bbox: tuple[float, float, float, float]) -> DataFrame:
     """Overlay vectors of frames (k, u, v) as one JSON file a frame: k, path, n."""
     west, south, east, north = bbox
@@ -142,4 +189,4 @@ def flow_files(framed: DataFrame, folder: str, side: int, step: int, bbox: tuple
     return rows.mapInPandas(write, "k long, n long, path string")
 
 
-__all__ = ["build_scene", "flow_files", "interpolate_files", "interpolate_frames", "load_json", "make_report", "manifest", "merged", "save_stats", "valid"]
+__all__ = ["build_scene", "flow_files", "full_report", "interpolate_files", "interpolate_frames", "load_json", "make_report", "manifest", "merged", "save_stats", "valid"]

@@ -7,9 +7,11 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cadenza.operators import crossval, grid
-from cadenza.plans.registry import query
-from cadenza.sources import folders, jpeg, views
+from cadenza.operators import blocks, crossval, grid, lanczos
+from cadenza.plans import jobs
+from cadenza.plans import sql as S
+from cadenza.plans.registry import query, r
+from cadenza.sources import folders, jpeg, plots, views
 from cadenza.sources.views import SIDE
 
 
@@ -65,3 +67,29 @@ def snk_video(spark, d):
 
     both = shown.join(own, (F.col("label") == F.col("o_label")) & (F.col("n") == F.col("o_n")))
     return both.groupBy("label").agg(F.count("*").alias("n_frames"), F.max("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols"), (F.min(psnr("pixels", "own")) >= 40).alias("near"))
+
+
+_TAP = lambda x: f"CASE WHEN abs({x}) < 3 THEN sin(pi() * {x}) / (pi() * {x}) * sin(pi() * {x} / 3) / (pi() * {x} / 3) ELSE 0 END"
+
+
+@query("TIL03 HLP12", f"""WITH {S.MASKED}, o AS (SELECT y::INT AS oy, x::INT AS ox FROM unnest(range(0, 4)) a(y), unnest(range(0, 4)) b(x)),
+ w AS (SELECT k, oy, ox, bt, {_TAP('((y - 2 * oy - 0.5::DOUBLE) / 2)')} * {_TAP('((x - 2 * ox - 0.5::DOUBLE) / 2)')} AS w FROM px, o),
+ s AS (SELECT k, oy, ox, sum(w * bt) AS total, sum(CASE WHEN bt IS NOT NULL THEN w ELSE 0 END) AS known, sum(w) AS every FROM w GROUP BY k, oy, ox)
+ SELECT k, oy AS y, ox AS x, round(CASE WHEN known / every > 1 / 510.0::DOUBLE THEN total / known END, 5) AS bt, round(CASE WHEN known / every > 1 / 510.0::DOUBLE THEN known / every ELSE 0 END, 6) AS alpha FROM s""")
+def til_lanczos(spark, d):
+    """The next level of masked frames in blocks by a windowed sinc; missing pixels have no weight."""
+    whole = blocks.Grid(SIDE, SIDE, 4)
+    found, small = lanczos.halved(blocks.from_frames(views.frames(spark, d, masked=True), ["k"], ["bt"], whole), ["k"], "bt", whole)
+    px = blocks.pixels(found, ["k"], ["bt", "alpha"], small)
+    return px.select("k", "y", "x", r("bt", 5).alias("bt"), r("alpha").alias("alpha"))
+
+
+@query("SNK22 SNK23 ORC05", f"""WITH {S.PX}, {S.MIDDLE}, m AS (SELECT k, {S.pixel_metrics()} FROM middle GROUP BY k), e AS (SELECT k, {S.rmse('pred', 'truth')} AS v FROM middle GROUP BY k),
+ b AS (SELECT least(23, floor((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) * 24)::INT) AS bin FROM e) SELECT 'bt_rmse_k' AS metric, bin, count(*) AS n FROM b GROUP BY bin""")
+def orc_plots(spark, d):
+    """The histogram of a whole report, as its picture shows it."""
+    folder = folders.shared(spark, "report")
+    document = jobs.full_report(views.frames(spark, d), folder, ["M1", "M18", "M19"], SIDE)
+    files, base = folders.store(folder)
+    svg = folders.get(files, f"{base}/{document['figures']['histogram_bt_rmse_k']}").decode()
+    return spark.createDataFrame([("bt_rmse_k", b, n) for b, n in plots.counts_of(svg).items()], "metric string, bin int, n long")
