@@ -1,7 +1,8 @@
 """Command line: python -m cadenza <command>, on the session that spark-submit or the environment gives.
 
 synth writes a synthetic cube as files, ingest makes a Zarr cube of files, interpolate densifies files, validate runs methods
-on a cube and writes a report, precompute builds a scene, demo does all of these in one folder."""
+on a cube and writes their values, report writes a report with document and plots, precompute builds a scene, demo does all of
+these in one folder."""
 
 from __future__ import annotations
 
@@ -38,7 +39,7 @@ def ingest(spark: SparkSession, source: str, target: str, side: int) -> None:
 
 def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = None) -> None:
     parser = argparse.ArgumentParser(prog="cadenza", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("command", choices=["synth", "ingest", "interpolate", "validate", "precompute", "demo"])
+    parser.add_argument("command", choices=["synth", "ingest", "interpolate", "validate", "report", "precompute", "demo"])
     parser.add_argument("source", nargs="?", help="folder that is read")
     parser.add_argument("target", help="folder that is written")
     parser.add_argument("--frames", type=int, default=9)
@@ -48,7 +49,7 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
     a = parser.parse_args(arguments)
     spark = spark or SparkSession.builder.appName("cadenza").getOrCreate()
     frames = lambda folder: cube.read_cube(spark, folder).withColumn("label", F.lit(0))
-    if a.command in ("ingest", "interpolate", "validate", "precompute") and not a.source:
+    if a.command in ("ingest", "interpolate", "validate", "report", "precompute") and not a.source:
         parser.error(f"{a.command} needs a source folder")
     if a.command == "synth":
         synth_files(spark, a.target, a.frames, a.side)
@@ -58,14 +59,17 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
         _all(jobs.interpolate_files(spark, a.source, a.target, a.side, BBOX, a.factor))
     elif a.command == "validate":
         jobs.make_report(frames(a.source), a.target, a.methods, a.side)
+    elif a.command == "report":
+        jobs.full_report(frames(a.source), a.target, [m for m in a.methods if m in crossval.runners(a.side)], a.side)
     elif a.command == "precompute":
-        jobs.build_scene(spark, frames(a.source), a.target, a.side, BBOX, "scene", a.factor, tile=max(4, a.side // 4))
+        jobs.build_scene(spark, frames(a.source), a.target, a.side, BBOX, "scene", a.factor, tile=max(4, a.side // 4), methods=[m for m in a.methods if m in crossval.runners(a.side)])
     else:
         synth_files(spark, f"{a.target}/files", a.frames, a.side)
         ingest(spark, f"{a.target}/files", f"{a.target}/cube", a.side)
         known = [m for m in a.methods if m in crossval.runners(a.side)]
         jobs.make_report(frames(f"{a.target}/cube"), f"{a.target}/report", known, a.side)
-        jobs.build_scene(spark, frames(f"{a.target}/cube"), f"{a.target}/scene", a.side, BBOX, "demo", a.factor, tile=max(4, a.side // 4))
+        jobs.full_report(frames(f"{a.target}/cube"), f"{a.target}/results", known, a.side)
+        jobs.build_scene(spark, frames(f"{a.target}/cube"), f"{a.target}/scene", a.side, BBOX, "demo", a.factor, tile=max(4, a.side // 4), methods=known)
 
 
 if __name__ == "__main__":

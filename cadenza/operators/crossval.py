@@ -56,6 +56,17 @@ def registry(spark, run: list[int] | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "method_id string, name string, category string, runnable boolean, status string")
 
 
+#: Frames that a sequence needs for a method, three if it is not here.
+LEAST_FRAMES = {3: 9, 4: 5, 6: 5}
+
+
+def statuses(sequences: DataFrame, key: str) -> DataFrame:
+    """key, method_id and status of every method for each sequence (key, n_frames): run if one dense sequence of that length is enough."""
+    every = F.array(*[F.struct(F.lit(f"M{n}").alias("method_id"), F.lit(LEAST_FRAMES.get(n, 3) if dense else None).cast("int").alias("least")) for n, _, dense, _ in REGISTRY])
+    rows = sequences.select(key, "n_frames", F.explode(every).alias("m"))
+    return rows.select(key, "m.method_id", F.when(F.col("n_frames") >= F.col("m.least"), "run").otherwise("skipped").alias("status"))
+
+
 def middle(frames: DataFrame, model: Model = blend_model) -> DataFrame:
     """Interior frames as truth, with pred from their neighbours."""
     t = sequence.triplets(frames, ["bt"])
@@ -115,9 +126,17 @@ def m5(frames: DataFrame) -> DataFrame:
     return found.select(F.lit("M5").alias("method_id"), F.concat(F.lit("bt_rmse_k_t"), F.format_string("%.2f", "t")).alias("metric"), "value")
 
 
-def m6(frames: DataFrame, lead: int) -> DataFrame:
-    """The middle of brackets `lead` wide against that of adjacent ones."""
-    wide = metrics.array_metrics(across(frames, lead, [lead // 2]), ["m"]).agg(F.avg("bt_rmse_k").alias("value"))
+def m6(frames: DataFrame, lead: int | None = None) -> DataFrame:
+    """The middle of brackets `lead` wide, by default of the widest even bracket of the sequence, against that of adjacent ones."""
+    if lead is None:
+        low, high = frames.agg(F.min("k"), F.max("k")).first()
+        lead = (high - low) // 2 * 2 if high is not None else 0
+        ends = frames.filter(F.col("k") == (low or 0)).select((F.col("k") + lead // 2).alias("m"), F.col("bt").alias("a"))
+        ends = ends.join(frames.select((F.col("k") - lead + lead // 2).alias("m"), F.col("bt").alias("b")), "m")
+        found = ends.join(frames.select(F.col("k").alias("m"), F.col("bt").alias("truth")), "m").select("m", "truth", blend_model(F.col("a"), F.col("b"), F.lit(0.5)).alias("pred"))
+    else:
+        found = across(frames, lead, [lead // 2])
+    wide = metrics.array_metrics(found, ["m"]).agg(F.avg("bt_rmse_k").alias("value"))
     near = metrics.array_metrics(middle(frames), ["k"]).agg(F.avg("bt_rmse_k").alias("value"))
     return wide.select(F.lit("M6").alias("method_id"), F.lit("long_gap").alias("metric"), "value").unionByName(near.select(F.lit("M6"), F.lit("adjacent"), "value").toDF("method_id", "metric", "value"))
 
@@ -250,7 +269,7 @@ def compare(frames: DataFrame, models: dict[str, Model]) -> DataFrame:
 def runners(side: int) -> dict[str, Callable[[DataFrame], DataFrame]]:
     """All methods that run on one dense sequence."""
     return {
-        "M1": m1, "M3": m3, "M4": m4, "M5": m5, "M6": lambda f: m6(f, 8), "M18": lambda f: baseline(f, "M18", copy_model), "M19": lambda f: baseline(f, "M19", blend_model),
+        "M1": m1, "M3": m3, "M4": m4, "M5": m5, "M6": m6, "M18": lambda f: baseline(f, "M18", copy_model), "M19": lambda f: baseline(f, "M19", blend_model),
         "M20": lambda f: m20(f, side), "M26": lambda f: m26(f, side), "M30": m30, "M31": lambda f: m31(f, side), "M32": m32, "M33": lambda f: m33(f, side), "M35": m35,
         "M36": lambda f: m36(f, side), "M38": m38, "M39": m39, "M40": lambda f: m40(f, side),
     }

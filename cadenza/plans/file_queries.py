@@ -361,13 +361,13 @@ def str_overrides(spark, d):
     return table(spark, d, "orders").select("o_orderkey", text.override(given, "train.epochs", F.lit(7).cast("long"), "long").alias("epochs"), text.override(given, "train.rate", F.lit(0.1), "double").alias("rate"), text.override(given, "train.amp", F.lit(False), "boolean").alias("amp"))
 
 
-@query("ARR02 ARR03 SCL23", """SELECT i::INT AS i, j::INT AS j, round(i / 4.0::DOUBLE, 6) AS at, i * 3 + j AS value FROM unnest(range(0, 5)) a(i), unnest(range(0, 3)) b(j)""")
+@query("ARR02 ARR03 SCL23", f"""WITH {S.PX} SELECT k, x AS i, y AS j, round(x / 7.0::DOUBLE, 6) AS at, round(bt, 6) AS value FROM px""")
 def arr_layout(spark, d):
-    """Inclusive steps, and a stack that is transposed twice."""
-    rows = spark.range(1).select(F.array(*[F.array(*[F.lit(i * 3 + j) for j in range(3)]) for i in range(5)]).alias("a"), grid.linspace(0.0, 1.0, 5).alias("at"))
-    back = rows.select(stencil.transposed(stencil.transposed(F.col("a"))).alias("a"), "at")
-    flat = back.select(F.posexplode(F.arrays_zip("a", "at")).alias("i", "p"))
-    return flat.select("i", r(F.col("p.at")).alias("at"), F.posexplode("p.a").alias("j", "value")).select("i", "j", "at", F.col("value").cast("long").alias("value"))
+    """Each frame as rows, transposed, beside inclusive steps from 0 to 1."""
+    rows = F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda y: F.slice("bt", y * SIDE + 1, SIDE))
+    wide = views.frames(spark, d).select("k", stencil.transposed(rows).alias("a"), grid.linspace(0.0, 1.0, SIDE).alias("at"))
+    flat = wide.select("k", F.posexplode(F.arrays_zip("a", "at")).alias("i", "p"))
+    return flat.select("k", "i", r(F.col("p.at")).alias("at"), F.posexplode("p.a").alias("j", "value")).select("k", "i", "j", "at", r("value").alias("value"))
 
 
 @query("SET03 SRC33", """SELECT label, round(avg(b), 6) AS mean FROM (SELECT label, 250.0::DOUBLE + 60.0::DOUBLE * unnest(embedding)::DOUBLE AS b FROM embeddings) GROUP BY label""")

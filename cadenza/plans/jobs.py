@@ -6,6 +6,7 @@ import json
 from datetime import UTC, datetime
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +40,9 @@ def interpolate_files(spark: SparkSession, source: str, folder: str, side: int,
     return interpolate_frames(placed.select("k", "time", "bt"), folder, side, bbox, factor, model)
 
 
-def build_scene(spark: SparkSession, frames: DataFrame, folder: str, side: int, bbox: tuple[float, float, float, float], scene_id: str, factor: int = 2, tile: int = 4, merge: dict | None = None) -> dict:
+def build_scene(spark: SparkSession, frames: DataFrame, folder: str, side: int, bbox: tuple[float, float, float, float], scene_id: str, factor: int = 2, tile: int = 4, merge: dict | None = None, methods: list[str] | None = None) -> dict:
     """Builds a scene of frames (k, label, time, bt): densified frames as NetCDF, images, thumbnails and tiles, quality of the
-    middles, and the manifest, which is checked before it is written. Returns the manifest.
+    middles by frame, values of the `methods`, and the manifest, which is checked before it is written. Returns the manifest.
 
     `merge` overlays the manifest's metrics, crossval and model as far as the result is still valid. Tasks write the files;
     the driver gets one row for each frame of the manifest, which is a document for one viewer."""
@@ -51,19 +52,21 @@ def build_scene(spark: SparkSession, frames: DataFrame, folder: str, side: int,
     interpolate_frames(frames, f"{folder}/nc", side, bbox, factor).write.format("noop").mode("overwrite").save()
     color = tiles.colored(dense.select(F.col("frame").alias("k"), "bt"), lambda b: grid.bt_to_rgba(b))
 
-    def write(batches):
+    def write(ks: list[int], stack: np.ndarray):
         files, base = store(folder)
-        for batch in batches:
-            for k, c in zip(batch["k"], batch["c"]):
-                image = np.array([[p["r"], p["g"], p["b"], p["a"]] for p in c], np.uint8).reshape(side, side, 4)
-                put(files, f"{base}/frames/{k:06d}.png", images.png(image))
-                put(files, f"{base}/thumbs/{k:06d}.png", images.png(tiles.thumbnail(image, max(1, side // 2))))
-                for z, x, y, part in tiles.pyramid(image, tile, 0, grid.default_max_zoom(side, side, tile)):
-                    put(files, f"{base}/tiles/{k:06d}/{z}/{x}/{y}.png", images.png(part))
-            yield batch[["k"]]
-
-    color.mapInPandas(write, "k long").write.format("noop").mode("overwrite").save()
+        for k, image in zip(ks, stack):
+            put(files, f"{base}/frames/{k:06d}.png", images.png(image))
+            put(files, f"{base}/thumbs/{k:06d}.png", images.png(tiles.thumbnail(image, max(1, side // 2))))
+            for z, x, y, part in tiles.pyramid(image, tile, 0, grid.default_max_zoom(side, side, tile)):
+                put(files, f"{base}/tiles/{k:06d}/{z}/{x}/{y}.png", images.png(part))
+        yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64())], names=["k"])
+
+    images.mapped(color, side, write, "k long").write.format("noop").mode("overwrite").save()
     rows = dense.select("frame", "kind", text.iso_z("time").alias("time"), "t", "bracket_frame").orderBy("frame").collect()
+    each = {r["k"]: {"psnr": r["psnr"], "bt_rmse_k": r["bt_rmse_k"]} for r in crossval.per_triplet(frames).select("k", "psnr", "bt_rmse_k").collect()}
+    step = sequence.subdivisions(factor)
+    scored = [{"index": k * step, **{m: None if v is None or v != v or abs(v) == float("inf") else v for m, v in own.items()}} for k, own in sorted(each.items())]
+    ran = [{"method_id": x["method_id"], "metric": x["metric"], "value": x["value"]} for name in methods or [] for x in crossval.run_method(frames, name, side).collect()]
     quality = metrics.summarize(metrics.long_metrics(crossval.per_triplet(frames).select("k", "psnr", "bt_rmse_k"), [], ["psnr", "bt_rmse_k"]), ["metric"]).collect()
     document = {
         "schema_version": "1.0", "scene_id": scene_id, "title": scene_id, "description": "", "satellite": "synthetic", "channel": "IR", "wavelength_um": 10.8, "native_cadence_min": 30, "interp_cadence_min": 30 // sequence.subdivisions(factor),
@@ -72,8 +75,8 @@ def build_scene(spark: SparkSession, frames: DataFrame, folder: str, side: int,
             {"index": r["frame"], "time": r["time"], "kind": r["kind"], "t": r["t"], "bracket": r["bracket_frame"], "image": f"frames/{r['frame']:06d}.png", "thumb": f"thumbs/{r['frame']:06d}.png",
              "tiles_url_template": f"tiles/{r['frame']:06d}/{{z}}/{{x}}/{{y}}.png", "pmtiles": None, "netcdf": f"nc/{r['frame']:06d}.nc"} for r in rows],
         "videos": {"observed": None, "interpolated": None, "side_by_side": None},
-        "metrics": {"data_range_k": metrics.SPAN_K, "value_range_k": [metrics.VMIN_K, metrics.VMAX_K], "per_frame": [], "summary": {r["metric"]: r["mean"] for r in quality}},
-        "crossval": {"methods_run": []}, "model": {"name": "linear", "version": "1", "params_m": "0"}, "generated_at": now_iso_z(),
+        "metrics": {"data_range_k": metrics.SPAN_K, "value_range_k": [metrics.VMIN_K, metrics.VMAX_K], "per_frame": scored, "summary": {r["metric"]: r["mean"] for r in quality}},
+        "crossval": {"methods_run": ran}, "model": {"name": "linear", "version": "1", "params_m": "0"}, "generated_at": now_iso_z(),
     }
     document = merged(document, merge or {})
     put(files, f"{base}/manifest.json", json.dumps(document).encode())
@@ -109,8 +112,6 @@ def save_stats(folder: str, dataset: str, record: dict) -> dict:
     """norm_stats.json with the record of a data set put in place of its former one."""
     files, base = store(folder)
     out = {**load_json(folder, "norm_stats.json"), dataset: record}
-    if files.get_file_info(f"{base}/norm_stats.json").type.name == "File":
-        files.delete_file(f"{base}/norm_stats.json")
     put(files, f"{base}/norm_stats.json", json.dumps(out, sort_keys=True).encode())
     return out
 

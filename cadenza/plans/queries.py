@@ -71,12 +71,18 @@ def scl_blend(spark, d):
     return _rounded(p.select("k", "i", scalar.linear_blend(a, b, 0.25).alias("blend"), scalar.linear_blend(a, b, 0.25, "one_sided").alias("one_sided"), scalar.frame_copy(a, b, 0.5).alias("copied"), scalar.restore_mask(F.coalesce(a, F.lit(0.0)), a, b).alias("restored")))
 
 
-@query("SCL18 SCL19 ARR01 HLP01 HLP02", """SELECT y::INT AS y, x::INT AS x, round(38.0::DOUBLE - (y + 0.5::DOUBLE) * 0.04::DOUBLE, 6) AS lat, round(68.0::DOUBLE + (x + 0.5::DOUBLE) * 0.04::DOUBLE, 6) AS lon
- FROM unnest(range(0, 800)) a(y), unnest(range(0, 750)) b(x)""")
+@query("SCL18 SCL19 ARR01 HLP01 HLP02", """WITH g AS (SELECT s_suppkey, (4 + s_suppkey % 4)::INT AS n_rows, (3 + s_suppkey % 5)::INT AS n_cols, 30.0::DOUBLE + s_suppkey % 9 AS north, 60.0::DOUBLE + s_suppkey % 11 AS west FROM supplier)
+ SELECT s_suppkey, y::INT AS y, x::INT AS x, round(north - (y + 0.5::DOUBLE) * 0.5::DOUBLE, 6) AS lat, round(west + (x + 0.5::DOUBLE) * 0.25::DOUBLE, 6) AS lon, n_rows * n_cols AS n_cells FROM g, unnest(range(0, n_rows)) a(y), unnest(range(0, n_cols)) b(x)""")
 def scl_grid(spark, d):
-    g = scalar.OPERATIONAL_GRID
-    cells = spark.range(g["n_rows"] * g["n_cols"]).select(F.floor(F.col("id") / g["n_cols"]).cast("int").alias("y"), (F.col("id") % g["n_cols"]).cast("int").alias("x"))
-    return _rounded(cells.select("y", "x", scalar.lat_center(F.col("y"), g["north"], g["south"], g["n_rows"]).alias("lat"), scalar.lon_center(F.col("x"), g["west"], g["east"], g["n_cols"]).alias("lon")))
+    """The pixel centres of each supplier's own grid, whose parameters went through JSON."""
+    k = F.col("s_suppkey")
+    rows, cols, north, west = (4 + k % 4).cast("int"), (3 + k % 5).cast("int"), 30.0 + k % 9, 60.0 + k % 11
+    spec = F.struct(west.alias("west"), (north - rows * 0.5).alias("south"), (west + cols * 0.25).alias("east"), north.alias("north"), rows.alias("n_rows"), cols.alias("n_cols"))
+    read = F.from_json(F.to_json(spec), "west double, south double, east double, north double, n_rows int, n_cols int")
+    g = table(spark, d, "supplier").select("s_suppkey", read.alias("g")).select("s_suppkey", "g.*", (F.col("g.n_rows") * F.col("g.n_cols")).alias("n_cells"))
+    cells = g.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_cells") - 1))).withColumn("y", F.floor(F.col("i") / F.col("n_cols")).cast("int")).withColumn("x", (F.col("i") % F.col("n_cols")).cast("int"))
+    lat, lon = scalar.lat_center(F.col("y"), F.col("north"), F.col("south"), F.col("n_rows")), scalar.lon_center(F.col("x"), F.col("west"), F.col("east"), F.col("n_cols"))
+    return _rounded(cells.select("s_suppkey", "y", "x", lat.alias("lat"), lon.alias("lon"), "n_cells"))
 
 
 _GEO = dict(r_eq=6378137.0, r_pol=6356752.31414, height=35786023.0, lon_0=-75.0)
@@ -159,11 +165,11 @@ def str_cache_key(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("k"), text.cache_key(F.col("vec_id").cast("string"), F.col("label").cast("string"), F.concat(F.lit("t="), F.regexp_replace(text.nine_digits(F.lit(0.5)), "0+$", "")), F.lit("linear")).alias("key"))
 
 
-@query("STR17 VIZ02 VIZ08", """SELECT k, p[1]::DOUBLE AS kelvin, ('0x' || substr(p[2], 2, 2))::INT AS r, ('0x' || substr(p[2], 4, 2))::INT AS g, ('0x' || substr(p[2], 6, 2))::INT AS b FROM (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS k,
- unnest([['180', '#ffffff'], ['200', '#ff64ff'], ['220', '#ff0000'], ['240', '#ffa500'], ['260', '#ffff00'], ['275', '#00c800'], ['290', '#0a3d91'], ['320', '#000000']]) AS p)""")
+@query("STR17 VIZ02 VIZ08", """WITH c AS (SELECT c_custkey, printf('#%06x', c_custkey * 7919 % 16777216) AS c FROM customer) SELECT c_custkey, ('0x' || substr(c, 2, 2))::INT AS r, ('0x' || substr(c, 4, 2))::INT AS g, ('0x' || substr(c, 6, 2))::INT AS b FROM c""")
 def str_colors(spark, d):
-    stops = spark.createDataFrame([(n, k, c) for n, (k, c) in enumerate(grid.IR_CLOUDS)], "k int, kelvin double, c string")
-    return stops.select("k", "kelvin", *[text.hex_channel(F.col("c"), n).alias("rgb"[n]) for n in range(3)])
+    """Channels of a colour for each customer."""
+    color = F.format_string("#%06x", F.col("c_custkey") * 7919 % 16777216)
+    return table(spark, d, "customer").select("c_custkey", *[text.hex_channel(color, n).alias("rgb"[n]) for n in range(3)])
 
 
 # --- filters, joins, sequence ---------------------------------------------------------------------------------------
@@ -321,9 +327,10 @@ def m05_asymmetric(spark, d):
     return _values(crossval.m5(views.frames(spark, d)))
 
 
-@query("M6 WIN16", f"""WITH {S.PX}, {S.MIDDLE} SELECT 'M6' AS method_id, metric, round(value, 6) AS value FROM (SELECT 'long_gap' AS metric, avg(e) AS value FROM ({_across_sql(8, 't.k = a.k + 4')}) UNION ALL SELECT 'adjacent', avg(e) FROM (SELECT {S.rmse('pred', 'truth')} AS e FROM middle GROUP BY k))""")
+@query("M6 WIN16", f"""WITH {S.PX}, {S.MIDDLE}, l AS (SELECT min(k) AS lo, (max(k) - min(k)) // 2 * 2 AS lead FROM px), far AS (SELECT {S.rmse('(0.5::DOUBLE * a.bt + 0.5::DOUBLE * b.bt)', 't.bt')} AS e FROM l JOIN px a ON a.k = lo JOIN px b ON b.k = lo + lead AND b.i = a.i JOIN px t ON t.k = lo + lead // 2 AND t.i = a.i)
+ SELECT 'M6' AS method_id, metric, round(value, 6) AS value FROM (SELECT 'long_gap' AS metric, e AS value FROM far UNION ALL SELECT 'adjacent', avg(e) FROM (SELECT {S.rmse('pred', 'truth')} AS e FROM middle GROUP BY k))""")
 def m06_long_gap(spark, d):
-    return _values(crossval.m6(views.frames(spark, d), 8))
+    return _values(crossval.m6(views.frames(spark, d)))
 
 
 @query("M30 FLT06", f"""WITH {S.PX}, {S.MIDDLE} SELECT 'M30' AS method_id, metric, round(value, 6) AS value FROM (SELECT 'cold' AS metric, avg(e) AS value FROM (SELECT {S.rmse('pred', 'truth')} AS e FROM middle WHERE truth < 240 GROUP BY k) UNION ALL SELECT 'warm', avg(e) FROM (SELECT {S.rmse('pred', 'truth')} AS e FROM middle WHERE truth >= 240 GROUP BY k))""")
@@ -400,10 +407,12 @@ def img_windowed(spark, d):
     return _rounded(metrics.windowed_metrics(mid, ["k"], SIDE))
 
 
-@query("JON17 AGG16 SRT03 ORC03", "SELECT status, n FROM (VALUES ('run', 18::BIGINT), ('skipped', 22::BIGINT)) AS t(status, n)")
+@query("JON17 AGG16 SRT03", """WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), r AS (SELECT user_id, CASE WHEN n >= 9 THEN 18 WHEN n >= 5 THEN 17 WHEN n >= 3 THEN 15 ELSE 0 END AS run FROM n)
+ SELECT user_id, status, n FROM (SELECT user_id, 'run' AS status, run::BIGINT AS n FROM r UNION ALL SELECT user_id, 'skipped', 40 - run FROM r) WHERE n > 0""")
 def m_registry(spark, d):
-    run = [n for n, _, dense, _ in crossval.REGISTRY if dense]
-    return crossval.registry(spark, run).groupBy("status").agg(F.count("*").alias("n"))
+    """How many of the 40 methods each user's sequence of events is long and dense enough for."""
+    sequences = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n_frames"))
+    return crossval.statuses(sequences, "user_id").groupBy("user_id", "status").agg(F.count("*").alias("n"))
 
 
 @query("STA03", """WITH v AS (SELECT l_quantity AS x, l_discount AS y FROM lineitem), a AS (SELECT y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rx FROM v), b AS (SELECT rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry FROM a)
@@ -588,7 +597,9 @@ def val_json_round_trip(spark, d):
 
 @query("GEN01 GEN02 GEN03 GEN04 GEN05 GEN06")
 def gen_cube(spark, d):
-    return synth.cube(spark, n_frames=9, side=48, seed=0).groupBy("frame").agg(r(F.avg("bt"), 4).alias("mean"), F.count("bt").alias("n"), F.count("*").alias("cells"))
+    """A synthetic sequence for each nation, which gives its seed and length."""
+    scenes = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("scene"), F.col("n_nationkey").cast("long").alias("seed"), (3 + F.col("n_nationkey") % 7).cast("int").alias("n_frames"))
+    return synth.cubes(scenes, side=48).groupBy("scene", "frame").agg(r(F.avg("bt"), 4).alias("mean"), F.count("bt").alias("n"), F.count("*").alias("cells"))
 
 
 @query("STM02", f"""WITH {S.SERIES} SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS start, event_type, count(*) AS n, round(avg(bt), 6) AS mean FROM series GROUP BY 1, 2""")

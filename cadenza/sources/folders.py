@@ -35,7 +35,13 @@ def put(files: fs.FileSystem, path: str, content: bytes) -> None:
     part = f"{folder}/_{uuid.uuid4().hex}"
     with files.open_output_stream(part) as out:
         out.write(content)
-    files.move(part, path)
+    try:
+        files.move(part, path)
+    except OSError:  # a store that does not move over a file
+        if files.get_file_info(path).type != fs.FileType.File:
+            raise
+        files.delete_file(path)
+        files.move(part, path)
 
 
 def get(files: fs.FileSystem, path: str) -> bytes:

@@ -6,9 +6,11 @@ import io
 import struct
 import tarfile
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,14 +73,26 @@ def read_animation(raw: bytes) -> list[np.ndarray]:
     return [np.frombuffer(zlib.decompress(b), np.uint8).reshape(shape[0], -1)[:, 1:].reshape(*shape, 4) for b in bodies]
 
 
+def mapped(colored: DataFrame, side: int, of: Callable[[list[int], np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """The batches that of(ks, images) gives for frames of rows (k, c: array of struct r, g, b, a): images is a stack (n, side, side, 4)
+    of bytes, put together from the buffers of four columns, so that no pixel is an object of its own."""
+    channel = lambda n: F.transform("c", lambda p: p[n]).alias(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                planes = [batch[n].flatten().to_numpy(zero_copy_only=False).astype(np.uint8).reshape(-1, side, side) for n in "rgba"]
+                yield from of(batch["k"].to_pylist(), np.stack(planes, axis=-1))
+
+    return colored.select("k", *[channel(n) for n in "rgba"]).mapInArrow(run, schema)
+
+
 def render(colored: DataFrame, side: int) -> DataFrame:
     """k and a PNG for each frame of rows (k, c: array of struct r, g, b, a)."""
-    def run(batches):
-        for batch in batches:
-            out = batch[["k"]].copy()
-            out["png"] = [png(np.array([[p["r"], p["g"], p["b"], p["a"]] for p in c], np.uint8).reshape(side, side, 4)) for c in batch["c"]]
-            yield out
-    return colored.select("k", "c").mapInPandas(run, "k long, png binary")
+    def of(ks: list[int], images: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array([png(i) for i in images], pa.binary())], names=["k", "png"])
+
+    return mapped(colored, side, of, "k long, png binary")
 
 
 def tar_shard(samples: list[tuple[str, dict[str, bytes]]]) -> bytes:

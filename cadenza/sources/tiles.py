@@ -6,14 +6,16 @@ import gzip
 import json
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.operators.grid import default_max_zoom
-from cadenza.sources.images import png
+from cadenza.sources.images import mapped, png
 
 # Fixed values of the archive format: length and layout of the header, tile types and compressions.
 _HEADER, _PNG, _NONE, _GZIP = 127, 2, 1, 2
@@ -64,13 +66,12 @@ def cut_tiles(colored: DataFrame, side: int, tile: int, min_zoom: int = 0) -> Da
     """k, z, x, y and png of every tile of frames (k, c: array of struct r, g, b, a)."""
     top = default_max_zoom(side, side, tile)
 
-    def run(batches):
-        for batch in batches:
-            for k, c in zip(batch["k"], batch["c"]):
-                image = np.array([[p["r"], p["g"], p["b"], p["a"]] for p in c], np.uint8).reshape(side, side, 4)
-                yield pd.DataFrame([(k, z, x, y, png(t)) for z, x, y, t in pyramid(image, tile, min_zoom, top)], columns=["k", "z", "x", "y", "png"])
+    def of(ks: list[int], images: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k, image in zip(ks, images):
+            z, x, y, body = zip(*[(z, x, y, png(t)) for z, x, y, t in pyramid(image, tile, min_zoom, top)])
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(z), pa.int64()), *[pa.array(v, pa.int32()) for v in (z, x, y)], pa.array(body, pa.binary())], names=["k", "z", "x", "y", "png"])
 
-    return colored.select("k", "c").mapInPandas(run, "k long, z int, x int, y int, png binary")
+    return mapped(colored, side, of, "k long, z int, x int, y int, png binary")
 
 
 def tile_id(z: int, x: int, y: int) -> int:
