@@ -189,6 +189,7 @@ def audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, most_rank: in
         F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.col("place"), F.col("n")))).alias("own")
     )
     kept = common.materialize(kept.filter(F.col("docs") >= least_documents).select("lang", "term", "n", "own"), "divergence-kept")
+    common.release(counts)
     each = kept.select("lang", "term", F.col("n").alias("lang_n"), F.explode("own").alias("x")).select("lang", "term", "lang_n", "x.place", "x.n")
     totals = each.groupBy(F.col("lang").alias("t_lang"), F.col("place").alias("t_place")).agg(F.sum("n").alias("total"))
     langs = kept.groupBy(F.col("lang").alias("l_lang")).agg(F.sum("n").alias("lang_total"), F.count("*").alias("kept"))
@@ -223,4 +224,6 @@ def audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, most_rank: in
     pairs = both.join(one, (F.col("lang") == F.col("g_lang")) & (F.col("a") == F.col("g_place"))).join(other, (F.col("lang") == F.col("h_lang")) & (F.col("b") == F.col("h_place")))
     pairs = pairs.select("lang", "source", "item", "value").withColumn("rank", F.row_number().over(order)).withColumn("part", F.lit("pair"))
     columns = ["lang", "source", "part", "item", "value", "rank"]
-    return pairs.select(*columns).unionByName(terms.select(*columns))
+    out = common.materialize(pairs.select(*columns).unionByName(terms.select(*columns)), "divergence-result")
+    common.release(groups, kept, table)
+    return out

@@ -240,11 +240,13 @@ def resample(docs: DataFrame, target: DataFrame, most_run: int = MOST_RUN, perce
     spark = docs.sparkSession
     gain = gains(bucket_counts(docs, most_run), bucket_counts(target, most_run))
     # Written before it is ordered: drawing the bounds of ranges reads all rows once more.
-    scored = common.materialize(weights(docs, gain, most_run), "importance-weights").withColumn("score", F.col("weight") + gumbel(F.col("doc_id")))
+    weighted = common.materialize(weights(docs, gain, most_run), "importance-weights")
+    scored = weighted.withColumn("score", F.col("weight") + gumbel(F.col("doc_id")))
     order = [(F.col("n_words") >= least_words).desc(), F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
     ranged = scored.repartitionByRange(common.partitions(spark), *order).sortWithinPartitions(*order)
     # And before it is counted: bounds of ranges are drawn anew whenever a plan runs.
     ranged = common.materialize(ranged.withColumn("place", F.monotonically_increasing_id()), "importance-scored")
+    common.release(weighted)
     ranged = ranged.withColumn("part", F.shiftright("place", 33)).withColumn("place", F.col("place").bitwiseAND((1 << 33) - 1))
     parts = ranged.groupBy("part").agg(F.count("*").alias("n"), F.count(F.when(F.col("n_words") >= least_words, 1)).alias("fit"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -247,8 +247,12 @@ def score_texts(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, mos
     joined = scored.join(sums, F.col("row") == F.col("r_row"), "left")
     nothing = F.lit(0.0)
     if not n:  # nothing to learn from: one token, which is certain
-        return joined.select("doc_id", "held_out", "n_tokens", F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), nothing.alias("base_score"), nothing.alias("score"))
-    return joined.select(
-        "doc_id", "held_out", "n_tokens", (F.col("symbols") + F.coalesce("r_known", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("r_base", nothing)).alias("base_score"), (F.col("log") + F.coalesce("r_log", nothing)).alias("score"),
-    )
+        out = joined.select("doc_id", "held_out", "n_tokens", F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), nothing.alias("base_score"), nothing.alias("score"))
+    else:
+        out = joined.select(
+            "doc_id", "held_out", "n_tokens", (F.col("symbols") + F.coalesce("r_known", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
+            (F.col("base") + F.coalesce("r_base", nothing)).alias("base_score"), (F.col("log") + F.coalesce("r_log", nothing)).alias("score"),
+        )
+    out = common.materialize(out, "lm-scores")
+    common.release(counts, encoded)
+    return out
