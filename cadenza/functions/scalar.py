@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The metric range, the model input range (Kelvin) and the operational grid.
@@ -142,3 +142,16 @@ def shard_length(chunk: int, shard: int, size: int) -> int | None:
     """Largest multiple of `chunk` within both `shard` and `size`; None if that is the chunk itself."""
     length = chunk * max(min(shard, size) // chunk, 1)
     return None if length == chunk else length
+
+
+def resolved(pixels: DataFrame, stats: DataFrame, dataset: str) -> DataFrame:
+    """The pixels (bt and the column `dataset`) with `mean`, `std` and `norm`: by the statistics stored for the data set (dataset, mean,
+    std), one row each, else by the fixed range. A spread of nearly nothing counts as no statistics."""
+    own = stats.select(F.col(dataset).alias("__dataset"), "mean", "std")
+    found = pixels.join(own, F.col(dataset) == F.col("__dataset"), "left").drop("__dataset")
+    return found.withColumn("norm", F.when(F.col("std") >= 1e-6, zscore(F.col("bt"), F.col("mean"), F.col("std"))).otherwise(normalize_bt(F.col("bt"))))
+
+
+def unresolved(norm: Column, mean: Column, std: Column) -> Column:
+    """Kelvin of resolved() values."""
+    return F.when(std >= 1e-6, un_zscore(norm, mean, std)).otherwise(denormalize_bt(norm))

@@ -63,6 +63,12 @@ def summarize(long: DataFrame, by: list[str]) -> DataFrame:
     return long.groupBy(*by).agg(F.avg(ok).alias("mean"), F.count(ok).alias("n_finite"))
 
 
+def weighted_product(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the product of `value` to the power of `weight`; a value of zero or less makes it zero."""
+    out = scores.groupBy(*keys).agg(F.min("value").alias("__least"), F.sum(F.col("weight") * F.ln("value")).alias("__log"))
+    return out.select(*keys, F.when(F.col("__least") <= 0, 0.0).otherwise(F.exp("__log")).alias("product"))
+
+
 def contingency(pixels: DataFrame, keys: list[str], threshold_k: float, pred: str = "pred", truth: str = "truth") -> DataFrame:
     """Cloud tops colder than a threshold: POD, FAR, CSI and frequency bias."""
     ok = valid(pred, truth)

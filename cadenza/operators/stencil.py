@@ -200,6 +200,13 @@ def flow_overlay(vectors: DataFrame, side: int, west: float, south: float, east:
     return vectors.select("*", F.round(lon, 6).alias("lon0"), F.round(lat, 6).alias("lat0"), F.round(lon + scale * F.col("dx") * dx, 6).alias("lon1"), F.round(lat - scale * F.col("dy") * dy, 6).alias("lat1"))
 
 
+def one_schema(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, x0, y0, x1, y1 of vectors as JSON (json) in either schema: x, y, u, v, or start and end; NULL where neither is whole."""
+    v = F.from_json("json", "x double, y double, u double, v double, start array<double>, end array<double>")
+    start, end = (lambda i: F.get(v["start"], F.lit(i))), (lambda i: F.get(v["end"], F.lit(i)))
+    return texts.select(*keys, *[F.coalesce(v[a], start(i)).alias(f"{a}0") for i, a in enumerate("xy")], *[F.coalesce(v[a] + v[b], end(i)).alias(f"{a}1") for i, (a, b) in enumerate(("xu", "yv"))])
+
+
 def flow_color(u: Column, v: Column, largest: float) -> tuple[Column, Column]:
     """Hue in degrees by direction and saturation by magnitude; NULL flow has none."""
     hue = F.pmod(F.degrees(F.atan2(-v, -u)) + 360.0, F.lit(360.0))

@@ -715,4 +715,4 @@ def agg_calibration(spark, d):
     return views.series(spark, d).groupBy("event_type").agg(r(F.regr_slope("bt", u), 8).alias("slope"), r(F.regr_intercept("bt", u), 5).alias("intercept"), r(F.coalesce(F.avg("bt"), F.lit(0.0))).alias("fill"))
 
 
-from cadenza.plans import block_queries, file_queries, format_queries, media_queries, sensor_queries, stream_queries  # noqa: E402,F401 - they add theirs
+from cadenza.plans import block_queries, file_queries, format_queries, media_queries, sensor_queries, small_queries, stream_queries  # noqa: E402,F401 - they add theirs
