@@ -60,7 +60,7 @@ def src_hdf5(spark, d):
 
 @query("SRC11 SRC21 STN01", f"""WITH {_HDF5_SQL}, f AS (SELECT time, source, list(v ORDER BY i) AS bt FROM cells WHERE source <> 'INSAT-3DR' GROUP BY time, source)
  SELECT time, i::INT AS i, round(bt[(7 - abs(7 - abs(i // 8 - 1))) * 8 + 7 - abs(7 - abs(i % 8 + 1)) + 1] + 2 * bt[i // 8 * 8 + 7 - abs(7 - abs(i % 8 + 1)) + 1] + bt[(7 - abs(7 - abs(i // 8 + 1))) * 8 + 7 - abs(7 - abs(i % 8 + 1)) + 1]
- - bt[(7 - abs(7 - abs(i // 8 - 1))) * 8 + abs(i % 8 - 1) + 1] - 2 * bt[i // 8 * 8 + abs(i % 8 - 1) + 1] - bt[(7 - abs(7 - abs(i // 8 + 1))) * 8 + abs(i % 8 - 1) + 1], 5) AS gx FROM f, {S.CELLS}""")
+ - bt[(7 - abs(7 - abs(i // 8 - 1))) * 8 + abs(i % 8 - 1) + 1] - 2 * bt[i // 8 * 8 + abs(i % 8 - 1) + 1] - bt[(7 - abs(7 - abs(i // 8 + 1))) * 8 + abs(i % 8 - 1) + 1], 5) + 0.0 AS gx FROM f, {S.CELLS}""")
 def src_blocks(spark, d):
     """Files read as blocks, a band of rows at a time, and their gradients: no task holds a whole frame."""
     folder = folders.shared(spark, "hdf5")
@@ -68,7 +68,7 @@ def src_blocks(spark, d):
     satellite.register(spark)
     read = spark.read.format("cadenza_frames").option("path", folder).option("block", GRID.size).load().filter("source <> 'INSAT-3DR'")
     px = blocks.pixels(blocks.sobel(read.select("time", "by", "bx", "bt"), ["time"], "bt", GRID), ["time"], ["gx"], GRID)
-    return px.select("time", (F.col("y") * SIDE + F.col("x")).alias("i"), r("gx", 5).alias("gx"))
+    return px.select("time", (F.col("y") * SIDE + F.col("x")).alias("i"), (r("gx", 5) + 0.0).alias("gx"))  # no negative zero
 
 
 #: Of a frame's eight segments, each one line, those of lost(k) are not there.
