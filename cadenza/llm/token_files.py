@@ -11,10 +11,13 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import islice
+from itertools import compress, count, islice
+from operator import not_
 
 import numpy as np
 import pandas as pd
@@ -57,7 +60,10 @@ class ByteEncoder:
         self.cache: dict[bytes, bytes] = {}
 
     def raw(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        own = array("H" if self.dtype.itemsize == 2 else "I", ids)
+        if sys.byteorder == "big":
+            own.byteswap()
+        return own.tobytes()
 
     def learn(self, pieces: set[bytes]) -> None:
         order = list(pieces)
@@ -75,16 +81,19 @@ class ByteEncoder:
                 split[n] = (_COARSE if _NOT_WESTERN(text) else _FINE)(text.encode())
         get = self.cache.get
         found = {n: list(map(get, pieces)) for n, pieces in split.items()}
-        still = [n for n, x in found.items() if None in x]
-        missing = {p for n in still for p, x in zip(split[n], found[n]) if x is None}
+        # No piece is without ids, so only what is missing is false.
+        gaps = {n: list(compress(count(), map(not_, x))) for n, x in found.items() if None in x}
+        missing = {split[n][k] for n, places in gaps.items() for k in places}
         if len(self.cache) + len(missing) > CACHE_PIECES:
             self.cache = dict(islice(self.cache.items(), len(self.cache) // 2, None))  # what was learnt last
             get = self.cache.get
-            missing = {p for n in still for p in split[n] if p not in self.cache}
+            missing -= self.cache.keys()
         if missing:
             self.learn(missing)
-        for n in still:
-            found[n] = list(map(get, split[n]))
+        for n, places in gaps.items():
+            pieces, own = split[n], found[n]
+            for k in places:
+                own[k] = get(pieces[k])
         for n, x in found.items():
             out[n] = b"".join(x)
         return out
