@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.scalar import linear_blend
 from cadenza.functions.text import iso_z
+from cadenza.sources import folders
 
 
 def shifted(frames: DataFrame, by: int, suffix: str, columns: list[str], keys: list[str] | None = None) -> DataFrame:
@@ -43,11 +44,14 @@ def lag_lead(df: DataFrame, partition: list[str], order: list[str], column: str)
 
 
 def _ranged(df: DataFrame, order: list[Column | str], **columns: Column) -> DataFrame:
-    """The rows as the struct `row` and their partition `part`, range-partitioned and sorted by the order; no name can clash."""
+    """The rows as the struct `row` and their partition `part`, range-partitioned and sorted by the order; no name can clash.
+
+    They are written once and read back: bounds of ranges come from a sample, which differs each time that a plan runs, so counts and
+    rows of two runs would not belong together."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     own = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
-    return ranged.select(own, F.monotonically_increasing_id().alias("id"), *[c.alias(k) for k, c in columns.items()]).withColumn("part", F.shiftright("id", 33))
+    return folders.stored(ranged.select(own, F.monotonically_increasing_id().alias("id"), *[c.alias(k) for k, c in columns.items()]).withColumn("part", F.shiftright("id", 33)), "ranged")
 
 
 def _before(parts: DataFrame) -> DataFrame:
@@ -59,7 +63,7 @@ def _before(parts: DataFrame) -> DataFrame:
 def ordinals(df: DataFrame, order: list[Column | str], name: str = "ordinal") -> DataFrame:
     """A column with each row's place, from 0, in the whole order, without one task sorting all rows.
 
-    Rows are range-partitioned and sorted; a window over one row per partition gives the places before each. Rows
+    Rows are range-partitioned, sorted and written; a window over one row per partition gives the places before each. Rows
     that the order does not tell apart get their places in any order."""
     ranged = _ranged(df, order)
     before = _before(ranged.groupBy("part").agg(F.count("*").alias("n")))

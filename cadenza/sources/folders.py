@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession, name: str) -> str:
@@ -21,6 +21,13 @@ def shared(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes `df` to a shared folder and reads it back, so that all that is made from it sees the same rows."""
+    spark, path = df.sparkSession, shared(df.sparkSession, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def store(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system and path of a folder: local, HDFS, S3 or GCS."""
     if uri.startswith(("file:", "/")):

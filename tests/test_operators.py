@@ -48,6 +48,13 @@ def test_ordinals(spark):
     assert all(r["sum"] == r["v"] * (r["v"] - 1) // 2 for r in sums)
 
 
+def test_ordinals_of_more_rows_than_a_sample_holds(spark):
+    # Bounds of ranges come from a sample of about a hundred rows a partition.
+    df = spark.range(60_000).repartition(16).select(((F.col("id") * 7919) % 60_000).alias("v"), F.col("id").cast("string").alias("more"))
+    assert sequence.ordinals(df, ["v"]).filter("v <> ordinal").count() == 0
+    assert sequence.prefix_sums(df, ["v"], F.col("v"), "sum").filter("sum <> v * (v - 1) / 2").count() == 0
+
+
 def test_nearest_across_the_date_line(spark):
     source = spark.createDataFrame([(1, 0.0, 179.9), (2, 0.0, -179.7), (3, 60.0, -179.95), (4, -89.9, 10.0)], "s_id long, lat double, lon double")
     target = spark.createDataFrame([(10, 0.05, -179.95), (11, 0.0, 179.6), (12, 60.0, 179.9), (13, -89.9, -170.0), (14, 0.0, 0.0)], "t_id long, lat double, lon double")
