@@ -61,7 +61,7 @@ def parts(framed: DataFrame, keys: list[str], side: int, names: list[str] | None
     names = names or list(STACKED)
 
     def run(batches):
-        for batch in batches:
+        for batch in metrics.slices(batches, pred):
             out = batch[[*keys, "charbonnier"]].copy()
             a, b = (metrics.stack(batch[c], side) for c in (pred, truth))
             for name in names:

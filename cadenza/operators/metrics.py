@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -208,6 +211,19 @@ def stack(frames, side: int) -> np.ndarray:
     return np.array([[np.nan if v is None else v for v in f] for f in frames], float).reshape(len(frames), -1, side)
 
 
+#: Pixels that are worked on at once.
+STACK_PIXELS = 1 << 15
+
+
+def slices(batches: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
+    """The batches in runs of rows whose frames in `column` have STACK_PIXELS together, or one row of a larger frame: a stack and what
+    is computed from it has that size however many rows a batch has."""
+    for batch in batches:
+        n = max(1, STACK_PIXELS // max(1, len(batch[column].iloc[0]))) if len(batch) else 1
+        for k in range(0, max(1, len(batch)), n):
+            yield batch.iloc[k : k + n]
+
+
 WINDOWED = {"ssim": ssim, "ms_ssim": ms_ssim, "fsim": fsim, "gmsd": gmsd, "psd_ratio": psd_ratio}
 
 
@@ -216,7 +232,7 @@ def windowed_metrics(framed: DataFrame, keys: list[str], side: int, names: list[
     names = names or list(WINDOWED)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, pred):
             out = batch[keys].copy()
             p, g = (stack(batch[c], side) for c in (pred, truth))
             gone = np.isnan(p) | np.isnan(g)

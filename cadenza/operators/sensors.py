@@ -88,7 +88,7 @@ def haar(frames: np.ndarray) -> dict[str, np.ndarray]:
 def wavelet_energy(framed: DataFrame, keys: list[str], column: str, side: int, levels: int = 2) -> DataFrame:
     """keys, level, band and the mean square of the detail coefficients of each level, of frames held as arrays."""
     def run(batches):
-        for batch in batches:
+        for batch in metrics.slices(batches, column):
             if not len(batch):
                 continue
             image = metrics.stack(batch[column], side)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.operators import flow
-from cadenza.operators.metrics import stack
+from cadenza.operators.metrics import slices, stack
 
 
 def at(frame: Column | str, y: Column, x: Column, side: int) -> Column:
@@ -56,7 +56,7 @@ def sobel_numpy(frames: np.ndarray) -> np.ndarray:
 def census_sums(framed: DataFrame, keys: list[str], column: str, side: int) -> DataFrame:
     """keys and `census`, for each pixel the sum of its soft census values."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, column):
             out = batch[keys].copy()
             out["census"] = census(stack(batch[column], side)).sum(axis=1).reshape(len(batch), -1).tolist() if len(batch) else []
             yield out
@@ -170,7 +170,7 @@ def flow_blend(a: np.ndarray, b: np.ndarray, t: float, solver: str = "horn_schun
 def flow_frames(pairs: DataFrame, keys: list[str], side: int, t: float = 0.5, solver: str = "horn_schunck") -> DataFrame:
     """Flow (u, v), its mean speed and the blended frame of each pair (bt, bt_next)."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "bt"):
             out = batch[keys].copy()
             if len(batch):
                 u, v, blend = flow_blend(*(stack(batch[c], side) for c in ("bt", "bt_next")), t, solver)
