@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import metrics
 
+#: Pixels of a stack of blocks with their halos.
+STACK_PIXELS = 1 << 16
+
 
 @dataclass(frozen=True)
 class Grid:
@@ -67,7 +70,8 @@ def with_halo(blocks: DataFrame, keys: list[str], columns: list[str], grid: Grid
     Each block cuts what its neighbours need; one shuffle brings the pieces of a block together, of which there are as many as
     blocks touch its halo, nine if a block is no smaller than the halo."""
     reach = -(-halo // grid.size)
-    steps = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)])
+    down, across = min(reach, grid.down - 1), min(reach, grid.across - 1)
+    steps = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in range(-down, down + 1) for b in range(-across, across + 1)])
     to = blocks.select(*keys, "by", "bx", *columns, F.explode(steps).alias("d"))
     to = to.withColumn("ty", F.col("by") + F.col("d.dy")).withColumn("tx", F.col("bx") + F.col("d.dx"))
     to = to.filter((F.col("ty") >= 0) & (F.col("tx") >= 0) & (F.col("ty") < grid.down) & (F.col("tx") < grid.across))
@@ -99,7 +103,9 @@ class Place:
 
 
 def _assemble(pieces: pa.Array, columns: list[str], by: np.ndarray, bx: np.ndarray, grid: Grid, halo: int, mode: str) -> Iterator[tuple[np.ndarray, Place, dict[str, np.ndarray]]]:
-    """For the blocks of each shape: their rows, place, and stacks (n, height + 2 halo, width + 2 halo) with NaN for missing pixels."""
+    """For the blocks of each shape: their rows, place, and stacks (n, height + 2 halo, width + 2 halo) with NaN for missing pixels.
+
+    A stack has STACK_PIXELS pixels at most, or one block, however many rows a batch has."""
     offsets, flat = pieces.offsets.to_numpy(), pieces.values
     part = {f: flat.field(f).to_numpy(zero_copy_only=False) for f in ("y", "x", "h", "w")}
     values = {}
@@ -108,8 +114,9 @@ def _assemble(pieces: pa.Array, columns: list[str], by: np.ndarray, bx: np.ndarr
         numbers = lists.values
         values[c] = lists.offsets.to_numpy(), numbers.cast(pa.float64()).to_numpy(zero_copy_only=False)
     height, width = np.minimum(grid.size, grid.rows - by * grid.size), np.minimum(grid.size, grid.cols - bx * grid.size)
-    for h, w in sorted({*zip(height.tolist(), width.tolist())}):
-        rows = np.flatnonzero((height == h) & (width == w))
+    alike = [(h, w, np.flatnonzero((height == h) & (width == w))) for h, w in sorted({*zip(height.tolist(), width.tolist())})]
+    most = lambda h, w: max(1, STACK_PIXELS // ((h + 2 * halo) * (w + 2 * halo)))
+    for h, w, rows in ((h, w, rows[k : k + most(h, w)]) for h, w, rows in alike for k in range(0, len(rows), most(h, w))):
         place = Place(by[rows] * grid.size, bx[rows] * grid.size, h, w)
         stacks = {}
         for c in columns:
@@ -289,8 +296,8 @@ def patches(blocks: DataFrame, keys: list[str], column: str, grid: Grid, side: i
 
 def horn_schunck(blocks: DataFrame, keys: list[str], first: str, then: str, grid: Grid, n_iter: int = 60, alpha: float = 1.0) -> DataFrame:
     """Flow u, v from the first to the second column, exactly that of the whole frame: a step moves by one pixel, so a halo of one pixel
-    for each step is enough. Missing pixels count as zero."""
-    halo = n_iter + 1
+    for each step is enough, or the whole frame. Missing pixels count as zero."""
+    halo = min(n_iter + 1, max(grid.rows, grid.cols))
 
     def of(stacks, place):
         a, b = (np.nan_to_num(stacks[c]) for c in (first, then))

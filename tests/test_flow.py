@@ -1,9 +1,11 @@
 """Flow solvers on planted shifts, against Horn and Schunck, and frame by frame."""
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
-from cadenza.operators import flow, stencil
+from cadenza.operators import blocks, flow, metrics, stencil
 
 
 def scene(dy, dx, side=64):
@@ -74,3 +76,28 @@ def test_blends_by_every_solver():
     for solver in ("total_variation", "polynomial"):
         _, _, out = stencil.flow_blend(a, b, 0.5, solver)
         assert np.abs((out[0] - truth)[8:-8, 8:-8]).mean() < 0.3 * linear
+
+
+def test_stacks_of_blocks_do_not_grow_with_the_batch():
+    grid, n = blocks.Grid(8, 8, 4), 12_000
+    piece = {"y": 4, "x": 4, "h": 4, "w": 4, "a": [1.0] * 16}
+    pieces = pa.array([[piece]] * n, pa.list_(pa.struct([("y", pa.int32()), ("x", pa.int32()), ("h", pa.int32()), ("w", pa.int32()), ("a", pa.list_(pa.float64()))])))
+    found = [(rows, stacks["a"]) for rows, _, stacks in blocks._assemble(pieces, ["a"], np.ones(n, int), np.ones(n, int), grid, 8, "missing")]
+    assert max(s.size for _, s in found) <= blocks.STACK_PIXELS and np.concatenate([rows for rows, _ in found]).tolist() == list(range(n))
+    assert all((np.nansum(s, axis=(1, 2)) == 16).all() for _, s in found)
+
+
+def test_stacks_of_frames_do_not_grow_with_the_batch():
+    batch = pd.DataFrame({"k": range(10_000), "bt": [np.zeros(64)] * 10_000})
+    found = list(metrics.slices([batch, batch.iloc[:0]], "bt"))
+    assert max(len(b) * 64 for b in found) <= metrics.STACK_PIXELS and pd.concat(found)["k"].tolist() == list(range(10_000)) and not len(found[-1])
+    assert [len(b) for b in metrics.slices([pd.DataFrame({"bt": [np.zeros(metrics.STACK_PIXELS + 1)] * 3})], "bt")] == [1, 1, 1]
+
+
+def test_a_halo_is_no_wider_than_the_frame(spark):
+    frames = spark.createDataFrame([(0, [float(v) for v in range(64)], [float(v % 7) for v in range(64)])], "k long, a array<double>, b array<double>")
+    grid = blocks.Grid(8, 8, 4)
+    for n in (3, 40):
+        got = blocks.pixels(blocks.horn_schunck(blocks.from_frames(frames, ["k"], ["a", "b"], grid), ["k"], "a", "b", grid, n), ["k"], ["u", "v"], grid).orderBy("y", "x").collect()
+        own = stencil.horn_schunck(*(np.array(frames.first()[c]).reshape(1, 8, 8) for c in "ab"), n)
+        assert np.allclose([[r["u"], r["v"]] for r in got], np.stack([f.ravel() for f in own], axis=1), atol=1e-9)
