@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cadenza.functions import text
@@ -261,16 +262,26 @@ def snk_animation(spark, d):
     """For each label an animation of its triplets: the predicted beside the true frame. An animation has the frames of one scene."""
     from cadenza.sources import images
 
+    channels = [(c, n) for c in ("pred", "truth") for n in "rgba"]
     color = lambda c: F.transform(c, lambda b: grid.bt_to_rgba(b)).alias(c)
     mid = crossval.middle(views.frames(spark, d, masked=True)).select("label", "k", color("pred"), color("truth"))
+    plane = lambda c, n: F.transform(c, lambda p: p[n]).alias(f"{c}_{n}")
+    mid = mid.select("label", "k", *[plane(c, n) for c, n in channels])
+
+    def pack(batches):
+        """Images are made and compressed where their frames are, so that an animation's task gets small rows."""
+        for batch in batches:
+            planes = {(c, n): batch[f"{c}_{n}"].flatten().to_numpy(zero_copy_only=False).astype(np.uint8).reshape(-1, SIDE, SIDE) for c, n in channels}
+            left, right = (np.stack([planes[c, n] for n in "rgba"], axis=-1) for c in ("pred", "truth"))
+            rows = [images.packed(images.side_by_side(p, t)) for p, t in zip(left, right)]
+            yield pa.RecordBatch.from_arrays([batch["label"], batch["k"], pa.array(rows, pa.binary())], names=["label", "k", "rows"])
 
     def animate(group: pd.DataFrame) -> pd.DataFrame:
-        image = lambda c: np.array([[p["r"], p["g"], p["b"], p["a"]] for p in c], np.uint8).reshape(SIDE, SIDE, 4)
         group = group.sort_values("k")
-        raw = images.animation([images.side_by_side(image(p), image(t)) for p, t in zip(group["pred"], group["truth"])], 200)
-        found = images.read_animation(raw)
-        return pd.DataFrame({"label": [group["label"].iloc[0]], "n_images": [len(found)], "n_rows": [found[0].shape[0]], "n_cols": [found[0].shape[1]], "n_opaque": [int(sum((f[:, :, 3] == 255).sum() for f in found))]})
-    return mid.groupBy("label").applyInPandas(animate, "label int, n_images long, n_rows int, n_cols int, n_opaque long")
+        raw = images.animation(group["rows"].tolist(), (SIDE, 2 * SIDE), 200)
+        found = [(f.shape, int((f[:, :, 3] == 255).sum())) for f in images.read_animation(raw)]
+        return pd.DataFrame({"label": [group["label"].iloc[0]], "n_images": [len(found)], "n_rows": [found[0][0][0]], "n_cols": [found[0][0][1]], "n_opaque": [sum(n for _, n in found)]})
+    return mid.mapInArrow(pack, "label int, k long, rows binary").groupBy("label").applyInPandas(animate, "label int, n_images long, n_rows int, n_cols int, n_opaque long")
 
 
 # --- cache, streams -----------------------------------------------------------------------------------------------------

@@ -63,3 +63,11 @@ def test_videos(spark, tmp_path, monkeypatch):
     odd = spark.createDataFrame([("a", 99, bytearray(jpeg.encode(picture(8, 8))))], "video string, k long, jpeg binary")
     with pytest.raises(Exception, match="several sizes"):
         jpeg.encode_video(df.union(odd), str(tmp_path / "odd"))
+
+
+def test_an_animation_is_made_of_rows_packed_elsewhere():
+    from cadenza.sources import images
+
+    frames = np.random.default_rng(1).integers(0, 256, (5, 3, 4, 4)).astype(np.uint8)
+    found = images.read_animation(images.animation([images.packed(f) for f in frames], (3, 4), 200))
+    assert next(found).shape == (4, 4, 4) and all((f[:3] == own).all() for f, own in zip(found, frames[1:]))
