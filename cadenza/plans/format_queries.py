@@ -25,7 +25,9 @@ def _write(spark, d, folder: str, of) -> None:
                 for name, content in of(k, time, np.array(bt, float).reshape(SIDE, SIDE)):
                     folders.put(files, f"{base}/{time:%Y%m%d}/{name}", content)
             yield batch[["k"]]
-    views.frames(spark, d).select("k", "time", "bt").mapInPandas(write, "k long").write.format("noop").mode("overwrite").save()
+    # A table of small rows is read by few tasks.
+    frames = views.frames(spark, d).select("k", "time", "bt").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
+    frames.mapInPandas(write, "k long").write.format("noop").mode("overwrite").save()
 
 
 def _hdf5(k: int, time, bt: np.ndarray):

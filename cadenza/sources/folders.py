@@ -38,9 +38,13 @@ def store(uri: str) -> tuple[fs.FileSystem, str]:
 def put(files: fs.FileSystem, path: str, content: bytes) -> None:
     """Writes a file under another name and moves it, so that a task that runs twice leaves one whole file."""
     folder = path.rsplit("/", 1)[0]
-    files.create_dir(folder, recursive=True)
     part = f"{folder}/_{uuid.uuid4().hex}"
-    with files.open_output_stream(part) as out:
+    try:
+        out = files.open_output_stream(part)
+    except FileNotFoundError:  # the folder, which most files find there
+        files.create_dir(folder, recursive=True)
+        out = files.open_output_stream(part)
+    with out:
         out.write(content)
     try:
         files.move(part, path)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource
 
 from cadenza.sources import satellite
-from cadenza.sources.folders import get, store
+from cadenza.sources.folders import get, store, stored
 
 # Fixed values of the format: numbers of header blocks.
 _DATA, _PROJECTION, _CALIBRATION, _SEGMENT = 2, 3, 5, 7
@@ -92,15 +92,14 @@ class SegmentReader(satellite.FrameReader):
     ENDS = (".DAT", ".DAT.bz2")
 
     def read(self, partition: satellite.Files) -> Iterator[pa.RecordBatch]:
+        numbers = ["band", "segment", "n_segments", "first_line", "n_lines", "n_cols"]
+        yield from satellite.batched(self.rows(partition), {"path": pa.string(), "source": pa.string(), "time": pa.timestamp("us")} | dict.fromkeys(numbers, pa.int32()))
+
+    def rows(self, partition: satellite.Files) -> Iterator[tuple]:
         files, _ = store(self.folder)
         for path, source, time in partition.paths:
             s = parse(get(files, path))
-            numbers = (s.band, s.number, s.of, s.first_line, *s.counts.shape)
-            arrays = [satellite._lists([a]) for a in (temperature(s), *coordinates(s))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([path]), pa.array([source], pa.string()), pa.array([time], pa.timestamp("us")), *[pa.array([n], pa.int32()) for n in numbers], *arrays],
-                names=["path", "source", "time", "band", "segment", "n_segments", "first_line", "n_lines", "n_cols", "bt", "lat", "lon"],
-            )
+            yield path, source, time, s.band, s.number, s.of, s.first_line, *s.counts.shape, temperature(s), *coordinates(s)
 
 
 class SegmentSource(DataSource):
@@ -119,9 +118,12 @@ class SegmentSource(DataSource):
 
 def complete(segments: DataFrame) -> DataFrame:
     """A row for each segment that a frame (source, time, band) should have, in the schema of the source: those that are missing have
-    no path and NULL arrays, and the place and size that follow from the others. Of a segment's files the one with the first name stays."""
+    no path and NULL arrays, and the place and size that follow from the others. Of a segment's files the one with the first name stays.
+
+    Segments are written once and read back, so that files are opened once, though sizes are needed before the rows."""
     key = ["source", "time", "band"]
     one = segments.groupBy(*key, "segment").agg(F.min_by(F.struct(*[c for c in segments.columns if c not in (*key, "segment")]), "path").alias("s"))
+    one = stored(one, "segments")
     shape = one.groupBy(*key).agg(F.max("s.n_segments").alias("n_segments"), F.max("s.n_lines").alias("n_lines"), F.max("s.n_cols").alias("n_cols"))
     wanted = shape.withColumn("segment", F.explode(F.sequence(F.lit(1), F.col("n_segments"))))
     on = [F.col(f"w.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*key, "segment"]]

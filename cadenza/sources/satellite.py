@@ -13,6 +13,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from functools import lru_cache
 from time import time_ns
 
 import numpy as np
@@ -25,8 +26,10 @@ from cadenza.functions.text import SOURCE_MARKS
 from cadenza.sources import hdf5, netcdf
 from cadenza.sources.folders import get, put, store
 
-#: Files of a partition.
-FILES = 32
+#: Files of a task that copies; bytes of a partition, each file with those that opening it is worth; partitions, beyond which they grow.
+FILES, BYTES, OPEN, TASKS = 32, 64 << 20, 256 << 10, 1000
+#: Pixels with which a batch ends; a row of more is one alone.
+PIXELS = 32_768
 # Patterns of the start time in file names, variables by sensor.
 _TIMES = [
     (re.compile(r"_s(\d{4})(\d{3})(\d{2})(\d{2})(\d{2})"), None), (re.compile(r"HS_H\d\d_(\d{8}_\d{4})_B"), "%Y%m%d_%H%M"), (re.compile(r"_(\d{12})\.(?:nc|h5)$"), "%Y%m%d%H%M"),
@@ -50,13 +53,18 @@ def source_of(path: str) -> str | None:
     return None
 
 
+@lru_cache(4096)
+def _parsed(text: str, form: str) -> datetime:
+    return datetime.strptime(text, form)
+
+
 def time_of(path: str) -> datetime | None:
     """The start time in a file's name."""
     name = path.rsplit("/", 1)[-1]
     for pattern, form in _TIMES:
         if found := pattern.search(name):
             if form:
-                return datetime.strptime(found[1].title() if "%b" in form else found[1], form)
+                return _parsed(found[1].title() if "%b" in form else found[1], form)
             year, day, h, m, s = map(int, found.groups())
             return datetime(year, 1, 1, h, m, s) + timedelta(days=day - 1)
     return None
@@ -194,6 +202,25 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[a.size for a in arrays]]), pa.int32()), pa.array(flat, pa.float64(), mask=np.isnan(flat)))
 
 
+def batched(rows: Iterator[tuple], kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows: values as `kinds` has them and three arrays bt, lat and lon."""
+    held: list[tuple] = []
+    pixels = 0
+
+    def batch() -> pa.RecordBatch:
+        *values, bt, lat, lon = zip(*held)
+        return pa.RecordBatch.from_arrays([*[pa.array(v, kind) for v, kind in zip(values, kinds.values())], *map(_lists, (bt, lat, lon))], names=[*kinds, "bt", "lat", "lon"])
+
+    for row in rows:
+        if held and pixels + row[-1].size > PIXELS:
+            yield batch()
+            held, pixels = [], 0
+        held.append(row)
+        pixels += row[-1].size
+    if held:
+        yield batch()
+
+
 @dataclass
 class Files(InputPartition):
     paths: list[tuple[str, str | None, datetime | None]]
@@ -225,8 +252,8 @@ class FrameReader(DataSourceReader):
                     self.high = min(x for x in (self.high, value) if x)
             yield f
 
-    def listed(self) -> list[tuple[str, str | None, datetime | None]]:
-        """The files in the bounds, in order of time and name."""
+    def found(self) -> list[tuple[str, str | None, datetime | None, int]]:
+        """The files in the bounds with their sizes, in order of time and name."""
         files, base = store(self.folder)
         try:
             found = files.get_file_info(fs.FileSelector(base, recursive=True))
@@ -239,31 +266,47 @@ class FrameReader(DataSourceReader):
             source, time = source_of(info.base_name), time_of(info.base_name)
             if self.source and source != self.source or time and (self.low and time < self.low or self.high and time > self.high):
                 continue
-            out.append((info.path, source, time))
+            out.append((info.path, source, time, info.size or 0))
         return sorted(out, key=lambda x: (x[2] or datetime.min, x[0]))
 
+    def listed(self) -> list[tuple[str, str | None, datetime | None]]:
+        """The files in the bounds, in order of time and name."""
+        return [x[:3] for x in self.found()]
+
+    @staticmethod
+    def cut(found: list[tuple[str, str | None, datetime | None, int]]) -> list[Files]:
+        """Partitions of neighbouring files: large files by themselves, small ones together, so that their number does not grow with the files'."""
+        most = max(BYTES, sum(size + OPEN for *_, size in found) // TASKS)
+        out, held = [Files([])], 0
+        for *file, size in found:
+            if out[-1].paths and held + size + OPEN > most:
+                out.append(Files([]))
+                held = 0
+            out[-1].paths.append(tuple(file))
+            held += size + OPEN
+        return out
+
     def partitions(self) -> list[Files]:
-        found = self.listed()
-        return [Files(found[a : a + FILES]) for a in range(0, len(found), FILES)] or [Files([])]
+        return self.cut(self.found())
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        """A batch for each frame, or for each band of blocks; arrays go as buffers."""
+        """Batches of frames, or of blocks from a band at a time; arrays go as buffers."""
+        kinds = {"path": pa.string(), "source": pa.string(), "time": pa.timestamp("us"), "n_rows": pa.int32(), "n_cols": pa.int32()}
+        yield from batched(self.rows(partition), kinds | ({"by": pa.int32(), "bx": pa.int32()} if self.block else {}))
+
+    def rows(self, partition: Files) -> Iterator[tuple]:
         files, _ = store(self.folder)
         for path, source, time in partition.paths:
             with files.open_input_file(path) as f:
                 ds = open_file(lambda offset, length: f.read_at(length, offset))
-                for first, *arrays in bands(ds, source, self.block) if self.block else [(0, *_band(ds, source))]:
-                    shape = frame_shape(ds) if self.block else arrays[0].shape
-                    cuts = range(0, shape[1], self.block) if self.block else [0]
-                    width = self.block or shape[1]
-                    n = len(cuts)
-                    columns = [pa.array([path] * n), pa.array([source] * n, pa.string()), pa.array([time] * n, pa.timestamp("us")), *[pa.array([k] * n, pa.int32()) for k in shape]]
-                    names = ["path", "source", "time", "n_rows", "n_cols"]
-                    if self.block:
-                        columns += [pa.array([first // self.block] * n, pa.int32()), pa.array(range(n), pa.int32())]
-                        names += ["by", "bx"]
-                    columns += [_lists([a[:, x : x + width] for x in cuts]) for a in arrays]
-                    yield pa.RecordBatch.from_arrays(columns, names=[*names, "bt", "lat", "lon"])
+                if not self.block:
+                    arrays = _band(ds, source)
+                    yield path, source, time, *arrays[0].shape, *arrays
+                    continue
+                shape = frame_shape(ds)
+                for first, *arrays in bands(ds, source, self.block):
+                    for bx, x in enumerate(range(0, shape[1], self.block)):
+                        yield path, source, time, *shape, first // self.block, bx, *[a[:, x : x + self.block] for a in arrays]
 
 
 class FrameStreamReader(FrameReader, DataSourceStreamReader):
@@ -296,8 +339,7 @@ class FrameStreamReader(FrameReader, DataSourceStreamReader):
         low, high = ((o["changed"], o["name"]) for o in (start, end))
         self.reached = max(self.reached, high)
         wanted = {path for _, path in (x for x in self.arrived() if low < x <= high)}
-        found = [x for x in self.listed() if x[0] in wanted]
-        return [Files(found[a : a + FILES]) for a in range(0, len(found), FILES)] or [Files([])]
+        return self.cut([x for x in self.found() if x[0] in wanted])
 
 
 class FrameSource(DataSource):

@@ -65,3 +65,20 @@ def test_temporary_files_are_no_segments(spark, tmp_path):
     folders.put(files, f"{base}/note.txt", b"x")
     satellite.register(spark)
     assert spark.read.format("cadenza_segments").option("path", str(tmp_path)).load().count() == 0
+
+
+def test_small_segments_share_tasks_and_batches_and_large_ones_do_not(tmp_path, monkeypatch):
+    for k in range(40):
+        raw = sensor_files.segment_file(np.full((1, 8), 9000 + k), k % 8 + 1, 8, k % 8 + 1, 60000.0, 1e-3, 0.0)
+        (tmp_path / f"HS_H09_20250620_{k // 8:02d}00_B13_FLDK_R20_S{k % 8 + 1:02d}08.DAT").write_bytes(raw)
+    reader = himawari.SegmentReader({"path": str(tmp_path)})
+    (all_files,) = reader.partitions()
+    (batch,) = reader.read(all_files)
+    assert batch["path"].to_pylist() == [p for p, _, _ in reader.listed()] and batch["segment"].to_pylist() == [*range(1, 9)] * 5
+    monkeypatch.setattr(satellite, "PIXELS", 24)
+    assert [b.num_rows for b in reader.read(all_files)] == [3] * 13 + [1]
+    monkeypatch.setattr(satellite, "BYTES", 1)
+    monkeypatch.setattr(satellite, "OPEN", 0)
+    assert [len(p.paths) for p in reader.partitions()] == [1] * 40
+    monkeypatch.setattr(satellite, "TASKS", 4)
+    assert [len(p.paths) for p in reader.partitions()] == [10] * 4
