@@ -1,8 +1,11 @@
 """HDF5 files made by a writer of its own, read by byte ranges."""
 
+from datetime import datetime
+
 import numpy as np
 import pytest
 
+from cadenza.plans import format_queries
 from cadenza.plans.sensor_files import Hdf5Writer
 from cadenza.sources import hdf5, netcdf, satellite
 
@@ -83,3 +86,14 @@ def test_records_by_ranges():
         assert (whole.variables[n].data == ranged.variables[n].data).all()
     ranged.variables["bt"].window = (1, 2)
     assert (ranged.variables["bt"].data == whole.variables["bt"].data[:, 1:2]).all()
+
+
+def test_blocks_of_several_small_files_are_one_batch(tmp_path):
+    for k in (1, 2, 4, 5):
+        for name, content in format_queries._hdf5(k, datetime(2025, 6, 20, k), np.linspace(200, 300, 64).reshape(8, 8)):
+            (tmp_path / name).write_bytes(content)
+    reader = satellite.FrameReader({"path": str(tmp_path), "block": "4"})
+    (files,) = reader.partitions()
+    (batch,) = reader.read(files)
+    assert list(zip(batch["by"].to_pylist(), batch["bx"].to_pylist())) == [(0, 0), (0, 1), (1, 0), (1, 1)] * 4
+    assert {len(b) for b in batch["bt"].to_pylist()} == {16} and len(set(batch["path"].to_pylist())) == 4
