@@ -5,7 +5,8 @@
 
 A frame that comes between two known ones withdraws the blends between them and gives those around itself. A frame that is older
 than the newest of its scene by more than `late` cannot be placed any more; it is a row of kind `late`, so none is lost without
-a trace. State holds the frames of that span and one before it. A scene whose newest frame is older than the stream's by more than
+a trace. State holds the frames of that span and one before it, a scene's as one value, so that a batch reads and writes once for
+each of its scenes. A scene whose newest frame is older than the stream's by more than
 `late` and `idle` is forgotten, with a row of kind `expired`; rows that are older still are counted by Spark as late and dropped.
 """
 
@@ -13,13 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 LOG = "scene string, ts timestamp, kind string, t double, bt double, change int"
+_ROW = Row("scene", "micros", "kind", "t", "bt", "change")
 
 
 def blends(scene: str, a: tuple[int, float], b: tuple[int, float], factor: int, change: int) -> Iterator[tuple]:
@@ -37,18 +38,23 @@ class Inserter(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.frames = handle.getMapState("frames", StructType([StructField("micros", LongType())]), StructType([StructField("bt", DoubleType())]))
+        self.frames = handle.getValueState("frames", "micros binary, bt binary")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def known(self) -> dict[int, float]:
+        held = self.frames.get()
+        return dict(zip(np.frombuffer(held[0], "<i8").tolist(), np.frombuffer(held[1], "<f8").tolist())) if held else {}
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         scene = key[0]
-        new = pd.concat(list(rows)).sort_values(["micros", "bt"], kind="stable")
-        known = {int(k[0]): float(v[0]) for k, v in self.frames.iterator()}
+        # A frame without bt stands behind others of its time.
+        new = sorted(((r["micros"], float("nan") if r["bt"] is None else r["bt"]) for r in rows), key=lambda x: (x[0], x[1] != x[1], x[1]))
+        known = self.known()
         before = dict(known)
-        newest = max([*known, *new["micros"].tolist()])
+        newest = max([*known, new[-1][0]])
         # What is late is so for all that came before this batch, not for the rows beside it.
         oldest = (max(known) if known else -(1 << 62)) - self.late
         out = []
-        for micros, bt in zip(new["micros"].tolist(), new["bt"].tolist()):
+        for micros, bt in new:
             if micros < oldest:
                 out.append((scene, micros, "late", None, bt, 1))
                 continue
@@ -65,30 +71,25 @@ class Inserter(StatefulProcessor):
         earlier = [m for m in known if m < newest - self.late]
         if earlier:
             kept.append(max(earlier))
-        for m in set(before) - set(kept):
-            self.frames.removeKey((m,))
-        for m in kept:
-            if before.get(m) != known[m]:
-                self.frames.updateValue((m,), (known[m],))
-        self.handle.registerTimer(newest // 1000 + 1)
-        yield _rows(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        newest = max((int(k[0]) for k, _ in self.frames.iterator()), default=None)
-        if newest is not None and newest // 1000 < expiredTimerInfo.getExpiryTimeInMs():
+        kept.sort()
+        self.frames.update((np.array(kept, "<i8").tobytes(), np.array([known[m] for m in kept], "<f8").tobytes()))
+        if not before or newest > max(before):
+            self.handle.registerTimer(newest // 1000 + 1)
+        yield from map(_row, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        newest = max(self.known(), default=None)
+        if newest is not None and newest // 1000 < expiredTimerInfo.getExpiryTimeInMs():  # else frames have come since
             self.frames.clear()
-            yield _rows([(key[0], newest, "expired", None, None, 1)])
-        else:  # frames have come since
-            yield _rows([])
+            yield _row((key[0], newest, "expired", None, None, 1))
 
     def close(self) -> None:
         pass
 
 
-def _rows(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["scene", "ts", "kind", "t", "bt", "change"])
-    out["ts"] = pd.Series([pd.NaT if m is None else pd.Timestamp(m, unit="us") for m in out["ts"].tolist()], dtype="datetime64[us]")
-    return out.astype({"t": "float64", "bt": "float64", "change": "int32"})
+def _row(values: tuple) -> Row:
+    scene, micros, kind, t, bt, change = values
+    return _ROW(scene, micros, kind, t, None if bt != bt else bt, change)
 
 
 def insert_frames(stream: DataFrame, factor: int = 2, late_seconds: int = 3600, idle_seconds: int = 86_400) -> DataFrame:
@@ -97,7 +98,8 @@ def insert_frames(stream: DataFrame, factor: int = 2, late_seconds: int = 3600,
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     timed = stream.select("scene", F.col("ts").cast("timestamp").alias("ts"), "bt").withWatermark("ts", f"{late_seconds + idle_seconds} seconds")
     own = timed.withColumn("micros", F.unix_micros("ts"))
-    return own.groupBy("scene").transformWithStateInPandas(Inserter(factor, late_seconds * 1_000_000), LOG, "Append", "EventTime")
+    log = own.groupBy("scene").transformWithState(Inserter(factor, late_seconds * 1_000_000), LOG.replace("ts timestamp", "micros long"), "Append", "EventTime")
+    return log.withColumn("micros", F.timestamp_micros("micros")).withColumnRenamed("micros", "ts")
 
 
 def settled(log: DataFrame) -> DataFrame:

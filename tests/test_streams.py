@@ -82,3 +82,33 @@ def test_late_frames_are_counted_and_idle_scenes_expire(spark, tmp_path):
     assert ("b", "expired", None) in rows and not any(s == "b" and k == "interpolated" for s, k, _ in rows)
     settled = [(r["kind"], r["bt"]) for r in pairing.settled(log).filter("scene = 'a' and kind = 'interpolated'").collect()]
     assert ("interpolated", 255.0) not in settled and ("interpolated", 252.5) in settled and ("interpolated", 257.5) in settled
+
+
+def test_a_batch_reads_and_writes_a_scene_once():
+    from pyspark.sql import Row
+
+    class Handle:
+        calls, value = [], None
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def registerTimer(self, millis):
+            self.calls.append("timer")
+
+    own = pairing.Inserter(2, 10**12)
+    own.init(Handle())
+    rows = lambda minutes: iter([Row(micros=m * 60_000_000, bt=None if m == 7 else 200.0 + m) for m in minutes])
+    first = list(own.handleInputRows(("a",), rows(range(50, 0, -2)), None))
+    second = list(own.handleInputRows(("a",), rows([7, 3]), None))
+    assert Handle.calls == ["get", "update", "timer", "get", "update"]  # the newest frame is the same
+    assert len(first) == 25 + 24 and [r["change"] for r in second].count(-1) == 2
+    assert [(r["kind"], r["bt"]) for r in second if r["change"] == 1] == [("observed", 203.0), ("observed", None), ("interpolated", 202.5), ("interpolated", 203.5), ("interpolated", None), ("interpolated", None)]
