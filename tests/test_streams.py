@@ -7,6 +7,7 @@ import pytest
 
 from cadenza.plans import format_queries
 from cadenza.sources import satellite, views
+from cadenza.streaming import frames as streaming
 from cadenza.streaming import pairing
 
 START = datetime(2025, 6, 20)
@@ -112,3 +113,16 @@ def test_a_batch_reads_and_writes_a_scene_once():
     assert Handle.calls == ["get", "update", "timer", "get", "update"]  # the newest frame is the same
     assert len(first) == 25 + 24 and [r["change"] for r in second].count(-1) == 2
     assert [(r["kind"], r["bt"]) for r in second if r["change"] == 1] == [("observed", 203.0), ("observed", None), ("interpolated", 202.5), ("interpolated", 203.5), ("interpolated", None), ("interpolated", None)]
+
+
+def test_pairs_of_many_frames_and_frames_without_time(spark, tmp_path):
+    at = lambda m: None if m is None else START + timedelta(minutes=m)
+    rows = [("a", at(m), 200.0 + m) for m in (8, 0, 4, 8)] + [("a", None, 999.0)] + [("b", at(3), 250.0), ("c", None, 251.0)]
+    kind = "scene string, ts timestamp_ntz, bt double"
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "in"))
+    run(streaming.pair_frames(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), 4), tmp_path)
+    got = spark.read.schema("scene string, ts timestamp, kind string, t double, bt double").parquet(f"{tmp_path}/out").collect()
+    own = sorted((r["scene"], r["kind"], r["t"] or 0.0, (r["ts"].replace(tzinfo=None) - START).total_seconds() / 60 if r["ts"] else -1.0, r["bt"]) for r in got)
+    assert [x for x in own if x[1] != "observed"] == [("a", "interpolated", t, m + 4 * t, 200 + m + 4 * t) for t in (0.25, 0.5, 0.75) for m in (0, 4)]
+    assert [x[3:] for x in own if x[:2] == ("a", "observed")] == [(-1, 999), (0, 200), (4, 204), (8, 208)]
+    assert [x[3:] for x in own if x[0] in "bc"] == [(3, 250), (-1, 251)]
