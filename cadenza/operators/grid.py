@@ -20,23 +20,25 @@ def nearest_mapping(target: DataFrame, source: DataFrame, radius_km: float = 50.
 
     Both are put into cells no narrower than the radius; a target looks into its own and the cells around, so the join
     is an equi-join. Columns of cells widen with latitude and go around the globe: those of a row are counted modulo their
-    number, so that neighbours across 180 degrees meet."""
+    number, so that neighbours across 180 degrees meet. Points at one place are looked up once: of the sources the smallest s_id counts."""
     deg = radius_km / 111.0
     row = lambda c: F.floor(c / deg).cast("long")
     # Degrees of longitude that the radius spans at the row's edge nearest to a pole; all of them around the pole itself.
     edge = lambda r: F.radians(F.least(F.lit(90.0), F.greatest(F.abs(r), F.abs(r + 1.0)) * deg))
     share = lambda r: F.sin(F.radians(F.lit(deg / 2))) / F.greatest(F.lit(1e-12), F.cos(edge(r)))
     wide = lambda r: F.when(share(r) >= 1, 360.0).otherwise(F.degrees(2 * F.asin(F.least(F.lit(1.0), share(r)))))
-    s = source.select("s_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), row(F.col("lat")).alias("r"))
+    s = source.groupBy(F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")).agg(F.min("s_id").alias("s_id")).withColumn("r", row(F.col("s_lat")))
     # Whole columns to a row: as wide as they must be, or a little wider.
     columns = lambda: F.greatest(F.lit(1), F.floor(360.0 / wide(F.col("r").cast("double")))).cast("long")
     column = lambda lon: F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * columns()).cast("long")
     s = s.withColumn("c", column(F.col("s_lon")))
-    t = target.select("t_id", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")).withColumn("r", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: row(F.col("t_lat")) + d)))
+    points = target.select("t_id", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
+    t = points.select("t_lat", "t_lon").distinct().withColumn("r", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: row(F.col("t_lat")) + d)))
     t = t.withColumn("c", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(column(F.col("t_lon")) + d, columns()))))
-    t = t.dropDuplicates(["t_id", "r", "c"])  # rows of less than three columns
+    t = t.dropDuplicates(["t_lat", "t_lon", "r", "c"])  # rows of less than three columns
     near = t.join(s, ["r", "c"]).withColumn("km", haversine_km(F.col("t_lat"), F.col("t_lon"), F.col("s_lat"), F.col("s_lon"))).filter(F.col("km") <= radius_km)
-    return near.groupBy("t_id").agg(F.min(F.struct("km", "s_id")).alias("m")).select("t_id", "m.s_id", "m.km")
+    best = near.groupBy("t_lat", "t_lon").agg(F.min(F.struct("km", "s_id")).alias("p"))
+    return points.join(best, ["t_lat", "t_lon"]).groupBy("t_id").agg(F.min("p").alias("m")).select("t_id", "m.s_id", "m.km")
 
 
 def apply_mapping(mapping: DataFrame, target: DataFrame, values: DataFrame) -> DataFrame:

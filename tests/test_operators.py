@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -162,3 +163,12 @@ def test_stateful_pairing(spark, tmp_path):
     q.awaitTermination(120)
     out = spark.table("paired").toPandas()
     assert sorted(out[out.kind == "interpolated"].bt) == [205.0, 220.0] and len(out) == 6
+
+
+def test_points_at_one_place_are_looked_up_once(spark):
+    # Pairs of all of them would be 1.6 billion, in one task.
+    source = spark.range(40_000).select((F.col("id") + 7).alias("s_id"), F.lit(10.0).alias("lat"), F.lit(80.0).alias("lon"))
+    target = spark.range(40_000).select(F.col("id").alias("t_id"), F.lit(10.1).alias("lat"), F.when(F.col("id") % 2 == 0, 80.0).otherwise(90.0).alias("lon"))
+    began = time.monotonic()
+    got = grid.nearest_mapping(target, source).groupBy("s_id").agg(F.count("*").alias("n"), F.count_if(F.col("t_id") % 2 == 0).alias("even")).collect()
+    assert [tuple(r) for r in got] == [(7, 20_000, 20_000)] and time.monotonic() - began < 60
