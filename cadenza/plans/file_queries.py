@@ -190,15 +190,9 @@ def orc_scene(spark, d):
     # The overlay's metrics are broken, but the range is fixed; that of the model counts.
     jobs.build_scene(spark, views.frames(spark, d), folder, SIDE, BBOX, "scene-1", merge={"metrics": {"data_range_k": 1.0}, "model": {"name": "blend"}})
     document = jobs.load_json(folder, "manifest.json")
-    files, base = folders.store(folder)
-    from pyarrow import fs
-
-    there = {i.path.removeprefix(base + "/") for i in files.get_file_info(fs.FileSelector(base, recursive=True)) if i.type == fs.FileType.File}
-    rows = [
-        (f["kind"], 1, int(f["image"] in there), int(f["thumb"] in there), sum(f["tiles_url_template"].replace("{z}", str(z)).replace("{x}", str(x)).replace("{y}", str(y)) in there for z in (0, 1) for x in range(1 << z) for y in range(1 << z)), int(f["netcdf"] in there))
-        for f in document["frames"]]
-    names = ["n_frames", "n_images", "n_thumbs", "n_tiles", "n_netcdf"]
-    found = spark.createDataFrame(rows, "kind string, " + ", ".join(f"{n} long" for n in names)).groupBy("kind").agg(*[F.sum(n).alias(n) for n in names])
+    each = jobs.scene_files(spark, folder, document, [(z, x, y) for z in (0, 1) for x in range(1 << z) for y in range(1 << z)])
+    names = ["n_images", "n_thumbs", "n_tiles", "n_netcdf"]
+    found = each.groupBy("kind").agg(F.count("*").alias("n_frames"), *[F.sum(n).alias(n) for n in names])
     return found.select("*", F.lit(document["metrics"]["data_range_k"]).alias("span"), F.lit(document["model"]["name"]).alias("model"))
 
 

@@ -7,6 +7,7 @@ from datetime import UTC, datetime
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +84,25 @@ def build_scene(spark: SparkSession, frames: DataFrame, folder: str, side: int,
     return document
 
 
+def scene_files(spark: SparkSession, folder: str, document: dict, tile_places: list[tuple[int, int, int]]) -> DataFrame:
+    """Of each frame of a manifest its kind and how many of its files are there: n_images, n_thumbs, n_tiles (of the places z, x, y)
+    and n_netcdf. Tasks look for the files of their frames; nothing lists the folder."""
+    names = ["kind", "image", "thumb", "tiles_url_template", "netcdf"]
+    table = pa.table({n: pa.array([f[n] for f in document["frames"]], pa.string()) for n in names})
+
+    def look(batches):
+        files, base = store(folder)
+        for batch in batches:
+            there = lambda paths: [i.type == fs.FileType.File for i in files.get_file_info([f"{base}/{p}" for p in paths])]
+            found = {n: np.array(there(batch[n].to_pylist()), np.int64) for n in ("image", "thumb", "netcdf")}
+            tiles_ = [t.format(z=z, x=x, y=y) for t in batch["tiles_url_template"].to_pylist() for z, x, y in tile_places]
+            n_tiles = np.array(there(tiles_), np.int64).reshape(batch.num_rows, len(tile_places)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch["kind"], *map(pa.array, (found["image"], found["thumb"], n_tiles, found["netcdf"]))], names=["kind", "n_images", "n_thumbs", "n_tiles", "n_netcdf"])
+
+    dealt = spark.createDataFrame(table, ", ".join(f"{n} string" for n in names)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInArrow(look, "kind string, n_images long, n_thumbs long, n_tiles long, n_netcdf long")
+
+
 def valid(document: dict) -> bool:
     """What a viewer needs: bounds and ranges in order, whole metrics, and interpolated frames with t and bracket."""
     west, south, east, north = document["bbox"]

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.operators import blocks
+from cadenza.plans import jobs
 from cadenza.sources import cube, sinks
 
 GRID = blocks.Grid(7, 5, 3)
@@ -86,3 +87,12 @@ def test_files(spark, tmp_path):
         save(rows, "out")
     save(rows.filter("name < 'f/010'"), "out", "overwrite")
     assert len(list((tmp_path / "out" / "f").iterdir())) == 10 and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_missing_files_of_a_scene_are_counted_by_frame(spark, tmp_path):
+    frames = [{"kind": kind, "image": f"i/{n}.png", "thumb": f"t/{n}.png", "tiles_url_template": f"x/{n}/{{z}}/{{x}}/{{y}}.png", "netcdf": f"nc/{n}.nc"} for n, kind in enumerate(["observed", "interpolated"])]
+    for name in ("i/0.png", "t/0.png", "t/1.png", "x/0/0/0/0.png", "x/0/1/1/0.png", "x/1/1/1/0.png", "nc/1.nc"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"")
+    got = jobs.scene_files(spark, str(tmp_path), {"frames": frames}, [(0, 0, 0), (1, 0, 0), (1, 1, 0)]).collect()
+    assert sorted(tuple(r) for r in got) == [("interpolated", 0, 1, 1, 1), ("observed", 1, 1, 2, 0)]
