@@ -4,8 +4,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from cadenza.operators import blocks, flow, metrics, stencil
+from cadenza.operators import blocks, flow, losses, metrics, stencil
 
 
 def scene(dy, dx, side=64):
@@ -101,3 +102,15 @@ def test_a_halo_is_no_wider_than_the_frame(spark):
         got = blocks.pixels(blocks.horn_schunck(blocks.from_frames(frames, ["k"], ["a", "b"], grid), ["k"], "a", "b", grid, n), ["k"], ["u", "v"], grid).orderBy("y", "x").collect()
         own = stencil.horn_schunck(*(np.array(frames.first()[c]).reshape(1, 8, 8) for c in "ab"), n)
         assert np.allclose([[r["u"], r["v"]] for r in got], np.stack([f.ravel() for f in own], axis=1), atol=1e-9)
+
+
+def one_batch(spark, *columns, n=4000):
+    """n frames of 64 pixels in one partition, so in one batch."""
+    return spark.range(0, n, 1, 1).select(F.col("id").alias("k"), *[F.array_repeat(0.25 + F.col("id") % 3 / 4, 64).alias(c) for c in columns])
+
+
+def test_combined_losses_of_bounded_stacks(spark, monkeypatch):
+    for name in losses.STACKED:
+        monkeypatch.setitem(losses.STACKED, name, lambda a, b: np.full(len(a), float(max(a.size, b.size))))
+    got = losses.combined(one_batch(spark, "pred", "truth"), ["k"], 8).toPandas()
+    assert sorted(got["k"]) == list(range(4000)) and got[list(losses.STACKED)].max().max() <= 32_768
