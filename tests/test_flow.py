@@ -114,3 +114,10 @@ def test_combined_losses_of_bounded_stacks(spark, monkeypatch):
         monkeypatch.setitem(losses.STACKED, name, lambda a, b: np.full(len(a), float(max(a.size, b.size))))
     got = losses.combined(one_batch(spark, "pred", "truth"), ["k"], 8).toPandas()
     assert sorted(got["k"]) == list(range(4000)) and got[list(losses.STACKED)].max().max() <= 32_768
+
+
+def test_parts_of_losses_of_bounded_stacks(spark, monkeypatch):
+    for name in losses.STACKED:
+        monkeypatch.setitem(losses.STACKED, name, lambda a, b: np.full(len(a), float(max(a.size, b.size))))
+    got = losses.parts(one_batch(spark, "pred", "truth"), ["k"], 8, ["census", "gradient"]).toPandas()
+    assert sorted(got["k"]) == list(range(4000)) and got[["census", "gradient"]].max().max() <= 32_768
