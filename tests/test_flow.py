@@ -121,3 +121,14 @@ def test_parts_of_losses_of_bounded_stacks(spark, monkeypatch):
         monkeypatch.setitem(losses.STACKED, name, lambda a, b: np.full(len(a), float(max(a.size, b.size))))
     got = losses.parts(one_batch(spark, "pred", "truth"), ["k"], 8, ["census", "gradient"]).toPandas()
     assert sorted(got["k"]) == list(range(4000)) and got[["census", "gradient"]].max().max() <= 32_768
+
+
+@pytest.mark.parametrize("solver", ["polynomial"])
+def test_flow_blends_of_bounded_stacks(spark, monkeypatch, solver):
+    def blend(a, b, t, name):
+        return np.full(a.shape, float(max(a.size, b.size))), np.full(a.shape, float(name == solver)), (a + b) / 2
+
+    monkeypatch.setattr(stencil, "flow_blend", blend)
+    pairs = one_batch(spark, "bt", "bt_next")
+    got = stencil.flow_frames(pairs, ["k"], 8, solver=solver).select("k", F.array_max("u").alias("u"), F.array_min("v").alias("v")).toPandas()
+    assert sorted(got["k"]) == list(range(4000)) and got["u"].max() <= 32_768 and (got["v"] == 1).all()
