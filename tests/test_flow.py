@@ -123,7 +123,7 @@ def test_parts_of_losses_of_bounded_stacks(spark, monkeypatch):
     assert sorted(got["k"]) == list(range(4000)) and got[["census", "gradient"]].max().max() <= 32_768
 
 
-@pytest.mark.parametrize("solver", ["polynomial", "total_variation"])
+@pytest.mark.parametrize("solver", ["polynomial", "total_variation", "block"])
 def test_flow_blends_of_bounded_stacks(spark, monkeypatch, solver):
     def blend(a, b, t, name):
         return np.full(a.shape, float(max(a.size, b.size))), np.full(a.shape, float(name == solver)), (a + b) / 2
