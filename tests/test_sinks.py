@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import blocks
 from cadenza.plans import jobs
-from cadenza.sources import cube, sinks
+from cadenza.sources import cube, netcdf, sinks
 
 GRID = blocks.Grid(7, 5, 3)
 
@@ -96,3 +96,19 @@ def test_missing_files_of_a_scene_are_counted_by_frame(spark, tmp_path):
         (tmp_path / name).write_bytes(b"")
     got = jobs.scene_files(spark, str(tmp_path), {"frames": frames}, [(0, 0, 0), (1, 0, 0), (1, 1, 0)]).collect()
     assert sorted(tuple(r) for r in got) == [("interpolated", 0, 1, 1, 1), ("observed", 1, 1, 2, 0)]
+
+
+def test_densified_files_of_more_frames_than_a_sample_holds(spark, tmp_path):
+    # Bounds of ranges come from a sample, here of a row or two a file partition; no frame may lose its place or its neighbour.
+    n, box = 300, (68.0, 6.0, 98.0, 38.0)
+    attrs = {"source_frames": "[]", "t": 0.0, "model": "none", "model_version": "0", "kind": "observed", "created": "2025-06-20T00:00:00Z"}
+    time = F.lit("2025-06-20 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("id") * 30).cast("int"))
+    frames = spark.range(n).select(F.col("id").alias("k"), time.alias("time"), F.array_repeat(200.0 + F.col("id"), 4).alias("bt"))
+    netcdf.write_frames(netcdf.encode_frames(frames, 2, box, attrs), f"{tmp_path}/first").collect()
+    spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", 1)
+    try:
+        jobs.interpolate_files(spark, f"{tmp_path}/first", f"{tmp_path}/second", 2, box, 2).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.rangeExchange.sampleSizePerPartition")
+    got = netcdf.read_frames(spark, f"{tmp_path}/second").select("path", "bt").collect()
+    assert [r["bt"] for r in sorted(got, key=lambda r: r["path"])] == [[200 + f / 2] * 4 for f in range(2 * n - 1)]
