@@ -71,3 +71,20 @@ def test_an_animation_is_made_of_rows_packed_elsewhere():
     frames = np.random.default_rng(1).integers(0, 256, (5, 3, 4, 4)).astype(np.uint8)
     found = images.read_animation(images.animation([images.packed(f) for f in frames], (3, 4), 200))
     assert next(found).shape == (4, 4, 4) and all((f[:3] == own).all() for f, own in zip(found, frames[1:]))
+
+
+def test_videos_of_more_frames_than_a_sample_holds(spark, tmp_path, monkeypatch):
+    # Places come from ranges, whose bounds come from a sample, here of a row or two a partition; volumes and parts follow from them.
+    monkeypatch.setattr(jpeg, "PART", 16)
+    images = [bytes(jpeg.encode(picture(8, 8, k))) for k in range(7)]
+    rows = [(v, k, bytearray(images[(k * k + len(v)) % 7])) for v in ("a", "bb", "ccc") for k in range(400)]
+    random.Random(0).shuffle(rows)
+    df = spark.createDataFrame(rows, "video string, k long, jpeg binary").repartition(8)
+    spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", 1)
+    try:
+        out = {r["path"].rsplit("/", 1)[-1]: r for r in jpeg.encode_video(df, str(tmp_path / "out")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.rangeExchange.sampleSizePerPartition")
+    assert {name: r["n_frames"] for name, r in out.items()} == {f"{v}-000.avi": 400 for v in ("a", "bb", "ccc")}
+    for v in ("a", "bb", "ccc"):
+        assert jpeg.read_avi((tmp_path / "out" / f"{v}-000.avi").read_bytes()) == [images[(k * k + len(v)) % 7] for k in range(400)]
