@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+#: Names in a batch of those that a folder has.
+NAMES = 10_000
+
 
 def shared(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder of spark.checkpoint.dir. Where that is unset a local session gets a folder; a cluster has no default."""
@@ -55,6 +61,51 @@ def put(files: fs.FileSystem, path: str, content: bytes) -> None:
         files.move(part, path)
 
 
+def _names(files: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool]]:
+    """The name of each entry of a folder and whether it is a folder itself; of a local folder one after the other, without a list."""
+    if isinstance(files, fs.LocalFileSystem):
+        with os.scandir(folder) as entries:
+            for entry in entries:
+                yield entry.name, entry.is_dir()
+    else:
+        for info in files.get_file_info(fs.FileSelector(folder)):
+            yield info.base_name, info.type == fs.FileType.Directory
+
+
+def _walk(files: fs.FileSystem, folder: str, suffix: str) -> Iterator[str]:
+    for name, inner in _names(files, folder):
+        if inner and "=" in name:
+            yield from (f"{name}/{n}" for n in _walk(files, f"{folder}/{name}", suffix))
+        elif not inner and name.endswith(suffix) and not name.startswith(("_", ".")):
+            yield name
+
+
+def listed(spark: SparkSession, uri: str, suffix: str) -> DataFrame:
+    """path of the files with this suffix in a folder, and in its partitions (name=value), dealt to as many tasks as a shuffle has.
+
+    A task lists the folder and passes the names on in batches, so nothing of the driver grows with the number of files. Names that
+    begin with _ or . are left out, as Spark does. A path of one file is that file."""
+    uri = uri.rstrip("/") or "/"
+    files, base = store(uri)
+    kind = files.get_file_info(base).type
+    if kind == fs.FileType.NotFound:
+        raise FileNotFoundError(uri)
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = store(uri)
+        for batch in batches:
+            found = []
+            for name in _walk(files, base, suffix) if batch.num_rows else ():
+                found.append(f"{uri}/{name}")
+                if len(found) == NAMES:
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["path"])
+                    found = []
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["path"])
+
+    rows = spark.createDataFrame([(uri,)], "path string") if kind == fs.FileType.File else spark.range(0, 1, 1, 1).mapInArrow(names, "path string")
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+
+
 def get(files: fs.FileSystem, path: str) -> bytes:
     with files.open_input_stream(path) as f:
         return f.read()

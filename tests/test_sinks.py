@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import blocks
 from cadenza.plans import jobs
-from cadenza.sources import cube, netcdf, sinks
+from cadenza.sources import cube, folders, netcdf, sinks
 
 GRID = blocks.Grid(7, 5, 3)
 
@@ -112,3 +112,28 @@ def test_densified_files_of_more_frames_than_a_sample_holds(spark, tmp_path):
         spark.conf.unset("spark.sql.execution.rangeExchange.sampleSizePerPartition")
     got = netcdf.read_frames(spark, f"{tmp_path}/second").select("path", "bt").collect()
     assert [r["bt"] for r in sorted(got, key=lambda r: r["path"])] == [[200 + f / 2] * 4 for f in range(2 * n - 1)]
+
+
+def test_the_driver_lists_no_files_and_tasks_read_each_once(spark, tmp_path, monkeypatch):
+    box, attrs = (68.0, 6.0, 98.0, 38.0), {"source_frames": "[]", "t": 0.0, "model": "none", "model_version": "0", "kind": "observed", "created": "2025-06-20T00:00:00Z"}
+    frames = spark.range(0, 25, 1, 1).select(F.col("id").alias("k"), F.lit("2025").alias("time"), F.array(200.0 + F.col("id"), F.lit(None), F.lit(220.0), F.lit(float("nan"))).alias("bt"))
+    encoded = netcdf.encode_frames(frames, 2, box, attrs)
+    assert encoded.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # not one task for few bytes
+    netcdf.write_frames(encoded, f"{tmp_path}/in").collect()
+    for name in ("_part.nc", ".hidden.nc", "notes.txt", "inner/000099.nc", "day=1/000025.nc"):
+        (tmp_path / "in" / name).parent.mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_bytes((tmp_path / "in" / "000007.nc").read_bytes())
+    monkeypatch.setattr(netcdf, "PIXELS", 8, raising=False)
+    monkeypatch.setattr(folders, "NAMES", 10, raising=False)
+    read = netcdf.read_frames(spark, f"{tmp_path}/in/")
+    assert read.inputFiles() == []
+    got = {r["path"].removeprefix(f"{tmp_path}/in/"): r for r in read.collect()}
+    assert sorted(got) == sorted([*(f"{k:06d}.nc" for k in range(25)), "day=1/000025.nc"])
+    assert all(got[f"{k:06d}.nc"]["bt"] == [200.0 + k, None, 220.0, None] for k in range(25)) and got["day=1/000025.nc"]["bt"][0] == 207.0
+    assert {(r["variable"], r["n_rows"], r["n_cols"], r["attrs"]["kind"]) for r in got.values()} == {("bt", 2, 2, "observed")}
+    one = netcdf.read_frames(spark, f"file://{tmp_path}/in/000003.nc").collect()
+    assert [(r["path"], r["bt"][0]) for r in one] == [(f"file://{tmp_path}/in/000003.nc", 203.0)]
+    with pytest.raises(FileNotFoundError):
+        netcdf.read_frames(spark, f"{tmp_path}/none")
+    (tmp_path / "empty").mkdir()
+    assert netcdf.read_frames(spark, f"{tmp_path}/empty").count() == 0
