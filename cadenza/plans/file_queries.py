@@ -189,7 +189,7 @@ def orc_scene(spark, d):
     folder = folders.shared(spark, "scene")
     # The overlay's metrics are broken, but the range is fixed; that of the model counts.
     jobs.build_scene(spark, views.frames(spark, d), folder, SIDE, BBOX, "scene-1", merge={"metrics": {"data_range_k": 1.0}, "model": {"name": "blend"}})
-    document = jobs.load_json(folder, "manifest.json")
+    document = jobs.read_scene(spark, folder)
     each = jobs.scene_files(spark, folder, document, [(z, x, y) for z in (0, 1) for x in range(1 << z) for y in range(1 << z)])
     names = ["n_images", "n_thumbs", "n_tiles", "n_netcdf"]
     found = each.groupBy("kind").agg(F.count("*").alias("n_frames"), *[F.sum(n).alias(n) for n in names])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
 import numpy as np
@@ -14,7 +15,10 @@ from pyspark.sql import functions as F
 from cadenza.functions import text
 from cadenza.operators import crossval, grid, manifest, metrics, sequence, stencil
 from cadenza.sources import images, netcdf, plots, tiles
-from cadenza.sources.folders import get, put, store
+from cadenza.sources.folders import get, put, put_parts, store, stored
+
+#: Frames of a scene whose images share folders, which one task writes: tasks that write into one folder wait for each other.
+GROUP = 256
 
 
 def now_iso_z() -> str:
@@ -43,52 +47,108 @@ def interpolate_files(spark: SparkSession, source: str, folder: str, side: int,
 
 def build_scene(spark: SparkSession, frames: DataFrame, folder: str, side: int, bbox: tuple[float, float, float, float], scene_id: str, factor: int = 2, tile: int = 4, merge: dict | None = None, methods: list[str] | None = None) -> dict:
     """Builds a scene of frames (k, label, time, bt): densified frames as NetCDF, images, thumbnails and tiles, quality of the
-    middles by frame, values of the `methods`, and the manifest, which is checked before it is written. Returns the manifest.
+    middles by frame, values of the `methods`, and the manifest, which is checked before it is written. Returns the manifest
+    without the frames and their metrics, which are in its file only; read_scene() reads them.
 
-    `merge` overlays the manifest's metrics, crossval and model as far as the result is still valid. Tasks write the files;
-    the driver gets one row for each frame of the manifest, which is a document for one viewer."""
-    files, base = store(folder)
+    `merge` overlays the manifest's metrics, crossval and model as far as the result is still valid. Tasks write the files and the
+    manifest's entries. GROUP frames share the folders of their images and of each tile: folders of each frame would be six more inodes a frame."""
     last = frames.agg(F.max("k")).first()[0] or 0
     dense = sequence.densify_direct(frames, factor, last)
     interpolate_frames(frames, f"{folder}/nc", side, bbox, factor).write.format("noop").mode("overwrite").save()
-    color = tiles.colored(dense.select(F.col("frame").alias("k"), "bt"), lambda b: grid.bt_to_rgba(b))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # files take time by their number, while Spark cuts tasks by bytes
+    color = tiles.colored(dense.select(F.col("frame").alias("k"), "bt").repartition(tasks, F.floor(F.col("k") / GROUP)), lambda b: grid.bt_to_rgba(b))
 
     def write(ks: list[int], stack: np.ndarray):
         files, base = store(folder)
         for k, image in zip(ks, stack):
-            put(files, f"{base}/frames/{k:06d}.png", images.png(image))
-            put(files, f"{base}/thumbs/{k:06d}.png", images.png(tiles.thumbnail(image, max(1, side // 2))))
+            name = f"{k // GROUP:05d}/{k:06d}.png"
+            put(files, f"{base}/frames/{name}", images.png(image))
+            put(files, f"{base}/thumbs/{name}", images.png(tiles.thumbnail(image, max(1, side // 2))))
             for z, x, y, part in tiles.pyramid(image, tile, 0, grid.default_max_zoom(side, side, tile)):
-                put(files, f"{base}/tiles/{k:06d}/{z}/{x}/{y}.png", images.png(part))
+                put(files, f"{base}/tiles/{k // GROUP:05d}/{z}/{x}/{y}/{k:06d}.png", images.png(part))
         yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64())], names=["k"])
 
     images.mapped(color, side, write, "k long").write.format("noop").mode("overwrite").save()
-    rows = dense.select("frame", "kind", text.iso_z("time").alias("time"), "t", "bracket_frame").orderBy("frame").collect()
-    each = {r["k"]: {"psnr": r["psnr"], "bt_rmse_k": r["bt_rmse_k"]} for r in crossval.per_triplet(frames).select("k", "psnr", "bt_rmse_k").collect()}
-    step = sequence.subdivisions(factor)
-    scored = [{"index": k * step, **{m: None if v is None or v != v or abs(v) == float("inf") else v for m, v in own.items()}} for k, own in sorted(each.items())]
+
+    def entry(r: dict) -> dict:
+        group, name = f"{r['index'] // GROUP:05d}", f"{r['index']:06d}"
+        return {**r, "image": f"frames/{group}/{name}.png", "thumb": f"thumbs/{group}/{name}.png", "tiles_url_template": f"tiles/{group}/{{z}}/{{x}}/{{y}}/{name}.png", "pmtiles": None, "netcdf": f"nc/{name}.nc"}
+
+    finite = lambda v: None if v is None or v != v or abs(v) == float("inf") else v
+    each = stored(crossval.per_triplet(frames).select((F.col("k") * sequence.subdivisions(factor)).alias("index"), "psnr", "bt_rmse_k"), "scores")
+    _write_entries(dense.select(F.col("frame").alias("index"), text.iso_z("time").alias("time"), "kind", "t", F.col("bracket_frame").alias("bracket")), entry, f"{folder}/_frames")
+    _write_entries(each, lambda r: {n: finite(v) for n, v in r.items()}, f"{folder}/_scores")
     ran = [{"method_id": x["method_id"], "metric": x["metric"], "value": x["value"]} for name in methods or [] for x in crossval.run_method(frames, name, side).collect()]
-    quality = metrics.summarize(metrics.long_metrics(crossval.per_triplet(frames).select("k", "psnr", "bt_rmse_k"), [], ["psnr", "bt_rmse_k"]), ["metric"]).collect()
-    document = {
+    quality = metrics.summarize(metrics.long_metrics(each, [], ["psnr", "bt_rmse_k"]), ["metric"]).collect()
+    own = {
         "schema_version": "1.0", "scene_id": scene_id, "title": scene_id, "description": "", "satellite": "synthetic", "channel": "IR", "wavelength_um": 10.8, "native_cadence_min": 30, "interp_cadence_min": 30 // sequence.subdivisions(factor),
         "bbox": list(bbox), "crs": "EPSG:4326", "value_range_k": [metrics.VMIN_K, metrics.VMAX_K], "colormap": "ir_clouds", "min_zoom": 0, "max_zoom": grid.default_max_zoom(side, side, tile), "tile_size": tile,
-        "frames": [
-            {"index": r["frame"], "time": r["time"], "kind": r["kind"], "t": r["t"], "bracket": r["bracket_frame"], "image": f"frames/{r['frame']:06d}.png", "thumb": f"thumbs/{r['frame']:06d}.png",
-             "tiles_url_template": f"tiles/{r['frame']:06d}/{{z}}/{{x}}/{{y}}.png", "pmtiles": None, "netcdf": f"nc/{r['frame']:06d}.nc"} for r in rows],
+        "frames": [],
         "videos": {"observed": None, "interpolated": None, "side_by_side": None},
-        "metrics": {"data_range_k": metrics.SPAN_K, "value_range_k": [metrics.VMIN_K, metrics.VMAX_K], "per_frame": scored, "summary": {r["metric"]: r["mean"] for r in quality}},
+        "metrics": {"data_range_k": metrics.SPAN_K, "value_range_k": [metrics.VMIN_K, metrics.VMAX_K], "per_frame": [], "summary": {r["metric"]: r["mean"] for r in quality}},
         "crossval": {"methods_run": ran}, "model": {"name": "linear", "version": "1", "params_m": "0"}, "generated_at": now_iso_z(),
     }
-    document = merged(document, merge or {})
-    put(files, f"{base}/manifest.json", json.dumps(document).encode())
+    document = merged(own, merge or {})
+    pieces, rest = [], json.dumps(document)
+    # Both empty lists are the first of their names; per_frame is its own unless the overlay has one.
+    for name, entries in [("frames", "_frames")] + [("per_frame", "_scores")] * (document["metrics"]["per_frame"] is own["metrics"]["per_frame"]):
+        before, rest = rest.split(f'"{name}": []', 1)
+        pieces += [f'{before}"{name}": [\n'.encode(), entries]
+        rest = "]" + rest
+    _join_entries(spark, folder, [*pieces, rest.encode() + b"\n"])
+    files, base = store(folder)
+    for name in ("_frames", "_scores"):
+        files.delete_dir(f"{base}/{name}")
     return document
 
 
+def _write_entries(rows: DataFrame, of: Callable[[dict], dict], folder: str) -> None:
+    """The JSON of each row, in order of its index, as lines that begin with the comma after the line before: parts in order of their names."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(["," + json.dumps(of(r)) for r in batch.to_pylist()], pa.string())], names=["value"])
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(tasks, "index").sortWithinPartitions("index").mapInArrow(run, "value string").write.mode("overwrite").text(folder)
+
+
+def _join_entries(spark: SparkSession, folder: str, pieces: list[bytes | str]) -> None:
+    """manifest.json of texts and of the folders of _write_entries(): a task copies its parts, one block at a time."""
+    def blocks(files: fs.FileSystem, inner: str) -> Iterator[bytes]:
+        first = True
+        for info in sorted(files.get_file_info(fs.FileSelector(inner)), key=lambda i: i.path):
+            if info.base_name.startswith("part-"):
+                with files.open_input_stream(info.path) as f:
+                    while block := f.read(1 << 22):
+                        yield b" " + block[1:] if first else block
+                        first = False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                files, base = store(folder)
+                put_parts(files, f"{base}/manifest.json", (block for p in pieces for block in ((p,) if isinstance(p, bytes) else blocks(files, f"{base}/{p}"))))
+            yield batch
+
+    spark.range(0, 1, 1, 1).mapInArrow(run, "id long").write.format("noop").mode("overwrite").save()
+
+
+def read_scene(spark: SparkSession, folder: str) -> dict:
+    """The manifest of build_scene() with its frames as rows of FRAME_TYPE and without their metrics: tasks read its lines, the driver
+    gets those that are no entry of a frame."""
+    lines = spark.read.text(f"{folder}/manifest.json").select("value", F.col("_metadata.file_block_start").alias("at"))
+    of_frame = F.col("value").rlike(r"^[ ,]\{")
+    document = json.loads("".join(r["value"] for r in sorted(lines.filter(~of_frame).collect(), key=lambda r: r["at"])))
+    found = lines.filter(of_frame).select(F.from_json(F.expr("substring(value, 2)"), manifest.FRAME_TYPE).alias("f")).filter("f.kind is not null")
+    return {**document, "frames": found.select("f.*")}
+
+
 def scene_files(spark: SparkSession, folder: str, document: dict, tile_places: list[tuple[int, int, int]]) -> DataFrame:
-    """Of each frame of a manifest its kind and how many of its files are there: n_images, n_thumbs, n_tiles (of the places z, x, y)
-    and n_netcdf. Tasks look for the files of their frames; nothing lists the folder."""
-    names = ["kind", "image", "thumb", "tiles_url_template", "netcdf"]
-    table = pa.table({n: pa.array([f[n] for f in document["frames"]], pa.string()) for n in names})
+    """Of each frame of a manifest (as document, or as read_scene() gives it) its kind and how many of its files are there: n_images,
+    n_thumbs, n_tiles (of the places z, x, y) and n_netcdf. Tasks look for the files of their frames; nothing lists the folder."""
+    names, frames = ["kind", "image", "thumb", "tiles_url_template", "netcdf"], document["frames"]
+    if not isinstance(frames, DataFrame):
+        frames = spark.createDataFrame(pa.table({n: pa.array([f[n] for f in frames], pa.string()) for n in names}), ", ".join(f"{n} string" for n in names))
 
     def look(batches):
         files, base = store(folder)
@@ -99,7 +159,7 @@ def scene_files(spark: SparkSession, folder: str, document: dict, tile_places: l
             n_tiles = np.array(there(tiles_), np.int64).reshape(batch.num_rows, len(tile_places)).sum(axis=1)
             yield pa.RecordBatch.from_arrays([batch["kind"], *map(pa.array, (found["image"], found["thumb"], n_tiles, found["netcdf"]))], names=["kind", "n_images", "n_thumbs", "n_tiles", "n_netcdf"])
 
-    dealt = spark.createDataFrame(table, ", ".join(f"{n} string" for n in names)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = frames.select(*names).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return dealt.mapInArrow(look, "kind string, n_images long, n_thumbs long, n_tiles long, n_netcdf long")
 
 
@@ -210,4 +270,4 @@ def flow_files(framed: DataFrame, folder: str, side: int, step: int, bbox: tuple
     return rows.mapInPandas(write, "k long, n long, path string")
 
 
-__all__ = ["build_scene", "flow_files", "full_report", "interpolate_files", "interpolate_frames", "load_json", "make_report", "manifest", "merged", "save_stats", "valid"]
+__all__ = ["build_scene", "flow_files", "full_report", "interpolate_files", "interpolate_frames", "load_json", "make_report", "manifest", "merged", "read_scene", "save_stats", "scene_files", "valid"]

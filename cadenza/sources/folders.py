@@ -6,7 +6,7 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -43,6 +43,11 @@ def store(uri: str) -> tuple[fs.FileSystem, str]:
 
 def put(files: fs.FileSystem, path: str, content: bytes) -> None:
     """Writes a file under another name and moves it, so that a task that runs twice leaves one whole file."""
+    put_parts(files, path, (content,))
+
+
+def put_parts(files: fs.FileSystem, path: str, parts: Iterable[bytes]) -> None:
+    """put() of the parts, one after the other."""
     folder = path.rsplit("/", 1)[0]
     part = f"{folder}/_{uuid.uuid4().hex}"
     try:
@@ -51,7 +56,8 @@ def put(files: fs.FileSystem, path: str, content: bytes) -> None:
         files.create_dir(folder, recursive=True)
         out = files.open_output_stream(part)
     with out:
-        out.write(content)
+        for content in parts:
+            out.write(content)
     try:
         files.move(part, path)
     except OSError:  # a store that does not move over a file

@@ -137,3 +137,36 @@ def test_the_driver_lists_no_files_and_tasks_read_each_once(spark, tmp_path, mon
         netcdf.read_frames(spark, f"{tmp_path}/none")
     (tmp_path / "empty").mkdir()
     assert netcdf.read_frames(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_a_scene_of_many_frames_passes_no_rows_of_frames_to_the_driver(spark, tmp_path, monkeypatch):
+    n, box, collected = 120, (68.0, 6.0, 98.0, 38.0), []
+    time = F.lit("2025-06-20 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("id") * 30).cast("int"))
+    value = F.when(F.col("id") < 60, 200.0 + F.col("id")).otherwise(200.0 + F.col("id") % 7)  # blends without an error have no finite PSNR
+    frames = spark.range(0, n, 1, 3).select(F.col("id").alias("k"), F.lit(0).alias("label"), time.alias("time"), F.array_repeat(value, 16).alias("bt"))
+    real = type(frames).collect
+    monkeypatch.setattr(type(frames), "collect", lambda self: (collected.append(real(self)), collected[-1])[1])
+    monkeypatch.setattr(jobs, "GROUP", 32, raising=False)
+    jobs.build_scene(spark, frames, f"{tmp_path}/scene", 4, box, "many", tile=2, merge={"model": {"name": "own"}})
+    assert max(map(len, collected)) < 10
+    assert sum(p.is_dir() for p in (tmp_path / "scene").rglob("*")) < 2 * n - 1 and not list((tmp_path / "scene").rglob("_*"))
+    scene = jobs.read_scene(spark, f"{tmp_path}/scene")
+    whole = json.loads((tmp_path / "scene" / "manifest.json").read_text())
+    places = [(z, x, y) for z in (0, 1) for x in range(1 << z) for y in range(1 << z)]
+    assert [f["index"] for f in whole["frames"]] == list(range(2 * n - 1)) and whole["frames"][3]["bracket"] == [2, 4] and whole["frames"][3]["t"] == 0.5
+    assert [m["index"] for m in whole["metrics"]["per_frame"]] == list(range(2, 2 * n - 2, 2)) and whole["metrics"]["per_frame"][0] == {"index": 2, "psnr": None, "bt_rmse_k": 0.0}
+    assert whole["metrics"]["per_frame"][-1]["psnr"] > 0 and whole["model"]["name"] == scene["model"]["name"] == "own" and scene["metrics"]["summary"] == whole["metrics"]["summary"]
+    assert sorted((r.asDict() for r in scene["frames"].toLocalIterator()), key=lambda f: f["index"]) == whole["frames"]
+    assert max(map(len, collected)) < 10
+    for document in (whole, scene):
+        found = jobs.scene_files(spark, f"{tmp_path}/scene", document, places).groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("n_images", "n_thumbs", "n_tiles", "n_netcdf")])
+        assert sorted(map(tuple, real(found))) == [("interpolated", n - 1, n - 1, 5 * (n - 1), n - 1), ("observed", n, n, 5 * n, n)]
+
+
+def test_an_overlay_may_have_its_own_scores_and_a_scene_no_frames(spark, tmp_path):
+    frames = spark.range(0).select(F.col("id").alias("k"), F.lit(0).alias("label"), F.lit("2025-06-20").cast("timestamp_ntz").alias("time"), F.array_repeat(F.lit(200.0), 16).alias("bt"))
+    for scores in (None, [], [{"index": 1, "psnr": 2.0}]):
+        jobs.build_scene(spark, frames, f"{tmp_path}/scene", 4, (68.0, 6.0, 98.0, 38.0), 'a "frames": [] of "per_frame": []', tile=2, merge=None if scores is None else {"metrics": {"per_frame": scores}})
+        whole = json.loads((tmp_path / "scene" / "manifest.json").read_text())
+        assert whole["frames"] == [] and whole["metrics"]["per_frame"] == (scores or []) and whole["title"] == 'a "frames": [] of "per_frame": []'
+        assert jobs.read_scene(spark, f"{tmp_path}/scene")["frames"].count() == 0
