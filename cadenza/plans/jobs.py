@@ -47,8 +47,9 @@ def interpolate_files(spark: SparkSession, source: str, folder: str, side: int,
 
 def build_scene(spark: SparkSession, frames: DataFrame, folder: str, side: int, bbox: tuple[float, float, float, float], scene_id: str, factor: int = 2, tile: int = 4, merge: dict | None = None, methods: list[str] | None = None) -> dict:
     """Builds a scene of frames (k, label, time, bt): densified frames as NetCDF, images, thumbnails and tiles, quality of the
-    middles by frame, values of the `methods`, and the manifest, which is checked before it is written. Returns the manifest
-    without the frames and their metrics, which are in its file only; read_scene() reads them.
+    middles by frame, values of the `methods`, and the manifest, which is checked before it is written but for its frames:
+    densify_direct() gives t and bracket to all that are interpolated. Returns the manifest without the frames and their metrics,
+    which are in its file only; read_scene() reads them.
 
     `merge` overlays the manifest's metrics, crossval and model as far as the result is still valid. Tasks write the files and the
     manifest's entries. GROUP frames share the folders of their images and of each tile: folders of each frame would be six more inodes a frame."""
